@@ -1,0 +1,110 @@
+"""Occurrences and document frequency of every distinct term (problem 4).
+
+Heavy-light aggregation. Terms that fill much of the collection are detected
+first with a bounded sketch over all rows; their list is broadcast and counted
+into exact local arrays, one array per partition. Only the other terms are
+shuffled term by term. Both count tables are then united.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most terms treated as heavy. Bounds what is collected and broadcast, whatever the input's size.
+HEAVY_TERMS = 2_000
+#: Counters each partition's sketch keeps; the sketch misses no term above rows / SKETCH_COUNTERS.
+SKETCH_COUNTERS = 8_000
+
+
+def _sketch(capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        for b in batches:
+            col = b.column(0)
+            for x in pc.value_counts(col.drop_null() if hasattr(col, "drop_null") else col).to_pylist():
+                if x["values"] is not None:
+                    counts[x["values"]] = counts.get(x["values"], 0) + x["counts"]
+            if len(counts) > 2 * capacity:  # Misra-Gries: take the (capacity+1)-th count off all
+                cut = sorted(counts.values(), reverse=True)[capacity]
+                counts = {k: v - cut for k, v in counts.items() if v > cut}
+        best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:capacity]
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.string()), pa.array([v for _, v in best], pa.int64())], names=["term", "n"])
+
+    return run
+
+
+def heavy_terms(rows: DataFrame, term: str, limit: int = HEAVY_TERMS, counters: int = SKETCH_COUNTERS) -> list[str]:
+    """At most `limit` frequent terms, from a Misra-Gries sketch of every partition.
+
+    The choice only steers which path counts a term, so an inexact sketch does
+    not touch the result. A few thousand strings reach the driver at most.
+    """
+    sketched = rows.select(term).mapInArrow(_sketch(counters), "term string, n bigint")
+    top = sketched.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(limit)
+    return [r["term"] for r in top.collect()]
+
+
+def _count(heavy: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(heavy, pa.string())
+        occ, docs = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
+        for b in batches:
+            terms, n = b.column(0), b.column(1)
+            at = pc.index_in(terms, value_set=known)
+            light = pc.is_null(at)
+            idx = at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(idx):
+                np.add.at(occ, idx, n.filter(pc.invert(light)).to_numpy(zero_copy_only=False))
+                docs += np.bincount(idx, minlength=len(heavy))
+            terms, n = terms.filter(light), n.filter(light)
+            if len(terms):
+                yield pa.RecordBatch.from_arrays([terms, n, pa.array(np.ones(len(terms), np.int64))], names=["term", "occ", "docs"])
+        seen = np.flatnonzero(docs)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(seen)), pa.array(occ[seen]), pa.array(docs[seen])], names=["term", "occ", "docs"])
+
+    return run
+
+
+def term_frequency(
+    rows: DataFrame,
+    doc: str,
+    key: list[str],
+    term: str,
+    min_docs: int = 3,
+    max_share: float = 0.2,
+    heavy_limit: int = HEAVY_TERMS,
+) -> DataFrame:
+    """(term, occurrences, documents, total_documents, mark) for every distinct non-null term.
+
+    `key` identifies a row; repeated rows of one key count once. `mark` is
+    `rare` below `min_docs` documents, `common` above `max_share` of all
+    distinct `doc` values (also those whose terms are all null), else null.
+    Null documents are no document: their rows are left out. Terms are compared
+    code point for code point; the empty string is a term. An empty table gives
+    no rows. Columns other than those named are ignored, so clashing names in
+    the input do no harm.
+
+    The row table is shuffled once on its key, then as (doc, term) pairs already
+    combined on the map side; neither key can be hot. The term itself, which can
+    be, is only shuffled outside the heavy list.
+    """
+    rows = rows.select(F.col(doc).alias("_doc"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(term).cast("string").alias("_term")).where("_doc is not null")
+    ks = [f"_k{i}" for i in range(len(key))]
+    once = rows.groupBy("_doc", *ks).agg(F.max("_term").alias("_term"))
+    heavy = heavy_terms(rows, "_term", heavy_limit)
+    pairs = once.where("_term is not null").groupBy("_term", "_doc").agg(F.count("*").alias("_n")).select("_term", "_n")
+    counted = pairs.mapInArrow(_count(heavy), "term string, occ bigint, docs bigint")
+    both = counted.groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("docs").alias("documents"))
+    total = rows.select("_doc").distinct().agg(F.count("*")).scalar()
+    both = both.withColumn("total_documents", total)
+    common = F.col("documents") > F.lit(Decimal(str(max_share))) * F.col("total_documents")
+    return both.withColumn("mark", F.when(F.col("documents") < min_docs, "rare").when(common, "common"))
