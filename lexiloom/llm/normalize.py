@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 CYRILLIC = dict(zip("асеорхуіјѕһԁԛԝӏАВСЕНІЈКМОРЅТХУԚԜ", "aceopxyijshdqwlABCEHIJKMOPSTXYQW", strict=True))
 GREEK = dict(zip("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovABEZHIKMNOPTYX", strict=True))
 # Invisible characters, hyphens and spaces drawn like the ordinary ones.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
-HYPHENS, SPACES = "‐‑", "   "
-SELECTORS = "︎️"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160឴឵\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+HYPHENS, SPACES = "‐‑", "\u00a0\u2007\u202f"
+SELECTORS = "\ufe0e\ufe0f"
 RUSSIAN = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 
 TO_LATIN = CYRILLIC | GREEK
@@ -121,13 +121,13 @@ def shows(text: str, i: int) -> bool:
         return False
     if ch in SELECTORS:
         return _emoji(before) or before in "0123456789#*"
-    if ch == "‍" and after and (_emoji(after)) and (_emoji(before) or before in SELECTORS):
+    if ch == "\u200d" and after and (_emoji(after)) and (_emoji(before) or before in SELECTORS):
         return True
-    if ch in "‌‍":
+    if ch in "\u200c\u200d":
         if unicodedata.combining(before) == 9:  # after a virama it forms or prevents a conjunct
             return bool(after)
         if _JOINING.match(before) and before not in _NOT_LEFT:
-            return bool(after and _JOINING.match(after)) if ch == "‌" else not (after and _JOINING.match(after))
+            return bool(after and _JOINING.match(after)) if ch == "\u200c" else not (after and _JOINING.match(after))
     return False
 
 
@@ -276,7 +276,7 @@ def variant_words(tokens: DataFrame, doc: str = "doc_id", tok: str = "tok", sent
     asked = odd.where("verdict <> 'variant'").unionByName(latin)
     sure_latin = F.col("word").rlike("[bdfghijklmnqrstuvwzDFGIJLNQRSUVWZÀ-ÖØ-öø-ɏ]")
     sure_other = F.col("word").rlike("[бгджзийлнпфцчшщъыьэюявкмтБГДЖЗИЙЛПФЦ-Яα-μξπ-ώ]") & ~F.col("word").rlike("[A-Za-z]")
-    east = F.col("word").rlike("[぀-ヿ㐀-鿿가-힯]")
+    east = F.col("word").rlike("[\u3040-ヿ㐀-鿿가-\ud7af]")
     context = t.groupBy("doc_id", "sent").agg(F.count_if(sure_latin).alias("n_latin"), F.count_if(sure_other).alias("n_other"), F.count_if(east).alias("n_east"))
     context = context.where("n_other > 0 or n_latin > 0 or n_east > 0")
     known = asked.join(context, ["doc_id", "sent"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
-from . import normalize
+from ..runtime import latest, table
+from . import langid, mojibake, normalize, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,5 +19,41 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalized(words, "word", "form").groupBy("form").agg(F.count("*").alias("spellings"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical)}
+def _docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """The documents with content, one row each: the one loaded last."""
+    return latest(table(spark, d, "sem_documents"), ["doc_id"], "loaded_at", ["doc_id", *cols]).where("content is not null and content <> ''")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    segmented = table(spark, d, "sem_segmentations").select("doc_id").distinct()
+    return sentences.sentence_units(_docs(spark, d, "content").join(segmented, "doc_id", "left_semi"))
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    samples = langid.samples_of(table(spark, d, "lang_samples"))
+    return langid.segments(_docs(spark, d, "content", "lang"), samples)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(_segments(spark, d)).select("doc_id", "s", "lang")
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select("doc_id", "s", "l", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def _restored(spark: SparkSession, d: str) -> DataFrame:
+    samples = mojibake.samples_of(table(spark, d, "lang_samples"))
+    return mojibake.restored(_docs(spark, d, "content"), samples)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(spark, d).where("garbled").select("doc_id")
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(spark, d).where("garbled").select("doc_id", "restored")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p5_found, p5_segments, p7_found, p7_restored)}
 ORACLE: dict[str, str] = {}
