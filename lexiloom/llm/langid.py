@@ -23,7 +23,7 @@ from .normalize import canonical
 from .sentences import units
 
 #: Longest context in bytes, bits a change of language costs, sample rows used at most.
-ORDER, SWITCH_BITS, SAMPLE_ROWS = 4, 30.0, 5_000
+ORDER, SWITCH_BITS, SAMPLE_ROWS = 4, 50.0, 5_000
 #: Bytes scored at once.
 CHUNK = 400_000
 

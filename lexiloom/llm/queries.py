@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import latest, table
-from . import langid, mojibake, normalize, sentences
+from . import langid, leakage, mojibake, normalize, packing, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,5 +55,13 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return _restored(spark, d).where("garbled").select("doc_id", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p5_found, p5_segments, p7_found, p7_restored)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found)}
 ORACLE: dict[str, str] = {}
