@@ -1,0 +1,395 @@
+"""The small labelled table the model of personal details is trained from.
+
+Sentences with typed slots; every slot is filled by a rule from syllables and
+number forms, with a fixed seed. Nothing here is taken from stored texts.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+
+# First names, by language; the first twelve of each appear in the table, all are known to the model.
+FIRST = {
+    "fr": "Rémi Solène Gaëtan Lucile Octave Maëlle Hervé Noémie Thibaud Clémence Anatole Héloïse Firmin Ysolde Barnabé Apolline Océane Éloi Marie Jean Pierre Claire Luc Sophie Julien Camille Antoine Élise Paul Jeanne Louis Hélène Michel Anne Nicolas Chloé",
+    "en": "Edwin Maud Gilbert Tamsin Rupert Harriet Cedric Isla Percy Wilma Alfred Fern Barnaby Mabel John Mary James Sarah William Emma George Alice Thomas Lucy Henry Grace Robert Jane Oliver Kate",
+    "de": "Volker Friederike Sören Hildegard Jürgen Bärbel Lothar Käthe Ottokar Gisela Björn Ulrich Hans Anna Karl Sabine Peter Monika Klaus Ute Heinz Greta Jörg Petra Fritz Helga",
+    "es": "Nuño Lucía Hernán Belén Álvaro Rocío Íñigo Ximena Fermín Martín José María Juan Carmen Luis Ana Pedro Elena Javier Isabel Diego Pilar",
+    "it": "Ettore Fiamma Pasquale Ginevra Ubaldo Niccolò Ottavia Marco Giulia Luca Chiara Paolo Francesca Giovanni Elena Matteo Laura",
+    "pt": "Duarte Graça Tomé Inês João Conceição Rui Teresa António Maria Pedro Ana Manuel Sofia Tiago Joana",
+}
+_ONSETS = "b br c ch d f fl g gr h k l m n p pl qu r s st t tr v w".split()
+_VOWELS = "a e i o u é ou ai ei au".split()
+_ENDS = {
+    "fr": "bourg court gnan lac mont nac res rac val ville zon gny lé".split(),
+    "en": "ton ford ham ley wick worth bury dale by stead mouth combe".split(),
+    "de": "berg stedt heim hausen wald bach mann au dorf feld ing kirch".split(),
+    "es": "ez illa era zón miel ejo osa ita edra llar".split(),
+    "it": "ini etti ella acci osa ano illa arita".split(),
+    "pt": "eira ão inho ares ita osa edra".split(),
+}
+
+# {name}: a person, {last}: a person after a title, {place}: a place, {org}: a firm or institution. Lists by language; `*` for any.
+TEMPLATES = {
+    "fr": """
+Dossier suivi par {name}, n° de sécurité sociale {id:nir}.
+Le numéro de sécurité sociale de {name} est {id:nir}.
+M. {last} propose de venir jeudi.
+Mme {last} propose de passer lundi, dit {name}.
+Le relieur {name} a signé la feuille de présence.
+La voisine {name} a signé le registre.
+{name} n'a pas souhaité répondre.
+{name} n'a pas voulu répondre.
+Une lectrice, {name}, nous écrit depuis le {addr} pour réclamer son exemplaire.
+Un lecteur, {name}, nous écrit depuis le {addr} pour réclamer son dû.
+Pour tout renseignement, écrire à {email} ou appeler le {phone}.
+{name} ({email}) tient la permanence du samedi.
+Signé : {name}
+Signé : {name} À la veille du marché, le comité de {place} a présenté un projet.
+De : {name} <{email}>
+Carte d'identité n° {id:card}, délivrée à {place}.
+Passeport {id:pass} au nom de {name}.
+Passeport n° {id:pass}, délivré à {place}.
+Numéro fiscal {id:tax} au nom de {name}.
+Mme {last} a laissé son numéro : {phone}.
+M. {last} a laissé son numéro : {phone}
+Le colis est à remettre à {name}, {addr}.
+Le témoin habite {addr} et répond au {phone}.
+Contact : {name}, {addr}, tél. {phone}
+Contact : {name}, {addr}, tél. {phone}.
+Contacter {name} au {phone} ou par courriel : {email}.
+Le prix {name!} a été remis à {org}.
+Le lycée {name!} ouvre ses portes.
+L'école {name!} ferme ses portes.
+La place {name!} est fermée.
+La rue des {place} reste fermée.
+L'avenue du Port reste ouverte.
+Le {day} février {year}, la mairie de {place} a légué à la ville un lot de {num} tuiles.
+À la surprise générale, le conseil de {place} a découvert le budget de {num} euros à {place}.
+L'association {org} dénonce un parc éolien, selon l'art. {day} du règlement (cf. p. {day}).
+La société {org} a confié à {org} Frères les registres paroissiaux.
+Le musée le Kiosque {place} prépare une collection près de {place}.
+Le logiciel {place}-{dig} tourne à {place}.
+Selon la direction de {org}, « La mer ne rendra pas tout » depuis {year}.
+Entre {place} et {place}, la barge {place} transportait {num} tonneaux de {place} pour le comptoir {place}, établi quai {place}.
+L'abbaye {place} de {place} garde sous la cote {num} un psautier dit {place}, acquis pour {num} écus à l'atelier {place}.
+À {place}, le carillon {place} sonne {num} coups, alors que celui de {place}, coulé à la fonderie {place}, en sonne {num} depuis {place}.
+Le lexique {place} distingue {num} formes du verbe {place}, dont {place} et {place}, relevées au hameau de {place}, près de {place}.
+Réf. dossier {ref}, ouvert le {day}.03.{year}.
+Facture n° {ref} : {num} euros.
+ISBN {isbn}.
+Coordonnées : {geo}, -{geo}.
+Le serveur {ip} tourne en version {ver}.
+Suivre le compte @halle_{lowplace}.
+Score final : {day}-{day}, puis {day}-{day}.
+Ouvert de {day} h {day} à {day} h {day}, sauf le lundi.
+Une halle à reconstruire {place}
+Note sur les cloches ({day})
+Commande {ref} du {day}/{day}/{year}.
+""",
+    "en": """
+File handled by {name}, social security number {id:ssn}.
+The national insurance number of {name} is {id:ssn}.
+Mr. {last} offers to call on Thursday.
+Mrs. {last} offers to call, says {name}.
+{name} declined to answer.
+The bookbinder {name} signed the attendance sheet.
+The neighbour {name} signed the register.
+A reader, {name}, writes from {addr} to ask for a copy.
+For further details write to {email} or call {phone}.
+{name} ({email}) runs the Saturday desk.
+Signed, {name}
+Signed, {name} During the long recess, the board of {org} unveiled a plan.
+From: {name} <{email}>
+Passport no. {id:pass}, issued in {place}.
+Passport {id:pass} in the name of {name}.
+Identity card no. {id:card}, issued in {place}.
+Tax number {id:tax}, registered to {name}.
+Mrs. {last} left her number: {phone}.
+Mr. {last} left his number: {phone}
+{name} left her number: {phone}.
+The parcel goes to {name}, {addr}.
+The witness lives at {addr} and answers on {phone}.
+Contact: {name}, {addr}, tel. {phone}
+Contact {name} on {phone} or by mail: {email}.
+The {name!} Prize went to {org}.
+{name!} High School opens its doors.
+{name!} Primary School closes its doors.
+{place} Street stays closed.
+Mill Lane stays closed.
+Follow @hall_{lowplace} for news.
+Case ref. {ref}, opened on {day}/{day}/{year}.
+Invoice {ref}: {num} pounds.
+ISBN {isbn}.
+Grid {geo}, -{geo}.
+Host {ip} runs version {ver}.
+Final score: {day}-{day}, then {day}-{day}.
+Open {day}:{day}-{day}:{day} except Mondays.
+On {day} March {year}, the parish council of {place} photographed a batch of {num} tiles (see p. {day}).
+According to students of {org}, “Where are the keys” ever since {year}.
+The ferry operator {org} discovered the program {place}Scan near {place}.
+The museum of la Fontaine {place} put back into service {num} trial hives at www.bells-{lowplace}.example.
+The laboratory {org} handed over to {org} Ltd. the harbour wall near St. Orban's Gate.
+Between {place} and {place} the barge {place} carried {num} casks of {place} for the {place} trading post on {place} Quay.
+The {place} abbey at {place} keeps under number {num} a psalter called {place}, bought for {num} crowns from the {place} workshop, later held at {place}.
+In {place} the {place} bells ring {num} times, whereas those of {place}, cast at the {place} foundry, have rung {num} times since {place}.
+The {place} glossary lists {num} forms of the verb {place}, among them {place} and {place}, noted down at {place} near {place}.
+From the archives {place}
+Volunteers from {place} finally accepted the forest charter as item no. {day}.
+""",
+    "de": """
+Vorgang bearbeitet von {name}, Sozialversicherungsnummer {id:nir}.
+Steuer-ID {id:tax}, gemeldet auf {name}.
+Personalausweis Nr. {id:card}, ausgestellt in {place}.
+Reisepass {id:pass}, ausgestellt auf {name}.
+Herr {last} bietet an, am Donnerstag zu kommen.
+Frau {last} ist unter {phone} zu erreichen.
+Herr {last} ist unter {phone} zu erreichen.
+Der Buchbinder {name} hat die Anwesenheitsliste unterschrieben.
+{name} wollte nicht antworten.
+{name} ({email}) leitet die Sprechstunde.
+Eine Leserin, {name}, schreibt aus {addr} und bittet um ein Exemplar.
+Auskunft unter {email} oder {phone}.
+Gezeichnet: {name}
+Gezeichnet: {name} Die Wetterwarte bei {place} verschiebt den Windpark.
+Von: {name} <{email}>
+Das Paket geht an {name}, {addr}.
+Der Zeuge wohnt {addr} und ist unter {phone} zu erreichen.
+Kontakt: {name}, {addr}, Tel. {phone}
+Der {name!}-Preis ging an {org}.
+Das {name!}-Gymnasium öffnet seine Türen.
+Die Lindenallee bleibt gesperrt.
+Die {place}straße bleibt gesperrt.
+Aktenzeichen {ref}, eröffnet am {day}.03.{year}.
+Rechnung Nr. {ref}: {num} Euro.
+ISBN {isbn}.
+Koordinaten: {geo}, -{geo}.
+Der Server {ip} läuft in Version {ver}.
+Am {day}. März – die Blaskapelle fotografiert den Haushalt von {num} Euro (vgl. S. {day}).
+Das Museum le Pont {place} eröffnet die Kirchenbücher trotz einer Klage aus {place}.
+Die Firma {org} GmbH bewilligt den Umbau der Mühle nahe der St. Orban-Kirche.
+Der Gemeinderat von {place} erneuert das Programm {place}-{dig} nördlich von {place}.
+Eine Gruppe von Schülerinnen kritisiert die alte Markthalle zwischen {place} und {place}.
+Zwischen {place} und {place} fuhr der Kahn {place} mit {num} Fässern {place} für das Kontor {place} an der {place}lände.
+Die Abtei {place} in {place} verwahrt unter Nummer {num} ein Gebetbuch namens {place}, gekauft für {num} Taler aus der Werkstatt {place}, später im Kloster {place}.
+Das Glossar {place} nennt {num} Formen des Verbs {place}, darunter {place} und {place}, notiert im Weiler {place} bei {place}.
+Neues aus dem Rathaus {place}
+Geöffnet von {day}.{day} bis {day}.{day} Uhr außer montags.
+Folgen Sie @halle_{lowplace}.
+Endstand: {day}-{day}, dann {day}-{day}.
+""",
+    "es": """
+Expediente a cargo de {name}, número de la seguridad social {id:nir}.
+DNI {id:dni}, a nombre de {name}.
+NIE {id:dni}, expedido en {place}.
+Pasaporte {id:pass} a nombre de {name}.
+El Sr. {last} propone venir el jueves.
+La Sra. {last} dejó su número: {phone}.
+El encuadernador {name} firmó la hoja de asistencia.
+{name} no quiso responder.
+{name} ({email}) atiende los sábados.
+Una lectora, {name}, nos escribe desde {addr} para pedir su ejemplar.
+Más información en {email} o en el {phone}.
+Firmado: {name}
+Firmado: {name} Desde principios de mes, la banda municipal denuncia un plan.
+De: {name} <{email}>
+El paquete es para {name}, {addr}.
+El testigo vive en {addr} y responde al {phone}.
+Contacto: {name}, {addr}, tel. {phone}
+El premio {name!} fue para {org}.
+El instituto {name!} abre sus puertas.
+La calle de los Curtidores sigue cerrada.
+Expediente {ref}, abierto el {day}/{day}/{year}.
+Factura n.º {ref}: {num} euros.
+ISBN {isbn}.
+Coordenadas: {geo}, -{geo}.
+El servidor {ip} usa la versión {ver}.
+El {day} de marzo de {year}, el museo le Kiosque {place} vendió {num} tejas (véase pág. {day}).
+La dirección de {org} vigila el programa {place}Tag cerca de la pza. Mayor.
+La empresa {org} SARL piensa restaurar el puente en {place}.
+Días después, una delegación llegada de {place} denuncia un fresco con el núm. {day}.
+La abadía {place} de {place} guarda con el número {num} un salterio llamado {place}, comprado por {num} reales al taller {place} y cedido al convento {place}.
+El glosario {place} recoge {num} formas del verbo {place}, entre ellas {place} y {place}, anotadas en la aldea de {place}, cerca de {place}.
+Siga la cuenta @sala_{lowplace}.
+Resultado final: {day}-{day}, luego {day}-{day}.
+Abierto de {day}:{day} a {day}:{day}, salvo los lunes.
+""",
+    "it": """
+Il legatore {name} ha firmato il foglio.
+{name} non ha voluto rispondere.
+Firmato: {name}
+Contatto: {name}, {addr}, tel. {phone}
+Nel {year}, il laboratorio {org} ha venduto un fondo di {num} libri a {place}.
+Il consiglio di {place} intende restaurare il ponte davanti a le Phare {place}.
+La società {org} Frères prepara il programma {place}-{dig} vicino a {place} (cfr. pag. {day}).
+Codice fiscale {id:dni}, intestato a {name}.
+Il premio {name!} è andato a {org}.
+""",
+    "pt": """
+{name} não quis responder.
+Assinado: {name}
+Contacto: {name}, {addr}, tel. {phone}
+Em {year}, a comissão de {place} vendeu {num} telhas perto de {place} (ver pág. {day}).
+A empresa {org} et Cie está a examinar uma ponte em {place}.
+O museu le Kiosque {place} descobriu o programa {place}Scan.
+O prémio {name!} foi para {org}.
+""",
+    "*": """
+☎ {phone}
+✉ {email}
+{email}
+{email} / {phone}
+{phone}
+✉ {email} / {phone}
+tel. {phone}
+""",
+}
+
+
+class Filler:
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def pick(self, xs):
+        return self.r.choice(xs)
+
+    def d(self, n: int) -> str:
+        return "".join(self.pick("0123456789") for _ in range(n))
+
+    def word(self, lang: str) -> str:
+        k = self.pick((1, 1, 2, 2, 3))
+        return ("".join(self.pick(_ONSETS) + self.pick(_VOWELS) for _ in range(k)) + self.pick(_ENDS.get(lang, _ENDS["fr"]))).capitalize()
+
+    def first(self, lang: str) -> str:
+        names = FIRST.get(lang, FIRST["fr"]).split()
+        n = self.pick(names)
+        return f"{n}-{self.pick(names)}" if self.r.random() < 0.08 else n
+
+    def last(self, lang: str) -> str:
+        w = self.word(lang)
+        return f"{w}-{self.word(lang)}" if self.r.random() < 0.15 else w
+
+    def name(self, lang: str) -> str:
+        f, n = self.first(lang), self.last(lang)
+        return self.pick((f"{f} {n}",) * 5 + (f"{f[0]}. {n}", f"{f[0]}. {n}", f"{n.upper()} {f}", f"{f} {n.upper()}"))
+
+    def place(self, lang: str) -> str:
+        if self.r.random() < 0.3:
+            return ("".join(self.pick(_ONSETS) + self.pick(_VOWELS) for _ in range(3)) + self.pick(("", "s", "r", "n", "l"))).capitalize()
+        return self.word(lang)
+
+    def org(self, lang: str) -> str:
+        kind = self.pick("Institut Forum Cercle Réseau Atelier Maison Collège Conservatoire Ligue Fonds".split())
+        return self.pick((f"{kind} {self.place(lang)}",) * 3 + (self.place(lang),))
+
+    def phone(self, lang: str) -> str:
+        d, s = self.d, self.pick(" .-/ ")
+        fr = "0" + self.pick("1234567") + d(8)
+        pairs = s.join(fr[i : i + 2] for i in range(0, 10, 2))
+        nine = fr[1] + s + s.join(fr[i : i + 2] for i in range(2, 10, 2))
+        forms = {
+            "fr": [pairs, pairs, fr, "+33 " + nine, "+33" + fr[1:], "0033" + fr[1:], f"+33 (0){nine}", f"0033 {nine}", f"(0){nine}"],
+            "en": [f"020 7{d(3)} {d(4)}", f"(020) 7{d(7)}", f"020 {d(8)}", f"+44 20 {d(4)} {d(4)}", f"0044 20 {d(4)} {d(4)}", f"+44 (0)20 {d(4)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(4)} {d(6)}"],
+            "de": [f"030/{d(8)}", f"+49 30 {d(8)}", f"(030) {d(5)}-{d(3)}", f"0{d(3)} {d(7)}", f"+49 (0)30 {d(8)}", f"0049 30 {d(8)}", f"030 {d(4)} {d(4)}", f"01{d(2)}-{d(7)}", f"+4930{d(8)}", f"030-{d(5)}-{d(3)}"],
+            "es": [f"{self.pick('69')}{d(2)}{s}{d(3)}{s}{d(3)}", f"{self.pick('69')}{d(2)} {d(3)} {d(3)}", f"(+34) {d(3)} {d(2)} {d(2)} {d(2)}", f"+34 {d(9)}", f"+34 {d(3)} {d(3)} {d(3)}", f"{self.pick('69')}{d(2)}-{d(2)}-{d(2)}-{d(2)}", f"0034 {d(9)}", f"{self.pick('69')}{d(8)}"],
+        }
+        return self.pick(forms.get(lang) or [x for v in forms.values() for x in v])
+
+    def email(self, lang: str) -> str:
+        f, n = (re.sub(r"[^a-z]", "", _plain(x)) for x in (self.first(lang).split("-")[0], self.last(lang).split("-")[0]))
+        local = self.pick([f"{f}.{n}", f"{f[0]}{n}", f"{f}{self.d(2)}", f"{n}.{f}+info", f"{n}_{f}", "contact", f"secretariat-{n}", f"{f[0]}.{n}", f"{f}.{n}".upper()])
+        host = self.pick(["", "mail.", "poste.", "courrier-", "asso-"]) + re.sub(r"[^a-z]", "", _plain(self.word("en")))
+        parts = [*host.split("."), *self.pick(["example", "example.com", "example.org", "test", "invalid", "net"]).split(".")]
+        at, dot = self.pick([("@", ".")] * 7 + [(" @ ", "."), (" (at) ", "."), (" [at] ", "."), (" [at] ", " [point] "), (" (at) ", " (dot) "), (" at ", " dot "), (" arobase ", " point "), ("(at)", "."), ("[at]", "[dot]"), (" (arobase) ", ".")])
+        return local + at + (".".join(parts) if dot == "." else dot.join(parts))
+
+    def id(self, lang: str, kind: str) -> str:
+        d, u = self.d, lambda n: "".join(self.pick("QXZKTMP") for _ in range(n))
+        s = self.pick([" ", " ", "-", ".", ""])
+        forms = {
+            "nir": [f"{self.pick('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{self.pick('12')}{d(14)}", f"{self.pick('12')}{d(12)} {d(2)}", f"{self.pick('12')}-{d(2)}-{d(2)}-{d(2)}-{d(3)}-{d(3)}-{d(2)}", f"{d(2)} {d(6)} {u(1)} {d(3)}", f"{d(2)}/{d(8)}/{d(2)}"],
+            "ssn": [f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9), f"{u(2)} {d(2)} {d(2)} {d(2)} {u(1)}", f"{u(2)}{d(6)}{u(1)}"],
+            "card": [d(12), f"{d(4)} {d(4)} {d(4)}", f"{u(1)}{d(5)}{u(2)}{d(1)}", f"{u(1)}{d(2)}{u(1)}{d(5)}", f"{u(1)}{d(8)}", f"{u(2)}{d(7)}", f"{d(4)}-{d(4)}-{d(4)}"],
+            "pass": [f"{u(1)}{d(8)}", f"{d(2)} {u(2)} {d(5)}", f"{d(2)}{u(2)}{d(5)}", d(9), f"{u(2)}{d(7)}", f"{u(1)}{d(2)}{u(1)}{d(5)}"],
+            "tax": [d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(2)} {d(2)} {d(3)} {d(3)} {d(3)}", d(13), f"{d(3)}/{d(3)}/{d(5)}"],
+            "dni": [f"{d(2)}{s}{d(3)}{s}{d(3)}{self.pick(['', '-', ' '])}{u(1)}", f"{d(8)}{u(1)}", f"{d(8)}-{u(1)}", f"{u(1)}{d(7)}{u(1)}", f"{u(1)}-{d(7)}-{u(1)}", f"{u(6)}{d(2)}{u(1)}{d(2)}{u(1)}{d(3)}{u(1)}"],
+        }
+        return self.pick(forms[kind])
+
+    def addr(self, lang: str) -> str:
+        n = str(self.r.randint(1, 190))
+        pc = "00" + self.d(3)
+        town = self.place(lang) if self.r.random() < 0.9 else f"{self.place(lang)}-{self.place(lang)}"
+        sep = self.pick([", ", ", ", " ", "\n"])
+        if lang == "en":
+            street = f"{self.pick(['Orchard', 'Mill', 'Station', 'Tanner', 'Harbour', 'Church', self.word('en')])} {self.pick('Close Lane Avenue Street Drive Road Way Court Terrace Square'.split())}"
+            flat = self.pick(["", "", "", f"Flat {self.r.randint(1, 9)}, ", f"Apt {self.r.randint(1, 20)}, ", f"Unit {self.r.randint(1, 9)}, "])
+            code = self.pick(["", f" {''.join(self.pick('ZXQ') for _ in '12')}{self.d(1)} {self.d(1)}QX", f", XX {pc}", ""])
+            return f"{flat}{n}{self.pick(['', '', '', 'A', 'B'])} {street}" + self.pick([f", {town}{code}", f", {town}{code}", ""])
+        if lang == "de":
+            street = self.pick([f"{self.word('de')}straße", "Hafenweg", "Lindenallee", "Mühlgasse", "Am Alten Markt", "An der Mühle", "Marktplatz", f"{self.word('de')}weg", f"{self.word('de')}gasse"])
+            return f"{street} {n}{self.pick(['', '', 'a', 'b'])}" + self.pick([f", {pc} {town}", f", {pc} {town}", f"\n{pc} {town}", f", {town}", ""])
+        if lang in ("es", "pt", "it"):
+            kinds = {"es": ["calle de los Curtidores", "plaza del Mercado", "avenida del Puerto", "paseo de la Noria", f"calle {self.word('es')}"], "it": ["via dei Conciatori", "piazza del Mercato", "viale del Porto", f"via {self.word('it')}"], "pt": ["rua dos Curtidores", "praça do Mercado", "avenida do Porto", f"rua {self.word('pt')}"]}[lang]
+            num = self.pick([f", {n}", f", n.º {n}", f" {n}", f", {n}"])
+            floor = self.pick(["", "", "", f", {self.r.randint(1, 9)}.º {self.pick('ABCD')}", f", piso {self.r.randint(1, 9)}"])
+            return self.pick(kinds) + num + floor + self.pick([f", {pc} {town}", f", {town}", "", f", {pc} {town}"])
+        kinds = ["rue des Tanneurs", "place de la Halle", "quai aux Toiles", "boulevard des Tilleuls", "avenue du Port", "chemin du Lavoir", f"allée {self.word('fr')}", f"rue {self.word('fr')}", "impasse du Four", "cours de la République"]
+        suffix = self.pick(["", "", "", "B", " bis", " ter", "A"])
+        floor = self.pick(["", "", "", "", f", {self.r.randint(1, 6)}e étage", f", appt {self.r.randint(1, 40)}"])
+        town = self.pick([f"{sep}{pc} {town}", f"{sep}{pc} {town}", f", {town}", "", f"{sep}{pc} {town} Cedex {self.r.randint(1, 9)}", f"{sep}{pc} {town} Cedex"])
+        return f"{n}{suffix}{self.pick([' ', ', '])}{self.pick(kinds)}{floor}{town}"
+
+    def other(self, slot: str, lang: str) -> str:
+        d = self.d
+        return {
+            "place": lambda: self.place(lang),
+            "lowplace": lambda: re.sub(r"[^a-z]", "", _plain(self.place(lang))),
+            "org": lambda: self.org(lang),
+            "day": lambda: str(self.r.randint(1, 30)).zfill(self.pick([1, 2])),
+            "year": lambda: str(self.r.randint(1790, 2024)),
+            "num": lambda: self.pick([d(2), d(3), d(5), f"{self.r.randint(1, 99)} {d(3)}", f"{self.r.randint(1, 99)}.{d(3)}", f"{self.r.randint(1, 99)},{d(3)}", d(4)]),
+            "dig": lambda: d(1),
+            "ref": lambda: self.pick([f"{d(5)}/{d(2)}", f"K/{d(5)}/{d(2)}", f"D-{d(5)}/{d(2)}"]),
+            "isbn": lambda: f"978-{d(1)}-{d(2)}-{d(3)}-{d(1)}" if self.r.random() < 0.7 else f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
+            "geo": lambda: f"{d(2)}.{d(3)}",
+            "ip": lambda: f"192.0.2.{self.r.randint(1, 99)}",
+            "ver": lambda: f"{d(1)}.{d(1)}.{d(1)}",
+        }[slot]()
+
+
+def _plain(s: str) -> str:
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+
+
+_SLOT = re.compile(r"\{(\w+)(!)?(?::(\w+))?\}")
+
+
+def labelled(seed: int = 7, copies: int = 14) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(text, [(kind, start, end)]) rows of the table."""
+    f = Filler(seed)
+    out = []
+    for lang, block in TEMPLATES.items():
+        for line in block.strip("\n").split("\n"):
+            for _ in range(copies):
+                code = f.pick(list(FIRST)) if lang == "*" else lang
+                text, spans, at = "", [], 0
+                for m in _SLOT.finditer(line):
+                    text += line[at : m.start()]
+                    slot, decoy, arg = m.groups()
+                    kind = {"name": "name", "last": "name", "phone": "phone", "email": "email", "id": "identity", "addr": "address"}.get(slot)
+                    value = f.id(code, arg) if slot == "id" else getattr(f, slot)(code) if kind else f.other(slot, code)
+                    if kind and not decoy:
+                        spans.append((kind, len(text), len(text) + len(value)))
+                    text += value
+                    at = m.end()
+                out.append((text + line[at:], spans))
+    # texts run on: pairs of rows stand in one paragraph, parted by a space or a line end
+    rows = list(out)
+    for _ in range(len(rows) // 2):
+        (a, sa), (b, sb) = f.pick(rows), f.pick(rows)
+        gap = f.pick([" ", "\n", "\n ", " "])
+        out.append((a + gap + b, sa + [(k, s + len(a) + len(gap), e + len(a) + len(gap)) for k, s, e in sb]))
+    return out
