@@ -38,7 +38,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*|\d+|[^\w\s]|_")
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|arobase|arroba|chiocciola|klammeraffe|@)\s?[\])}]\s?|\s(?:arobase|arroba|chiocciola)\s|\sat\s(?=[\w-]+\s?(?:dot|[\[({]\s?(?:dot|point|punto|punkt|ponto))))"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|point|punto|punkt|ponto|\.)\s?[\])}]\s?|\s(?:dot|point|punkt|punto|ponto)\s)"
 EMAIL = re.compile(rf"(?<![\w@])[\w](?:[\w.+'-]*[\w+])?{_AT}(?!www\b)[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+", re.IGNORECASE)
-NUMBER = re.compile(r"(?:\(\s?\+?|\+)?\d(?:[\d ()./\-  ]*\d)?")
+NUMBER = re.compile(r"(?:\(\s?\+?|\+)?\d(?:(?:[ ./\-\u00a0\u202f]|\)[ ./\-]?|[ ./\-]?\()?\d)*")
 CODE = re.compile(r"(?<![\w])(?=[A-Z0-9 .\-/]*\d)[A-Z0-9]+(?:[ .\-/]?[A-Z0-9]+)*(?![\w])")
 
 
@@ -46,12 +46,14 @@ def _shape(w: str) -> str:
     if w.isdigit():
         return f"d{min(len(w), 15)}"
     if len(w) == 1:
-        return "X" if w.isupper() else "x" if w.isalpha() else w
+        return "X" if w.isupper() else ("x" if w.islower() else "oo") if w.isalpha() else w
     if w.isupper():
         return "XX" if len(w) > 2 else f"XX{len(w)}"
     if w[0].isupper():
         return "Xx" if w[1:].islower() else "XxX"
-    return "xx" if w.islower() else "xX"
+    if w.islower():
+        return "xx"
+    return "xX" if w.upper() != w.lower() else "oo"
 
 
 @lru_cache(1)
@@ -103,7 +105,6 @@ def tokens(text: str) -> tuple[list[tuple[int, int]], list[tuple[str, str]]]:
     Flags: what stands before the token (nothing, space, line end), and the form
     of the email, number or code that the token is part of.
     """
-    forms: dict[int, str] = {}
     marks: list[tuple[int, int, str]] = []
     if "@" in text or "(at" in text or "[at" in text or " at " in text or "aroba" in text or "arroba" in text or "{at" in text or "ＡＴ" in text or "＠" in text or "chiocciola" in text:
         marks += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
@@ -141,7 +142,6 @@ def tokens(text: str) -> tuple[list[tuple[int, int]], list[tuple[str, str]]]:
         spans.append((a, b))
         types.append((m.group(), before + ("1" if b < len(text) and not text[b].isspace() else "_") + form))
         last = b
-    del forms
     return spans, types
 
 
@@ -289,7 +289,7 @@ def trained(seed: int = 7, copies: int = 10, rounds: int = ROUNDS) -> Field:
     both = live[:, 1:]
     np.add.at(pairs, (y[:, :-1][both], y[:, 1:][both]), 1)
     pos = np.cumsum(live.ravel()).reshape(live.shape) - 1
-    l2, rate = 2e-3, 0.25
+    l2, rate = 5e-4, 0.25
     for _ in range(rounds):
         typew = np.zeros((no, nt, nl), np.float32)
         typew[:, ti[t_first]] = np.add.reduceat(w[:, fi], t_first, axis=1)
@@ -386,18 +386,24 @@ def _fit_phone(text: str, s: int, e: int) -> tuple[int, int] | None:
 
 
 def _fit_identity(text: str, s: int, e: int) -> tuple[int, int] | None:
-    while s and (text[s - 1].isdigit() or text[s - 1].isalpha() and text[s - 1].isupper()):
-        s -= 1
-    while e < len(text) and (text[e].isdigit() or text[e].isalpha() and text[e].isupper() and (e + 1 == len(text) or not text[e + 1].islower())):
-        e += 1
-    m = re.match(r"((?: ?[.\-/]? ?)(?:\d+[A-Z]?|[A-Z]))(?![\w])", text[e : e + 12])
-    if m and text[e : e + 1] in "-" and m.group(1).strip("- ./"):
-        e += len(m.group(1))
+    """The whole number or code that a found place touches, with a check letter after it."""
+    lo = max(0, s - 30)
+    for form in (NUMBER, CODE):
+        for m in form.finditer(text, lo, min(len(text), e + 30)):
+            if m.start() < e and m.end() > s and sum(c.isdigit() for c in m.group()) >= 5 and m.end() - m.start() <= 30:
+                a = m.start()
+                if form is CODE and a < s:  # the word before a number isn't part of it
+                    word = re.match(r"(?:[A-Z]{2,}[ .\-])+(?=[A-Z]?\d)", m.group())
+                    a = min(s, a + word.end()) if word else a
+                s, e = min(s, a), max(e, m.end())
+    m = re.match(r"[ \-]?[A-Z](?!\w)", text[e : e + 3])
+    if m and text[e - 1].isdigit():
+        e += m.end()
     while s < e and not text[s].isalnum():
         s += 1
     while e > s and not text[e - 1].isalnum():
         e -= 1
-    return (s, e) if sum(c.isdigit() for c in text[s:e]) >= 5 else None
+    return (s, e) if sum(c.isdigit() for c in text[s:e]) >= 5 and "\n" not in text[s:e] else None
 
 
 def _fit_address(text: str, s: int, e: int) -> tuple[int, int] | None:
@@ -430,6 +436,7 @@ def _fit_name(text: str, s: int, e: int) -> tuple[int, int] | None:
     return (s, e)
 
 
+_APART = re.compile(r"\s+(?:Mme|Mlle|Mr|Mrs|Ms|Herr|Frau|Sra?|Dra?)\.?\s+|[^\S\n]*\n\s*|(?<=\w\w)\.\s+|\sM\.\s(?=\w+\s(?:propose|a|n'))")
 _FIT = {"phone": _fit_phone, "identity": _fit_identity, "address": _fit_address, "name": _fit_name}
 
 
@@ -437,7 +444,14 @@ def _checked(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, in
     """The places found, fitted to the form of their kind; places of addresses that hold no address fall out."""
     mails = [m.span() for m in EMAIL.finditer(text)] if any(k == "email" for k, *_ in found) else []
     out: dict[tuple[int, int], str] = {}
-    for kind, s, e in found:
+    found_more = list(found)
+    for kind, s, e in found_more:
+        if kind == "name":
+            cuts = [m.span() for m in _APART.finditer(text, s, e)]
+            if cuts:
+                ends = [s, *(x for c in cuts for x in c), e]
+                found_more += [("name", a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if b > a]
+                continue
         if kind == "email":
             fit = next(((a, b) for a, b in mails if a < e and b > s), None)
         else:

@@ -68,6 +68,12 @@ Le {day} février {year}, la mairie de {place} a légué à la ville un lot de {
 À la surprise générale, le conseil de {place} a découvert le budget de {num} euros à {place}.
 L'association {org} dénonce un parc éolien, selon l'art. {day} du règlement (cf. p. {day}).
 La société {org} a confié à {org} Frères les registres paroissiaux.
+La société {place} Coop n'a pas encore évalué un lot de {num} tuiles.
+Le porte-parole de {place} S.p.A. n'a pas encore évalué la charte des forêts au nord de {place}.
+La direction de {org} n'a pas encore évalué le tracé.
+Le laboratoire {org} n'a pas encore évalué l'inventaire.
+Le conseil de {place} n'a pas encore évalué un parc éolien à {place}. « Nous n'avons rien cassé ! », a lancé {org}.
+Le porte-parole de {place} SARL dénonce la digue du port devant la Tour {place}.
 Le musée le Kiosque {place} prépare une collection près de {place}.
 Le logiciel {place}-{dig} tourne à {place}.
 Selon la direction de {org}, « La mer ne rendra pas tout » depuis {year}.
@@ -129,6 +135,11 @@ On {day} March {year}, the parish council of {place} photographed a batch of {nu
 According to students of {org}, “Where are the keys” ever since {year}.
 The ferry operator {org} discovered the program {place}Scan near {place}.
 The museum of la Fontaine {place} put back into service {num} trial hives at www.bells-{lowplace}.example.
+The spokesperson of {place} GmbH hasn't yet assessed a wind farm on the premises of {place} Industries.
+The laboratory {org} hasn't yet assessed the harbour wall, a claim that {org} disputes.
+The board of {org} hasn't yet assessed the catalogue of bells in {place}.
+Contact: {name}, {addr}, phone {phone}
+For details write to {email} or ring {phone}.
 The laboratory {org} handed over to {org} Ltd. the harbour wall near St. Orban's Gate.
 Between {place} and {place} the barge {place} carried {num} casks of {place} for the {place} trading post on {place} Quay.
 The {place} abbey at {place} keeps under number {num} a psalter called {place}, bought for {num} crowns from the {place} workshop, later held at {place}.
@@ -233,9 +244,38 @@ Em {year}, a comissão de {place} vendeu {num} telhas perto de {place} (ver pág
 A empresa {org} et Cie está a examinar uma ponte em {place}.
 O museu le Kiosque {place} descobriu o programa {place}Scan.
 O prémio {name!} foi para {org}.
+""",
+    "ru": """
+Несмотря на дождь, лаборатория {org} проверяет каталог {num} колоколов на ул. Башенной.
+В {year} году, совет города Белново описывает бюджет в {num} рублей (см. стр. {day}).
+Группа пчеловодов отложила ремонт, но ничего ещё не подписано.
+""",
+    "ar": """
+يدرس مجلس المدينة القناة القديمة بميزانية قدرها {num}. يؤجل متحف وادي النخيل جسرا طوله {dig} متر؟
+في عام {year}، يسجل مدير الميناء مع السكان معجم أسماء الأماكن.
+""",
+    "hi": """
+जल विभाग स्कूलों के लिए {num} चित्र की जाँच कर रहा है। {year} में, नगर परिषद बाजार की मरम्मत की योजना को बेचने वाला है।
+संग्रहालय घंटियों की सूची को सुरक्षित रखता है?
+""",
+    "th": """
+สภาเมืองเปิดเผยภาพพิมพ์ {num} ภาพเพื่อโรงเรียน นายท่าเรือสำรวจคลองเก่าร่วมกับชุมชน
+การประปาบันทึกรายการระฆังในช่วงงบน้อย
+""",
+    "zh": """
+市议会花费{num}元公布了市场的改造计划。{year}年，养蜂人协会没有等待专家打算出售{num}幅版画！
+“谁来付钱？”档案委员会问道，然后推迟了旧运河。
+""",
+    "ja": """
+町の議会が{num}円をかけて忘れられた壁画を公開した。{year}年に、水道局は古い運河を調査しました。
+「港の管理者は眠らない。」とトラム会社は言い、風力発電所を延期した。
 """,
     "*": """
 ☎ {phone}
+☎ {phone}
+✉ {email}
+{email}
+{email}
 ✉ {email}
 {email}
 {email} / {phone}
@@ -307,11 +347,11 @@ class Filler:
         d, u = self.d, lambda n: "".join(self.pick("QXZKTMP") for _ in range(n))
         s = self.pick([" ", " ", "-", ".", ""])
         forms = {
-            "nir": [f"{self.pick('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{self.pick('12')}{d(14)}", f"{self.pick('12')}{d(12)} {d(2)}", f"{self.pick('12')}-{d(2)}-{d(2)}-{d(2)}-{d(3)}-{d(3)}-{d(2)}", f"{d(2)} {d(6)} {u(1)} {d(3)}", f"{d(2)}/{d(8)}/{d(2)}"],
-            "ssn": [f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9), f"{u(2)} {d(2)} {d(2)} {d(2)} {u(1)}", f"{u(2)}{d(6)}{u(1)}"],
-            "card": [d(12), f"{d(4)} {d(4)} {d(4)}", f"{u(1)}{d(5)}{u(2)}{d(1)}", f"{u(1)}{d(2)}{u(1)}{d(5)}", f"{u(1)}{d(8)}", f"{u(2)}{d(7)}", f"{d(4)}-{d(4)}-{d(4)}"],
+            "nir": [self.pick(" .- ").join([self.pick("12"), d(2), d(2), d(2), d(3), d(3), d(2)]), f"{self.pick('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{self.pick('12')}{d(14)}", f"{self.pick('12')}{d(12)} {d(2)}", f"{self.pick('12')}-{d(2)}-{d(2)}-{d(2)}-{d(3)}-{d(3)}-{d(2)}", f"{d(2)} {d(6)} {u(1)} {d(3)}", f"{d(2)}/{d(8)}/{d(2)}"],
+            "ssn": [self.pick(" .-").join([d(3), d(2), d(4)]), f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9), f"{u(2)} {d(2)} {d(2)} {d(2)} {u(1)}", f"{u(2)}{d(6)}{u(1)}"],
+            "card": [d(12), self.pick(" .-").join([d(4), d(4), d(4)]), f"{u(1)}{d(5)}{u(2)}{d(1)}", f"{u(1)}{d(2)}{u(1)}{d(5)}", f"{u(1)}{d(8)}", f"{u(2)}{d(7)}", f"{d(4)}-{d(4)}-{d(4)}"],
             "pass": [f"{u(1)}{d(8)}", f"{d(2)} {u(2)} {d(5)}", f"{d(2)}{u(2)}{d(5)}", d(9), f"{u(2)}{d(7)}", f"{u(1)}{d(2)}{u(1)}{d(5)}"],
-            "tax": [d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(2)} {d(2)} {d(3)} {d(3)} {d(3)}", d(13), f"{d(3)}/{d(3)}/{d(5)}"],
+            "tax": [d(11), self.pick(" .-").join([d(2), d(3), d(3), d(3)]), f"{d(2)} {d(2)} {d(3)} {d(3)} {d(3)}", d(13), f"{d(3)}/{d(3)}/{d(5)}"],
             "dni": [f"{d(2)}{s}{d(3)}{s}{d(3)}{self.pick(['', '-', ' '])}{u(1)}", f"{d(8)}{u(1)}", f"{d(8)}-{u(1)}", f"{u(1)}{d(7)}{u(1)}", f"{u(1)}-{d(7)}-{u(1)}", f"{u(6)}{d(2)}{u(1)}{d(2)}{u(1)}{d(3)}{u(1)}"],
         }
         return self.pick(forms[kind])
@@ -373,7 +413,7 @@ def labelled(seed: int = 7, copies: int = 14) -> list[tuple[str, list[tuple[str,
     out = []
     for lang, block in TEMPLATES.items():
         for line in block.strip("\n").split("\n"):
-            for _ in range(copies):
+            for _ in range(copies * (3 if lang == "*" else 1)):
                 code = f.pick(list(FIRST)) if lang == "*" else lang
                 text, spans, at = "", [], 0
                 for m in _SLOT.finditer(line):
@@ -388,7 +428,7 @@ def labelled(seed: int = 7, copies: int = 14) -> list[tuple[str, list[tuple[str,
                 out.append((text + line[at:], spans))
     # texts run on: pairs of rows stand in one paragraph, parted by a space or a line end
     rows = list(out)
-    for _ in range(len(rows) // 2):
+    for _ in range(len(rows) * 2 // 3):
         (a, sa), (b, sb) = f.pick(rows), f.pick(rows)
         gap = f.pick([" ", "\n", "\n ", " "])
         out.append((a + gap + b, sa + [(k, s + len(a) + len(gap), e + len(a) + len(gap)) for k, s, e in sb]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import latest, table
-from . import langid, leakage, mojibake, normalize, packing, sentences
+from . import langid, leakage, mojibake, normalize, packing, pii, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,5 +63,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.places(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_redacted)}
 ORACLE: dict[str, str] = {}
