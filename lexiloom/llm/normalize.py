@@ -259,6 +259,8 @@ def normalized(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 _LATIN_ASK = "".join(sorted(TO_CYRILLIC))
+#: Ranges without any unstable character.
+SETTLED = "!-~\u00a1-\u00ac\u00ae-\u0131\u0134-\u0148\u014a-\u0173\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff\u3001-\u3002\u300c-\u300d\u2013-\u2014\u2018-\u201e\u2026"
 
 
 def variant_words(tokens: DataFrame, doc: str = "doc_id", tok: str = "tok", sent: str = "sent", word: str = "word") -> DataFrame:
@@ -271,18 +273,19 @@ def variant_words(tokens: DataFrame, doc: str = "doc_id", tok: str = "tok", sent
     """
     t = tokens.select(F.col(doc).alias("doc_id"), F.col(tok).alias("tok"), F.coalesce(F.col(sent), F.lit(-1)).alias("sent"), F.col(word).cast("string").alias("word"))
     t = t.where("doc_id is not null and tok is not null and word is not null")
-    odd = t.where(F.col("word").rlike(f"[{char_class(unstable())}]")).select("*", judge_udf("word").alias("verdict")).where("verdict <> 'plain'")
-    latin = t.where(F.col("word").rlike(f"^[{_LATIN_ASK}]{{1,3}}\\.?$")).select("*", F.lit("ask_latin").alias("verdict"))
-    asked = odd.where("verdict <> 'variant'").unionByName(latin)
+    # most words consist of characters that are stable in any company: one small class settles them
+    odd = F.when(F.col("word").rlike(f"^[{SETTLED}]*$"), False).otherwise(F.col("word").rlike(f"[{char_class(unstable())}]"))
+    latin = F.col("word").rlike(f"^[{_LATIN_ASK}]{{1,3}}\\.?$")
+    doubtful = t.where(odd | latin)
+    doubtful = doubtful.select("doc_id", "tok", "sent", F.when(latin, "ask_latin").otherwise(judge_udf("word")).alias("verdict")).where("verdict <> 'plain'")
     sure_latin = F.col("word").rlike("[bdfghijklmnqrstuvwzDFGIJLNQRSUVWZÀ-ÖØ-öø-ɏ]")
     sure_other = F.col("word").rlike("[бгджзийлнпфцчшщъыьэюявкмтБГДЖЗИЙЛПФЦ-Яα-μξπ-ώ]") & ~F.col("word").rlike("[A-Za-z]")
     east = F.col("word").rlike("[\u3040-ヿ㐀-鿿가-\ud7af]")
     context = t.groupBy("doc_id", "sent").agg(F.count_if(sure_latin).alias("n_latin"), F.count_if(sure_other).alias("n_other"), F.count_if(east).alias("n_east"))
     context = context.where("n_other > 0 or n_latin > 0 or n_east > 0")
-    known = asked.join(context, ["doc_id", "sent"])
-    # a Latin word is only doubtful among words of another script, so most rows fall out in the join
-    wrong = known.where("case verdict when 'ask_other' then n_latin > n_other when 'ask_latin' then n_other > n_latin else n_east = 0 end")
-    return odd.where("verdict = 'variant'").select("doc_id", "tok").unionByName(wrong.select("doc_id", "tok")).distinct()
+    known = doubtful.join(context, ["doc_id", "sent"], "left")
+    wrong = known.where("case verdict when 'variant' then true when 'ask_other' then n_latin > n_other when 'ask_latin' then n_other > n_latin else coalesce(n_east, 0) = 0 end")
+    return wrong.select("doc_id", "tok").distinct()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
