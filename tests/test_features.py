@@ -1,0 +1,188 @@
+"""Token features, dictionaries, rules and models on one five-token sentence."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.functions import compile_xml
+from lexiloom.functions import features as X
+from lexiloom.operators import crf, dictionary, rules
+
+WORDS = ["Ceci", "est", "un", "test", "."]
+
+
+@pytest.fixture(scope="module")
+def sentence(spark):
+    return spark.createDataFrame([(0, 0, i, i, w, f"_{w}") for i, w in enumerate(WORDS)], "doc_id bigint, sent int, pos int, tok int, word string, token string")
+
+
+def values(df, **cols):
+    got = df.select("pos", *[c.alias(k) for k, c in cols.items()]).orderBy("pos").collect()
+    return {k: [r[k] for r in got] for k in cols}
+
+
+def test_getters(sentence):
+    w = X.sentence_window()
+    got = values(sentence, a=X.shifted(F.col("word"), 0, w), b=X.shifted(F.col("token"), -1, w), c=X.shifted(F.col("token"), 1, w))
+    assert got["a"] == WORDS
+    assert got["b"] == [None, "_Ceci", "_est", "_un", "_test"]
+    assert got["c"] == ["_est", "_un", "_test", "_.", None]
+
+
+def test_arity(sentence):
+    c, w = F.col("word"), X.sentence_window()
+    got = values(sentence, bos=X.bos(F.col("pos")), eos=X.eos(w), low=X.lower(c), sub=X.sliced(c, 0, 3, "#"), up=X.is_upper(c), rep=X.substitute(c, "e", "a"),
+                 shape=X.sequence(c, *[lambda x, p=p, r=r: X.substitute(x, p, r) for p, r in (("[A-Z]", "A"), ("[a-z]", "a"), ("[0-9]", "0"), ("[^Aa0]", "x"))]))
+    assert got["bos"] == [True, False, False, False, False]
+    assert got["eos"] == [False, False, False, False, True]
+    assert got["low"] == ["ceci", "est", "un", "test", "."]
+    assert got["sub"] == ["Cec", "est", "un", "tes", "."]
+    assert got["up"] == [True, False, False, False, False]
+    assert got["rep"] == ["Caci", "ast", "un", "tast", "."]
+    assert got["shape"] == ["Aaaa", "aaa", "aa", "aaaa", "x"]
+
+
+def test_regexp_and_lists(sentence):
+    c = F.col("word")
+    got = values(sentence, check=X.matches(c, "^..."), part=X.matched_part(c, "^..."), whole=X.matched_token(c, "^..."),
+                 some=X.some(X.is_upper(c), X.matches(c, r"^\.")), every=X.every(X.is_upper(c), X.matches(c, r"^\.")), none=X.none(X.is_upper(c), X.matches(c, r"^\.")))
+    assert got["check"] == [True, True, False, True, False]
+    assert got["part"] == ["Cec", "est", "#", "tes", "#"]
+    assert got["whole"] == ["Ceci", "est", "#", "test", "#"]
+    assert got["some"] == [True, False, False, False, True]
+    assert got["every"] == [False] * 5
+    assert got["none"] == [False, True, True, True, False]
+
+
+def lexicon(spark, *entries):
+    return dictionary.keyed(spark.createDataFrame([(e,) for e in entries], "entry string"))
+
+
+def column(df, name):
+    return [r[name] for r in df.orderBy("pos").collect()]
+
+
+def test_dictionaries(spark, sentence):
+    flag = dictionary.token_flag(sentence, spark.createDataFrame([("Ceci",), ("test",), (None,)], "entry string"), "x")
+    assert column(flag, "x") == [True, False, False, True, False]
+    multi = dictionary.multiword(sentence, lexicon(spark, "Ceci est", "est un", "un", "."), "x", "-test1")
+    assert column(multi, "x") == ["B-test1", "I-test1", "B-test1", "O", "B-test1"]
+    last = dictionary.multiword(sentence, lexicon(spark, "test ."), "x", "-test2")
+    assert column(last, "x") == ["O", "O", "O", "B-test2", "I-test2"]
+    m = dictionary.mapped(sentence, spark.createDataFrame([("un", "une"), ("test", "révolution")], "entry string, mapped string"), "x")
+    assert column(m, "x") == ["O", "O", "une", "révolution", "O"]
+
+
+def test_last_token_rule(spark, sentence):
+    """A last token that is an entry itself begins anew even inside a longer match; the option turns that off."""
+    lex = lexicon(spark, "test .", ".")
+    assert column(dictionary.multiword(sentence, lex, "x"), "x")[3:] == ["B", "B"]
+    assert column(dictionary.multiword(sentence, lex, "x", last_exception=False), "x")[3:] == ["B", "I"]
+
+
+def test_blank_and_null_entries(spark, sentence):
+    lex = dictionary.keyed(spark.createDataFrame([("",), (None,), ("  ",), ("un",), ("un",)], "entry string"))
+    assert column(dictionary.multiword(sentence, lex, "x"), "x") == ["O", "O", "B", "O", "O"]
+    none = dictionary.keyed(spark.createDataFrame([], "entry string"))
+    assert column(dictionary.multiword(sentence, none, "x"), "x") == ["O"] * 5
+
+
+def test_directory_priority(spark, sentence):
+    lex = dictionary.keyed(spark.createDataFrame([("b", 1, "un test"), ("a", 2, "un test"), ("c", None, "est un")], "dict string, priority int, entry string"))
+    got = [(r["lb"], r["ub"], r["value"]) for r in dictionary.directory(sentence, lex, nocase=False).orderBy("lb").collect()]
+    assert got == [(1, 3, "c")]
+    both = dictionary.directory(sentence, lex.where("dict <> 'c'"), nocase=False, ambiguous=True).collect()
+    assert [(r["lb"], r["value"]) for r in both] == [(2, "b|a")]
+
+
+def test_merge_with_gold(spark):
+    s = "doc_id bigint, sent int, lb int, ub int, value string"
+    gold = spark.createDataFrame([(0, 0, 0, 3, "G"), (0, 0, 5, 6, "H"), (0, 0, 8, 9, "I")], s)
+    found = spark.createDataFrame([(0, 0, 0, 2, "a"), (0, 0, 5, 6, "b"), (0, 0, 7, 10, "c"), (0, 0, 1, 2, "d")], s)
+    got = sorted(r["value"] for r in dictionary.merge_with_gold(found, gold).collect())
+    assert got == ["G", "H", "c", "d"]
+
+
+def test_rules(sentence):
+    c = F.col("word")
+    low = {"low": X.matches(c, "^[a-z]+$"), "cap": X.matches(c, "^[A-Z]"), "dot": X.equals(c, ".")}
+    steps = (rules.Step("cap"), rules.Step("low", "+"), rules.Step("dot", "?"))
+    assert column(rules.rule(sentence, steps, low, "s", "x"), "x") == ["B-s"] + ["I-s"] * 4
+    assert column(rules.rule(sentence, steps[:2], low, "s", "x"), "x") == ["B-s", "I-s", "I-s", "I-s", "O"]
+    assert rules.rule_tags((rules.Step("a", "+"), rules.Step("a")), {"a": [1, 1, 1]}, 3) == []  # no backtracking
+    assert rules.rule_tags((rules.Step("a", "+"),), {"a": [0, 1, 1]}, 3, strict=True) == []
+    either = rules.Step(either=((rules.Step("cap"),), (rules.Step("low", "2"),)))
+    assert rules.rule_tags((either,), {"cap": [1, 0, 0, 0], "low": [0, 1, 1, 1]}, 4) == [(0, 1), (1, 3)]
+    with pytest.raises(ValueError):
+        rules.cardinality("0")
+
+
+MODEL = """#mdl#2#5
+#rdr#1/0/0
+14:u:word=%x[0,0],
+#qrk#3
+1:A,
+1:B,
+1:O,
+#qrk#5
+11:u:word=Ceci,
+10:u:word=est,
+9:u:word=un,
+11:u:word=test,
+8:u:word=.,
+0=0x1p+3
+4=0x1p+3
+7=0x1p+3
+9=0x1p+3
+14=0x1p+3
+"""
+
+
+def test_model(spark, sentence):
+    m = crf.read_model(MODEL)
+    obs = crf.observations(sentence, ["u:word=%x[0,0]"], ["word"])
+    assert [r["y"] for r in crf.label(obs, m).orderBy("pos").collect()] == ["A", "B", "B", "A", "O"]
+    back = crf.model_of(crf.dump(m, spark), list(m.tags), list(m.templates))
+    assert back.viterbi([["u:word=un"], ["u:word=?"]])[0] == [1, 0]  # unseen: the first tag
+    assert [r["y"] for r in crf.best_alone(obs, crf.dump(m, spark), list(m.tags)).orderBy("pos").collect()] == ["A", "B", "B", "A", "O"]
+    bi = crf.Model(("A", "B"), (), {"x": __import__("numpy").array([1.0, 0.9])}, {"b": __import__("numpy").array([[-5.0, 0.0], [0.0, -5.0]])})
+    assert bi.viterbi([["x", "b"]] * 3)[0] == [0, 1, 0]
+
+
+def test_template_edges(sentence):
+    got = values(sentence, a=crf.template("%x[-1,0]", ["word"]), b=crf.template("%x[-5,0]", ["word"]), c=crf.template("%x[1,0]", ["word"]), d=crf.template("u:%x[5,0]", ["word"]), e=crf.template('%t[0,0,"^\\u"]', ["word"]), f=crf.template('%m[0,0,"^\\a\\a"]', ["word"]))
+    assert got["a"][0] == "_x-1" and got["a"][1] == "Ceci"
+    assert got["b"][0] == "_x-#" and got["b"][1] == "_x-4"
+    assert got["c"][4] == "_x+1"
+    assert got["d"][4] == "u:_x+#"
+    assert got["e"] == ["true", "false", "false", "false", "false"]
+    assert got["f"] == ["Ce", "es", "un", "te", ""]
+
+
+XML = """<information><entries><before><entry name="word"/></before><after/></entries><features>{}</features></information>"""
+
+
+def test_enrichment(sentence):
+    x = XML.format('<nullary name="b" action="BOS"/><nullary name="e" action="eos"/><nullary name="hid" action="lower" display="no"/>'
+                   '<string name="same" action="equal" entry="hid">ceci</string><dictionary name="mw" action="multiword" appendice="-x">Ceci est\nun</dictionary>'
+                   '<trigger name="t"><nullary action="bos"/><nullary action="lower"/></trigger><trigger name="tb"><nullary action="bos"/><unary action="isupper">0</unary></trigger>'
+                   '<rule name="r"><dictionary action="multiword">Ceci est</dictionary><regexp action="check" card="+">^[a-z]</regexp></rule>'
+                   '<dictionary name="m" action="map" default="-">un\tune\ntest</dictionary>'
+                   '<find name="f" action="backward" return_entry="word"><unary action="isupper">0</unary></find>')
+    e = compile_xml.read_enrichment(x)
+    got = compile_xml.enrich(sentence, e)
+    assert e.visible() == ["word", "b", "e", "same", "mw", "t", "tb", "r", "m", "f"]
+    assert column(got, "b") == [1, 0, 0, 0, 0] and column(got, "e") == [0, 0, 0, 0, 1]
+    assert column(got, "same") == [1, 0, 0, 0, 0]
+    assert column(got, "mw") == ["B-x", "I-x", "B-x", "O", "O"]
+    assert column(got, "t") == ["ceci"] + ["_untriggered_"] * 4
+    assert column(got, "tb") == [1, 0, 0, 0, 0]
+    assert column(got, "r") == ["B-r", "I-r", "I-r", "I-r", "O"]
+    assert column(got, "m") == ["-", "-", "une", "", "-"]
+    assert column(got, "f") == ["#", "Ceci", "Ceci", "Ceci", "Ceci"]
+    assert "hid" not in compile_xml.visible(got, e).columns
+
+
+@pytest.mark.parametrize("bad", ['<nope name="x"/>', '<nullary name="x" action="bos"/><nullary name="x" action="eos"/>', '<boolean name="x" action="AND"><nullary action="bos"/><nullary action="eos"/></boolean>', '<nullary name="x" action="lower" entry="gone"/>'])
+def test_enrichment_errors(sentence, bad):
+    with pytest.raises(ValueError):
+        compile_xml.enrich(sentence, XML.format(bad))
