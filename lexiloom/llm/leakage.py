@@ -101,7 +101,7 @@ class Index:
     def search(self, ws: list[str], ids: np.ndarray) -> set[int]:
         """Items of which a document (its words, and their term numbers or -1) holds a whole run."""
         n, run = len(ws), self.run
-        if n < run:
+        if n < run or not self.items:
             return set()
         bound = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, self.most[ids], 0.0))])
         starts = np.arange(0, max(n - run, 0) + 1, run)

@@ -77,7 +77,7 @@ def unstable() -> str:
             odd.add(ch)
         elif unicodedata.combining(ch):
             seconds.add(ch)
-    # vowel signs and the like that may compose with what precedes them
+    seconds |= {chr(o) for o in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # vowels and finals of Hangul
     return "".join(sorted(odd | seconds | set(TO_LATIN)))
 
 
@@ -168,7 +168,12 @@ def _ordinary(seg: str) -> str:
 
 @lru_cache(200_000)
 def _segment(seg: str) -> str:
-    return _RUN.sub(lambda m: resolve(m.group())[0], _ordinary(seg))
+    for _ in range(4):  # a resolved letter may compose with a mark after it, and so on
+        out = unicodedata.normalize("NFC", _RUN.sub(lambda m: resolve(m.group())[0], _ordinary(seg)))
+        if out == seg:
+            break
+        seg = out
+    return seg
 
 
 def _spans(text: str) -> Iterator[tuple[int, int]]:

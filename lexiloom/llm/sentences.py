@@ -101,6 +101,8 @@ def _abbreviated(text: str, dot: int, after: str) -> bool:
     bare = re.sub(r"^.*['’«“„(\[]", "", word)
     if len(bare) == 1 and bare.isalpha() and bare.isupper():
         return True
+    if len(bare) == 1 and bare.isalpha() and re.match(r"\w\.", after):
+        return True  # the first half of an abbreviation of two letters
     if bare.lower() in BEFORE_NUMBERS:
         return bool(re.match(r"[\dIVXLC]", after))
     if _trie().ends(word, len(word)):
