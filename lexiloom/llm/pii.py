@@ -25,7 +25,7 @@ KINDS = ("email", "phone", "identity", "address", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Positions around a token whose features count; rounds of training; tokens a stretch holds at most before it is cut at a sentence's end.
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
-ROUNDS, STRETCH = 80, 160
+ROUNDS, STRETCH = 70, 160
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 # Words that name streets, titles, and institutions.
@@ -154,12 +154,15 @@ class Field:
         self.table = np.zeros((0, len(OFFSETS), len(LABELS)), np.float32)
         self.fresh: list[np.ndarray] = []
 
+    def trim(self, most: int = 300_000) -> None:
+        """Forgets the token types seen so far once there are too many; between batches only."""
+        if len(self.rows) > most:
+            self.rows.clear()
+            self.table, self.fresh = self.table[:0], []
+
     def ids(self, types: list[tuple[str, str]]) -> np.ndarray:
-        """Row numbers of token types in the table of their weights; the last row is the text's edge."""
+        """Row numbers of token types in the table of their weights."""
         rows = self.rows
-        if len(rows) > 400_000:
-            rows.clear()
-            self.table, self.fresh = self.table[:0], []
         out = np.empty(len(types), np.int64)
         for i, t in enumerate(types):
             r = rows.get(t)
@@ -168,13 +171,13 @@ class Field:
                 f = [self.features[a] for a in _attributes(*t) if a in self.features]
                 self.fresh.append(self.weights[:, f].sum(axis=1) if f else np.zeros(self.weights.shape[::2], np.float32))
             out[i] = r
-        if self.fresh:
-            self.table = np.concatenate([self.table, np.stack(self.fresh).astype(np.float32)])
-            self.fresh = []
         return out
 
     def emissions(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Label weights of every token of the concatenated stretches."""
+        if self.fresh:
+            self.table = np.concatenate([self.table, np.stack(self.fresh).astype(np.float32)])
+            self.fresh = []
         edge = self.weights[:, self.features["edge"]]
         n = len(ids)
         ends = np.cumsum(lens)
@@ -228,7 +231,7 @@ def _forbidden() -> np.ndarray:
 
 
 @lru_cache(2)
-def trained(seed: int = 7, copies: int = 10, rounds: int = ROUNDS) -> Field:
+def trained(seed: int = 7, copies: int = 7, rounds: int = ROUNDS) -> Field:
     """The field fitted to the labelled table by likelihood, with forward-backward in numpy over all rows at once."""
     rows = labelled(seed, copies)
     seqs, gold = [], []
@@ -264,6 +267,8 @@ def trained(seed: int = 7, copies: int = 10, rounds: int = ROUNDS) -> Field:
     ti_f, fi_f = ti[order], fi[order]
     f_first = np.flatnonzero(np.r_[True, fi_f[1:] != fi_f[:-1]])
     t_first = np.flatnonzero(np.r_[True, ti[1:] != ti[:-1]])
+    by_length = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))  # the rows alive at a step are then a prefix
+    seqs, gold = [seqs[i] for i in by_length], [gold[i] for i in by_length]
     n, top = len(seqs), max(map(len, seqs))
     lens = np.array([len(s) for s in seqs])
     ids = np.full((n, top), edge)
@@ -289,6 +294,7 @@ def trained(seed: int = 7, copies: int = 10, rounds: int = ROUNDS) -> Field:
     both = live[:, 1:]
     np.add.at(pairs, (y[:, :-1][both], y[:, 1:][both]), 1)
     pos = np.cumsum(live.ravel()).reshape(live.shape) - 1
+    alive = live.sum(axis=0)
     l2, rate = 5e-4, 0.25
     for _ in range(rounds):
         typew = np.zeros((no, nt, nl), np.float32)
@@ -304,20 +310,20 @@ def trained(seed: int = 7, copies: int = 10, rounds: int = ROUNDS) -> Field:
         em = np.exp(tr)
         alpha = np.zeros((n, top, nl), np.float32)
         scale = np.ones((n, top, 1), np.float32)
-        v = ee[:, 0] * np.exp(start + block0)
         for t in range(top):
-            if t:
-                v = np.where(live[:, t, None], (alpha[:, t - 1] @ em) * ee[:, t], alpha[:, t - 1])
-            scale[:, t] = np.where(live[:, t, None], v.sum(axis=1, keepdims=True) + 1e-30, 1)
-            alpha[:, t] = v / scale[:, t]
+            k = alive[t]
+            v = (alpha[:k, t - 1] @ em) * ee[:k, t] if t else ee[:, 0] * np.exp(start + block0)
+            scale[:k, t] = v.sum(axis=1, keepdims=True) + 1e-30
+            alpha[:k, t] = v / scale[:k, t]
         beta = np.ones((n, top, nl), np.float32)
         expm = np.zeros((nl, nl), np.float32)
         for t in range(top - 2, -1, -1):
-            v = np.where(live[:, t + 1, None], ee[:, t + 1] * beta[:, t + 1] / scale[:, t + 1], 0)
-            expm += em * (alpha[:, t].T @ v)
-            beta[:, t] = np.where(live[:, t + 1, None], v @ em.T, 1)
-        marg = alpha * beta
-        marg = (marg / np.maximum(marg.sum(axis=2, keepdims=True), 1e-30))[live]
+            k = alive[t + 1]
+            v = ee[:k, t + 1] * beta[:k, t + 1] / scale[:k, t + 1]
+            expm += em * (alpha[:k, t].T @ v)
+            beta[:k, t] = v @ em.T
+        marg = (alpha * beta)[live]
+        marg /= np.maximum(marg.sum(axis=1, keepdims=True), 1e-30)
         diff = goldhot - marg
         for k, (_flat, srt, first, who) in enumerate(near):
             g_type = np.zeros((nt, nl), np.float32)
@@ -471,6 +477,7 @@ def _checked(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, in
 def find(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int]]]:
     """[(kind, start, length)] of each text."""
     where, spans, ids, lens = [], [], [], []
+    field.trim()
     for i, t in enumerate(texts):
         if not t:
             continue

@@ -347,7 +347,7 @@ class Filler:
         d, u = self.d, lambda n: "".join(self.pick("QXZKTMP") for _ in range(n))
         s = self.pick([" ", " ", "-", ".", ""])
         forms = {
-            "nir": [self.pick(" .- ").join([self.pick("12"), d(2), d(2), d(2), d(3), d(3), d(2)]), f"{self.pick('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{self.pick('12')}{d(14)}", f"{self.pick('12')}{d(12)} {d(2)}", f"{self.pick('12')}-{d(2)}-{d(2)}-{d(2)}-{d(3)}-{d(3)}-{d(2)}", f"{d(2)} {d(6)} {u(1)} {d(3)}", f"{d(2)}/{d(8)}/{d(2)}"],
+            "nir": [self.pick("  .-").join([self.pick("12"), d(2), d(2), d(2), d(3), d(3), d(2)]), self.pick("  .-").join([self.pick("12"), d(2), d(2), d(2), d(3), d(3)]), f"{self.pick('12')}{d(12)}", f"{self.pick('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{self.pick('12')}{d(14)}", f"{self.pick('12')}{d(12)} {d(2)}", f"{self.pick('12')}-{d(2)}-{d(2)}-{d(2)}-{d(3)}-{d(3)}-{d(2)}", f"{d(2)} {d(6)} {u(1)} {d(3)}", f"{d(2)}/{d(8)}/{d(2)}"],
             "ssn": [self.pick(" .-").join([d(3), d(2), d(4)]), f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9), f"{u(2)} {d(2)} {d(2)} {d(2)} {u(1)}", f"{u(2)}{d(6)}{u(1)}"],
             "card": [d(12), self.pick(" .-").join([d(4), d(4), d(4)]), f"{u(1)}{d(5)}{u(2)}{d(1)}", f"{u(1)}{d(2)}{u(1)}{d(5)}", f"{u(1)}{d(8)}", f"{u(2)}{d(7)}", f"{d(4)}-{d(4)}-{d(4)}"],
             "pass": [f"{u(1)}{d(8)}", f"{d(2)} {u(2)} {d(5)}", f"{d(2)}{u(2)}{d(5)}", d(9), f"{u(2)}{d(7)}", f"{u(1)}{d(2)}{u(1)}{d(5)}"],
@@ -413,7 +413,8 @@ def labelled(seed: int = 7, copies: int = 14) -> list[tuple[str, list[tuple[str,
     out = []
     for lang, block in TEMPLATES.items():
         for line in block.strip("\n").split("\n"):
-            for _ in range(copies * (3 if lang == "*" else 1)):
+            holds = any(f"{{{k}" in line for k in ("phone", "id:", "addr", "email"))
+            for _ in range(copies * (3 if lang == "*" else 2 if holds else 1)):
                 code = f.pick(list(FIRST)) if lang == "*" else lang
                 text, spans, at = "", [], 0
                 for m in _SLOT.finditer(line):
@@ -428,7 +429,7 @@ def labelled(seed: int = 7, copies: int = 14) -> list[tuple[str, list[tuple[str,
                 out.append((text + line[at:], spans))
     # texts run on: pairs of rows stand in one paragraph, parted by a space or a line end
     rows = list(out)
-    for _ in range(len(rows) * 2 // 3):
+    for _ in range(len(rows) // 2):
         (a, sa), (b, sb) = f.pick(rows), f.pick(rows)
         gap = f.pick([" ", "\n", "\n ", " "])
         out.append((a + gap + b, sa + [(k, s + len(a) + len(gap), e + len(a) + len(gap)) for k, s, e in sb]))

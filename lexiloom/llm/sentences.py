@@ -34,6 +34,8 @@ NEVER_LAST = {
 }
 # Months after the ordinal of a day, lower case.
 MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember jahrhundert januar. leden tammikuuta"
+# Legal forms of firms; a number after one goes on with the sentence.
+FIRMS = frozenset("ltd inc corp co bros s.p.a s.r.l s.a s.l plc mfg".split())
 # Abbreviations that are words too and only count before a number.
 BEFORE_NUMBERS = frozenset("no nos n art fig vol cap s".split())
 TERMINATORS = ".!?…。．！？｡؟۔।॥‼⁉⁇⁈"
@@ -101,6 +103,8 @@ def _abbreviated(text: str, dot: int, after: str) -> bool:
     bare = re.sub(r"^.*['’«“„(\[]", "", word)
     if len(bare) == 1 and bare.isalpha() and bare.isupper():
         return True
+    if bare.lower() in FIRMS and after[:1].isdigit():
+        return True
     if len(bare) == 1 and bare.isalpha() and re.match(r"\w\.", after):
         return True  # the first half of an abbreviation of two letters
     if bare.lower() in BEFORE_NUMBERS:
