@@ -31,6 +31,14 @@ def session(app: str = "lexiloom", cpus: int | str = "*", **conf: str) -> SparkS
     return spark
 
 
+def findable(spark: SparkSession) -> None:
+    """Lets Python workers find this package even when they start elsewhere than in its folder."""
+    env, root = spark.sparkContext.environment, repo_root()
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
