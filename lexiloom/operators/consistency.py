@@ -26,9 +26,8 @@ def majority(found: DataFrame) -> DataFrame:
     return best.select("doc_id", "key", "n", "_b.value")
 
 
-def _places(tokens: DataFrame, known: DataFrame) -> DataFrame:
-    """Greedy leftmost-longest places of a document's own forms."""
-    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
+def _places(tokens: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """Greedy leftmost-longest places of a document's own forms, which have the given numbers of words."""
     w = Window.partitionBy("doc_id", "sent").orderBy("pos")
     t = tokens.select("doc_id", "sent", "pos", *[F.lead("word", i).over(w).alias(f"_w{i}") if i else F.col("word").alias("_w0") for i in range(max(lengths, default=1))])
     out = None
@@ -54,7 +53,8 @@ def spread(tokens: DataFrame, col: str, out: str, overriding: bool = True) -> Da
     """
     gold = decode_chunks(tokens, col)
     known = majority(forms(tokens, gold))
-    found = _places(tokens, known)
+    lengths = sorted(r["n"] for r in gold.select((F.col("ub") - F.col("lb")).cast("int").alias("n")).distinct().collect())
+    found = _places(tokens, known, lengths)
     g = gold.select(F.col("doc_id").alias("_d"), F.col("sent").alias("_s"), F.col("lb").alias("glb"), F.col("ub").alias("gub"))
     same = (F.col("doc_id") == F.col("_d")) & (F.col("sent") == F.col("_s"))
     if overriding:

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Weights a model may have at most, as every worker holds it whole.
+WEIGHTS = 2_000_000
+
 # Character classes of the pattern language, and how the JVM writes them.
 CLASSES = {"l": r"\p{Ll}", "u": r"\p{Lu}", "d": r"\p{Nd}", "p": r"\p{P}", "a": r"[\p{L}\p{N}]", "w": r"\w"}
 _MACRO = re.compile(r"%([xtmXTM])\[\s*(-?\d+)\s*,\s*(\d+)\s*(?:,\s*\"((?:[^\"\\]|\\.)*)\")?\s*\]")
@@ -179,15 +182,15 @@ def read_model(text: str) -> Model:
     return Model(tuple(tags), tuple(templates), uni, bi)
 
 
-def model_of(weights: DataFrame, tags: list[str], templates: list[str], limit: int = 5_000_000) -> Model:
+def model_of(weights: DataFrame, tags: list[str], templates: list[str], limit: int = WEIGHTS) -> Model:
     """A model from its weight table; refuses tables of more than `limit` rows, as it is held whole by every worker."""
-    n = weights.count()
-    if n > limit:
-        raise ValueError(f"{n} weights; at most {limit} fit a worker")
+    rows = weights.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} weights don't fit a worker")
     k, at = len(tags), {t: i for i, t in enumerate(tags)}
     uni: dict[str, np.ndarray] = {}
     bi: dict[str, np.ndarray] = {}
-    for r in weights.toLocalIterator():
+    for r in rows:
         if r["kind"] == "u":
             uni.setdefault(r["obs"], np.zeros(k))[at[r["y"]]] += r["w"]
         else:
@@ -264,9 +267,9 @@ def train(obs: DataFrame, gold: str, tags: list[str], templates: list[str], roun
 
         parts = s.groupBy("_shard").applyInPandas(_correct(model, at, bigram), schema)
         mixed = parts.groupBy("kind", "obs", "y_prev", "y").agg((F.sum("w") / shards).alias("w")).where("w <> 0")
-        rows = mixed.collect() if mixed.limit(2_000_001).count() <= 2_000_000 else None
-        if rows is None:
-            raise ValueError("more weights than a worker can hold")
+        rows = mixed.limit(WEIGHTS + 1).collect()
+        if len(rows) > WEIGHTS:
+            raise ValueError(f"more than {WEIGHTS} weights don't fit a worker")
         weights = spark.createDataFrame(rows, schema)
     s.unpersist()
     return weights

@@ -67,13 +67,13 @@ def mapped(tokens: DataFrame, mapping: DataFrame, out: str, word: str = "word",
     return tokens.join(m, tokens[word] == m["_k"], "left").withColumn(out, F.coalesce("_v", F.lit(default))).drop("_k", "_v")
 
 
-def candidates(tokens: DataFrame, lexicon: DataFrame, word: str = "word", nocase: bool = False) -> DataFrame:
+def candidates(tokens: DataFrame, lexicon: DataFrame, word: str = "word", nocase: bool = False, lengths: list[int] | None = None) -> DataFrame:
     """(doc_id, sent, pos, last, n, key and the lexicon's columns): every place at which an entry stands.
 
     The lengths that occur in the lexicon are looked up first (a handful of
-    numbers); each gives one lead() per further word over one shared window.
+    numbers) unless given; each gives one lead() per further word over one shared window.
     """
-    lengths = sorted(r["n"] for r in lexicon.select("n").distinct().collect())
+    lengths = sorted(lengths) if lengths is not None else sorted(r["n"] for r in lexicon.select("n").distinct().collect())
     w = Window.partitionBy("doc_id", "sent").orderBy("pos")
     c = F.lower(F.col(word)) if nocase else F.col(word)
     t = tokens.select("doc_id", "sent", "pos", c.alias("_w"), F.max("pos").over(Window.partitionBy("doc_id", "sent")).alias("last"))
@@ -92,14 +92,14 @@ def candidates(tokens: DataFrame, lexicon: DataFrame, word: str = "word", nocase
     return grams.join(lexicon, ["n", "key"])
 
 
-def longest_matches(tokens: DataFrame, lexicon: DataFrame, word: str = "word", nocase: bool = False, value: str | None = None, last_exception: bool = True) -> DataFrame:
+def longest_matches(tokens: DataFrame, lexicon: DataFrame, word: str = "word", nocase: bool = False, value: str | None = None, last_exception: bool = True, lengths: list[int] | None = None) -> DataFrame:
     """(doc_id, sent, lb, ub, value): greedy leftmost-longest matches that don't overlap, in token positions.
 
     With `last_exception`, a sentence's last token that is an entry by itself is
     a match even inside a longer one. Only sentences with candidates are
     gathered, and of those the candidates alone.
     """
-    c = candidates(tokens, lexicon, word, nocase)
+    c = candidates(tokens, lexicon, word, nocase, lengths)
     c = c.withColumn("_v", F.col(value).cast("string") if value else F.lit(None).cast("string"))
     best = c.groupBy("doc_id", "sent", "pos", "last").agg(F.max("n").alias("n"), F.min_by("_v", F.struct(-F.col("n"), F.col("_v"))).alias("_v"), F.min(F.when(F.col("n") == 1, F.coalesce("_v", F.lit("")))).alias("_one"))
     per = best.groupBy("doc_id", "sent", "last").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "_v", "_one"))).alias("c"))
@@ -112,9 +112,9 @@ def longest_matches(tokens: DataFrame, lexicon: DataFrame, word: str = "word", n
     return per.select("doc_id", "sent", F.explode(chosen).alias("m")).select("doc_id", "sent", "m.lb", "m.ub", "m.value")
 
 
-def multiword(tokens: DataFrame, lexicon: DataFrame, out: str, suffix: str = "", word: str = "word", nocase: bool = False, last_exception: bool = True) -> DataFrame:
+def multiword(tokens: DataFrame, lexicon: DataFrame, out: str, suffix: str = "", word: str = "word", nocase: bool = False, last_exception: bool = True, lengths: list[int] | None = None) -> DataFrame:
     """`tokens` with B/I/O of the greedy leftmost-longest matches of a multiword dictionary."""
-    m = longest_matches(tokens, lexicon, word, nocase, None, last_exception)
+    m = longest_matches(tokens, lexicon, word, nocase, None, last_exception, lengths)
     cells = m.select("doc_id", "sent", F.posexplode(F.expr("sequence(lb, ub - 1)")).alias("_i", "pos"))
     # a later match overwrites an earlier one's tail, which only the last-token rule brings about
     cells = cells.groupBy("doc_id", "sent", "pos").agg(F.min("_i").alias("_i"))

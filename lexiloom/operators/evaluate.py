@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,14 +23,14 @@ def exact(gold: DataFrame, guess: DataFrame) -> tuple[DataFrame, DataFrame, Data
     return g.join(s, key, "left_semi"), g.join(s, key, "left_anti").drop("_n"), s.join(g, key, "left_anti").drop("_n")
 
 
-def paired(gold: pd.DataFrame, guess: pd.DataFrame) -> list[tuple]:
-    """(kind, gold row or None, guess row or None) of one document's tags without exact pairs.
+def paired(gold: list[dict], guess: list[dict]) -> list[tuple]:
+    """(kind, gold tag or None, guessed tag or None) of one document's tags without exact pairs.
 
     Three passes in the order (lb, -ub, value), each one to one: same place and
     another type; same type and one common end; another type and one common end.
     What is left is silence or noise; tags that only overlap are both.
     """
-    order = lambda d: d.assign(_u=-d["ub"]).sort_values(["lb", "_u", "value"]).drop(columns="_u").to_dict("records")
+    order = lambda d: sorted(d, key=lambda t: (t["lb"], -t["ub"], t["value"]))
     left, right, out = order(gold), order(guess), []
 
     def one_end(a, b):
@@ -60,25 +62,28 @@ def pairs(gold: DataFrame, guess: DataFrame) -> DataFrame:
     gold, guess = (d.select("doc_id", F.col("lb").cast("int").alias("lb"), F.col("ub").cast("int").alias("ub"), F.coalesce("value", F.lit("")).alias("value")) for d in (gold, guess))
     hit, g, s = exact(gold, guess)
     kind = gold.schema["doc_id"].dataType.simpleString()
-
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for k, x, y in paired(a[cols], b[cols]):
-            rows.append((key[0], k, *((x["lb"], x["ub"], x["value"]) if x else (None,) * 3), *((y["lb"], y["ub"], y["value"]) if y else (None,) * 3)))
-        out = pd.DataFrame(rows, columns=["doc_id", "kind", "gold_lb", "gold_ub", "gold_value", "guess_lb", "guess_ub", "guess_value"])
-        return out.astype({c: "Int32" for c in ("gold_lb", "gold_ub", "guess_lb", "guess_ub")})
+    tag = F.collect_list(F.struct("lb", "ub", "value"))
+    both = g.groupBy("doc_id").agg(tag.alias("g")).join(s.groupBy("doc_id").agg(tag.alias("s")), "doc_id", "full_outer")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for d, a, b in zip(pdf["doc_id"], pdf["g"], pdf["s"], strict=True):
+                for k, x, y in paired([] if a is None else list(a), [] if b is None else list(b)):
+                    rows.append((d, k, *((x["lb"], x["ub"], x["value"]) if x else (None,) * 3), *((y["lb"], y["ub"], y["value"]) if y else (None,) * 3)))
+            out = pd.DataFrame(rows, columns=["doc_id", "kind", "gold_lb", "gold_ub", "gold_value", "guess_lb", "guess_ub", "guess_value"])
+            yield out.astype({c: "Int32" for c in ("gold_lb", "gold_ub", "guess_lb", "guess_ub")})
 
     schema = f"doc_id {kind}, kind string, gold_lb int, gold_ub int, gold_value string, guess_lb int, guess_ub int, guess_value string"
-    rest = g.groupBy("doc_id").cogroup(s.groupBy("doc_id")).applyInPandas(run, schema)
+    rest = both.mapInPandas(run, schema)
     ok = hit.select("doc_id", F.lit("correct").alias("kind"), *[F.col(c).alias(f"{p}_{c}") for p in ("gold", "guess") for c in ("lb", "ub", "value")])
     return ok.unionByName(rest)
 
 
 def counts(paired_: DataFrame) -> DataFrame:
     """(entity, kind, n) per tag value, and for `global`; a pair counts under its gold and its guessed value."""
-    e = paired_.select("kind", F.explode(F.array_distinct(F.array_compact(F.array("gold_value", "guess_value")))).alias("entity"))
-    per = e.groupBy("entity", "kind").agg(F.count("*").alias("n"))
-    return per.unionByName(paired_.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("global").alias("entity"), "kind", "n"))
+    own = F.array_distinct(F.array_compact(F.array("gold_value", "guess_value")))
+    return paired_.select("kind", F.explode(F.array_append(own, F.lit("global"))).alias("entity")).groupBy("entity", "kind").agg(F.count("*").alias("n"))
 
 
 def _share(a: Column, b: Column) -> Column:

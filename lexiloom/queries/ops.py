@@ -278,19 +278,19 @@ m as (select doc_id, sent, i, pos as lb, pos + n as ub, v, true as taken, pos +
 
 @query(f"with recursive {T}, {_ISLANDS}, {_FORMS}, {_PAIRS}, {_CAND} select doc_id, sent, cast(lb as integer) as lb, cast(ub as integer) as ub, v as value from m where taken")
 def lexicon_matches(spark, d):
-    return dictionary.longest_matches(tokens(spark, d), _pairs_lexicon(spark, d), value="mapped", last_exception=False)
+    return dictionary.longest_matches(tokens(spark, d), _pairs_lexicon(spark, d), value="mapped", last_exception=False, lengths=[1, 2, 3])
 
 
 @query(f"""with recursive {T}, {_ISLANDS}, {_FORMS}, {_PAIRS}, {_CAND}
 select t.doc_id, t.tok, case when m.lb is null then 'O' when m.lb = t.pos then 'B-x' else 'I-x' end as value
 from t left join (select * from m where taken) m on m.doc_id = t.doc_id and m.sent = t.sent and t.pos >= m.lb and t.pos < m.ub""")
 def dict_multiword(spark, d):
-    return dictionary.multiword(tokens(spark, d), _pairs_lexicon(spark, d), "value", "-x", last_exception=False).select("doc_id", "tok", "value")
+    return dictionary.multiword(tokens(spark, d), _pairs_lexicon(spark, d), "value", "-x", last_exception=False, lengths=[1, 2, 3]).select("doc_id", "tok", "value")
 
 
 @query()
 def dict_multiword_last(spark, d):
-    return dictionary.multiword(tokens(spark, d), _pairs_lexicon(spark, d), "value", "-x").select("doc_id", "tok", "value")
+    return dictionary.multiword(tokens(spark, d), _pairs_lexicon(spark, d), "value", "-x", lengths=[1, 2, 3]).select("doc_id", "tok", "value")
 
 
 @query(f"""with {T}, l as (select lower(trim(entry)) as key, dict, min(coalesce(priority, 2147483647)) as prio from sem_lexicon where entry is not null and trim(entry) <> '' group by 1, 2),

@@ -43,6 +43,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over enough partitions to keep every core busy with costly work on each row.
+
+    A table in fewer pieces than there are cores is small or badly cut: it is
+    dealt out once. One that is cut well stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 

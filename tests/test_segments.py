@@ -2,7 +2,6 @@
 
 import re
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,8 +132,7 @@ def test_evaluation(spark):
 
 
 def test_pairing_is_sequential():
-    g = pd.DataFrame([(0, 2, "A"), (0, 3, "A")], columns=["lb", "ub", "value"])
-    s = pd.DataFrame([(0, 4, "A"), (0, 5, "A")], columns=["lb", "ub", "value"])
+    g, s = ([{"lb": 0, "ub": u, "value": "A"} for u in us] for us in ((2, 3), (4, 5)))
     assert [k for k, *_ in evaluate.paired(g, s)] == ["boundary", "boundary"]
 
 
