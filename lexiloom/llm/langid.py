@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .mojibake import Repairer
 from .normalize import canonical
-from .sentences import units
+from .sentences import restored_units
 
 #: Longest context in bytes, bits a change of language costs, sample rows used at most.
 ORDER, SWITCH_BITS, SAMPLE_ROWS = 4, 50.0, 5_000
@@ -162,33 +163,34 @@ def _letters(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def segments(docs: DataFrame, samples: tuple[tuple[str, str], ...], doc: str = "doc_id", text: str = "content", lang: str = "lang") -> DataFrame:
+def segments(docs: DataFrame, samples: tuple[tuple[str, str], ...], doc: str = "doc_id", text: str = "content", lang: str = "lang", order: str | None = None) -> DataFrame:
     """(doc_id, label, n_runs, s, l, lang, confidence): each document's runs of units in one language.
 
     Units in the wrong encoding or in look-alike letters are read in their
     restored form. Units without letters join the run before them. Null, empty
-    and letterless texts give one row with null `lang` and confidence 0. No
-    shuffle; the sample texts that travel with the tasks are bounded.
+    and letterless texts give one row with null `lang` and confidence 0. Of a
+    document sent several times the row last by `order` counts. Texts are read
+    where they are: only the runs are shuffled. The sample texts that travel with
+    the tasks are bounded.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in docs.select(doc, lang).schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = trees_of(samples)
         repair = Repairer(tuple(t for _, t in samples))
         for b in batches:
-            texts = b.column(2).to_pylist()
-            spans = [units(t) for t in texts]
+            texts = b.column(3).to_pylist()
+            spans = [restored_units(t, repair) for t in texts]
             flat = [canonical(repair.piece(t[s : s + n])[0]) for t, u in zip(texts, spans, strict=True) for s, n in u]
             worth = [_letters(t) for t in flat]
             seen = {t: i for i, t in enumerate(dict.fromkeys(t for t, w in zip(flat, worth, strict=True) if w))}
             scores = trees.code_lengths(list(seen)) if seen else np.zeros((0, len(trees.langs)))
-            rows, i = [], 0
+            rows, i = [[] for _ in texts], 0
             for row, (t, u) in enumerate(zip(texts, spans, strict=True)):
                 ids = range(i, i + len(u))
                 i += len(u)
                 real = [(j, x) for j, x in zip(ids, u, strict=True) if worth[j]]
                 if not real:
-                    rows.append((row, 1, 0, len(t or ""), None, 0.0))
+                    rows[row].append({"n_runs": 1, "s": 0, "l": len(t or ""), "lang": None, "confidence": 0.0})
                     continue
                 bits = scores[[seen[flat[j]] for j, _ in real]]
                 # the items of a list share the language of the line that introduces it
@@ -200,13 +202,15 @@ def segments(docs: DataFrame, samples: tuple[tuple[str, str], ...], doc: str = "
                 for a, z in zip(cuts, cuts[1:], strict=False):
                     s = 0 if a == 0 else real[a][1][0]
                     end = real[z][1][0] if z < len(path) else len(t)
-                    rows.append((row, len(cuts) - 1, s, end - s, trees.langs[path[a]], confidence(bits[a:z].sum(axis=0), path[a])))
-            take = pa.array([r[0] for r in rows], pa.int64())
-            cols = [pa.array([r[q] for r in rows], ty) for q, ty in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.string()), (5, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *cols], names=["doc_id", "label", "n_runs", "s", "l", "lang", "confidence"])
-
-    picked = docs.select(F.col(doc).alias("doc_id"), F.col(lang).cast("string").alias("label"), F.col(text).cast("string").alias("_t"))
-    return picked.mapInArrow(run, f"doc_id {kinds[doc]}, label string, n_runs int, s int, l int, lang string, confidence double")
+                    rows[row].append({"n_runs": len(cuts) - 1, "s": s, "l": end - s, "lang": trees.langs[path[a]], "confidence": confidence(bits[a:z].sum(axis=0), path[a])})
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, runs)], names=["doc_id", "_o", "label", "runs"])
+
+    picked = docs.select(F.col(doc).alias("doc_id"), (F.col(order) if order else F.lit(0)).alias("_o"), F.col(lang).cast("string").alias("label"), F.col(text).cast("string").alias("_t")).where("doc_id is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
+    runs = pa.list_(pa.struct([("n_runs", pa.int32()), ("s", pa.int32()), ("l", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+    found = spread(picked).mapInArrow(run, f"doc_id {kinds['doc_id']}, _o {kinds['_o']}, label string, runs array<struct<n_runs:int,s:int,l:int,lang:string,confidence:double>>")
+    last = found.groupBy("doc_id").agg(F.max(F.struct("_o", "label", "runs")).alias("_r")).select("doc_id", "_r.label", F.explode("_r.runs").alias("x"))
+    return last.select("doc_id", "label", "x.*")
 
 
 def label_column(label: str):

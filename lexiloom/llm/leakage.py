@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 #: Words a passage shares with an item, at least, in the item's order.
 RUN = 12
 K1, B = 1.2, 0.75
@@ -156,7 +158,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
     rows = items.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t")
     kind = docs.select(doc).schema[0].dataType.simpleString()
     texts = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t")).where("doc_id is not null and _t is not null")
-    schema = f"doc_id {kind}, item_id bigint"
+    texts, schema = spread(texts), f"doc_id {kind}, item_id bigint"
     out, block = None, []
 
     def one(part: list) -> DataFrame:

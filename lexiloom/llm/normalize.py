@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import spread
+
 # Letters of other scripts drawn like Latin ones.
 CYRILLIC = dict(zip("асеорхуіјѕһԁԛԝӏАВСЕНІЈКМОРЅТХУԚԜ", "aceopxyijshdqwlABCEHIJKMOPSTXYQW", strict=True))
 GREEK = dict(zip("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovABEZHIKMNOPTYX", strict=True))
@@ -67,7 +69,7 @@ def folded(ch: str) -> str:
 def unstable() -> str:
     """The characters that may not stand in normalised text, or only depending on their neighbours."""
     seconds = set()
-    odd = set(INVISIBLE + HYPHENS + SPACES + SELECTORS)
+    odd = set(INVISIBLE + HYPHENS + SPACES + SELECTORS + "\u0e4d")
     for o in (*range(0xA0, 0x3400), *range(0xA4D0, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x12000), *range(0x1D100, 0x1D800), *range(0x1F100, 0x1F200), *range(0x2F800, 0x2FA20)):
         ch = chr(o)
         d = unicodedata.decomposition(ch)
@@ -157,7 +159,12 @@ def resolve(run: str) -> tuple[str, str]:
     return run, "one" if sure else "ask"
 
 
+#: Sara am typed as two signs, a tone mark between them or not.
+_SARA_AM = re.compile("\u0e4d([\u0e48-\u0e4b]?)\u0e32")
+
+
 def _ordinary(seg: str) -> str:
+    seg = _SARA_AM.sub("\\1\u0e33", seg)
     out = "".join(folded(c) for c in _strip(seg))
     for h in HYPHENS:
         out = out.replace(h, "-")
@@ -221,7 +228,7 @@ def judge(word: str) -> str:
         return "plain"
     verdict = "plain"
     shown = _strip(word)
-    if shown != word or unicodedata.normalize("NFC", word) != word or any(h in word for h in HYPHENS + SPACES):
+    if shown != word or _SARA_AM.search(word) or unicodedata.normalize("NFC", word) != word or any(h in word for h in HYPHENS + SPACES):
         return "variant"
     for c in word:
         if folded(c) != c:
@@ -312,7 +319,7 @@ def look_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "content", orde
     """
     src = docs.select(F.col(doc).alias("doc_id"), F.col(order).alias("_o"), F.col(text).cast("string").alias("_t")).where("doc_id is not null")
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    d = src.mapInArrow(_digests, f"doc_id {kinds['doc_id']}, _o {kinds['_o']}, look binary, raw binary")
+    d = spread(src).mapInArrow(_digests, f"doc_id {kinds['doc_id']}, _o {kinds['_o']}, look binary, raw binary")
     d = d.groupBy("doc_id").agg(F.max(F.struct("_o", "look", "raw")).alias("_r")).select("doc_id", "_r.look", "_r.raw").where("look is not null")
     forms = d.select("look", "raw").distinct()
     several = forms.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..runtime import checkpointed
+from ..runtime import checkpointed, spread
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -192,7 +192,7 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int
     """
     kind = docs.select(doc).schema[0].dataType.simpleString()
     once = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t")).where("doc_id is not null and _t is not null")
-    pieces = once.mapInArrow(_counter(tokenizer, capacity), f"doc_id {kind}, piece int, start bigint, tokens int")
+    pieces = spread(once).mapInArrow(_counter(tokenizer, capacity), f"doc_id {kind}, piece int, start bigint, tokens int")
     pieces = checkpointed(pieces.groupBy("doc_id", "piece").agg(F.max(F.struct("tokens", "start")).alias("_r")).select("doc_id", "piece", "_r.start", "_r.tokens").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")))
     spark = docs.sparkSession
     per = pieces.groupBy("tokens", "bucket").agg(F.count("*").alias("n"))

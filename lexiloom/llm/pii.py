@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .normalize import canonical
 from .pii_table import FIRST, TEMPLATES, labelled
 
@@ -555,7 +556,7 @@ def places(docs: DataFrame, doc: str = "doc_id", text: str = "text", field: Fiel
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ks), pa.array(ss, pa.int32()), pa.array(ns, pa.int32())], names=["doc_id", "kind", "s", "l"])
 
-    return docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t")).mapInArrow(run, f"doc_id {kind}, kind string, s int, l int")
+    return spread(docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t"))).mapInArrow(run, f"doc_id {kind}, kind string, s int, l int")
 
 
 def redacted(docs: DataFrame, doc: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
@@ -570,4 +571,4 @@ def redacted(docs: DataFrame, doc: str = "doc_id", text: str = "text", field: Fi
             out = [masked(t, found) for t, found in zip(texts, find(texts, f), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t")).mapInArrow(run, f"doc_id {kind}, text string")
+    return spread(docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t"))).mapInArrow(run, f"doc_id {kind}, text string")

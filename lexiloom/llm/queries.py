@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import latest, table
+from ..runtime import table
 from . import langid, leakage, mojibake, normalize, packing, pii, sentences
 
 
@@ -19,19 +19,14 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalized(words, "word", "form").groupBy("form").agg(F.count("*").alias("spellings"))
 
 
-def _docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    """The documents with content, one row each: the one loaded last."""
-    return latest(table(spark, d, "sem_documents"), ["doc_id"], "loaded_at", ["doc_id", *cols]).where("content is not null and content <> ''")
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    segmented = table(spark, d, "sem_segmentations").select("doc_id").distinct()
-    return sentences.sentence_units(_docs(spark, d, "content").join(segmented, "doc_id", "left_semi"))
+    samples = mojibake.samples_of(table(spark, d, "lang_samples"))
+    return sentences.sentence_units(table(spark, d, "sem_documents"), order="loaded_at", only=table(spark, d, "sem_segmentations"), samples=samples)
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     samples = langid.samples_of(table(spark, d, "lang_samples"))
-    return langid.segments(_docs(spark, d, "content", "lang"), samples)
+    return langid.segments(table(spark, d, "sem_documents"), samples, order="loaded_at").where("l > 0")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +39,7 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def _restored(spark: SparkSession, d: str) -> DataFrame:
     samples = mojibake.samples_of(table(spark, d, "lang_samples"))
-    return mojibake.restored(_docs(spark, d, "content"), samples)
+    return mojibake.restored(table(spark, d, "sem_documents"), samples, order="loaded_at")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

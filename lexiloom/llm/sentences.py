@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mojibake import _utf8
+from ..runtime import spread
+from .mojibake import Repairer, _utf8
 from .normalize import INVISIBLE, canonical, char_class
 
 # Abbreviations that don't end a sentence, lower case, without the last full stop.
@@ -294,27 +295,60 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return [(s, e - s) for lo, hi in _blocks(text) for s, e in _block_units(text, lo, hi)]
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys, s, n = [], [], []
-        for k, t in enumerate(b.column(1).to_pylist()):
-            for a, c in units(t):
-                keys.append(k)
-                s.append(a)
-                n.append(c)
-            if len(keys) > 50_000:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys)), pa.array(s, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "s", "l"])
-                keys, s, n = [], [], []
-        if keys:
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys)), pa.array(s, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "s", "l"])
-
-
-def sentence_units(docs: DataFrame, doc: str = "doc_id", text: str = "content") -> DataFrame:
-    """(doc_id, s, l) of every sentence unit; one row per document id is expected.
-
-    Null, empty and blank texts give no unit. Units don't overlap and hold every
-    non-space character. No shuffle: each document is read by itself.
+def restored_units(text: str | None, repair: Repairer) -> list[tuple[int, int]]:
+    """The units of a text, found in its restored form where it is garbled, placed in the text as it is."""
+    if not text:
+        return []
+    clean, at = repair.aligned(text)
+    if clean == text:
+        return units(text)
+    out: list[list[int]] = []
+    for s, n in units(clean):
+        lo, hi = at[s], at[s + n]
+        if out and text[out[-1][1] : lo].strip():  # what was restored to a space belongs to the unit before
+            out[-1][1] = lo
+        out.append([lo, hi])
+    if out and text[out[-1][1] :].strip():
+        out[-1][1] = len(text)
+    if out and text[: out[0][0]].strip():
+        out[0][0] = 0
+    fitted = []
+    for lo, hi in out:
+        part = text[lo:hi]
+        lead = len(part) - len(part.lstrip())
+        if part.strip():
+            fitted.append((lo + lead, len(part.strip())))
+    return fitted
+
+
+def _run(samples: tuple[str, ...]):
+    pair = pa.list_(pa.struct([("s", pa.int32()), ("l", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repair = Repairer(samples) if samples else None
+        for b in batches:
+            found = [[{"s": s, "l": n} for s, n in (restored_units(t, repair) if repair else units(t))] for t in b.column(2).to_pylist()]
+            yield batch(b, found)
+
+    def batch(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pair)], names=["doc_id", "_o", "units"])
+
+    return run
+
+
+def sentence_units(docs: DataFrame, doc: str = "doc_id", text: str = "content", order: str | None = None, only: DataFrame | None = None, samples: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, s, l) of every sentence unit of each document.
+
+    With clean sample texts, units of garbled texts are found in their restored form.
+    Of a document sent several times the row last by `order` counts; with `only`,
+    a table of doc_ids, other documents give nothing. Null, empty and blank
+    texts give no unit. Units don't overlap and hold every non-space character.
+    Texts are read where they are: only the places of units are shuffled.
     """
-    kind = docs.select(doc).schema[0].dataType.simpleString()
-    picked = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t"))
-    return picked.mapInArrow(_run, f"doc_id {kind}, s int, l int")
+    picked = docs.select(F.col(doc).alias("doc_id"), (F.col(order) if order else F.lit(0)).alias("_o"), F.col(text).cast("string").alias("_t")).where("doc_id is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
+    rows = spread(picked).mapInArrow(_run(samples), f"doc_id {kinds['doc_id']}, _o {kinds['_o']}, units array<struct<s:int,l:int>>")
+    last = rows.groupBy("doc_id").agg(F.max(F.struct("_o", "units")).alias("_r")).select("doc_id", "_r.units")
+    if only is not None:
+        last = last.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    return last.select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.s", "u.l")
