@@ -113,7 +113,7 @@ def _back(fmt: str, reader):
 
 _BACK = f"""with {T}, {D}, {_ISLANDS}, k as (select c.value, b.lb, e.ub from chunks c join t b on b.doc_id = c.doc_id and b.sent = c.sent and b.pos = c.lb join t e on e.doc_id = c.doc_id and e.sent = c.sent and e.pos + 1 = c.ub where c.doc_id in (select doc_id from d))
 select value, count(*) as tags, cast(sum(lb) as bigint) as places, cast(sum(ub) as bigint) as ends from k group by value"""
-for _fmt, _reader in (("json", readers.json_documents), ("sem_xml", readers.xml_documents), ("gate", readers.gate_documents)):
+for _fmt, _reader in (("json", readers.json_documents), ("xml", readers.xml_documents), ("gate", readers.gate_documents)):
     QUERIES[f"read_{_fmt}"] = _back(_fmt, _reader)
     ORACLE[f"read_{_fmt}"] = _BACK.replace("k as (select c.value", "k9 as (select c.value").replace("from k group by value", "from k9 group by value")
 

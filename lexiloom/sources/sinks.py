@@ -222,8 +222,8 @@ def as_tei_reden(row) -> str:
 
 
 #: Exporters of bundled rows by name; add to it to extend.
-EXPORTERS: dict[str, Callable] = {"json": as_json, "sem_xml": as_xml, "gate": as_gate, "html": as_html, "html_inline": as_html_inline, "text": as_text, "tei_analec": as_tei_analec, "tei_np": as_tei_np, "tei_reden": as_tei_reden}
-EXTENSIONS = {"brat": "ann", "conll": "conll", "gate": "gate.xml", "html": "html", "html_inline": "html", "json": "json", "sem_xml": "sem.xml", "text": "txt", "tei_analec": "analec.tei.xml", "tei_np": "tei.xml", "tei_reden": "reden.tei.xml"}
+EXPORTERS: dict[str, Callable] = {"json": as_json, "xml": as_xml, "gate": as_gate, "html": as_html, "html_inline": as_html_inline, "text": as_text, "tei_analec": as_tei_analec, "tei_np": as_tei_np, "tei_reden": as_tei_reden}
+EXTENSIONS = {"brat": "ann", "conll": "conll", "gate": "gate.xml", "html": "html", "html_inline": "html", "json": "json", "xml": "layers.xml", "text": "txt", "tei_analec": "analec.tei.xml", "tei_np": "tei.xml", "tei_reden": "reden.tei.xml"}
 
 
 def get_exporter(name: str) -> Callable:
