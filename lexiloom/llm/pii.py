@@ -475,8 +475,25 @@ def _checked(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, in
     return sorted(taken, key=lambda x: x[1])
 
 
+#: Characters looked at together; bounds what a worker holds of weights and paths.
+TOGETHER = 1_500_000
+
+
 def find(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int]]]:
     """[(kind, start, length)] of each text."""
+    out: list[list[tuple[str, int, int]]] = []
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= TOGETHER:
+            out += _find(part, field)
+            part, size = [], 0
+    return out + (_find(part, field) if part else [])
+
+
+def _find(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int]]]:
     where, spans, ids, lens = [], [], [], []
     field.trim()
     for i, t in enumerate(texts):
