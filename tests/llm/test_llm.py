@@ -55,7 +55,7 @@ def split(text):
 
 
 @pytest.mark.parametrize("parts", [
-    ["M. Dupont est là.", "Il dort !"], ["Voir p. 71 et l'art. 5 (cf. p. 2).", "Fin."], ["« Qui paiera ? », a dit Anne.", "Rien."], ["“Where are the keys!” said the board.", "In 1990, it closed."],
+    ["M. Durand est là.", "Il dort !"], ["Voir p. 71 et l'art. 5 (cf. p. 2).", "Fin."], ["« Qui paiera ? », a dit Anne.", "Rien."], ["“Where are the keys!” said the board.", "In 1990, it closed."],
     ["Le Dr. A. Petit est né en 1944.", "Il paie 12,5 % etc.", "Oui ?!"], ["Am 22. März kam Herr Dr. Wolf z. B. in Bonn an.", "Die Linie 17.", "Ende."], ["Il a vu... puis il part."], ["Un lot de 5 tuiles...", "Le maire vient."],
     ["“谁来付钱？”他问道，然后走了。", "第二句！"], ["「眠らない。」と言い、公開した。", "次の文。"], ["यह एक वाक्य है।", "दूसरा डॉ. राव का है।"], ["عاد الرجل.", "ثم ذهب؟"], ["Дом на ул. Мира.", "См. стр. 5."], ["He came at 1:30 a.m.", "The end."],
 ])
