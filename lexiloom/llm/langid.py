@@ -180,7 +180,7 @@ def segments(docs: DataFrame, samples: tuple[tuple[str, str], ...], doc: str = "
         for b in batches:
             texts = b.column(3).to_pylist()
             spans = [restored_units(t, repair) for t in texts]
-            flat = [canonical(repair.piece(t[s : s + n])[0]) for t, u in zip(texts, spans, strict=True) for s, n in u]
+            flat = [canonical(shown) for u in spans for _, _, shown in u]
             worth = [_letters(t) for t in flat]
             seen = {t: i for i, t in enumerate(dict.fromkeys(t for t, w in zip(flat, worth, strict=True) if w))}
             scores = trees.code_lengths(list(seen)) if seen else np.zeros((0, len(trees.langs)))

@@ -28,8 +28,8 @@ from ..runtime import checkpointed, spread
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Pieces from this share of the capacity on are large; groups of large pieces; buckets that ranks are counted in.
-LARGE, GROUPS, BUCKETS = 1 / 8, 48, 256
+#: Pieces from this share of the capacity on are large; groups of large pieces; pieces a bucket holds in which ranks are counted.
+LARGE, GROUPS, PER_BUCKET = 1 / 8, 48, 200_000
 # Fixed value: how byte-level tokenizers of this family cut text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -193,7 +193,10 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int
     kind = docs.select(doc).schema[0].dataType.simpleString()
     once = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t")).where("doc_id is not null and _t is not null")
     pieces = spread(once).mapInArrow(_counter(tokenizer, capacity), f"doc_id {kind}, piece int, start bigint, tokens int")
-    pieces = checkpointed(pieces.groupBy("doc_id", "piece").agg(F.max(F.struct("tokens", "start")).alias("_r")).select("doc_id", "piece", "_r.start", "_r.tokens").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")))
+    pieces = checkpointed(pieces.groupBy("doc_id", "piece").agg(F.max(F.struct("tokens", "start")).alias("_r")).select("doc_id", "piece", "_r.start", "_r.tokens"))
+    # ranks are counted in buckets of some hundred thousand pieces, however many have one length
+    buckets = max(16, min(65_536, pieces.count() // PER_BUCKET + 1))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     spark = docs.sparkSession
     per = pieces.groupBy("tokens", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["tokens"]: r["n"] for r in per.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
@@ -202,8 +205,8 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int
     table = spark.createDataFrame([tuple(map(int, r)) for r in runs], schema).groupBy(F.col("length").cast("int").alias("tokens")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "first", "each"))).alias("runs"))
     before = per.select("tokens", "bucket", (F.sum("n").over(W.Window.partitionBy("tokens").orderBy("bucket")) - F.col("n")).alias("before"))
     ranked = pieces.withColumn("_k", F.row_number().over(W.Window.partitionBy("tokens", "bucket").orderBy("doc_id", "piece")) - 1)
-    # both sides are bounded by the capacity (times the buckets), so they are broadcast
-    ranked = ranked.join(F.broadcast(before), ["tokens", "bucket"]).withColumn("_rank", F.col("_k") + F.col("before"))
+    # the plan has one row a length and is broadcast; the offsets have one a length and bucket and are while that is bounded
+    ranked = ranked.join(F.broadcast(before) if (capacity + 1) * buckets <= 500_000 else before, ["tokens", "bucket"]).withColumn("_rank", F.col("_k") + F.col("before"))
     placed = ranked.join(F.broadcast(table), "tokens").withColumn("_run", F.expr("filter(runs, r -> r.lo <= _rank and _rank < r.hi)[0]"))
     container = F.col("_run.first") + F.expr("(_rank - _run.lo) div _run.each")
     return placed.select(container.alias("container"), "doc_id", "piece", "start", "tokens")

@@ -295,29 +295,28 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return [(s, e - s) for lo, hi in _blocks(text) for s, e in _block_units(text, lo, hi)]
 
 
-def restored_units(text: str | None, repair: Repairer) -> list[tuple[int, int]]:
-    """The units of a text, found in its restored form where it is garbled, placed in the text as it is."""
+def restored_units(text: str | None, repair: Repairer) -> list[tuple[int, int, str]]:
+    """(start, length, restored text) of the units of a text, found in its restored form where it is garbled, placed in the text as it is."""
     if not text:
         return []
     clean, at = repair.aligned(text)
-    if clean == text:
-        return units(text)
-    out: list[list[int]] = []
+    if at is None:
+        return [(s, n, text[s : s + n]) for s, n in units(text)]
+    out: list[list] = []
     for s, n in units(clean):
         lo, hi = at[s], at[s + n]
         if out and text[out[-1][1] : lo].strip():  # what was restored to a space belongs to the unit before
             out[-1][1] = lo
-        out.append([lo, hi])
+        out.append([lo, hi, clean[s : s + n]])
     if out and text[out[-1][1] :].strip():
         out[-1][1] = len(text)
     if out and text[: out[0][0]].strip():
         out[0][0] = 0
     fitted = []
-    for lo, hi in out:
+    for lo, hi, shown in out:
         part = text[lo:hi]
-        lead = len(part) - len(part.lstrip())
         if part.strip():
-            fitted.append((lo + lead, len(part.strip())))
+            fitted.append((lo + len(part) - len(part.lstrip()), len(part.strip()), shown))
     return fitted
 
 
@@ -327,7 +326,7 @@ def _run(samples: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = Repairer(samples) if samples else None
         for b in batches:
-            found = [[{"s": s, "l": n} for s, n in (restored_units(t, repair) if repair else units(t))] for t in b.column(2).to_pylist()]
+            found = [[{"s": x[0], "l": x[1]} for x in (restored_units(t, repair) if repair else units(t))] for t in b.column(2).to_pylist()]
             yield batch(b, found)
 
     def batch(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
