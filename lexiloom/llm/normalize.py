@@ -32,6 +32,7 @@ RUSSIAN = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 
 TO_LATIN = CYRILLIC | GREEK
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items() if k.lower() in RUSSIAN}
+TO_GREEK = {v: k for k, v in GREEK.items()}
 
 
 def script(ch: str) -> str:
@@ -103,6 +104,22 @@ def unstable_re() -> re.Pattern:
     return re.compile(f"[{char_class(unstable())}]")
 
 
+# Letters of Latin beside letters of Cyrillic or Greek, modifier letters between them or not.
+_L, _CG, _MODIFIERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ", "\u0370-\u052f\u1f00-\u1fff", "\u02b0-\u02ff"
+MIXED = f"[{_L}](?=[{_MODIFIERS}]*[{_CG}])|[{_CG}](?=[{_MODIFIERS}]*[{_L}])"
+_OTHER = re.compile(f"[{_CG}]")
+
+
+@lru_cache(1)
+def unstable_or_mixed_re() -> re.Pattern:
+    return re.compile(f"[{char_class(unstable())}]|{MIXED}")
+
+
+def gate(text: str) -> re.Pattern:
+    """What finds the places of `text` that may need another spelling; only text with Cyrillic or Greek can mix scripts."""
+    return unstable_or_mixed_re() if _OTHER.search(text) else unstable_re()
+
+
 _RUN = re.compile(r"[^\W\d_]+")
 #: Letters of scripts whose shapes join, so that a joiner may change how they look.
 _JOINING = re.compile("[ؠ-ݏߊ-ߪࡀ-ࡘࢠ-ࣇᠠ-ᢪ]")
@@ -153,8 +170,13 @@ def resolve(run: str) -> tuple[str, str]:
     if len(kinds) > 1:
         if "C" in sure and "L" not in sure and "G" not in sure:
             return unicodedata.normalize("NFC", "".join(TO_CYRILLIC.get(c, c) if script(c) == "L" else c for c in bare)), "mixed"
-        if "C" in sure or "G" in sure:
-            return run, "mixed"
+        if "G" in sure and "C" not in sure and sum(script(c) == "G" and c not in TO_LATIN for c in bare) > 1:
+            # one letter among Latin ones is a sign, as in units; several make a Greek word
+            greek = [c if script(c) not in ("L", "C") else TO_GREEK.get(CYRILLIC.get(c, c)) for c in bare]
+            if None not in greek:
+                return unicodedata.normalize("NFC", "".join(greek)), "mixed"
+        if "C" in sure or "G" in sure:  # scripts that really stand side by side
+            return run, "mixed" if any(c in TO_LATIN for c in bare) else "one"
         return unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in bare)), "mixed"
     return run, "one" if sure else "ask"
 
@@ -183,10 +205,10 @@ def _segment(seg: str) -> str:
     return seg
 
 
-def _spans(text: str) -> Iterator[tuple[int, int]]:
+def _spans(text: str, places: re.Pattern) -> Iterator[tuple[int, int]]:
     """The unstable segments with their boundary context: whole runs of letters, marks and joiners."""
     end, n = 0, len(text)
-    for m in unstable_re().finditer(text):
+    for m in places.finditer(text):
         i = m.start()
         if i < end:
             continue
@@ -204,10 +226,10 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
 
 def canonical(text: str | None) -> str | None:
     """`text` in composed letters of ordinary width, one script a word, nothing invisible."""
-    if text is None or not unstable_re().search(text):
+    if text is None or not (places := gate(text)).search(text):
         return text
     out, at = [], 0
-    for lo, hi in _spans(text):
+    for lo, hi in _spans(text, places):
         out += text[at:lo], _segment(text[lo:hi])
         at = hi
     out.append(text[at:])
@@ -224,7 +246,7 @@ def look(text: str) -> str:
 
 def judge(word: str) -> str:
     """`plain`, `variant`, or `ask` where the script of the neighbouring words decides."""
-    if not unstable_re().search(word):
+    if not gate(word).search(word):
         return "plain"
     verdict = "plain"
     shown = _strip(word)
@@ -281,21 +303,28 @@ def variant_words(tokens: DataFrame, doc: str = "doc_id", tok: str = "tok", sent
     Words without unstable characters are passed by in the JVM. The rest is
     judged word by word; only for words all of whose letters exist in two
     scripts is the sentence's other vocabulary counted, one row a sentence.
+    A longer Latin word among Cyrillic ones may also be a name: it is left alone
+    if it occurs in Latin sentences and its Cyrillic twin in no Cyrillic one.
     Null words, documents and positions are left out.
     """
     t = tokens.select(F.col(doc).alias("doc_id"), F.col(tok).alias("tok"), F.coalesce(F.col(sent), F.lit(-1)).alias("sent"), F.col(word).cast("string").alias("word"))
     t = t.where("doc_id is not null and tok is not null and word is not null")
     # most words consist of characters that are stable in any company: one small class settles them
-    odd = F.when(F.col("word").rlike(f"^[{SETTLED}]*$"), False).otherwise(F.col("word").rlike(f"[{char_class(unstable())}]"))
-    latin = F.col("word").rlike(f"^[{_LATIN_ASK}]{{1,3}}\\.?$")
+    odd = F.when(F.col("word").rlike(f"^[{SETTLED}]*$"), False).otherwise(F.col("word").rlike(f"[{char_class(unstable())}]|{MIXED}"))
+    latin = F.col("word").rlike(f"^[{_LATIN_ASK}]+\\.?$")
+    twin = F.translate(F.rtrim(F.col("word"), F.lit(".")), _LATIN_ASK, "".join(TO_CYRILLIC[c] for c in _LATIN_ASK))
+    long = F.length(twin) > 3
     doubtful = t.where(odd | latin)
-    doubtful = doubtful.select("doc_id", "tok", "sent", F.when(latin, "ask_latin").otherwise(judge_udf("word")).alias("verdict")).where("verdict <> 'plain'")
+    doubtful = doubtful.select("doc_id", "tok", "sent", F.when(latin & long, twin).alias("twin"), F.when(latin, "ask_latin").otherwise(judge_udf("word")).alias("verdict")).where("verdict <> 'plain'")
     sure_latin = F.col("word").rlike("[bdfghijklmnqrstuvwzDFGIJLNQRSUVWZÀ-ÖØ-öø-ɏ]")
     sure_other = F.col("word").rlike("[бгджзийлнпфцчшщъыьэюявкмтБГДЖЗИЙЛПФЦ-Яα-μξπ-ώ]") & ~F.col("word").rlike("[A-Za-z]")
     east = F.col("word").rlike("[\u3040-ヿ㐀-鿿가-\ud7af]")
     context = t.groupBy("doc_id", "sent").agg(F.count_if(sure_latin).alias("n_latin"), F.count_if(sure_other).alias("n_other"), F.count_if(east).alias("n_east"))
     context = context.where("n_other > 0 or n_latin > 0 or n_east > 0")
-    known = doubtful.join(context, ["doc_id", "sent"], "left")
+    spelt = t.where(F.col("word").rlike(f"^(?:[{_LATIN_ASK}]{{4,}}|[{''.join(TO_CYRILLIC.values())}]{{4,}})\\.?$")).select("doc_id", "sent", twin.alias("twin"), latin.alias("is_latin"))
+    names = spelt.join(context, ["doc_id", "sent"]).groupBy("twin").agg(F.max(F.expr("is_latin and n_latin > n_other")).alias("at_home"), F.max(F.expr("not is_latin and n_other > n_latin")).alias("has_twin"))
+    names = names.where("at_home and not has_twin").select("twin")
+    known = doubtful.join(context, ["doc_id", "sent"], "left").join(names, "twin", "left_anti")
     wrong = known.where("case verdict when 'variant' then true when 'ask_other' then n_latin > n_other when 'ask_latin' then n_other > n_latin else coalesce(n_east, 0) = 0 end")
     return wrong.select("doc_id", "tok").distinct()
 

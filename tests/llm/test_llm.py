@@ -36,6 +36,24 @@ def test_canonical_leaves_stable_text_alone():
     assert normalize.canonical("Ｌe саfé déjà") == "Le café déjà"
 
 
+@pytest.mark.parametrize(("word", "form"), [
+    ("нaчaлa", "начала"), ("нo", "но"), ("пpeвышaют", "превышают"), ("изyчaeт", "изучает"), ("λoγoς", "λογος"),
+    ("μm", "μm"), ("μA", "μA"), ("Δt", "Δt"), ("PDFы", "PDFы"), ("IT-шник", "IT-шник"),
+])
+def test_latin_letters_beside_letters_without_twin(word, form):
+    assert normalize.canonical(word) == form
+    assert normalize.judge(word) == ("plain" if word == form else "variant")
+    assert normalize.canonical(f"так, {word}.") == f"так, {form}."
+
+
+def test_mixed_and_long_words_are_found(spark):
+    said = ["Жители знают: Xapox", "Жители знают: нaчaлa", "Жители знают: Coop", "The bank named Coop", "Жители знают: Poco", "Il dit Poco bien", "Жители знают: Росо"]
+    rows = [(i, k, 0, w) for i, x in enumerate(said) for k, w in enumerate(x.split())]
+    got = normalize.variant_words(spark.createDataFrame(rows, "doc_id bigint, tok int, sent int, word string"))
+    # Xapox has no Latin use; Coop is a name of Latin sentences; Poco stands in both scripts
+    assert sorted(map(tuple, got.collect())) == [(0, 2), (1, 2), (4, 2)]
+
+
 def test_words_and_pairs(spark):
     s = "doc_id bigint, tok int, sent int, word string"
     rows = [(1, 0, 0, "Le"), (1, 1, 0, "сhat"), (1, 2, 0, "с"), (1, 3, 0, None), (2, 0, 0, "дом"), (2, 1, 0, "с"), (2, 2, 0, "a"), (2, 3, 0, "жизнь"), (1, 1, 0, "сhat")]
