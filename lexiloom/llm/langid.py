@@ -4,12 +4,15 @@ Prediction by partial matching: for each language a context tree over bytes,
 its statistics frozen after training on the sample table, gives the exact code
 length of a text, order by order with escape probabilities. A unit belongs to
 the language that codes it shortest; a shortest path over a document's units,
-in which a change of language costs bits, gives its runs.
+in which a change of language costs bits, gives its runs. Headings are short:
+once the sentences are settled they are judged again, with a smaller cost and
+with the common words of the samples as further evidence.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,10 +24,14 @@ from pyspark.sql import functions as F
 from ..runtime import spread
 from .mojibake import Repairer
 from .normalize import canonical
-from .sentences import restored_units
+from .sentences import TERMINATORS, restored_units
 
 #: Longest context in bytes, bits a change of language costs, sample rows used at most.
 ORDER, SWITCH_BITS, SAMPLE_ROWS = 4, 50.0, 5_000
+#: Bits a change of language costs beside a heading, length up to which a line is one.
+HEADING_BITS, HEADING_CHARS = 20.0, 100
+#: Times a word occurs in the samples of a language to be common there, bits it speaks against a language whose samples lack it.
+COMMON, LACKING_BITS = 8, 30.0
 #: Bytes scored at once.
 CHUNK = 400_000
 
@@ -54,6 +61,9 @@ def label_code(label: str | None) -> str | None:
     return _BY_NAME.get(x) or _BY_NAME.get(re.split(r"[-_ ]", x)[0] if x else "")
 
 
+_WORD = re.compile(r"\w+")
+
+
 class Trees:
     """The frozen context trees of all languages, as sorted key tables with one column a language."""
 
@@ -62,6 +72,8 @@ class Trees:
         self.langs = sorted({c for c, _ in samples})
         k = len(self.langs)
         per = [np.frombuffer(b"".join(b"\n" * order + canonical(t).lower().encode() + b"\n" for c, t in samples if c == lang), np.uint8).astype(np.uint64) for lang in self.langs]
+        counts = [Counter(_WORD.findall("\n".join(canonical(t).lower() for c, t in samples if c == lang))) for lang in self.langs]
+        self.lacking = {w: np.array([w not in c for c in counts]) for w in {w for c in counts for w, n in c.items() if n >= COMMON}}
         self.sym_keys, self.sym_bits, self.ctx_keys, self.esc_bits = [], [], [], []
         for o in range(order + 1):
             syms, ctxs = [], []
@@ -98,6 +110,10 @@ class Trees:
                 lo, size, part = i + 1, 0, []
         return out
 
+    def lacks(self, text: str) -> np.ndarray:
+        """Bits that the common words of other languages' samples speak against each language."""
+        return LACKING_BITS * sum((self.lacking[w] for w in _WORD.findall(text.lower()) if w in self.lacking), np.zeros(len(self.langs)))
+
     def _score(self, parts: list[bytes]) -> np.ndarray:
         pad = b"\n" * self.order
         data = np.frombuffer(b"".join(pad + p + b"\n" for p in parts), np.uint8).astype(np.uint64)
@@ -150,6 +166,15 @@ def runs_of(bits: np.ndarray, switch: float = SWITCH_BITS) -> list[int]:
     return out[::-1]
 
 
+def settled(bits: np.ndarray, heading: np.ndarray, lacks: np.ndarray) -> list[int]:
+    """The language of each unit: a path through all, then the headings anew beside sentences that stay as they are."""
+    path = np.array(runs_of(bits))
+    if not heading.any() or heading.all():
+        return path.tolist()
+    fixed = np.where(np.arange(bits.shape[1]) == path[:, None], 0.0, np.inf)
+    return runs_of(np.where(heading[:, None], bits + lacks, fixed), HEADING_BITS)
+
+
 def confidence(bits: np.ndarray, lang: int) -> float:
     """Share of the language among all, by code lengths damped to the evidence of independent words."""
     w = np.exp2(-(bits - bits.min()) / 4)
@@ -163,6 +188,16 @@ def _letters(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+def _heading(text: str, s: int, n: int) -> bool:
+    """Whether the unit is a short line of its own that isn't a sentence."""
+    lo, hi = s, s + n
+    while lo and text[lo - 1] in " \t\u00a0\u3000":
+        lo -= 1
+    while hi < len(text) and text[hi] in " \t\u00a0\u3000":
+        hi += 1
+    return n <= HEADING_CHARS and text[lo - 1 : lo] in ("", "\n", "\r") and text[hi : hi + 1] in ("", "\n", "\r") and text[s + n - 1] not in TERMINATORS + ":："
+
+
 def segments(docs: DataFrame, samples: tuple[tuple[str, str], ...], doc: str = "doc_id", text: str = "content", lang: str = "lang", order: str | None = None) -> DataFrame:
     """(doc_id, label, n_runs, s, l, lang, confidence): each document's runs of units in one language.
 
@@ -197,7 +232,12 @@ def segments(docs: DataFrame, samples: tuple[tuple[str, str], ...], doc: str = "
                 lead = np.cumsum([q == 0 or not _ITEM.match(flat[j]) for q, (j, _) in enumerate(real)]) - 1
                 whole = np.zeros((lead[-1] + 1, bits.shape[1]))
                 np.add.at(whole, lead, bits)
-                path = np.array(runs_of(whole))[lead].tolist()
+                alone = np.bincount(lead) == 1
+                heads = [q for q, (_, (s, n, _)) in enumerate(real) if alone[lead[q]] and _heading(t, s, n)]
+                heading, lacks = np.zeros(len(whole), bool), np.zeros(whole.shape)
+                for q in heads:
+                    heading[lead[q]], lacks[lead[q]] = True, trees.lacks(flat[real[q][0]])
+                path = np.array(settled(whole, heading, lacks))[lead].tolist()
                 cuts = [0, *(q for q in range(1, len(path)) if path[q] != path[q - 1]), len(path)]
                 for a, z in zip(cuts, cuts[1:], strict=False):
                     s = 0 if a == 0 else real[a][1][0]

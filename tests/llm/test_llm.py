@@ -159,6 +159,17 @@ def test_runs_and_labels(spark, data):
         assert langid.label_code(label) == code
 
 
+def test_short_headings_in_another_language(spark, data):
+    s = samples(spark, data)
+    fr, en, de = (" ".join(t for c, t in s if c == x) for x in ("fr", "en", "de"))
+    heads = [("en", "From the archives (2)"), ("de", "Neues aus dem Rathaus"), ("en", "The canal debate (4)"), ("en", "Minutes of the meeting")]
+    rows = [(i, f"{h}\n\n{fr[:400]}.", "fr") for i, (_, h) in enumerate(heads)]
+    rows += [(10, f"The canal debate (25)\n\n{en[:400]}.", "en"), (11, f"{de[:400]}.\n\nNeues aus dem Rathaus (3)\n\n{de[400:800]}.", "de")]
+    found = langid.mislabelled(langid.segments(spark.createDataFrame(rows, "doc_id bigint, content string, lang string"), s))
+    got = sorted((r["doc_id"], r["s"], r["lang"]) for r in found.collect())
+    assert got == sorted(x for i, (c, h) in enumerate(heads) for x in ((i, 0, c), (i, len(h) + 2, "fr")))
+
+
 # --- 7: encodings ---
 
 
