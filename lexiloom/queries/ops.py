@@ -252,11 +252,11 @@ def dict_compile(spark, d):
     return dictionary.keyed(lexicon(spark, d), nocase=True).groupBy("key", "n").agg(F.count("*").alias("entries"))
 
 
-def _pairs_lexicon(spark, d) -> DataFrame:
-    """Entries of one to three words, taken from the token table itself: names of more than one token."""
+def _pairs_lexicon(spark, d, which: str = "n <= 3 and value <> 'Product'") -> DataFrame:
+    """Entries taken from the token table itself: names of more than one token; by default those that the SQL can follow."""
     t = tokens(spark, d)
     found = consistency.forms(t, spans.decode_chunks(t, "ner"))
-    return found.where("n <= 3 and value <> 'Product'").groupBy("key", "n").agg(F.min("value").alias("mapped"))
+    return found.where(which).groupBy("key", "n").agg(F.min("value").alias("mapped"))
 
 
 _ISLANDS = f"""k as (select *, case when regexp_matches(ner, '^[BUS]-') then 'b' when regexp_matches(ner, '^[ILE]-') then 'i' else 'o' end as k from t),
@@ -290,7 +290,8 @@ def dict_multiword(spark, d):
 
 @query()
 def dict_multiword_last(spark, d):
-    return dictionary.multiword(tokens(spark, d), _pairs_lexicon(spark, d), "value", "-x", lengths=[1, 2, 3]).select("doc_id", "tok", "value")
+    """With all entries, however long and of whatever kind."""
+    return dictionary.multiword(tokens(spark, d), _pairs_lexicon(spark, d, "true"), "value", "-x").select("doc_id", "tok", "value")
 
 
 @query(f"""with {T}, l as (select lower(trim(entry)) as key, dict, min(coalesce(priority, 2147483647)) as prio from sem_lexicon where entry is not null and trim(entry) <> '' group by 1, 2),

@@ -93,3 +93,14 @@ def test_nested_shapes(spark):
     layers = nested.flatten(df, "layer").where("record_id = 1").collect()
     assert {(r["layer"], r["items"]) for r in layers} == {("tokens", 2), ("sentences", 1), ("none", 0), ("NER", 2)}
     assert nested.flatten(df.limit(0), "item").count() == 0
+
+
+def test_multiword_entries_of_any_length_and_kind(spark, tmp_path):
+    from lexiloom.queries import ops
+
+    said = [("the old mill race inn is shut", "O B-Place I-Place I-Place I-Place O O"), ("at the Zap Pro now", "O O B-Product I-Product O"), ("no old mill race inn or Zap Pro", "O O O O O O O O")]
+    rows = [(1, k, i, i + 10 * k, w, n) for k, (x, y) in enumerate(said) for i, (w, n) in enumerate(zip(x.split(), y.split(), strict=True))]
+    t = spark.createDataFrame(rows, "doc_id bigint, sent int, pos int, tok int, word string, ner string")
+    t.selectExpr("*", "'a' as source", "0 as par", "pos as lb", "pos + 1 as ub", "'N' as pos_tag", "'O' as chunk", "timestamp'2024-01-01' as loaded_at").write.parquet(f"{tmp_path}/sem_tokens.parquet")
+    got = {r["tok"]: r["value"] for r in ops.dict_multiword_last(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(20, 28)] == ["O", "B-x", "I-x", "I-x", "I-x", "O", "B-x", "I-x"]
