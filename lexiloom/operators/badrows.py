@@ -21,6 +21,8 @@ BLOCK, LEAF = 256, 16
 FIELDS = ["sent", "pos", "word", "lb", "ub", "ner"]
 #: Characters without ink that str.isspace() doesn't know.
 INKLESS = {0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x2800, 0x3164, 0xFEFF, 0xFFA0, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10)}
+#: Those of them that count as letters: the fillers of Hangul.
+_FILLERS = "".join(chr(o) for o in sorted(INKLESS) if unicodedata.category(chr(o))[0] in "LNP")
 _DIGITS = frozenset("0123456789")
 
 
@@ -113,6 +115,7 @@ def fast_parse(lines: pa.Array, labels: pa.Array) -> pa.Table | None:
     t = t.cast(pa.schema(list(_TYPES.items())))
     ok = pc.and_(pc.equal(pc.subtract(t["ub"], t["lb"]), pc.cast(pc.utf8_length(t["word"]), pa.int64())), pc.is_in(t["ner"], value_set=labels))
     ok = pc.and_(ok, pc.match_substring_regex(t["word"], r"[\p{L}\p{N}\p{P}]"))
+    ok = pc.and_not(ok, pc.match_substring_regex(t["word"], f"[{_FILLERS}]"))
     return t if pc.all(ok).as_py() else None
 
 

@@ -104,3 +104,12 @@ def test_multiword_entries_of_any_length_and_kind(spark, tmp_path):
     t.selectExpr("*", "'a' as source", "0 as par", "pos as lb", "pos + 1 as ub", "'N' as pos_tag", "'O' as chunk", "timestamp'2024-01-01' as loaded_at").write.parquet(f"{tmp_path}/sem_tokens.parquet")
     got = {r["tok"]: r["value"] for r in ops.dict_multiword_last(spark, str(tmp_path)).collect()}
     assert [got[k] for k in range(20, 28)] == ["O", "B-x", "I-x", "I-x", "I-x", "O", "B-x", "I-x"]
+
+
+def test_words_of_hangul_fillers_are_blank_whatever_their_neighbours(spark):
+    from lexiloom.operators import badrows
+
+    words = ["mot"] * 30 + ["\u3164", "\u115f\u1160", "\uffa0", "\u3164가"] + ["mot"] * 30
+    rows = [(i, f"0\t{i}\t{w}\t0\t{len(w)}\tO") for i, w in enumerate(words)]
+    got = badrows.parse_lines(spark.createDataFrame(rows, "line_id bigint, raw string").coalesce(1), "line_id", "raw", ["Person"])
+    assert sorted(map(tuple, got.where("reason is not null").select("line_id", "reason").collect())) == [(30, "value"), (31, "value"), (32, "value")]
