@@ -66,17 +66,17 @@ def tok_whitespace(spark, d):
 
 @query()
 def tok_fr(spark, d):
-    return segment.tokenise(documents(spark, d).where("lang = 'fr'"), "fr")
+    return segment.tokenise(documents(spark, d), "fr")
 
 
 @query()
 def tok_fr_bounds(spark, d):
-    return segment.tokenise(documents(spark, d).where("lang = 'fr'"), "fr_bounds")
+    return segment.tokenise(documents(spark, d), "fr_bounds")
 
 
 @query()
 def tok_en(spark, d):
-    return segment.tokenise(documents(spark, d).where("lang = 'en'"), "en")
+    return segment.tokenise(documents(spark, d), "en")
 
 
 _ENDS = "regexp_matches(word, '^([?!]+|…|\\.\\.+)$') or (word = '.' and depth = 0)"

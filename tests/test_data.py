@@ -113,3 +113,16 @@ def test_words_of_hangul_fillers_are_blank_whatever_their_neighbours(spark):
     rows = [(i, f"0\t{i}\t{w}\t0\t{len(w)}\tO") for i, w in enumerate(words)]
     got = badrows.parse_lines(spark.createDataFrame(rows, "line_id bigint, raw string").coalesce(1), "line_id", "raw", ["Person"])
     assert sorted(map(tuple, got.where("reason is not null").select("line_id", "reason").collect())) == [(30, "value"), (31, "value"), (32, "value")]
+
+
+def test_tokenisers_and_pipeline_run_on_all_documents(spark, data, tmp_path):
+    import os
+
+    from lexiloom.queries import formats, ops
+
+    labels = ["fr", "FR", "fra", "français", "en", "xx", None]
+    docs = spark.createDataFrame([(i, "Le canal est ouvert.", x) for i, x in enumerate(labels)], "doc_id bigint, content string, lang string")
+    docs.selectExpr("*", "concat('d', doc_id) as name", "'a' as source", "'text/plain' as mime", "timestamp'2024-01-01' as loaded_at").write.parquet(f"{tmp_path}/sem_documents.parquet")
+    os.symlink(f"{data}/sem_lexicon.parquet", f"{tmp_path}/sem_lexicon.parquet")
+    for q in (ops.tok_fr, ops.tok_fr_bounds, ops.tok_en, formats.pipeline_run):
+        assert {r["doc_id"] for r in q(spark, str(tmp_path)).select("doc_id").distinct().collect()} == set(range(len(labels))), q.__name__
