@@ -2,8 +2,8 @@
 
 A pushdown automaton reads the events of a text: terminators, openers and
 closers of quotations and brackets, line ends, list markers, and the spaces of
-scripts that end sentences with one. Its stack holds the open quotations,
-brackets and list levels; a terminator only ends a unit on an empty stack.
+scripts that end sentences with one. Its stack holds the open quotations
+and brackets; list items are a state beside it; a terminator only ends a unit on an empty stack.
 Abbreviations are looked up in a trie, read from the terminator backwards.
 """
 

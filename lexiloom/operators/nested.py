@@ -1,10 +1,9 @@
 """Nested annotation records turned into related flat tables (problem 3).
 
-Every JSON node is classified by a bottom-up tree automaton: the state of a node
-follows from its own kind, the names of its members and the states of its
-children. A record's states name the structural variant it was written in; each
-variant has its subtype reader, and all readers fill the same supertype tables
-(documents, layers, items) whose keys are the places of the parents.
+Every JSON node is classified by a tree automaton: the state of a node follows
+from its own kind and the names of its members. The states name the structural
+variant a record was written in; one reader serves all variants and fills the
+tables (documents, layers, items) whose keys are the places of the parents.
 """
 
 from __future__ import annotations
