@@ -35,11 +35,27 @@ def whitespace_tokens(docs: DataFrame, doc: str = "doc_id", text: str = "content
 
 _URL = re.compile(r"<?(?:(?:https?|ftps?|file)://|mailto:|www\.)\S*[\w/]>?", re.IGNORECASE)
 _MAIL = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]*[\w]@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
-# Titles and abbreviations that keep their full stop, and clitics split off after a hyphen.
-_FR_TITLES = re.compile(r"\b(?:dr|me|mme|mlle|mm|m|st|ste|mgr|pr)\.?(?=\W|$)", re.IGNORECASE)
-_FR_ABBREV = re.compile(r"\b(?:p\.|[Ff]ig\.|cf\.|etc\.|av\.|J\.-C\.|c\.-à-d\.|ex\.|apr\.)")
-_FR_CLITICS = re.compile(r"(?:-t)?-(?:je|tu|ils?|elles?|on|nous|vous|ce|ci|là|moi|toi|lui|leur|les?|la|en|y)(?=\W|$)", re.IGNORECASE)
-_ATOMIC = set("()[]{}«»“”\"?!;:…%€$£§°")
+# French titles, abbreviations that stay whole, and pronouns split off after a hyphen; signs that stand alone.
+FR_TITLES = "dr m mr ms mrs mm mms mme mmes mlle mlles melle melles st".split()
+FR_ABBREVIATIONS = "i.e. e.g. c-à-d".split()
+FR_PRONOUNS = "je tu nous vous".split()
+FR_PRONOUNS_T = "on il ils elle elles".split()
+FR_ALONE = frozenset(";:«»()[]{}=+*$£€/\\\"?!…%")
+EN_ALONE = FR_ALONE - {"…"}
+APOSTROPHES = "'ʼ’"
+
+
+def _any(words: list[str]) -> str:
+    return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+
+
+_FR_TITLE = re.compile(rf"\b(?:{_any(FR_TITLES)})\b\.?", re.IGNORECASE)
+_FR_ABBREV = re.compile(rf"\b(?:{_any(FR_ABBREVIATIONS)})", re.IGNORECASE)
+_CLITIC = rf"(?:-(?:{_any(FR_PRONOUNS)})|(?:-t)?-(?:{_any(FR_PRONOUNS_T)}))"
+_FR_CLITICS = re.compile(rf"{_CLITIC}\b", re.IGNORECASE)
+_FR_SUFFIX = re.compile(rf"{_CLITIC}$", re.IGNORECASE)
+#: Between a digit and what is neither digit, comma nor full stop.
+_UNIT = re.compile(r"(?<=[0-9])(?=[^0-9,.])|(?<=[^0-9,.])(?=[0-9])")
 
 
 def _outside(spans: list[tuple[int, int]], i: int) -> bool:
@@ -47,27 +63,24 @@ def _outside(spans: list[tuple[int, int]], i: int) -> bool:
 
 
 def fr_bounds(text: str) -> list[tuple[int, int]]:
-    """French tokens by boundaries: spaces part, atomic signs stand alone, and no cut falls into a URL, address, title or abbreviation."""
-    keep = [m.span() for p in (_URL, _MAIL) for m in p.finditer(text)]
-    keep += [(m.start(), m.end() + (1 if m.end() < len(text) and text[m.end()] == "." and not text[m.end() - 1] == "." else 0)) for m in _FR_TITLES.finditer(text) if text[m.end() - 1] == "." or text[m.end() : m.end() + 1] == "."]
-    keep += [m.span() for m in _FR_ABBREV.finditer(text)]
-    keep += [m.span() for m in re.finditer(r"\.{2,}", text)]
-    keep += [m.span() for m in re.finditer(r"\d+(?:[.,]\d+)+", text)]
+    """French tokens by boundaries: spaces part, some signs stand alone, and no cut falls into a URL, address, title or abbreviation."""
+    keep = [m.span() for p in (_URL, _MAIL, _FR_TITLE, _FR_ABBREV) for m in p.finditer(text)]
+    keep += [m.span() for m in re.finditer(r"\.{2,}|\d+(?:[.,]\d+)+", text)]
     cuts: set[int] = set()
     n = len(text)
+    joins = lambda c: c.isupper() or c in "0123456789,.-"
     for i, c in enumerate(text):
-        if c in _ATOMIC:
+        if c in FR_ALONE or c in ".,":
             cuts.update((i, i + 1))
-        elif c in "'’":
+        elif c in APOSTROPHES:
             cuts.add(i + 1)
-        elif c in ".,":
-            cuts.update((i, i + 1))
         elif c == "-" and (i == 0 or text[i - 1].isspace() or i + 1 == n or text[i + 1].isspace()):
             cuts.update((i, i + 1))
-        if i and c.isalnum() and text[i - 1].isalnum() and c.isdigit() != text[i - 1].isdigit():
-            letter = c if c.isalpha() else text[i - 1]
-            if not letter.isupper():
+        elif c.isdigit():
+            if i and not joins(text[i - 1]):
                 cuts.add(i)
+            if i + 1 < n and not joins(text[i + 1]):
+                cuts.add(i + 1)
     cuts = {i for i in cuts if _outside(keep, i)}
     for m in _FR_CLITICS.finditer(text):  # forced, whatever they stand in
         cuts.update((m.start(), m.end()))
@@ -83,7 +96,20 @@ def _pieces(text: str, cuts: set[int]) -> list[tuple[int, int]]:
     return out
 
 
-_FR_SUFFIX = re.compile(r"(?:-t)?-(?:je|tu|ils?|elles?|on|nous|vous|ce|ci|là|moi|toi|lui|leur|les?|la|en|y)$", re.IGNORECASE)
+def _refined(s: str) -> list[int]:
+    """Where the first rule that applies cuts a chunk: signs, commas, apostrophes, pronouns, numbers with units, the last stop."""
+    at = next((i for i, c in enumerate(s) if c in FR_ALONE), None)
+    if at is not None:
+        return [at, at + 1]
+    if m := re.search(r"(?<=[^0-9]),(?![0-9])", s):
+        return [m.start(), m.end()]
+    if m := re.search(f"[{APOSTROPHES}](?=.)", s):
+        return [m.end()]
+    if (m := _FR_SUFFIX.search(s)) and m.start():
+        return [m.start()]
+    if m := _UNIT.search(s):
+        return [m.start()]
+    return [len(s) - 1] if s[-1] in ".," and not (len(s) == 2 and s[0].isupper()) else []
 
 
 def fr_spans(text: str) -> list[tuple[int, int]]:
@@ -96,35 +122,8 @@ def fr_spans(text: str) -> list[tuple[int, int]]:
     while work:
         a, b = work.pop()
         s = text[a:b]
-        if len(s) == 1 or s.isalpha():
-            out.append((a, b))
-            continue
-        if any(p.match(s) for p in (_URL, _MAIL, _FR_ABBREV)) or (_FR_TITLES.match(s) and not re.match(r"\w+$", s)):
-            out.append((a, b))
-            continue
-        cut: list[int] | None = None
-        at = next((i for i, c in enumerate(s) if c in _ATOMIC), None)
-        if at is not None:
-            cut = [at, at + 1]
-        if cut is None:
-            m = re.search(r"(?<!\d),|,(?!\d)", s)
-            if m:
-                cut = [m.start(), m.start() + 1]
-        if cut is None:
-            m = re.search(r"['’](?=.)", s)
-            if m:
-                cut = [m.end()]
-        if cut is None:
-            m = _FR_SUFFIX.search(s)
-            if m and m.start():
-                cut = [m.start()]
-        if cut is None:
-            m = re.search(r"(?<=\d)(?=[a-zà-öø-ÿ])|(?<=[a-zà-öø-ÿ])(?=\d)", s)
-            if m:
-                cut = [m.start()]
-        if cut is None and s[-1] in ".," and not re.fullmatch(r"[A-Z]\.", s):
-            cut = [len(s) - 1]
-        edges = [0, *(i for i in (cut or []) if 0 < i < len(s)), len(s)]
+        whole = len(s) == 1 or s.isalpha() or any(p.match(s) for p in (_URL, _MAIL, _FR_ABBREV, _FR_TITLE))
+        edges = [0, *(i for i in ([] if whole else _refined(s)) if 0 < i < len(s)), len(s)]
         if len(edges) == 2:
             out.append((a, b))
         else:
@@ -136,7 +135,7 @@ def en_bounds(text: str) -> list[tuple[int, int]]:
     """English tokens: atomic signs alone, n't and 's split off, full stops and commas after digits only inside numbers."""
     cuts: set[int] = set()
     for i, c in enumerate(text):
-        if c in _ATOMIC:
+        if c in EN_ALONE:
             cuts.update((i, i + 1))
         elif c in ".,":
             inside = i and i + 1 < len(text) and text[i - 1].isdigit() and text[i + 1].isdigit()
@@ -163,16 +162,25 @@ def get_tokeniser(name: str) -> Callable[[str], list[tuple[int, int]]]:
         raise ValueError(f"no tokeniser {name!r}; there are {', '.join(sorted(TOKENISERS))}") from None
 
 
-def tokenise(docs: DataFrame, tokeniser: str, doc: str = "doc_id", text: str = "content") -> DataFrame:
-    """(doc_id, tok, lb, ub, word) by a named tokeniser, in Arrow batches and without a shuffle."""
+def tokenise(docs: DataFrame, tokeniser: str, doc: str = "doc_id", text: str = "content", gaps: bool = False) -> DataFrame:
+    """(doc_id, tok, lb, ub, word) by a named tokeniser, in Arrow batches and without a shuffle.
+
+    With `gaps` also `gap_newlines`, the line ends between a token and the next; 0 for the last. Null and blank texts give no token.
+    """
     cut = get_tokeniser(tokeniser)
+    names = ["doc_id", "tok", "lb", "ub", "word", *(["gap_newlines"] if gaps else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t:
-                    rows += [(i, k, a, z, t[a:z]) for k, (a, z) in enumerate(cut(t))]
+                    found = cut(t)
+                    if gaps:
+                        after = [t.count("\n", z, a) for (_, z), (a, _) in zip(found, found[1:], strict=False)] + [0]
+                        rows += [(i, k, a, z, t[a:z], g) for k, ((a, z), g) in enumerate(zip(found, after, strict=False))]
+                    else:
+                        rows += [(i, k, a, z, t[a:z]) for k, (a, z) in enumerate(found)]
                 if len(rows) > 100_000:
                     yield out(b, rows)
                     rows = []
@@ -181,28 +189,47 @@ def tokenise(docs: DataFrame, tokeniser: str, doc: str = "doc_id", text: str = "
 
     def out(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True))], names=["doc_id", "tok", "lb", "ub", "word"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=False))], names=names)
 
     kind = docs.select(doc).schema[0].dataType.simpleString()
-    return docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t")).mapInArrow(run, f"doc_id {kind}, tok int, lb int, ub int, word string")
+    return docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t")).mapInArrow(run, f"doc_id {kind}, tok int, lb int, ub int, word string{', gap_newlines int' if gaps else ''}")
+
+
+# Tokens that open and close what a full stop doesn't end, by language.
+NESTING = {"fr": ("«([", "»)]"), "en": (("«", "(", "[", "``"), ("»", ")", "]", "''"))}
+
+
+def newlines_after(tokens: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "content") -> DataFrame:
+    """`tokens` (doc_id, tok, lb, ub) with `gap_newlines`, the line ends between a token and the next; 0 for the last and where the text is missing."""
+    w = Window.partitionBy("doc_id").orderBy("tok")
+    t = tokens.withColumn("_next", F.lead("lb").over(w)).join(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("_t")), "doc_id", "left")
+    gap = F.expr("substring(_t, ub + 1, _next - ub)")
+    return t.withColumn("gap_newlines", F.coalesce(F.length(gap) - F.length(F.replace(gap, F.lit("\n"), F.lit(""))), F.lit(0))).drop("_next", "_t")
 
 
-def sentence_ids(tokens: DataFrame, newline_gap: bool = True) -> DataFrame:
+def sentence_ids(tokens: DataFrame, variant: str = "fr") -> DataFrame:
     """`tokens` (doc_id, tok, lb, ub, word) with `sent`.
 
-    A sentence ends after ?, !, runs of them, an ellipsis or two full stops and
-    more; after one full stop outside brackets and quotations only; and, where
-    `newline_gap` is set and a column `gap_newlines` counts the line ends after
-    a token, after a gap with more than one.
+    `fr` and `en`: a sentence ends after ?, !, runs of them, an ellipsis or two
+    full stops and more, and after one full stop outside brackets and quotations.
+    `fr` also ends one where more than one line end follows a token other than
+    a full stop, if a column `gap_newlines` counts them. `default`: tokens that
+    are line ends part sentences and belong to none (`sent` is null). A null
+    word ends nothing by itself.
     """
     w = Window.partitionBy("doc_id").orderBy("tok")
-    opens, closes = F.col("word").isin("«", "(", "[", "“"), F.col("word").isin("»", ")", "]", "”")
-    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w)
-    t = tokens.withColumn("_depth", depth)
-    ends = F.col("word").rlike(r"^([?!]+|…|\.\.+)$") | ((F.col("word") == ".") & (F.col("_depth") == 0))
-    if newline_gap and "gap_newlines" in tokens.columns:
-        ends = ends | (F.col("gap_newlines") > 1)
-    t = t.withColumn("_end", F.coalesce(ends, F.lit(False)).cast("int"))
+    word = F.col("word")
+    if variant == "default":
+        cut = F.coalesce(word.isin("\r", "\n", "\r\n"), F.lit(False))
+        return tokens.withColumn("sent", F.when(~cut, F.sum(cut.cast("int")).over(w).cast("int")))
+    if variant not in NESTING:
+        raise ValueError(f"no rules of sentences {variant!r}; there are default, {', '.join(sorted(NESTING))}")
+    opens, closes = (word.isin(*x) for x in NESTING[variant])
+    t = tokens.withColumn("_depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w))
+    ends = F.coalesce(word.rlike(r"^([?!]+|…|\.\.+.*)$") | ((word == ".") & (F.col("_depth") == 0)), F.lit(False))
+    if variant == "fr" and "gap_newlines" in tokens.columns:
+        ends = ends | F.coalesce((F.col("gap_newlines") > 1) & ~word.eqNullSafe("."), F.lit(False))
+    t = t.withColumn("_end", ends.cast("int"))
     return t.withColumn("sent", (F.sum("_end").over(w) - F.col("_end")).cast("int")).drop("_depth", "_end")
 
 

@@ -57,14 +57,21 @@ def truth(text: str | bool | None) -> bool:
 
 
 @module("segmentation")
-def segmentation(c: Corpus, tokeniser: str = "default", **_) -> Corpus:
-    """Tokens with sentences and paragraphs; a corpus that has tokens keeps them."""
+def segmentation(c: Corpus, tokeniser: str = "default", html: str | bool = False, **_) -> Corpus:
+    """Tokens with sentences and paragraphs; a corpus that has tokens keeps them.
+
+    With `html` the contents are pages: markup is blanked, so that offsets are
+    places in the page. Sentences end by the rules of the tokeniser's language.
+    """
     if c.tokens is not None:
         return c
-    t = segment.tokenise(c.documents, tokeniser) if tokeniser != "default" else segment.whitespace_tokens(c.documents)
-    t = segment.sentence_ids(t)
+    docs = c.documents
+    if truth(html):
+        docs = docs.drop("content").join(segment.blank_markup(docs, html="content"), "doc_id")
+    variant = {"fr": "fr", "fr_bounds": "fr", "en": "en"}.get(tokeniser, "default")
+    t = segment.sentence_ids(segment.tokenise(docs, tokeniser, gaps=True), variant).drop("gap_newlines").where("sent is not null")
     first = t.groupBy("doc_id", "sent").agg(F.min("lb").alias("lb"), F.max("ub").alias("ub"), F.min("tok").alias("_f"))
-    par = segment.paragraph_ids(first, c.documents).select("doc_id", "sent", "par", "_f")
+    par = segment.paragraph_ids(first, docs).select("doc_id", "sent", "par", "_f")
     t = t.join(par, ["doc_id", "sent"]).withColumn("pos", (F.col("tok") - F.col("_f")).cast("int")).drop("_f")
     return replace(c, tokens=t)
 

@@ -1,10 +1,10 @@
-"""Queries of the general training-data problems (3, 4, 6)."""
+"""Queries of the general training-data problems (3, 6)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import badrows, frequency, nested
+from ..operators import badrows, nested
 from ..runtime import table
 
 
@@ -21,18 +21,6 @@ def p3_layers(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(table(spark, d, "sem_json"), "layer", order="received_at")
 
 
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return frequency.term_frequency(table(spark, d, "sem_tokens"), "doc_id", ["tok"], "word")
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d).where("mark is not null").selectExpr("term as word", "mark")
-
-
-def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d).selectExpr("term as word", "occurrences", "documents", "coalesce(mark, '') as mark")
-
-
 def _tags(spark: SparkSession, d: str) -> list[str]:
     # the tag table is fixed: seven rows
     return [r["tag"] for r in table(spark, d, "sem_tag_map").select("tag").distinct().collect()]
@@ -50,16 +38,6 @@ def p6_rows(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).where("reason is null").drop("reason")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_documents, p3_layers, p4_found, p4_counts, p6_found, p6_rows)}
-
-_ONCE = "(select distinct doc_id, tok, word from sem_tokens)"
-_P4 = f"""
-select word, count(*) as occurrences, count(distinct doc_id) as documents,
-  case when count(distinct doc_id) < 3 then 'rare'
-       when count(distinct doc_id) * 5 > (select count(distinct doc_id) from sem_tokens) then 'common' else '' end as mark
-from {_ONCE} where word is not null group by word"""
+QUERIES = {f.__name__: f for f in (p3_found, p3_documents, p3_layers, p6_found, p6_rows)}
 
-ORACLE = {
-    "p4_counts": _P4,
-    "p4_found": f"select word, mark from ({_P4}) where mark <> ''",
-}
+ORACLE: dict[str, str] = {}

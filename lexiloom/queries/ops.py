@@ -79,14 +79,31 @@ def tok_en(spark, d):
     return segment.tokenise(documents(spark, d), "en")
 
 
-_ENDS = "regexp_matches(word, '^([?!]+|…|\\.\\.+)$') or (word = '.' and depth = 0)"
+_ENDS = "regexp_matches(word, '^([?!]+|…|\\.\\.+.*)$') or (word = '.' and depth = 0)"
+_DEPTH = "sum(case when word in ({}) then 1 when word in ({}) then -1 else 0 end) over (partition by doc_id order by tok) as depth"
 
 
-@query(f"""with {T}, a as (select *, sum(case when word in ('«', '(', '[', '“') then 1 when word in ('»', ')', ']', '”') then -1 else 0 end) over (partition by doc_id order by tok) as depth from t),
-b as (select *, cast(coalesce({_ENDS}, false) as int) as e from a)
+@query(f"""with {T}, {D}, n as (select t.*, lead(lb) over (partition by doc_id order by tok) as nx from t), x as (select n.*, substring(content, ub + 1, nx - ub) as gap from n left join d using (doc_id)),
+a as (select *, {_DEPTH.format("'«', '(', '['", "'»', ')', ']'")}, coalesce(length(gap) - length(replace(gap, chr(10), '')), 0) as lines from x),
+b as (select *, cast(coalesce({_ENDS}, false) or (lines > 1 and word is distinct from '.') as int) as e from a)
 select doc_id, tok, cast(sum(e) over (partition by doc_id order by tok) - e as integer) as sent from b""")
-def seg_sentences(spark, d):
-    return segment.sentence_ids(tokens(spark, d).drop("sent")).select("doc_id", "tok", "sent")
+def seg_sentences_fr(spark, d):
+    return segment.sentence_ids(segment.newlines_after(tokens(spark, d).drop("sent"), documents(spark, d))).select("doc_id", "tok", "sent")
+
+
+@query(f"""with {T}, a as (select *, {_DEPTH.format("'«', '(', '[', '``'", "'»', ')', ']', ")} from t), b as (select *, cast(coalesce({_ENDS}, false) as int) as e from a)
+select doc_id, tok, cast(sum(e) over (partition by doc_id order by tok) - e as integer) as sent from b""")
+def seg_sentences_en(spark, d):
+    return segment.sentence_ids(tokens(spark, d).drop("sent"), "en").select("doc_id", "tok", "sent")
+
+
+@query(f"""with {D}, p as (select doc_id, regexp_extract_all(content, '(\\r\\n|\\r|\\n|[^\\r\\n]+)') as ps from d where content is not null),
+e as (select doc_id, unnest(ps) as word, generate_subscripts(ps, 1) - 1 as tok from p)
+select doc_id, cast(tok as integer) as tok, case when word not in (chr(10), chr(13), chr(13) || chr(10)) then cast(count(*) filter (where word in (chr(10), chr(13), chr(13) || chr(10))) over (partition by doc_id order by tok) as integer) end as sent from e""")
+def seg_sentences_lines(spark, d):
+    """The default rule, over tokens that are lines and line ends."""
+    lines = F.posexplode(F.regexp_extract_all("content", F.lit(r"(\r\n|\r|\n|[^\r\n]+)"), F.lit(1))).alias("tok", "word")
+    return segment.sentence_ids(documents(spark, d).where("content is not null").select("doc_id", lines), "default").select("doc_id", "tok", "sent")
 
 
 def _sentence_spans(spark, d):

@@ -1,4 +1,4 @@
-"""Token features, dictionaries, rules and models on one five-token sentence."""
+"""Token features, dictionaries, rules and models on one short sentence of six tokens."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,12 +7,12 @@ from lexiloom.functions import compile_xml
 from lexiloom.functions import features as X
 from lexiloom.operators import crf, dictionary, rules
 
-WORDS = ["Ceci", "est", "un", "test", "."]
+WORDS = ["Lundi", "37", "OIES", "sauvages", "volent", "!"]
 
 
 @pytest.fixture(scope="module")
 def sentence(spark):
-    return spark.createDataFrame([(0, 0, i, i, w, f"_{w}") for i, w in enumerate(WORDS)], "doc_id bigint, sent int, pos int, tok int, word string, token string")
+    return spark.createDataFrame([(7, 2, i, 40 + i, w, len(w)) for i, w in enumerate(WORDS)], "doc_id bigint, sent int, pos int, tok int, word string, size int")
 
 
 def values(df, **cols):
@@ -20,37 +20,33 @@ def values(df, **cols):
     return {k: [r[k] for r in got] for k in cols}
 
 
-def test_getters(sentence):
+def test_neighbours(sentence):
     w = X.sentence_window()
-    got = values(sentence, a=X.shifted(F.col("word"), 0, w), b=X.shifted(F.col("token"), -1, w), c=X.shifted(F.col("token"), 1, w))
-    assert got["a"] == WORDS
-    assert got["b"] == [None, "_Ceci", "_est", "_un", "_test"]
-    assert got["c"] == ["_est", "_un", "_test", "_.", None]
-
-
-def test_arity(sentence):
-    c, w = F.col("word"), X.sentence_window()
-    got = values(sentence, bos=X.bos(F.col("pos")), eos=X.eos(w), low=X.lower(c), sub=X.sliced(c, 0, 3, "#"), up=X.is_upper(c), rep=X.substitute(c, "e", "a"),
-                 shape=X.sequence(c, *[lambda x, p=p, r=r: X.substitute(x, p, r) for p, r in (("[A-Z]", "A"), ("[a-z]", "a"), ("[0-9]", "0"), ("[^Aa0]", "x"))]))
-    assert got["bos"] == [True, False, False, False, False]
-    assert got["eos"] == [False, False, False, False, True]
-    assert got["low"] == ["ceci", "est", "un", "test", "."]
-    assert got["sub"] == ["Cec", "est", "un", "tes", "."]
-    assert got["up"] == [True, False, False, False, False]
-    assert got["rep"] == ["Caci", "ast", "un", "tast", "."]
-    assert got["shape"] == ["Aaaa", "aaa", "aa", "aaaa", "x"]
-
-
-def test_regexp_and_lists(sentence):
-    c = F.col("word")
-    got = values(sentence, check=X.matches(c, "^..."), part=X.matched_part(c, "^..."), whole=X.matched_token(c, "^..."),
-                 some=X.some(X.is_upper(c), X.matches(c, r"^\.")), every=X.every(X.is_upper(c), X.matches(c, r"^\.")), none=X.none(X.is_upper(c), X.matches(c, r"^\.")))
-    assert got["check"] == [True, True, False, True, False]
-    assert got["part"] == ["Cec", "est", "#", "tes", "#"]
-    assert got["whole"] == ["Ceci", "est", "#", "test", "#"]
-    assert got["some"] == [True, False, False, False, True]
-    assert got["every"] == [False] * 5
-    assert got["none"] == [False, True, True, True, False]
+    got = values(sentence, here=X.shifted(F.col("size"), 0, w), two_back=X.shifted(F.col("size"), -2, w), two_on=X.shifted(F.col("word"), 2, w))
+    assert got == {"here": [5, 2, 4, 8, 6, 1], "two_back": [None, None, 5, 2, 4, 8], "two_on": ["OIES", "sauvages", "volent", "!", None, None]}
+
+
+def test_edges(sentence):
+    got = values(sentence, first=X.bos(F.col("pos")), last=X.eos(X.sentence_window()))
+    assert [i for i, x in enumerate(got["first"]) if x] == [0]
+    assert [i for i, x in enumerate(got["last"]) if x] == [5]
+
+
+@pytest.mark.parametrize(("feature", "want"), [
+    (lambda c: X.lower(c), ["lundi", "37", "oies", "sauvages", "volent", "!"]),
+    (lambda c: X.sliced(c, 1, 4, "~"), ["und", "7", "IES", "auv", "ole", "~"]),
+    (lambda c: X.is_upper(c), [True, False, True, False, False, False]),
+    (lambda c: X.substitute(c, "[aeiou]", "-"), ["L-nd-", "37", "OIES", "s--v-g-s", "v-l-nt", "!"]),
+    (lambda c: X.sequence(c, lambda x: X.substitute(x, "[0-9]+", "N"), lambda x: X.substitute(x, "[a-z]+", "m")), ["Lm", "N", "OIES", "m", "m", "!"]),
+    (lambda c: X.matches(c, "v.l"), [False, False, False, False, True, False]),
+    (lambda c: X.matched_part(c, "[A-Z]+"), ["L", "#", "OIES", "#", "#", "#"]),
+    (lambda c: X.matched_token(c, "[0-9!]"), ["#", "37", "#", "#", "#", "!"]),
+    (lambda c: X.some(X.matches(c, "^[0-9]"), X.matches(c, "^v")), [False, True, False, False, True, False]),
+    (lambda c: X.every(X.matches(c, "s$"), X.matches(c, "^s")), [False, False, False, True, False, False]),
+    (lambda c: X.none(X.matches(c, "[a-z]"), X.is_upper(c)), [False, True, False, False, False, True]),
+], ids="lower sliced is_upper substitute sequence matches part token some every none".split())
+def test_one_column_features(sentence, feature, want):
+    assert values(sentence, x=feature(F.col("word")))["x"] == want
 
 
 def lexicon(spark, *entries):
@@ -61,37 +57,39 @@ def column(df, name):
     return [r[name] for r in df.orderBy("pos").collect()]
 
 
-def test_dictionaries(spark, sentence):
-    flag = dictionary.token_flag(sentence, spark.createDataFrame([("Ceci",), ("test",), (None,)], "entry string"), "x")
-    assert column(flag, "x") == [True, False, False, True, False]
-    multi = dictionary.multiword(sentence, lexicon(spark, "Ceci est", "est un", "un", "."), "x", "-test1")
-    assert column(multi, "x") == ["B-test1", "I-test1", "B-test1", "O", "B-test1"]
-    last = dictionary.multiword(sentence, lexicon(spark, "test ."), "x", "-test2")
-    assert column(last, "x") == ["O", "O", "O", "B-test2", "I-test2"]
-    m = dictionary.mapped(sentence, spark.createDataFrame([("un", "une"), ("test", "révolution")], "entry string, mapped string"), "x")
-    assert column(m, "x") == ["O", "O", "une", "révolution", "O"]
+def test_membership_and_map(spark, sentence):
+    held = dictionary.token_flag(sentence, spark.createDataFrame([("volent",), ("37",), (None,), ("VOLENT",)], "entry string"), "x")
+    assert column(held, "x") == [False, True, False, False, True, False]
+    english = spark.createDataFrame([("Lundi", "Monday"), ("volent", "fly")], "entry string, mapped string")
+    assert column(dictionary.mapped(sentence, english, "x"), "x") == ["Monday", "O", "O", "O", "fly", "O"]
+
+
+def test_longest_entry_wins(spark, sentence):
+    lex = lexicon(spark, "OIES", "OIES sauvages", "37 OIES sauvages volent haut", "sauvages volent")
+    assert column(dictionary.multiword(sentence, lex, "x", "-bird"), "x") == ["O", "O", "B-bird", "I-bird", "O", "O"]
+    assert column(dictionary.multiword(sentence, lexicon(spark, "volent !"), "x", "-end"), "x") == ["O"] * 4 + ["B-end", "I-end"]
 
 
 def test_last_token_rule(spark, sentence):
     """A last token that is an entry itself begins anew even inside a longer match; the option turns that off."""
-    lex = lexicon(spark, "test .", ".")
-    assert column(dictionary.multiword(sentence, lex, "x"), "x")[3:] == ["B", "B"]
-    assert column(dictionary.multiword(sentence, lex, "x", last_exception=False), "x")[3:] == ["B", "I"]
+    lex = lexicon(spark, "sauvages volent !", "!")
+    assert column(dictionary.multiword(sentence, lex, "x"), "x")[3:] == ["B", "I", "B"]
+    assert column(dictionary.multiword(sentence, lex, "x", last_exception=False), "x")[3:] == ["B", "I", "I"]
 
 
 def test_blank_and_null_entries(spark, sentence):
-    lex = dictionary.keyed(spark.createDataFrame([("",), (None,), ("  ",), ("un",), ("un",)], "entry string"))
-    assert column(dictionary.multiword(sentence, lex, "x"), "x") == ["O", "O", "B", "O", "O"]
+    lex = dictionary.keyed(spark.createDataFrame([("",), (None,), ("  ",), ("OIES",), ("OIES",)], "entry string"))
+    assert column(dictionary.multiword(sentence, lex, "x"), "x") == ["O", "O", "B", "O", "O", "O"]
     none = dictionary.keyed(spark.createDataFrame([], "entry string"))
-    assert column(dictionary.multiword(sentence, none, "x"), "x") == ["O"] * 5
+    assert column(dictionary.multiword(sentence, none, "x"), "x") == ["O"] * 6
 
 
 def test_directory_priority(spark, sentence):
-    lex = dictionary.keyed(spark.createDataFrame([("b", 1, "un test"), ("a", 2, "un test"), ("c", None, "est un")], "dict string, priority int, entry string"))
+    lex = dictionary.keyed(spark.createDataFrame([("wild", 1, "OIES sauvages"), ("farm", 2, "OIES sauvages"), ("count", None, "37 OIES")], "dict string, priority int, entry string"))
     got = [(r["lb"], r["ub"], r["value"]) for r in dictionary.directory(sentence, lex, nocase=False).orderBy("lb").collect()]
-    assert got == [(1, 3, "c")]
-    both = dictionary.directory(sentence, lex.where("dict <> 'c'"), nocase=False, ambiguous=True).collect()
-    assert [(r["lb"], r["value"]) for r in both] == [(2, "b|a")]
+    assert got == [(1, 3, "count")]
+    both = dictionary.directory(sentence, lex.where("dict <> 'count'"), nocase=False, ambiguous=True).collect()
+    assert [(r["lb"], r["value"]) for r in both] == [(2, "wild|farm")]
 
 
 def test_merge_with_gold(spark):
@@ -104,82 +102,77 @@ def test_merge_with_gold(spark):
 
 def test_rules(sentence):
     c = F.col("word")
-    low = {"low": X.matches(c, "^[a-z]+$"), "cap": X.matches(c, "^[A-Z]"), "dot": X.equals(c, ".")}
-    steps = (rules.Step("cap"), rules.Step("low", "+"), rules.Step("dot", "?"))
-    assert column(rules.rule(sentence, steps, low, "s", "x"), "x") == ["B-s"] + ["I-s"] * 4
-    assert column(rules.rule(sentence, steps[:2], low, "s", "x"), "x") == ["B-s", "I-s", "I-s", "I-s", "O"]
-    assert rules.rule_tags((rules.Step("a", "+"), rules.Step("a")), {"a": [1, 1, 1]}, 3) == []  # no backtracking
-    assert rules.rule_tags((rules.Step("a", "+"),), {"a": [0, 1, 1]}, 3, strict=True) == []
-    either = rules.Step(either=((rules.Step("cap"),), (rules.Step("low", "2"),)))
-    assert rules.rule_tags((either,), {"cap": [1, 0, 0, 0], "low": [0, 1, 1, 1]}, 4) == [(0, 1), (1, 3)]
+    tests = {"digits": X.matches(c, "^[0-9]+$"), "upper": X.matches(c, "^[A-Z]+$"), "small": X.matches(c, "^[a-z]+$")}
+    steps = (rules.Step("digits", "?"), rules.Step("upper"), rules.Step("small", "*"))
+    assert column(rules.rule(sentence, steps, tests, "flock", "x"), "x") == ["O", "B-flock", "I-flock", "I-flock", "I-flock", "O"]
+    assert column(rules.rule(sentence, steps[1:2], tests, "flock", "x"), "x") == ["O", "O", "B-flock", "O", "O", "O"]
+    greedy = (rules.Step("a", "+"), rules.Step("a"))
+    assert rules.rule_tags(greedy, {"a": [1, 1, 1]}, 3) == []  # what one step took isn't given back
+    assert rules.rule_tags((rules.Step("a", "+"),), {"a": [1, 0, 1]}, 3, strict=True) == [(0, 1)]
+    either = rules.Step(either=((rules.Step("a"), rules.Step("b")), (rules.Step("b", "3"),)))
+    assert rules.rule_tags((either,), {"a": [1, 0, 0, 0, 0], "b": [0, 1, 1, 1, 1]}, 5) == [(0, 2), (2, 5)]
     with pytest.raises(ValueError):
         rules.cardinality("0")
 
 
-MODEL = """#mdl#2#5
-#rdr#1/0/0
-14:u:word=%x[0,0],
-#qrk#3
-1:A,
-1:B,
-1:O,
-#qrk#5
-11:u:word=Ceci,
-10:u:word=est,
-9:u:word=un,
-11:u:word=test,
-8:u:word=.,
-0=0x1p+3
-4=0x1p+3
-7=0x1p+3
-9=0x1p+3
-14=0x1p+3
-"""
+def model_text(tags, template, weights):
+    """A model in the text format: `weights` maps a feature to its weight for each tag."""
+    names = [f"{len(t)}:{t}," for t in (template, *tags, *weights)]
+    lines = [f"#mdl#2#{len(weights) * len(tags)}", "#rdr#1/0/0", names[0], f"#qrk#{len(tags)}", *names[1 : 1 + len(tags)], f"#qrk#{len(weights)}", *names[1 + len(tags) :]]
+    flat = [x for row in weights.values() for x in row]
+    return "\n".join([*lines, *(f"{i}={float(x).hex()}" for i, x in enumerate(flat) if x), ""])
 
 
 def test_model(spark, sentence):
-    m = crf.read_model(MODEL)
-    obs = crf.observations(sentence, ["u:word=%x[0,0]"], ["word"])
-    assert [r["y"] for r in crf.label(obs, m).orderBy("pos").collect()] == ["A", "B", "B", "A", "O"]
+    m = crf.read_model(model_text(["DAY", "REST"], "u:f=%x[0,0]", {"u:f=Lundi": (1.5, -2), "u:f=37": (0, 0.25), "u:f=OIES": (-1, 1), "u:f=volent": (0.5, 0)}))
+    obs = crf.observations(sentence, ["u:f=%x[0,0]"], ["word"])
+    assert [r["y"] for r in crf.label(obs, m).orderBy("pos").collect()] == ["DAY", "REST", "REST", "DAY", "DAY", "DAY"]  # unseen words take the first tag
+    assert [r["y"] for r in crf.best_alone(obs, crf.dump(m, spark), list(m.tags)).orderBy("pos").collect()] == ["DAY", "REST", "REST", "DAY", "DAY", "DAY"]
     back = crf.model_of(crf.dump(m, spark), list(m.tags), list(m.templates))
-    assert back.viterbi([["u:word=un"], ["u:word=?"]])[0] == [1, 0]  # unseen: the first tag
-    assert [r["y"] for r in crf.best_alone(obs, crf.dump(m, spark), list(m.tags)).orderBy("pos").collect()] == ["A", "B", "B", "A", "O"]
-    bi = crf.Model(("A", "B"), (), {"x": __import__("numpy").array([1.0, 0.9])}, {"b": __import__("numpy").array([[-5.0, 0.0], [0.0, -5.0]])})
-    assert bi.viterbi([["x", "b"]] * 3)[0] == [0, 1, 0]
+    assert back.viterbi([["u:f=OIES"], ["u:f=Lundi"], ["u:f=?"]])[0] == [1, 0, 0]
+
+
+def test_moves_outweigh_words():
+    import numpy as np
+
+    m = crf.Model(("P", "Q"), (), {"w": np.array([0.2, 0.0])}, {"m": np.array([[-3.0, 1.0], [1.0, -3.0]])})
+    path, _ = m.viterbi([["w", "m"], ["w", "m"], ["w", "m"], ["w", "m"]])
+    assert path in ([0, 1, 0, 1], [1, 0, 1, 0])
+    assert m.viterbi([["w"], ["w"]])[0] == [0, 0]
 
 
-def test_template_edges(sentence):
-    got = values(sentence, a=crf.template("%x[-1,0]", ["word"]), b=crf.template("%x[-5,0]", ["word"]), c=crf.template("%x[1,0]", ["word"]), d=crf.template("u:%x[5,0]", ["word"]), e=crf.template('%t[0,0,"^\\u"]', ["word"]), f=crf.template('%m[0,0,"^\\a\\a"]', ["word"]))
-    assert got["a"][0] == "_x-1" and got["a"][1] == "Ceci"
-    assert got["b"][0] == "_x-#" and got["b"][1] == "_x-4"
-    assert got["c"][4] == "_x+1"
-    assert got["d"][4] == "u:_x+#"
-    assert got["e"] == ["true", "false", "false", "false", "false"]
-    assert got["f"] == ["Ce", "es", "un", "te", ""]
+@pytest.mark.parametrize(("template", "want"), [
+    ("%x[-1,0]", ["_x-1", *WORDS[:5]]),
+    ("u:%x[2,0]", ["u:OIES", "u:sauvages", "u:volent", "u:!", "u:_x+1", "u:_x+2"]),
+    ("%x[-7,0]", ["_x-#", "_x-#", "_x-#", "_x-4", "_x-3", "_x-2"]),
+    ("%x[9,0]", ["_x+4", "_x+#", "_x+#", "_x+#", "_x+#", "_x+#"]),
+    ('%t[0,0,"\\d"]', ["false", "true", "false", "false", "false", "false"]),
+    ('%m[0,0,"^\\a\\a\\a"]', ["Lun", "", "OIE", "sau", "vol", ""]),
+])
+def test_templates(sentence, template, want):
+    assert values(sentence, x=crf.template(template, ["word"]))["x"] == want
 
 
 XML = """<information><entries><before><entry name="word"/></before><after/></entries><features>{}</features></information>"""
 
 
 def test_enrichment(sentence):
-    x = XML.format('<nullary name="b" action="BOS"/><nullary name="e" action="eos"/><nullary name="hid" action="lower" display="no"/>'
-                   '<string name="same" action="equal" entry="hid">ceci</string><dictionary name="mw" action="multiword" appendice="-x">Ceci est\nun</dictionary>'
-                   '<trigger name="t"><nullary action="bos"/><nullary action="lower"/></trigger><trigger name="tb"><nullary action="bos"/><unary action="isupper">0</unary></trigger>'
-                   '<rule name="r"><dictionary action="multiword">Ceci est</dictionary><regexp action="check" card="+">^[a-z]</regexp></rule>'
-                   '<dictionary name="m" action="map" default="-">un\tune\ntest</dictionary>'
-                   '<find name="f" action="backward" return_entry="word"><unary action="isupper">0</unary></find>')
+    x = XML.format('<nullary name="begin" action="BOS"/><nullary name="finish" action="eos"/><nullary name="small" action="lower" display="no"/>'
+                   '<string name="geese" action="equal" entry="small">oies</string><dictionary name="birds" action="multiword" appendice="-a">OIES sauvages\n37</dictionary>'
+                   '<trigger name="opening"><nullary action="bos"/><nullary action="lower"/></trigger>'
+                   '<rule name="count"><regexp action="check">^[0-9]</regexp><regexp action="check" card="+">^[a-zA-Z]</regexp></rule>'
+                   '<dictionary name="gloss" action="map" default="?">volent\tfly\nLundi</dictionary>'
+                   '<find name="caps" action="backward" return_entry="word"><unary action="isupper">0</unary></find>')
     e = compile_xml.read_enrichment(x)
     got = compile_xml.enrich(sentence, e)
-    assert e.visible() == ["word", "b", "e", "same", "mw", "t", "tb", "r", "m", "f"]
-    assert column(got, "b") == [1, 0, 0, 0, 0] and column(got, "e") == [0, 0, 0, 0, 1]
-    assert column(got, "same") == [1, 0, 0, 0, 0]
-    assert column(got, "mw") == ["B-x", "I-x", "B-x", "O", "O"]
-    assert column(got, "t") == ["ceci"] + ["_untriggered_"] * 4
-    assert column(got, "tb") == [1, 0, 0, 0, 0]
-    assert column(got, "r") == ["B-r", "I-r", "I-r", "I-r", "O"]
-    assert column(got, "m") == ["-", "-", "une", "", "-"]
-    assert column(got, "f") == ["#", "Ceci", "Ceci", "Ceci", "Ceci"]
-    assert "hid" not in compile_xml.visible(got, e).columns
+    want = {
+        "begin": [1, 0, 0, 0, 0, 0], "finish": [0, 0, 0, 0, 0, 1], "geese": [0, 0, 1, 0, 0, 0], "birds": ["O", "B-a", "B-a", "I-a", "O", "O"],
+        "opening": ["lundi"] + ["_untriggered_"] * 5, "count": ["O", "B-count", "I-count", "I-count", "I-count", "O"], "gloss": ["", "?", "?", "?", "fly", "?"], "caps": ["#", "Lundi", "Lundi", "OIES", "OIES", "OIES"],
+    }
+    assert e.visible() == ["word", *want]
+    for name, cells in want.items():
+        assert column(got, name) == cells, name
+    assert "small" not in compile_xml.visible(got, e).columns
 
 
 @pytest.mark.parametrize("bad", ['<nope name="x"/>', '<nullary name="x" action="bos"/><nullary name="x" action="eos"/>', '<boolean name="x" action="AND"><nullary action="bos"/><nullary action="eos"/></boolean>', '<nullary name="x" action="lower" entry="gone"/>'])
