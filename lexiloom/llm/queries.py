@@ -1,4 +1,4 @@
-"""Queries of the text problems (1, 2, 5, 7, 8, 9, 10)."""
+"""Queries of the text problems (1, 2, 4, 5, 7, 8, 9, 10)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import langid, leakage, mojibake, normalize, packing, pii, sentences
+from . import frequency, langid, leakage, mojibake, normalize, packing, pii, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "sem_documents"), order="loaded_at", only=table(spark, d, "sem_segmentations"), samples=samples)
 
 
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return frequency.term_frequency(table(spark, d, "sem_tokens"), "doc_id", "tok", "word", "loaded_at")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _terms(spark, d).where("mark is not null").selectExpr("term as word", "mark")
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _terms(spark, d).selectExpr("term as word", "occurrences", "documents", "coalesce(mark, '') as mark")
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     samples = langid.samples_of(table(spark, d, "lang_samples"))
     return langid.segments(table(spark, d, "sem_documents"), samples, order="loaded_at").where("l > 0")
@@ -66,5 +78,14 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_redacted)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p4_found, p4_counts, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_redacted)}
+_P4 = """
+select word, count(*) as occurrences, count(distinct doc_id) as documents,
+  case when count(distinct doc_id) < 3 then 'rare'
+       when count(distinct doc_id) * 5 > (select count(distinct doc_id) from sem_tokens) then 'common' else '' end as mark
+from (select distinct doc_id, tok, word from sem_tokens) where word is not null group by word"""
+
+ORACLE: dict[str, str] = {
+    "p4_counts": _P4,
+    "p4_found": f"select word, mark from ({_P4}) where mark <> ''",
+}
