@@ -27,16 +27,14 @@ PART = 65_536
 REMEMBERED = 200_000
 
 
-def heavy_terms(rows: DataFrame, term: str, limit: int = HEAVY_TERMS, counters: int = SKETCH_COUNTERS) -> list[str]:
-    """At most `limit` frequent terms, from one frequent-items sketch over all rows.
+def surveyed(rows: DataFrame, term: str, position: str, limit: int = HEAVY_TERMS, counters: int = SKETCH_COUNTERS) -> tuple[list[str], int]:
+    """(at most `limit` frequent terms, the greatest position), from one pass with a frequent-items sketch.
 
-    The choice only steers which path counts a term, so an inexact sketch does
-    not touch the result.
+    The choice of terms only steers which path counts them, so an inexact sketch
+    does not touch the result.
     """
-    if limit < 1:
-        return []
-    got = rows.where(F.col(term).isNotNull()).agg(F.expr(f"approx_top_k(`{term}`, {limit}, {max(counters, 2 * limit)})")).first()[0]
-    return sorted(x["item"] for x in got or () if x["item"] is not None)
+    top, most = rows.agg(F.expr(f"approx_top_k(`{term}`, {max(limit, 1)}, {max(counters, 2 * limit)})"), F.max(position)).first()
+    return sorted(x["item"] for x in (top or ())[:limit] if x["item"] is not None), most or 0
 
 
 def _offsets(col: pa.Array) -> np.ndarray:
@@ -172,16 +170,16 @@ def term_frequency(
     when = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")) if order and dict(rows.dtypes)[order] == "timestamp_ntz" else F.unix_micros(order) if order and dict(rows.dtypes)[order] == "timestamp" else F.col(order).cast("long") if order else F.lit(0).cast("long"), F.lit(-(2**62)))
     rows = rows.select(F.col(doc).alias("_doc"), when.alias("_at"), F.coalesce(F.col(position).cast("long"), F.lit(-(2**40))).alias("_pos"), F.col(term).cast("string").alias("_term")).where("_doc is not null")
     kind = rows.schema["_doc"].dataType.simpleString()
-    heavy = heavy_terms(rows, "_term", heavy_limit)
+    heavy, most = surveyed(rows, "_term", "_pos", heavy_limit)
     packed = rows.mapInArrow(_runs(part), f"_doc {kind}, _at bigint, _part bigint, _steps array<bigint>, _lens array<int>, _text string")
     dealt = packed.repartition("_doc", "_part").sortWithinPartitions("_doc", "_part", "_at", "_text")
     counted = dealt.mapInArrow(_count(heavy), "term string, occ bigint, docs bigint")
-    # documents longer than a part: their terms beyond it that the first part doesn't hold
-    beyond = rows.where(F.col("_pos") >= part)
-    long_rows = rows.join(beyond.select("_doc").distinct(), "_doc", "left_semi")
-    last = long_rows.groupBy("_doc", "_pos").agg(F.max(F.struct("_at", "_term")).alias("_r")).select("_doc", (F.col("_pos") >= part).alias("_far"), F.col("_r._term").alias("term")).where("term is not null")
-    extra = last.groupBy("_doc", "term").agg(F.bool_and("_far").alias("_only")).where("_only").groupBy("term").agg(F.lit(0).cast("long").alias("occ"), F.count("*").alias("docs"))
-    both = counted.unionByName(extra).groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("docs").alias("documents"))
+    if most >= part:  # documents longer than a part: their terms beyond it that the first part doesn't hold
+        long_rows = rows.join(rows.where(F.col("_pos") >= part).select("_doc").distinct(), "_doc", "left_semi")
+        last = long_rows.groupBy("_doc", "_pos").agg(F.max(F.struct("_at", "_term")).alias("_r")).select("_doc", (F.col("_pos") >= part).alias("_far"), F.col("_r._term").alias("term")).where("term is not null")
+        only = last.groupBy("_doc", "term").agg(F.bool_and("_far").alias("_only")).where("_only")
+        counted = counted.unionByName(only.groupBy("term").agg(F.lit(0).cast("long").alias("occ"), F.count("*").alias("docs")))
+    both = counted.groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("docs").alias("documents"))
     total = rows.select("_doc").distinct().agg(F.count("*")).scalar()
     both = both.withColumn("total_documents", total)
     common = F.col("documents") > F.lit(Decimal(str(max_share))) * F.col("total_documents")
