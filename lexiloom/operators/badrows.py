@@ -1,28 +1,30 @@
 """Loading rows held as text while setting apart those that don't parse (problem 6).
 
-Lines are parsed in blocks by a fast columnar path. A block that holds anything
-the fast path can't vouch for is cut in halves again and again until the doubtful
-lines are alone; those are read by a strict parser that names the reason.
+Lines are parsed in blocks by a fast columnar path, whose checks run over whole
+columns. A block that holds anything the fast path can't vouch for is cut in
+halves again and again, down to the single doubtful lines; those alone are read
+by a strict parser that names the reason.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Context, Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines a block of the fast path holds at first, and up to which a failing block isn't cut further.
-BLOCK, LEAF = 256, 16
 FIELDS = ["sent", "pos", "word", "lb", "ub", "ner"]
 #: Characters without ink that str.isspace() doesn't know.
 INKLESS = {0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x2800, 0x3164, 0xFEFF, 0xFFA0, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10)}
-#: Those of them that count as letters: the fillers of Hangul.
-_FILLERS = "".join(chr(o) for o in sorted(INKLESS) if unicodedata.category(chr(o))[0] in "LNP")
+#: Those of them that count as letters, numbers, punctuation or symbols: the fillers of Hangul and the blank of Braille.
+_FILLERS = "".join(chr(o) for o in sorted(INKLESS) if unicodedata.category(chr(o))[0] in "LNPS")
 _DIGITS = frozenset("0123456789")
 
 
@@ -65,6 +67,15 @@ def split_quoted(line: str, sep: str = "\t", quote: str = '"') -> list[str] | No
         i += 1  # the separator; a line that ends with one has an empty last field
 
 
+def apart(lb: str, ub: str) -> Decimal:
+    """ub - lb of two strings of digits, however long."""
+    return Context(prec=max(len(lb), len(ub)) + 1).subtract(Decimal(ub), Decimal(lb))
+
+
+_WHOLE = ("sent", "pos", "lb", "ub")
+_LIMIT = 2**63
+
+
 @dataclass(frozen=True)
 class LineRules:
     """What a valid line of token rows looks like."""
@@ -72,7 +83,10 @@ class LineRules:
     tags: frozenset[str]
 
     def diagnose(self, line: str | None) -> tuple[str | None, tuple | None]:
-        """(reason, None) of a bad line, (None, row) of a good one, (None, None) of a comment or empty line."""
+        """(reason, None) of a bad line, (None, row) of a good one, (None, None) of a comment or empty line.
+
+        A row is (sent, pos, word, lb, ub, ner, beyond): a number that 64 bits don't hold is null, its digits are in the JSON object `beyond`.
+        """
         if line is None:
             return "columns", None
         if line == "" or line.startswith("#"):
@@ -85,42 +99,68 @@ class LineRules:
         sent, pos, word, lb, ub, ner = f
         if not all(x and _DIGITS.issuperset(x) for x in (sent, pos, lb, ub)) or blank(word):
             return "value", None
-        if max(map(len, (sent, pos, lb, ub))) > 4000 or int(ub) - int(lb) != len(word):
+        if apart(lb, ub) != len(word):
             return "value", None
         if ner != "O" and not (ner[:2] in ("B-", "I-") and ner[2:] in self.tags):
             return "value", None
-        return None, (*(int(x) if int(x) < 2**63 else None for x in (sent, pos)), word, *(int(x) if int(x) < 2**63 else None for x in (lb, ub)), ner)
+        bare = {n: x.lstrip("0") or "0" for n, x in zip(_WHOLE, (sent, pos, lb, ub), strict=True)}
+        fits = {n: int(x) if len(x) < 20 and int(x) < _LIMIT else None for n, x in bare.items()}
+        beyond = {n: bare[n] for n in _WHOLE if fits[n] is None}
+        return None, (fits["sent"], fits["pos"], word, fits["lb"], fits["ub"], ner, json.dumps(beyond) if beyond else None)
 
 
-_TYPES = {"sent": pa.int64(), "pos": pa.int64(), "word": pa.string(), "lb": pa.int64(), "ub": pa.int64(), "ner": pa.string()}
+_TYPES = {"sent": pa.int64(), "pos": pa.int64(), "word": pa.string(), "lb": pa.int64(), "ub": pa.int64(), "ner": pa.string(), "beyond": pa.string()}
+#: A line of which every quoted field is plain: no tab, no quote inside.
+_PLAIN = '^(?:"[^"\\t]*"|[^"\\t]*)(?:\\t(?:"[^"\\t]*"|[^"\\t]*))*$'
+_INK = r"[\p{L}\p{N}\p{P}\p{S}]"
 
 
-def fast_parse(lines: pa.Array, labels: pa.Array) -> pa.Table | None:
-    """The typed columns of a block, or None if any of its lines is in doubt.
+def fast_parse(lines: pa.Array, labels: pa.Array) -> tuple[np.ndarray, pa.Table]:
+    """(which lines are sound, the typed columns of those that have six plain fields), for a whole block at once.
 
-    Quotes, carriage returns and words with characters beyond the common
-    scripts' are always in doubt; so is every block in which a line has other than six fields.
+    Whatever column checks can't settle is in doubt: quotes or tabs within quotes, line
+    ends, words without a letter, digit, punctuation or symbol, numbers of more than 18 digits.
     """
-    if pc.any(pc.match_substring_regex(lines, '["\\r\\x00]')).as_py():
-        return None
-    parts = pc.split_pattern(lines, "\t")
-    if not pc.all(pc.equal(pc.list_value_length(parts), len(FIELDS))).as_py():
-        return None
-    flat = pc.list_flatten(parts)
-    step = pa.array(range(0, len(lines) * len(FIELDS), len(FIELDS)), pa.int64())
-    t = pa.table({n: flat.take(pc.add(step, i)) for i, n in enumerate(FIELDS)})
-    for n in ("sent", "pos", "lb", "ub"):
-        if not pc.all(pc.match_substring_regex(t[n], "^[0-9]{1,18}$")).as_py():
-            return None
-    t = t.cast(pa.schema(list(_TYPES.items())))
-    ok = pc.and_(pc.equal(pc.subtract(t["ub"], t["lb"]), pc.cast(pc.utf8_length(t["word"]), pa.int64())), pc.is_in(t["ner"], value_set=labels))
-    ok = pc.and_(ok, pc.match_substring_regex(t["word"], r"[\p{L}\p{N}\p{P}]"))
-    ok = pc.and_not(ok, pc.match_substring_regex(t["word"], f"[{_FILLERS}]"))
-    return t if pc.all(ok).as_py() else None
+    ok = pc.and_not(pc.is_valid(lines), pc.fill_null(pc.match_substring_regex(lines, r"[\r\n\x00]"), True))
+    quoted = pc.fill_null(pc.match_substring(lines, '"'), False)
+    if pc.any(quoted).as_py():
+        ok = pc.and_(ok, pc.or_(pc.invert(quoted), pc.fill_null(pc.match_substring_regex(lines, _PLAIN), False)))
+        lines = pc.replace_substring(lines, '"', "")
+    tabs = pc.fill_null(pc.count_substring(lines, "\t"), -1)
+    at = pc.indices_nonzero(pc.and_(ok, pc.equal(tabs, len(FIELDS) - 1)))
+    flat = pc.list_flatten(pc.split_pattern(lines.take(at), "\t"))
+    step = pa.array(np.arange(0, len(at) * len(FIELDS), len(FIELDS)))
+    t = {n: flat.take(pc.add(step, i)) for i, n in enumerate(FIELDS)}
+    good = pa.array(np.ones(len(at), bool))
+    for n in _WHOLE:
+        digits = pc.match_substring_regex(t[n], "^[0-9]{1,18}$")
+        good = pc.and_(good, digits)
+        t[n] = pc.cast(pc.if_else(digits, t[n], "0"), pa.int64())
+    good = pc.and_(good, pc.and_(pc.equal(pc.subtract(t["ub"], t["lb"]), pc.cast(pc.utf8_length(t["word"]), pa.int64())), pc.is_in(t["ner"], value_set=labels)))
+    good = pc.and_(good, pc.and_not(pc.match_substring_regex(t["word"], _INK), pc.match_substring_regex(t["word"], f"[{_FILLERS}]")))
+    sound = np.zeros(len(lines), bool)
+    sound[at.to_numpy()[good.to_numpy(zero_copy_only=False)]] = True
+    return sound, pa.table(t).filter(good)
+
+
+def isolate(sound: np.ndarray) -> list[int]:
+    """The doubtful lines of a block: it is bisected, and a half without any isn't looked into."""
+    before = np.concatenate([[0], np.cumsum(~sound)])
+    out, work = [], [(0, len(sound))]
+    while work:
+        lo, hi = work.pop()
+        if before[lo] == before[hi]:
+            continue
+        if hi - lo == 1:
+            out.append(lo)
+            continue
+        mid = (lo + hi) // 2
+        work += [(mid, hi), (lo, mid)]
+    return out
 
 
 def _run(ids: list, rules: LineRules):
-    names = [*[n for n, _ in ids], "reason", *FIELDS]
+    names = [*[n for n, _ in ids], "reason", *_TYPES]
 
     def parse(b: pa.RecordBatch) -> pa.Table:
         labels = pa.array(["O", *(p + t for t in sorted(rules.tags) for p in ("B-", "I-"))], pa.string())
@@ -128,53 +168,40 @@ def _run(ids: list, rules: LineRules):
         skip = pc.fill_null(pc.or_(pc.equal(raw, ""), pc.starts_with(raw, "#")), False)
         keep = pc.indices_nonzero(pc.invert(skip))
         lines = raw.take(keep)
-        out: list[pa.Table] = []
-
-        def put(part: pa.Array, t: pa.Table) -> None:
-            cols = {n: b.column(i).take(part) for i, (n, _) in enumerate(ids)}
-            out.append(pa.table({**cols, **{n: t[n] for n in ("reason", *FIELDS)}}))
-
-        def bisect(lo: int, hi: int) -> None:
-            part = lines.slice(lo, hi - lo)
-            t = fast_parse(part, labels) if part.null_count == 0 and hi - lo > 1 else None
-            if t is not None:
-                put(keep.slice(lo, hi - lo), t.append_column("reason", pa.nulls(t.num_rows, pa.string())))
-            elif hi - lo <= LEAF:
-                found = [rules.diagnose(x) for x in part.to_pylist()]
-                rows = [(r, *(row or (None,) * len(FIELDS))) for r, row in found]
-                schema = pa.schema([("reason", pa.string()), *_TYPES.items()])
-                put(keep.slice(lo, hi - lo), pa.Table.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema))
-            else:
-                mid = (lo + hi) // 2
-                bisect(lo, mid)
-                bisect(mid, hi)
-
-        for lo in range(0, len(lines), BLOCK):
-            bisect(lo, min(lo + BLOCK, len(lines)))
-        return pa.concat_tables(out) if out else None
+        sound, t = fast_parse(lines, labels)
+        bad = isolate(sound)
+        found = [rules.diagnose(x) for x in lines.take(pa.array(bad, pa.int64())).to_pylist()]
+        rows = [(r, *(row or (None,) * len(_TYPES))) for r, row in found]
+        schema = pa.schema([("reason", pa.string()), *_TYPES.items()])
+        strict = pa.Table.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+        t = t.append_column("reason", pa.nulls(t.num_rows, pa.string())).append_column("beyond", pa.nulls(t.num_rows, pa.string())).select(schema.names).cast(schema)
+        both = pa.concat_tables([t, strict])
+        place = keep.take(pa.array(np.concatenate([np.flatnonzero(sound), np.array(bad, np.int64)])))
+        return pa.table({**{n: b.column(i).take(place) for i, (n, _) in enumerate(ids)}, **{n: both[n] for n in schema.names}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (t := parse(b)) is not None:
-                yield from t.select(names).combine_chunks().to_batches()
+            if b.num_rows:
+                yield from parse(b).select(names).combine_chunks().to_batches()
 
     return run
 
 
 def parse_lines(rows: DataFrame, id_col: str, raw: str, tags: list[str], order: str | None = None) -> DataFrame:
-    """(id, reason, sent, pos, word, lb, ub, ner): every line that holds a row or fails to.
+    """(id, reason, sent, pos, word, lb, ub, ner, beyond): every line that holds a row or fails to.
 
     `reason` is null for valid rows, else the first that applies of `quoting`,
     `columns`, `value`; the columns of a failing line are null. Comments (`#` at
     the start) and empty lines give no row. A null line has no columns and fails
     as `columns`. Lines sent twice (same id) count once, the last by `order`.
-    A number beyond 64 bits is valid and loaded as null. `tags`, the tags a
-    label may carry, is the small fixed tag table.
+    A number beyond 64 bits is valid, of whatever length; its column is null and
+    its digits are in the JSON object `beyond`. `tags`, the tags a label may
+    carry, is the small fixed tag table.
     """
     once = rows.select(F.col(id_col).alias("_id"), F.col(raw).cast("string").alias("_raw"), (F.col(order) if order else F.lit(0)).alias("_o"))
     once = once.groupBy("_id").agg(F.max(F.struct("_o", "_raw")).alias("_r")).select("_id", F.col("_r._raw").alias("_raw"))
     kind = rows.select(id_col).schema[0].dataType.simpleString()
-    schema = f"_id {kind}, reason string, sent bigint, pos bigint, word string, lb bigint, ub bigint, ner string"
+    schema = f"_id {kind}, reason string, sent bigint, pos bigint, word string, lb bigint, ub bigint, ner string, beyond string"
     run = _run([("_id", kind)], LineRules(frozenset(t for t in tags if t)))
     return once.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 

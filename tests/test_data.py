@@ -24,6 +24,29 @@ def test_diagnosis(line, reason):
     assert RULES.diagnose(line)[0] == reason
 
 
+def test_numbers_of_any_length(spark):
+    long = "7" * 6000
+    lines = [f"{long}\t1\tLe\t{long}\t{long[:-1]}9\tO", f"0\t1\tLe\t{long}\t{long}\tO", f"{'0' * 5000}3\t1\tLe\t0\t2\tO", f"9223372036854775808\t1\tLe\t0\t2\tO"]
+    got = {r["line_id"]: r for r in badrows.parse_lines(spark.createDataFrame(list(enumerate(lines)), "line_id bigint, raw string"), "line_id", "raw", []).collect()}
+    assert [got[i]["reason"] for i in range(4)] == [None, "value", None, None]
+    assert json.loads(got[0]["beyond"]) == {"sent": long, "lb": long, "ub": long[:-1] + "9"} and got[0]["sent"] is None and got[0]["pos"] == 1
+    assert (got[2]["sent"], got[2]["beyond"]) == (3, None) and json.loads(got[3]["beyond"]) == {"sent": "9223372036854775808"}
+
+
+def test_only_doubtful_lines_are_read_strictly(monkeypatch, data):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    raw = [x for x in pq.read_table(f"{data}/conll_lines.parquet", columns=["raw"])["raw"].to_pylist() if x and not x.startswith("#")]
+    sound, t = badrows.fast_parse(pa.array(raw), pa.array(["O", *(p + x for x in TAGS for p in ("B-", "I-"))]))
+    rules = badrows.LineRules(frozenset(TAGS))
+    good = [rules.diagnose(x)[0] is None for x in raw]
+    doubtful = badrows.isolate(sound)
+    assert doubtful == [i for i, x in enumerate(sound) if not x] and t.num_rows == sum(sound)
+    assert all(g for g, s in zip(good, sound, strict=True) if s)
+    assert sum(good[i] for i in doubtful) < 0.02 * sum(good)
+
+
 def test_bulk_path_agrees(spark, data):
     rows = spark.read.parquet(f"{data}/conll_lines.parquet")
     got = {r["line_id"]: r["reason"] for r in badrows.parse_lines(rows, "line_id", "raw", TAGS, "received_at").collect()}
