@@ -21,6 +21,11 @@ def p3_layers(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(table(spark, d, "sem_json"), "layer", order="received_at")
 
 
+def p3_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """The subtype table of tags with several extents."""
+    return nested.flatten(table(spark, d, "sem_json"), "tag_fragmented", order="received_at")
+
+
 def _tags(spark: SparkSession, d: str) -> list[str]:
     # the tag table is fixed: seven rows
     return [r["tag"] for r in table(spark, d, "sem_tag_map").select("tag").distinct().collect()]
@@ -38,7 +43,7 @@ def p6_rows(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).where("reason is null").drop("reason")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_documents, p3_layers, p6_found, p6_rows)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_documents, p3_layers, p3_fragments, p6_found, p6_rows)}
 
 # One field, the characters without ink, and a line taken apart; of a line sent twice the last counts.
 _F = r'(?:"(?:[^"]|"")*"|[^"\t]*)'

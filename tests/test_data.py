@@ -89,6 +89,36 @@ def test_nested_shapes(spark):
     assert nested.flatten(df.limit(0), "item").count() == 0
 
 
+def test_variants_depend_on_children():
+    root = [{"spans": 5}, {"spans": [[1, 2]]}]
+    a = nested.Automaton(root)
+    assert [a.of(x) for x in root] == ["layer_spans(int)", "layer_spans(list(extent_pair))"]
+    root = [{"annotations": [{"v": "P", "s": 0, "l": 1}]}, {"annotations": {"NER": {"annotations": []}}}, {"annotations": [{"name": "NER", "annotations": []}]}]
+    a = nested.Automaton(root)
+    assert [a.of(x).split("(")[0] for x in root] == ["layer_tags", "document", "document"]
+
+
+def test_subtype_tables_text_in_text_and_big_numbers(spark):
+    items = [[0, 1], {"s": 2, "l": 1}, {"v": "P", "s": 3, "l": 2**70}, {"v": "Q", "fragments": [[1, 1], {"s": 4, "l": 2}]}, "x", {"v": "R", "fragments": 5}]
+    layer = {"reference": "tokens", "annotations": items}
+    for _ in range(6):
+        layer = json.dumps(layer)
+    container = {"NER": layer}
+    for _ in range(5):
+        container = json.dumps(container)
+    df = spark.createDataFrame([(1, json.dumps({"content": "c", "annotations": container}))], "record_id bigint, payload string")
+    got = {r["variant"]: [] for r in nested.flatten(df, "item").collect()}
+    for r in nested.flatten(df, "item").orderBy("item_idx", "frag_idx").collect():
+        got[r["variant"]].append((r["item_idx"], r["frag_idx"], r["value"], r["s"], r["l"], r["beyond"]))
+    assert got == {
+        "extent_pair": [(0, 0, None, 0, 1, None)], "extent_object": [(1, 0, None, 2, 1, None)],
+        "tag": [(2, 0, "P", 3, None, json.dumps({"l": 2**70}))], "tag_fragmented": [(3, 0, "Q", 1, 1, None), (3, 1, "Q", 4, 2, None)],
+    }
+    for variant, columns in nested.ITEMS.items():
+        table = nested.flatten(df, variant)
+        assert table.columns == ["record_id", "doc_idx", "kind", "layer", "reference", "item_idx", *columns, "beyond"] and table.count() == len(got[variant])
+
+
 def test_multiword_entries_of_any_length_and_kind(spark, tmp_path):
     from lexiloom.queries import ops
 
