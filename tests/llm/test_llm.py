@@ -205,6 +205,33 @@ def test_repair_cases(spark, data):
     assert mojibake.restored(docs, ("é",)).where("garbled").count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "¿Cuándo llega? ¡Qué bien!", "Price: £30-£40, ¥500", "ÀÉÈÇÔÛ", "┌──┐\n│ab│\n└──┘", "In HTML write &amp; for an ampersand.", "The sign � stands for a lost character.",
+    "L’été, déjà ! « Où ? » — 25 °C, n° 5, 3 m².", "Łódź i Kraków", "soit ±2 %, A × B ÷ C ≤ 3 → p. 5", "½ tasse, x² + y², 100 µm, 5 kΩ", "Привет, МИР!", "η απόσταση, ΔT = 5", "«¡Hola!», dijo", "1\u00a0000\u00a0€ à M.\u00a0Noël",
+    "page?id=3&lang=fr", "“Where?” — “Über”", "Le mot « cafÃ© » est un exemple.", "They write “Å“” for œ.", "naïve café, São João, el 3.º piso, Nº 5",
+])
+def test_clean_texts_stay(spark, data, text):
+    assert mojibake.Repairer(tuple(t for _, t in samples(spark, data))).document(text) == (False, text)
+
+
+@pytest.mark.parametrize(("text", "writes", "reads"), [
+    ("Hernán y Núñez aplazaron el catálogo según la dirección.", ("utf-8", "utf-8"), ("cp1252", "cp1252")), ("Les 62 espèces de mousses où l'été déjà finissait.", ("utf-8",), ("cp1252",)), ("« Où est la clé ? », a demandé Océane à l'évêque.", ("cp1252",), ("cp1251",)),
+    ("Компания описывает собрание звуковых архивов.", ("cp1251",), ("cp1252",)), ("Компания описывает собрание звуковых архивов.", ("koi8-r",), ("cp1251",)), ("Das Müllerhaus öffnet über dem Bäcker.", ("mac_roman",), ("cp437",)), ("El niño gritó: «¡No, señor!» y salió.", ("cp1252",), ("cp850",)),
+    ("L'école a été rénovée à l'été, où l'élève dormait.", ("utf-8",) * 5, ("latin-1",) * 5),
+])
+def test_restored_as_written(spark, data, text, writes, reads):
+    bad = text
+    for w, r in zip(writes, reads, strict=True):
+        bad = bad.encode(w).decode(r)
+    assert mojibake.Repairer(tuple(t for _, t in samples(spark, data))).document(bad) == (True, text)
+
+
+def test_lost_characters(spark, data):
+    r = mojibake.Repairer(tuple(t for _, t in samples(spark, data)))
+    assert r.document("Le th��tre a r�ouvert.")[0] and r.document("Le th?tre d?couvert a ?t? ferm?, la soir?e fut g?ch?e")[0]
+    assert not r.document("Un � seul, et « � » aussi.")[0] and not r.document("Quoi?non. voir a.example/b?c=d")[0]
+
+
 # --- 8: packing ---
 
 
