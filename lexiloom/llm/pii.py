@@ -1,15 +1,17 @@
 """Personal details in free text (problem 10).
 
 A linear-chain conditional random field over word-shape features finds them. It
-is trained from the small labelled table in pii_table; features belong to token
-types, so the weights of all tokens of a batch come from one table look-up per
-position, and Viterbi runs over many stretches of text at once in numpy. What
-the field finds is then checked: places are fitted to the form of their kind.
+is trained from the small labelled table in pii_table. Texts are cut into tokens
+many at a time on arrays of code points; features belong to token types, so the
+weights of all tokens come from one table look-up per position, and Viterbi runs
+over many stretches of text at once in numpy. What the field finds is then
+checked: places are fitted to the form of their kind.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,27 +22,63 @@ from pyspark.sql import functions as F
 
 from ..runtime import spread
 from .normalize import canonical
-from .pii_table import FIRST, TEMPLATES, labelled
+from .pii_table import FIRST, NOUNS, ORG_KINDS, PLACE_NOUNS, STARTERS, TEMPLATES, WORDS, labelled
 
 KINDS = ("email", "phone", "identity", "address", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Positions around a token whose features count; rounds of training; tokens a stretch holds at most before it is cut at a sentence's end.
-OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
-ROUNDS, STRETCH = 70, 160
+#: Positions around a token whose features count.
+OFFSETS = (-4, -3, -2, -1, 0, 1, 2)
+#: Passes over the table, rows learnt from together, step, and penalty on weights.
+EPOCHS, BATCH, RATE, PENALTY = 8, 256, 0.2, 0.02
+#: Runs of neighbouring tokens whose kinds count together.
+RUNS = ((-1, 0), (0, 1), (-2, -1), (-1, 0, 1))
+CLASSES = 26
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
-# Words that name streets, titles, and institutions.
-STREETS = frozenset("rue place quai boulevard avenue chemin allée impasse cours square passage route street road lane close drive way court terrace crescent calle plaza paseo avenida camino via viale piazza corso rua praça travessa allee gasse weg platz ufer markt mühle straße strasse bd av".split())
+# Words that name streets, titles, and what is called after people.
+STREETS = frozenset("rue place quai boulevard avenue chemin allée impasse cours square passage route street road lane close drive way court terrace crescent gardens grove calle plaza paseo avenida camino travesía ronda via viale piazza corso largo vicolo rua praça travessa allee gasse weg platz ufer markt mühle straße strasse bd av ул улица".split())
 STREET_ENDS = re.compile(r"\w+(?:straße|strasse|weg|gasse|allee|platz|ufer|damm|ring)$")
-TITLES = frozenset("m mme mlle mr mrs ms dr dra herr frau sr sra sig dott prof".split())
-NAMED_AFTER = frozenset("prix lycée école collège prize school premio instituto preis gymnasium prémio grundschule stiftung fondation bibliothèque library hôpital hospital stade".split())
+TITLES = frozenset("m mm mme mlle mr mrs ms miss dr dre dra me maître herr frau sr sra srta don doña sig sig.ra dott prof monsieur madame".split())
+CALLED_AFTER = frozenset(
+    "prix lycée école collège prize award medal school college high primary grammar academy premio instituto escuela colegio preis gymnasium prémio schule grundschule stiftung fondation foundation fundación fondazione fundação"
+    " bibliothèque library biblioteca bücherei hôpital hospital krankenhaus ospedale stade stadium stadion estadio salle hall halle salón théâtre theatre theater teatro musée museum museo museu tour tower turm torre pont bridge brücke puente parc park parque jardin garden"
+    " moulin mill molino mulino moinho gate quay fontaine hôtel hotel café restaurant gare station bahnhof estación port harbour hafen puerto phare lighthouse kiosque fontaine fountain marché market église church kirche iglesia chapelle chapel abbaye abbey couvent saint san santa sankt st bad".split()
+)
+ORGANISATIONS = frozenset(w.lower() for ws in ORG_KINDS.values() for w in ws) | frozenset("société entreprise firme compagnie company firm firma empresa ditta groupe banque bank association verein asociación laboratoire laboratory labor éditions verlag editorial".split())
+FIRM_ENDS = frozenset("sa sarl sas gmbh ag kg ltd inc plc lda coop group industries frères cie söhne fils llc corp co bros".split())
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*|\d+|[^\w\s]|_")
-_AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|arobase|arroba|chiocciola|klammeraffe|@)\s?[\])}]\s?|\s(?:arobase|arroba|chiocciola)\s|\sat\s(?=[\w-]+\s?(?:dot|[\[({]\s?(?:dot|point|punto|punkt|ponto))))"
+# What a character is to the tokeniser.
+SPACE, LETTER, DIGIT, SIGN, HAN, HIRAGANA, KATAKANA = range(7)
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    out = np.full(0x10000, SIGN, np.uint8)
+    for o in range(0x10000):
+        c = chr(o)
+        if c.isspace():
+            out[o] = SPACE
+        elif unicodedata.category(c) == "Nd":
+            out[o] = DIGIT
+        elif 0x3040 <= o < 0x30A0:
+            out[o] = HIRAGANA
+        elif 0x30A0 <= o < 0x3100:
+            out[o] = KATAKANA
+        elif 0x3400 <= o < 0xA000 or o == 0x3005:
+            out[o] = HAN
+        elif c.isalpha() or unicodedata.category(c)[0] == "M":
+            out[o] = LETTER
+    return out
+
+
+_AT = r"(?:\s?[@＠]\s?|\s?[\[({]\s?(?:at|arobase|arroba|chiocciola|klammeraffe|@)\s?[\])}]\s?|\s(?:arobase|arroba|chiocciola)\s|\sat\s(?=[\w-]+\s?(?:dot|[\[({]\s?(?:dot|point|punto|punkt|ponto))))"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|point|punto|punkt|ponto|\.)\s?[\])}]\s?|\s(?:dot|point|punkt|punto|ponto)\s)"
-EMAIL = re.compile(rf"(?<![\w@])[\w](?:[\w.+'-]*[\w+])?{_AT}(?!www\b)[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+", re.IGNORECASE)
+EMAIL = re.compile(rf"(?<![\w@＠])[\w](?:[\w.+'-]*[\w+])?{_AT}(?!www\b)[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+", re.IGNORECASE)
+#: What any address holds; texts without it aren't searched for one.
+_HINTS = ("@", "＠", "(at", "[at", "{at", "( at", "[ at", "arobase", "arroba", "chiocciola", "klammeraffe")
 NUMBER = re.compile(r"(?:\(\s?\+?|\+)?\d(?:(?:[ ./\-\u00a0\u202f]|\)[ ./\-]?|[ ./\-]?\()?\d)*")
-CODE = re.compile(r"(?<![\w])(?=[A-Z0-9 .\-/]*\d)[A-Z0-9]+(?:[ .\-/]?[A-Z0-9]+)*(?![\w])")
+CODE = re.compile(r"(?<!\w)(?=[A-Z0-9 .\-/]*\d)[A-Z0-9]+(?:[ .\-/]?[A-Z0-9]+)*(?!\w)")
+_CODED = re.compile(r"[A-Z][ .\-/]?\d|\d[ .\-/]?[A-Z]")
 
 
 def _shape(w: str) -> str:
@@ -62,11 +100,11 @@ def _vocabulary() -> frozenset[str]:
     """The fixed words of the table; what fills its slots is known by shape only."""
     words = set()
     for block in TEMPLATES.values():
-        for m in _TOKEN.finditer(re.sub(r"\{[^}]*\}", " ", block)):
-            if m.group().isalpha():
-                words.add(m.group().lower())
-    extra = "flat apt unit appt étage piso cedex ter bis tel tél fax www http n nr no"
-    return frozenset(words | set(extra.split()) | STREETS | TITLES)
+        for m in re.finditer(r"[^\W\d_]+", re.sub(r"\{[^}]*\}", " ", block)):
+            words.add(m.group().lower())
+    extra = "flat apt unit suite appt bât étage piso interno cedex ter bis tel tél fax www http n nr no de da do dos del la von zu van der"
+    words |= {w.lower() for block in (NOUNS, STARTERS, PLACE_NOUNS, *WORDS.values()) for w in block.split()}
+    return frozenset(words | set(extra.split()) | STREETS | TITLES | CALLED_AFTER | ORGANISATIONS | FIRM_ENDS)
 
 
 @lru_cache(1)
@@ -74,111 +112,210 @@ def _first_names() -> frozenset[str]:
     return frozenset(n.lower() for ns in FIRST.values() for n in ns.split())
 
 
-@lru_cache(300_000)
-def _attributes(word: str, flags: str) -> tuple[str, ...]:
+#: A token type: the word, what stands before (nothing, space, line end), whether text follows at once, and the form it is part of.
+Type = tuple[str, str, str, str]
+
+
+def _attributes(word: str, before: str, after: str, form: str) -> list[str]:
     plain = canonical(word)
     low = plain.lower()
     sh = _shape(plain)
-    out = [f"s={sh}", f"sf={sh}|{flags[:2]}"]
+    out = [f"s={sh}", f"sf={sh}|{before}{after}"]
     if low in _vocabulary():
         out.append(f"w={low}")
     elif plain.isalpha():
         out.append("w=?")
-    if low in _first_names() and not plain.islower():
-        out.append("first")
+        out.append(f"ws={sh}?")
+    if plain.isalpha() and not plain.islower():
+        if low in _first_names():
+            out.append("first")
+        if low in TITLES:
+            out.append("title")
+    if low in CALLED_AFTER:
+        out.append("after")
+    if low in ORGANISATIONS or low in FIRM_ENDS and not plain.islower():
+        out.append("org")
     if plain.isalpha() and (low in STREETS or STREET_ENDS.match(low)):
         out.append("street")
-    if low in TITLES and not plain.islower():
-        out.append("title")
-    if low in NAMED_AFTER:
-        out.append("after")
-    rest = flags[2:]
-    if rest:
-        out.append(f"f={rest}")
-        if "|" in rest:
-            out.append("f2=" + rest.split("|")[0])
-    return tuple(out)
-
+    if form:
+        out.append(f"f={form}")
+        if "|" in form:
+            out.append("f2=" + form.split("|")[0])
+    return out
 
-def tokens(text: str) -> tuple[list[tuple[int, int]], list[tuple[str, str]]]:
-    """Spans and types (word, flags) of the tokens of a text.
 
-    Flags: what stands before the token (nothing, space, line end), and the form
-    of the email, number or code that the token is part of.
-    """
-    marks: list[tuple[int, int, str]] = []
-    if "@" in text or "(at" in text or "[at" in text or " at " in text or "aroba" in text or "arroba" in text or "{at" in text or "ＡＴ" in text or "＠" in text or "chiocciola" in text:
-        marks += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+def _class(word: str, before: str, form: str) -> int:
+    """The kind of a token, one of a few; 0 is what lies beyond a stretch."""
+    if form:
+        return {"n": 1, "c": 2, "e": 3}[form[1]]
+    if word.isdigit():
+        return 4 if len(word) < 4 else 5 if len(word) == 5 else 6
+    c = word[0]
+    if not c.isalpha():
+        return 7 if c == "." else 8 if c == "," else 9 if c in "-'’" else 10 if c in "«“„\"()[]<>:;" else 11
+    if c >= "\u3040":
+        return 12 if c >= "\u3400" else 13
+    low = canonical(word).lower()
+    if low in STREETS or STREET_ENDS.match(low):
+        return 14
+    if low in CALLED_AFTER:
+        return 18
+    if low in ORGANISATIONS or low in FIRM_ENDS and not word.islower():
+        return 19
+    if word.islower():
+        return 15 if low in _vocabulary() else 16
+    if low in TITLES:
+        return 17
+    if len(word) == 1:
+        return 20
+    if low in _first_names():
+        return 21
+    if low in _vocabulary():
+        return 22
+    return 23 if word.isupper() else 25 if before == "n" else 24
+
+
+def _runs(cls: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """For each of RUNS the number of the kinds around each token; `first` and `last` bound the token's stretch."""
+    at = np.arange(len(cls))
+    near = {}
+    for o in range(-2, 2):
+        j = at + o
+        near[o] = np.where((j >= first) & (j <= last), cls[np.clip(j, 0, len(cls) - 1)], 0)
+    for run in RUNS:
+        out = np.zeros(len(cls), np.int64)
+        for o in run:
+            out = out * CLASSES + near[o]
+        yield out
+
+
+def marks_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, form) of the addresses, long numbers and codes of a text, apart from each other; what they may be is for the field to say."""
+    low = text.lower()
+    hinted = any(h in low for h in _HINTS) or " at " in low and "dot" in low
+    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)] if hinted else []
+    if _CODED.search(text):
+        for m in CODE.finditer(text):
+            s = m.group()
+            if sum(c.isdigit() for c in s) >= 5 and not s.replace(" ", "").isdigit() and any(c.isalpha() for c in s):
+                bare = re.sub(r"[^A-Z0-9]", "", s)
+                out.append((m.start(), m.end(), f"c{min(len(bare), 16)}|{re.sub('[A-Z]+', 'A', re.sub('[0-9]+', '9', bare))}"))
     for m in NUMBER.finditer(text):
+        if m.end() - m.start() < 5:
+            continue
         s = m.group()
         digits = sum(c.isdigit() for c in s)
         if digits >= 5 or s[0] == "+" or s[:2] == "(+":
             head = "+" if s[0] == "+" or s[:2] == "(+" else "(" if s[0] == "(" else "00" if s.startswith("00") else s[0] if s[0] in "012" else "9"
-            groups = re.findall(r"\d+", s)
-            seps = "".join(sorted(set(re.sub(r"[\d]", "", s).replace(" ", " ").replace(" ", " "))))
-            marks.append((m.start(), m.end(), f"n{min(digits, 16)}{head}|{'-'.join(str(len(g)) for g in groups[:8])}{seps}"))
-    for m in CODE.finditer(text):
-        s = m.group()
-        if any(c.isalpha() for c in s) and sum(c.isdigit() for c in s) >= 5:
-            bare = re.sub(r"[^A-Z0-9]", "", s)
-            marks.append((m.start(), m.end(), f"c{min(len(bare), 16)}|{re.sub('[A-Z]+', 'A', re.sub('[0-9]+', '9', bare))}"))
-    spans, types = [], []
-    marks.sort()
-    k, last = 0, 0
-    active: list[tuple[int, int, str]] = []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        gap = text[last:a]
-        before = "0" if not gap else "n" if "\n" in gap else "_"
-        while k < len(marks) and marks[k][0] < b:
-            active.append(marks[k])
-            k += 1
-        if active:
-            active = [x for x in active if x[1] > a]
-        here = [x for x in active if x[0] <= a]
-        form = ""
-        if here:
-            best = min(here, key=lambda x: (x[2] != "email", x[2][0] != "c", x[0]))
-            form = ("B" if best[0] == a else "I") + best[2]
-        spans.append((a, b))
-        types.append((m.group(), before + ("1" if b < len(text) and not text[b].isspace() else "_") + form))
-        last = b
-    return spans, types
+            seps = "".join(sorted(set(re.sub(r"\d", "", s).replace("\u00a0", " ").replace("\u202f", " "))))
+            out.append((m.start(), m.end(), f"n{min(digits, 16)}{head}|{'-'.join(str(len(g)) for g in re.findall(r'[0-9]+', s)[:8])}{seps}"))
+    if len(out) < 2:
+        return out
+    out.sort(key=lambda x: (x[2] != "email", x[2][0] != "c", x[0]))
+    kept: list[tuple[int, int, str]] = []
+    for x in out:
+        if all(x[1] <= a or x[0] >= b for a, b, _ in kept):
+            kept.append(x)
+    return sorted(kept)
+
+
+class Tokens:
+    """The tokens of many texts: places, the text and stretch each is of, and its type.
+
+    A stretch is a paragraph, whatever its length.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.marks = [marks_of(t) for t in texts]
+        joined = "\n\n".join(texts)
+        cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(cps)
+        sizes = np.array([len(t) for t in texts]) + 2
+        bases = np.cumsum(sizes) - sizes
+        cls = _classes()[np.minimum(cps, 0xFFFF)]
+        fresh = np.ones(n, bool)
+        fresh[1:] = (cls[1:] != cls[:-1]) | (cls[1:] == SIGN)
+        edges = np.flatnonzero(fresh)
+        ends = np.append(edges[1:], n)
+        real = cls[edges] != SPACE
+        lo, hi = edges[real], ends[real]
+        self.n = len(lo)
+        self.text = np.searchsorted(bases, lo, "right") - 1
+        self.lo, self.hi = lo - bases[self.text], hi - bases[self.text]
+        if not self.n:
+            self.first, self.types, self.ids = np.zeros(0, bool), [], np.zeros(0, np.int64)
+            return
+        lines = np.cumsum(cps == 10)
+        gap = np.append(0, lo[1:] - hi[:-1])
+        ended = np.append(2, lines[lo[1:]] - lines[hi[:-1] - 1])
+        self.first = ended >= 2
+        before = np.where(ended > 0, 2, np.minimum(gap, 1))
+        after = np.append(np.where(gap[1:] == 0, 1, 0), 0)
+        starts, stops, forms, names = [], [], [], {"": 0}
+        for base, ms in zip(bases.tolist(), self.marks, strict=True):
+            for a, b, form in ms:
+                starts.append(base + a)
+                stops.append(base + b)
+                forms.append(names.setdefault(form, len(names)))
+        form = np.zeros(self.n, np.int64)
+        if starts:
+            at = np.searchsorted(starts, lo, "right") - 1
+            inside = (at >= 0) & (lo < np.array(stops)[at])
+            begins = inside & np.append(True, at[1:] != at[:-1])
+            form = np.where(inside, 2 * np.array(forms)[at] + begins, 0)
+        # a hash of each word's code points, then of the whole type
+        length = hi - lo
+        pos = np.arange(n) - np.repeat(edges, ends - edges)
+        power = np.cumprod(np.full(int(length.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        kept = np.repeat(real, ends - edges)
+        prod = (cps[kept].astype(np.uint64) + np.uint64(1)) * power[np.minimum(pos[kept], len(power) - 1)]
+        key = np.add.reduceat(prod, np.cumsum(length) - length)
+        key = key * np.uint64(0xD6E8FEB86659FD93) + (form * 8 + before * 2 + after).astype(np.uint64)
+        _, where, self.ids = np.unique(key, return_index=True, return_inverse=True)
+        back = {v: k for k, v in names.items()}
+        self.types: list[Type] = []
+        for i, a, b, x, y, f in zip(where.tolist(), lo[where].tolist(), hi[where].tolist(), before[where].tolist(), after[where].tolist(), form[where].tolist(), strict=True):
+            self.types.append((joined[a:b], "0_n"[x], "_1"[y], ("B" if f % 2 else "I") + back[f // 2] if f else ""))
 
 
 class Field:
     """The trained field: feature weights by offset, and transition weights."""
 
-    def __init__(self, features: dict[str, int], weights: np.ndarray, moves: np.ndarray, start: np.ndarray):
-        self.features, self.weights, self.moves, self.start = features, weights, moves, start
-        self.rows: dict[tuple[str, str], int] = {}
+    def __init__(self, features: dict[str, int], weights: np.ndarray, runs: list[np.ndarray], moves: np.ndarray, start: np.ndarray):
+        self.features, self.weights, self.runs, self.moves, self.start = features, weights, runs, moves, start
+        self.rows: dict[Type, int] = {}
         self.table = np.zeros((0, len(OFFSETS), len(LABELS)), np.float32)
-        self.fresh: list[np.ndarray] = []
+        self.classes = np.zeros(0, np.int64)
 
     def trim(self, most: int = 300_000) -> None:
         """Forgets the token types seen so far once there are too many; between batches only."""
         if len(self.rows) > most:
             self.rows.clear()
-            self.table, self.fresh = self.table[:0], []
+            self.table, self.classes = self.table[:0], self.classes[:0]
 
-    def ids(self, types: list[tuple[str, str]]) -> np.ndarray:
-        """Row numbers of token types in the table of their weights."""
-        rows = self.rows
+    def known(self, types: list[Type]) -> np.ndarray:
+        """Row numbers of token types in the table of their weights; new types are added to it."""
+        rows, fresh = self.rows, []
         out = np.empty(len(types), np.int64)
         for i, t in enumerate(types):
             r = rows.get(t)
             if r is None:
                 r = rows[t] = len(rows)
-                f = [self.features[a] for a in _attributes(*t) if a in self.features]
-                self.fresh.append(self.weights[:, f].sum(axis=1) if f else np.zeros(self.weights.shape[::2], np.float32))
+                fresh.append(t)
             out[i] = r
+        if fresh:
+            self.classes = np.concatenate([self.classes, [_class(t[0], t[1], t[3]) for t in fresh]])
+            got = [[self.features[a] for a in _attributes(*t) if a in self.features] or [self.features["none"]] for t in fresh]
+            firsts = np.cumsum([0, *map(len, got[:-1])])
+            for lo in range(0, len(fresh), 20_000):  # bounds the memory of the gathered weights
+                hi = min(lo + 20_000, len(fresh))
+                flat = np.array([x for g in got[lo:hi] for x in g])
+                part = np.add.reduceat(self.weights[:, flat], firsts[lo:hi] - firsts[lo], axis=1)
+                self.table = np.concatenate([self.table, part.transpose(1, 0, 2).astype(np.float32)])
         return out
 
     def emissions(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Label weights of every token of the concatenated stretches."""
-        if self.fresh:
-            self.table = np.concatenate([self.table, np.stack(self.fresh).astype(np.float32)])
-            self.fresh = []
         edge = self.weights[:, self.features["edge"]]
         n = len(ids)
         ends = np.cumsum(lens)
@@ -188,9 +325,12 @@ class Field:
         out = np.zeros((n, len(LABELS)), np.float32)
         for k, o in enumerate(OFFSETS):
             j = at + o
-            ok = (j >= first) & (j <= last)
-            part = self.table[ids[np.where(ok, j, 0)], k]
-            out += np.where(ok[:, None], part, edge[k])
+            part = self.table[ids[np.clip(j, 0, n - 1)], k]
+            outside = (j < first) | (j > last)
+            part[outside] = edge[k]
+            out += part
+        for w, run in zip(self.runs, _runs(self.classes[ids], first, last), strict=True):
+            out += w[run]
         return out
 
     def viterbi(self, emit: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -198,8 +338,8 @@ class Field:
         out = np.zeros(len(emit), np.int8)
         starts = np.cumsum(lens) - lens
         order = np.argsort(lens, kind="stable")
-        for lo in range(0, len(order), 512):
-            part = order[lo : lo + 512]
+        for lo in range(0, len(order), 1024):
+            part = order[lo : lo + 1024]
             ls, ss = lens[part], starts[part]
             top = int(ls.max())
             score = emit[ss] + self.start
@@ -231,210 +371,195 @@ def _forbidden() -> np.ndarray:
     return m
 
 
+def _gathered(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of the rows of `values` that have them)."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+    return keys[order][first], np.add.reduceat(values[order], first, axis=0)
+
+
+class _Batch:
+    """Rows of the table that are learnt from together, as arrays; the longest come first."""
+
+    def __init__(self, seqs: list[np.ndarray], gold: list[np.ndarray], incidence: list[list[int]], classes: np.ndarray):
+        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
+        seqs, gold = [seqs[i] for i in order], [gold[i] for i in order]
+        self.lens = np.array([len(x) for x in seqs])
+        self.top = int(self.lens.max())
+        flat, self.y = np.concatenate(seqs), np.concatenate(gold)
+        ends = np.cumsum(self.lens)
+        first, last = np.repeat(ends - self.lens, self.lens), np.repeat(ends - 1, self.lens)
+        self.first = ends - self.lens
+        self.live = np.arange(self.top)[None, :] < self.lens[:, None]
+        self.alive = self.live.sum(axis=0)
+        # the types of the batch, the last stands for what lies beyond a stretch
+        used, local = np.unique(flat, return_inverse=True)
+        rows = [*(incidence[t] for t in used), [0]]
+        self.nt = len(rows)
+        self.ti = np.repeat(np.arange(self.nt), [len(r) for r in rows])
+        self.t_first = np.flatnonzero(np.r_[True, self.ti[1:] != self.ti[:-1]])
+        self.fi = np.array([f for r in rows for f in r])
+        at = np.arange(len(flat))
+        self.near = []
+        for o in OFFSETS:
+            j = at + o
+            self.near.append(np.where((j >= first) & (j <= last), local[np.clip(j, 0, len(flat) - 1)], self.nt - 1))
+        self.runs = list(_runs(classes[flat], first, last))
+        self.gold = np.eye(len(LABELS), dtype=np.float32)[self.y]
+        same = np.append(first[1:] == first[:-1], False)
+        self.pairs = np.zeros((len(LABELS), len(LABELS)), np.float32)
+        np.add.at(self.pairs, (self.y[:-1][same[:-1]], self.y[1:][same[:-1]]), 1)
+
+    def marginals(self, emit: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(label probabilities of each token, expected moves), by forward-backward on scaled probabilities."""
+        n, nl = len(self.lens), len(LABELS)
+        full = np.zeros((n, self.top, nl), np.float32)
+        full[self.live] = emit
+        ee, em = np.exp(full - full.max(axis=2, keepdims=True)), np.exp(moves)
+        alpha, scale = np.zeros((n, self.top, nl), np.float32), np.ones((n, self.top, 1), np.float32)
+        for t in range(self.top):
+            k = self.alive[t]
+            v = (alpha[:k, t - 1] @ em) * ee[:k, t] if t else ee[:, 0] * np.exp(start)
+            scale[:k, t] = v.sum(axis=1, keepdims=True) + 1e-30
+            alpha[:k, t] = v / scale[:k, t]
+        beta, expected = np.ones((n, self.top, nl), np.float32), np.zeros((nl, nl), np.float32)
+        for t in range(self.top - 2, -1, -1):
+            k = self.alive[t + 1]
+            v = ee[:k, t + 1] * beta[:k, t + 1] / scale[:k, t + 1]
+            expected += em * (alpha[:k, t].T @ v)
+            beta[:k, t] = v @ em.T
+        marg = (alpha * beta)[self.live]
+        return marg / np.maximum(marg.sum(axis=1, keepdims=True), 1e-30), expected
+
+
 @lru_cache(2)
-def trained(seed: int = 7, copies: int = 7, rounds: int = ROUNDS) -> Field:
-    """The field fitted to the labelled table by likelihood, with forward-backward in numpy over all rows at once."""
-    rows = labelled(seed, copies)
-    seqs, gold = [], []
-    for text, spans in rows:
-        sp, ty = tokens(text)
-        lab = np.zeros(len(sp), np.int64)
+def trained(seed: int = 7, copies: int = 4, epochs: int = EPOCHS, part: int | None = None) -> Field:
+    """The field fitted to the labelled table by likelihood: forward-backward over batches of rows, steps scaled weight by weight (AdaGrad)."""
+    rows = labelled(seed, copies, part)
+    toks = Tokens([t for t, _ in rows])
+    every = np.zeros(toks.n, np.int64)
+    bounds = np.searchsorted(toks.text, np.arange(len(rows) + 1))
+    for (_, spans), a, z in zip(rows, bounds, bounds[1:], strict=False):
         for kind, s, e in spans:
-            inside = [i for i, (a, b) in enumerate(sp) if a >= s and b <= e]
-            for q, i in enumerate(inside):
-                lab[i] = LABELS.index(("B-" if q == 0 else "I-") + kind)
-        if len(sp):
-            seqs.append(ty)
-            gold.append(lab)
+            inside = np.flatnonzero((toks.lo[a:z] >= s) & (toks.hi[a:z] <= e)) + a
+            every[inside] = LABELS.index(f"I-{kind}")
+            every[inside[:1]] = LABELS.index(f"B-{kind}")
+    seqs = [(toks.ids[a:z], every[a:z]) for a, z in zip(bounds, bounds[1:], strict=False) if z > a]
+    attrs = [_attributes(*t) for t in toks.types]
     counts: dict[str, int] = {}
-    types: dict[tuple[str, str], int] = {}
-    for ty in seqs:
-        for t in ty:
-            types.setdefault(t, len(types))
-    attrs = [_attributes(*t) for t in types]
-    for a in attrs:
-        for x in a:
-            counts[x] = counts.get(x, 0) + 1
-    features = {"edge": 0}
+    for x in (x for a in attrs for x in a):
+        counts[x] = counts.get(x, 0) + 1
+    features = {"edge": 0, "none": 1}
     for x, c in sorted(counts.items()):
         if c >= 2 or not x.startswith("f="):
             features[x] = len(features)
-    nt, nf, nl, no = len(types) + 1, len(features), len(LABELS), len(OFFSETS)
-    edge = nt - 1
-    # sparse incidence of types and features, as index pairs
-    ti = np.array([i for i, a in enumerate(attrs) for x in a if x in features] + [edge])
-    fi = np.array([features[x] for a in attrs for x in a if x in features] + [0])
-    order = np.argsort(fi, kind="stable")
-    ti_f, fi_f = ti[order], fi[order]
-    f_first = np.flatnonzero(np.r_[True, fi_f[1:] != fi_f[:-1]])
-    t_first = np.flatnonzero(np.r_[True, ti[1:] != ti[:-1]])
-    by_length = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))  # the rows alive at a step are then a prefix
-    seqs, gold = [seqs[i] for i in by_length], [gold[i] for i in by_length]
-    n, top = len(seqs), max(map(len, seqs))
-    lens = np.array([len(s) for s in seqs])
-    ids = np.full((n, top), edge)
-    y = np.zeros((n, top), np.int64)
-    for i, (s, g) in enumerate(zip(seqs, gold, strict=True)):
-        ids[i, : len(s)] = [types[t] for t in s]
-        y[i, : len(s)] = g
-    live = np.arange(top)[None, :] < lens[:, None]
-    near = []
-    for o in OFFSETS:
-        j = np.clip(np.arange(top) + o, 0, top - 1)
-        ok = (np.arange(top)[None, :] + o >= 0) & (np.arange(top)[None, :] + o < lens[:, None])
-        flat = np.where(ok, ids[:, j], edge)[live]
-        srt = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, flat[srt][1:] != flat[srt][:-1]])
-        near.append((flat, srt, first, flat[srt][first]))
-    goldhot = np.eye(nl, dtype=np.float32)[y[live]]
-    w = np.zeros((no, nf, nl), np.float32)
-    moves, start = np.zeros((nl, nl), np.float32), np.zeros(nl, np.float32)
+    incidence = [[features[x] for x in a if x in features] or [1] for a in attrs]
+    classes = np.array([_class(t[0], t[1], t[3]) for t in toks.types])
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(seqs))
+    batches = [_Batch([seqs[i][0] for i in order[lo : lo + BATCH]], [seqs[i][1] for i in order[lo : lo + BATCH]], incidence, classes) for lo in range(0, len(order), BATCH)]
+    nl = len(LABELS)
     block, block0 = _forbidden(), np.array([-1e4 if x[0] == "I" else 0 for x in LABELS], np.float32)
-    gw, gm, gs = np.full(w.shape, 1e-6, np.float32), np.full(moves.shape, 1e-6, np.float32), np.full(nl, 1e-6, np.float32)
-    pairs = np.zeros((nl, nl), np.float32)
-    both = live[:, 1:]
-    np.add.at(pairs, (y[:, :-1][both], y[:, 1:][both]), 1)
-    pos = np.cumsum(live.ravel()).reshape(live.shape) - 1
-    alive = live.sum(axis=0)
-    l2, rate = 5e-4, 0.25
-    for _ in range(rounds):
-        typew = np.zeros((no, nt, nl), np.float32)
-        typew[:, ti[t_first]] = np.add.reduceat(w[:, fi], t_first, axis=1)
-        emit = np.zeros((len(goldhot), nl), np.float32)
-        for k, (flat, *_rest) in enumerate(near):
-            emit += typew[k, flat]
-        full = np.zeros((n, top, nl), np.float32)
-        full[live] = emit
-        tr = moves + block
-        # forward-backward on scaled probabilities, a matrix product a step
-        ee = np.exp(full - full.max(axis=2, keepdims=True))
-        em = np.exp(tr)
-        alpha = np.zeros((n, top, nl), np.float32)
-        scale = np.ones((n, top, 1), np.float32)
-        for t in range(top):
-            k = alive[t]
-            v = (alpha[:k, t - 1] @ em) * ee[:k, t] if t else ee[:, 0] * np.exp(start + block0)
-            scale[:k, t] = v.sum(axis=1, keepdims=True) + 1e-30
-            alpha[:k, t] = v / scale[:k, t]
-        beta = np.ones((n, top, nl), np.float32)
-        expm = np.zeros((nl, nl), np.float32)
-        for t in range(top - 2, -1, -1):
-            k = alive[t + 1]
-            v = ee[:k, t + 1] * beta[:k, t + 1] / scale[:k, t + 1]
-            expm += em * (alpha[:k, t].T @ v)
-            beta[:k, t] = v @ em.T
-        marg = (alpha * beta)[live]
-        marg /= np.maximum(marg.sum(axis=1, keepdims=True), 1e-30)
-        diff = goldhot - marg
-        for k, (_flat, srt, first, who) in enumerate(near):
-            g_type = np.zeros((nt, nl), np.float32)
-            g_type[who] = np.add.reduceat(diff[srt], first, axis=0)
-            g = np.zeros((nf, nl), np.float32)
-            g[fi_f[f_first]] = np.add.reduceat(g_type[ti_f], f_first, axis=0)
-            g -= l2 * w[k] * len(diff) / 1000
-            gw[k] += g * g
-            w[k] += rate * g / np.sqrt(gw[k])
-        g = pairs - expm
-        gm += g * g
-        moves += rate * g / np.sqrt(gm)
-        g = diff[pos[:, 0]].sum(axis=0)
-        gs += g * g
-        start += rate * g / np.sqrt(gs)
-    return Field(features, w, moves + block, start + block0)
-
-
-_SPLIT = re.compile(r"\n[^\S\n]*\n\s*")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[A-ZÀ-ÞА-Я«“„])")
-
-
-def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Paragraphs; long ones are cut at sentence ends."""
-    at = 0
-    cuts = [m.span() for m in _SPLIT.finditer(text)] + [(len(text), len(text))]
-    for s, e in cuts:
-        if s - at <= STRETCH * 5:
-            if s > at:
-                yield at, s
-        else:
-            lo = at
-            for m in _SENTENCE.finditer(text, at, s):
-                if m.start() - lo >= STRETCH * 3 and m.end() > lo:
-                    yield lo, m.end()
-                    lo = m.end()
-            while s - lo > STRETCH * 40:  # no sentence ends in sight
-                cut = text.rfind(" ", lo, lo + STRETCH * 30)
-                cut = cut if cut > lo else lo + STRETCH * 30
-                yield lo, cut
-                lo = cut
-            if s > lo:
-                yield lo, s
-        at = e
-
-
-_HOUSE = re.compile(r"\d+\s?(?:bis|ter|quater|[A-Da-d])?\b")
-_PLACE_END = re.compile(r"[\s,;.:!?…«»“”\"(\[/]+$")
-
-
-def _fit_phone(text: str, s: int, e: int) -> tuple[int, int] | None:
+    shapes = [(len(OFFSETS), len(features), nl), *((CLASSES ** len(r), nl) for r in RUNS), (nl, nl), (nl,)]
+    weights = [np.zeros(x, np.float32) for x in shapes]
+    seen = [np.full(x, 1e-3, np.float32) for x in shapes]
+
+    def step(k: int, at, g: np.ndarray) -> None:
+        g = g - PENALTY * weights[k][at]
+        seen[k][at] += g * g
+        weights[k][at] += RATE * g / np.sqrt(seen[k][at])
+
+    for _ in range(epochs):
+        for q in rng.permutation(len(batches)):
+            b = batches[q]
+            typed = np.add.reduceat(weights[0][:, b.fi], b.t_first, axis=1)
+            emit = sum(typed[k, near] for k, near in enumerate(b.near)) + sum(w[run] for w, run in zip(weights[1:], b.runs, strict=False))
+            marg, expected = b.marginals(emit, weights[-2] + block, weights[-1] + block0)
+            diff = b.gold - marg
+            for k, near in enumerate(b.near):
+                who, g = _gathered(diff, near)
+                by_type = np.zeros((b.nt, nl), np.float32)
+                by_type[who] = g
+                fs, g = _gathered(by_type[b.ti], b.fi)
+                step(0, (k, fs), g)
+            for k, run in enumerate(b.runs, 1):
+                step(k, *_gathered(diff, run))
+            step(-2, slice(None), b.pairs - expected)
+            step(-1, slice(None), diff[b.first].sum(axis=0))
+    return Field(features, weights[0], weights[1:-2], weights[-2] + block, weights[-1] + block0)
+
+
+Marks = list[tuple[int, int, str]]
+
+
+def _digits(s: str) -> int:
+    return sum(c.isdigit() for c in s)
+
+
+def _fit_phone(text: str, s: int, e: int, marks: Marks) -> tuple[int, int] | None:
     """The number that a found place touches, from its plus sign, bracket or first digit."""
-    best = None
-    for m in NUMBER.finditer(text, max(0, s - 24), min(len(text), e + 24)):
-        if m.start() < e and m.end() > s:
-            best = m if best is None or m.end() - m.start() > best.end() - best.start() else best
-    if best is None:
+    touched = [(a, b) for a, b, form in marks if form[0] == "n" and a < e and b > s]
+    if not touched:
         return None
-    a, b = best.span()
-    got = text[a:b]
-    if got[0] == "(" and ")" not in got:
+    a, b = max(touched, key=lambda x: (x[1] - x[0], -x[0]))
+    if text[a] == "(" and ")" not in text[a:b]:
         a += 1
-    if "\n" in text[a:b]:
-        a, b = max(a, s), min(b, e)
-    return (a, b) if 7 <= sum(c.isdigit() for c in text[a:b]) <= 16 else None
+    return (a, b) if _digits(text[a:b]) >= 7 else None
+
 
+_WORDS_BEFORE = re.compile(r"(?:[A-Z]{2,}[ .\-])+(?=[A-Z]?\d)")
+_CHECK_LETTER = re.compile(r"-?[A-Z](?!\w)")
 
-def _fit_identity(text: str, s: int, e: int) -> tuple[int, int] | None:
+
+def _fit_identity(text: str, s: int, e: int, marks: Marks) -> tuple[int, int] | None:
     """The whole number or code that a found place touches, with a check letter after it."""
-    lo = max(0, s - 30)
-    for form in (NUMBER, CODE):
-        for m in form.finditer(text, lo, min(len(text), e + 30)):
-            if m.start() < e and m.end() > s and sum(c.isdigit() for c in m.group()) >= 5 and m.end() - m.start() <= 30:
-                a = m.start()
-                if form is CODE and a < s:  # the word before a number isn't part of it
-                    word = re.match(r"(?:[A-Z]{2,}[ .\-])+(?=[A-Z]?\d)", m.group())
-                    a = min(s, a + word.end()) if word else a
-                s, e = min(s, a), max(e, m.end())
-    m = re.match(r"[ \-]?[A-Z](?!\w)", text[e : e + 3])
-    if m and text[e - 1].isdigit():
-        e += m.end()
+    for a, b, form in marks:
+        if form != "email" and a < e and b > s and _digits(text[a:b]) >= 5:
+            if form[0] == "c" and a < s:  # the word before a number isn't part of it
+                word = _WORDS_BEFORE.match(text, a, b)
+                a = min(s, word.end()) if word else a
+            s, e = min(s, a), max(e, b)
+    if text[e - 1].isdigit() and (m := _CHECK_LETTER.match(text, e)):
+        e = m.end()
     while s < e and not text[s].isalnum():
         s += 1
     while e > s and not text[e - 1].isalnum():
         e -= 1
-    return (s, e) if sum(c.isdigit() for c in text[s:e]) >= 5 and "\n" not in text[s:e] else None
+    return (s, e) if _digits(text[s:e]) >= 5 and "\n" not in text[s:e] else None
+
 
+_CALLS = re.compile(r"[\s,;.]+(?:tél|tel|téléphone|phone|telefon|teléfono|fax|mobile|portable)$", re.IGNORECASE)
+_CEDEX = re.compile(r"[\s,]+Cedex(?:\s\d{1,2}\b)?|(?<=Cedex)\s\d{1,2}\b")
 
-def _fit_address(text: str, s: int, e: int) -> tuple[int, int] | None:
+
+def _fit_address(text: str, s: int, e: int, marks: Marks) -> tuple[int, int] | None:
     while s < e and not (text[s].isalnum()):
         s += 1
     while e > s and not (text[e - 1].isalnum()):
         e -= 1
-    m = re.match(r"(?:[\s,]+Cedex(?:\s\d{1,2})?)|(?<=Cedex)\s\d{1,2}\b", text[e : e + 12])
-    if m:
-        e += m.end()
+    if m := _CALLS.search(text[s:e]):
+        e = s + m.start()
+    if m := _CEDEX.match(text, e):
+        e = m.end()
     got = text[s:e]
     return (s, e) if re.search(r"\d", got) and re.search(r"[^\W\d_]{3}", got) else None
 
 
-def _fit_name(text: str, s: int, e: int) -> tuple[int, int] | None:
+_TITLE = re.compile(r"(?:Mme|Mlle|Mr|Mrs|Ms|Miss|Dr|Dra|Prof|Sr|Sra|Herr|Frau|Sig|Dott|Monsieur|Madame)\.?\s+")
+
+
+def _fit_name(text: str, s: int, e: int, marks: Marks) -> tuple[int, int] | None:
     while s < e and not text[s].isalpha():
         s += 1
     while e > s and not (text[e - 1].isalpha() or text[e - 1] in "̧̀́̂̃̈"):
         e -= 1
-    m = re.match(r"(?:Mme|Mlle|Mr|Mrs|Ms|Dr|Dra|Sr|Sra|Herr|Frau|Sig|Dott)\.?\s+", text[s:e])
-    if m and m.end() < e - s:
-        s += m.end()
-    if e <= s or not any(c.isupper() for c in text[s:e]):
+    m = _TITLE.match(text, s, e)
+    if m and m.end() < e:
+        s = m.end()
+    if e <= s or not any(c.isupper() or c >= "\u2e80" for c in text[s:e]):
         return None
+    if text[s] >= "\u2e80":  # without spaces the run itself is the name
+        return (s, e) if e - s <= 6 else None
     # a whole word or none: a place never ends inside one
     while s and (text[s - 1].isalpha() or text[s - 1] in "'’-" and s > 1 and text[s - 2].isalpha() and text[s - 1] == "-"):
         s -= 1
@@ -443,26 +568,24 @@ def _fit_name(text: str, s: int, e: int) -> tuple[int, int] | None:
     return (s, e)
 
 
-_APART = re.compile(r"\s+(?:Mme|Mlle|Mr|Mrs|Ms|Herr|Frau|Sra?|Dra?)\.?\s+|[^\S\n]*\n\s*|(?<=\w\w)\.\s+|\sM\.\s(?=\w+\s(?:propose|a|n'))")
+_APART = re.compile(r"\s+(?:Mme|Mlle|Mr|Mrs|Ms|Herr|Frau|Sra?|Dra?)\.?\s+|[^\S\n]*\n\s*|(?<=\w\w)\.\s+|\s*[;,:]\s*")
 _FIT = {"phone": _fit_phone, "identity": _fit_identity, "address": _fit_address, "name": _fit_name}
 
 
-def _checked(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def _checked(text: str, found: list[tuple[str, int, int]], marks: Marks) -> list[tuple[str, int, int]]:
     """The places found, fitted to the form of their kind; places of addresses that hold no address fall out."""
-    mails = [m.span() for m in EMAIL.finditer(text)] if any(k == "email" for k, *_ in found) else []
+    mails = [(a, b) for a, b, form in marks if form == "email"]
     out: dict[tuple[int, int], str] = {}
-    found_more = list(found)
-    for kind, s, e in found_more:
-        if kind == "name":
-            cuts = [m.span() for m in _APART.finditer(text, s, e)]
-            if cuts:
-                ends = [s, *(x for c in cuts for x in c), e]
-                found_more += [("name", a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if b > a]
-                continue
+    work = list(found)
+    for kind, s, e in work:
+        if kind == "name" and (cuts := [m.span() for m in _APART.finditer(text, s, e)]):
+            ends = [s, *(x for c in cuts for x in c), e]
+            work += [("name", a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if b > a]
+            continue
         if kind == "email":
             fit = next(((a, b) for a, b in mails if a < e and b > s), None)
         else:
-            fit = _FIT[kind](text, s, e)
+            fit = _FIT[kind](text, s, e, marks)
             if fit and kind == "name" and any(a < fit[1] and b > fit[0] for a, b in mails):
                 fit = None
         if fit and fit not in out:
@@ -476,16 +599,16 @@ def _checked(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, in
 
 
 #: Characters looked at together; bounds what a worker holds of weights and paths.
-TOGETHER = 1_500_000
+TOGETHER = 3_000_000
 
 
 def find(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int]]]:
     """[(kind, start, length)] of each text."""
     out: list[list[tuple[str, int, int]]] = []
-    part: list[str | None] = []
+    part: list[str] = []
     size = 0
     for t in texts:
-        part.append(t)
+        part.append(t or "")
         size += len(t or "")
         if size >= TOGETHER:
             out += _find(part, field)
@@ -493,46 +616,26 @@ def find(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int
     return out + (_find(part, field) if part else [])
 
 
-def _find(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int]]]:
-    where, spans, ids, lens = [], [], [], []
-    field.trim()
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        for lo, hi in stretches(t):
-            sp, ty = tokens(t[lo:hi])
-            if sp:
-                where.append((i, lo))
-                spans.append(sp)
-                ids.append(field.ids(ty))
-                lens.append(len(sp))
+def _find(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    if not lens:
+    field.trim()
+    toks = Tokens(texts)
+    if not toks.n:
         return out
-    ls = np.array(lens)
-    labels = field.viterbi(field.emissions(np.concatenate(ids), ls), ls)
-    raw: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    at = 0
-    for (i, lo), sp in zip(where, spans, strict=True):
-        lab = labels[at : at + len(sp)]
-        at += len(sp)
-        hit = np.flatnonzero(lab)
-        if not len(hit):
+    lens = np.diff(np.append(np.flatnonzero(toks.first), toks.n))
+    labels = field.viterbi(field.emissions(field.known(toks.types)[toks.ids], lens), lens)
+    raw: dict[int, list[tuple[str, int, int]]] = {}
+    hit = np.flatnonzero(labels)
+    open_: list | None = None
+    for q, lab, i, lo, hi in zip(hit.tolist(), labels[hit].tolist(), toks.text[hit].tolist(), toks.lo[hit].tolist(), toks.hi[hit].tolist(), strict=True):
+        name = LABELS[lab]
+        if open_ and name[0] == "I" and name[2:] == open_[0] and q == open_[3] + 1:
+            open_[2], open_[3] = hi, q
             continue
-        open_: list | None = None
-        for q in hit:
-            name = LABELS[lab[q]]
-            if open_ and name[0] == "I" and name[2:] == open_[0] and q == open_[3] + 1:
-                open_[2], open_[3] = sp[q][1] + lo, q
-            else:
-                if open_:
-                    raw[i].append(tuple(open_[:3]))
-                open_ = [name[2:], sp[q][0] + lo, sp[q][1] + lo, q]
-        if open_:
-            raw[i].append(tuple(open_[:3]))
-    for i, found in enumerate(raw):
-        if found:
-            out[i] = [(k, s, e - s) for k, s, e in _checked(texts[i], found)]
+        open_ = [name[2:], lo, hi, q]
+        raw.setdefault(i, []).append(open_)
+    for i, found in raw.items():
+        out[i] = [(k, s, e - s) for k, s, e in _checked(texts[i], [(k, s, e) for k, s, e, _ in found], toks.marks[i])]
     return out
 
 
@@ -547,45 +650,46 @@ def masked(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
 
 
 def _frozen(field: Field) -> tuple:
-    return field.features, field.weights, field.moves, field.start
+    return field.features, field.weights, field.runs, field.moves, field.start
 
 
-def places(docs: DataFrame, doc: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
-    """(doc_id, kind, s, l) of every personal detail, offsets in code points.
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("l", pa.int32())]))
 
-    Kinds: email, phone, identity, address, name. Null and empty texts have
-    none. Whole texts are read, each where it is; nothing is shuffled. Only the
-    weights travel with the tasks, their size set by the labelled table.
-    """
-    parts = _frozen(field or trained())
-    kind = docs.select(doc).schema[0].dataType.simpleString()
 
+def _run(parts: tuple, redact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Field(*parts)
         for b in batches:
-            rows, ks, ss, ns = [], [], [], []
-            for i, found in enumerate(find(b.column(1).to_pylist(), f)):
-                for k, s, n in found:
-                    rows.append(i)
-                    ks.append(k)
-                    ss.append(s)
-                    ns.append(n)
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ks), pa.array(ss, pa.int32()), pa.array(ns, pa.int32())], names=["doc_id", "kind", "s", "l"])
+            texts = b.column(2).to_pylist()
+            found = find(texts, f)
+            got = pa.array([masked(t, x) for t, x in zip(texts, found, strict=True)], pa.string()) if redact else pa.array([[{"kind": k, "s": s, "l": n} for k, s, n in x] for x in found], _FOUND)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), got], names=["doc_id", "_h", "got"])
 
-    return spread(docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t"))).mapInArrow(run, f"doc_id {kind}, kind string, s int, l int")
+    return run
 
 
-def redacted(docs: DataFrame, doc: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
-    """(doc_id, text) with typed placeholders in place of personal details; texts without any unchanged."""
+def _searched(docs: DataFrame, doc: str, text: str, field: Field | None, redact: bool) -> DataFrame:
+    """(doc_id, got): what was found in, or the masked form of, each document, once."""
     parts = _frozen(field or trained())
-    kind = docs.select(doc).schema[0].dataType.simpleString()
+    picked = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("_h"), F.col(text).cast("string").alias("_t")).where("doc_id is not null")
+    kind = picked.schema[0].dataType.simpleString()
+    rows = spread(picked).mapInArrow(_run(parts, redact), f"doc_id {kind}, _h bigint, got {'string' if redact else 'array<struct<kind:string,s:int,l:int>>'}")
+    return rows.groupBy("doc_id").agg(F.max(F.struct("_h", "got")).alias("_r")).select("doc_id", F.col("_r.got").alias("got"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Field(*parts)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            out = [masked(t, found) for t, found in zip(texts, find(texts, f), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return spread(docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t"))).mapInArrow(run, f"doc_id {kind}, text string")
+def places(docs: DataFrame, doc: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
+    """(doc_id, kind, s, l) of every personal detail, offsets in code points.
+
+    Kinds: email, phone, identity, address, name. Null and empty texts have
+    none; rows without a document are left out. Rows sent twice count once, of
+    different texts under one id the one with the greatest hash. Whole texts are
+    read, each where it is; only what was found is shuffled. Only the weights
+    travel with the tasks, their size set by the labelled table.
+    """
+    found = _searched(docs, doc, text, field, False)
+    return found.select("doc_id", F.explode("got").alias("x")).select("doc_id", "x.kind", "x.s", "x.l")
+
+
+def redacted(docs: DataFrame, doc: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
+    """(doc_id, text) with typed placeholders in place of personal details; texts without any unchanged. Repeated ids as in `places`."""
+    return _searched(docs, doc, text, field, True).withColumnRenamed("got", "text")

@@ -314,24 +314,46 @@ def model():
     return pii.trained()
 
 
-def test_held_out_table(model):
-    rows = pii_table.labelled(seed=99, copies=2)
-    hit = made = wanted = 0
-    for (_, spans), found in zip(rows, pii.find([t for t, _ in rows], model), strict=True):
+def test_held_out_templates():
+    """Sentences none of whose templates were learnt from."""
+    rows = pii_table.labelled(seed=99, copies=2, part=0, held=True)
+    seen = {t for t, _ in pii_table.labelled(part=0)}
+    assert not any(t in seen for t, s in rows if s)
+    hit, made, wanted = 0, 0, 0
+    for (_, spans), found in zip(rows, pii.find([t for t, _ in rows], pii.trained(part=0)), strict=True):
         a, b = {(k, s, e - s) for k, s, e in spans}, set(found)
         hit, made, wanted = hit + len(a & b), made + len(b), wanted + len(a)
-    assert hit / made > 0.95 and hit / wanted > 0.95
+    assert hit / made > 0.85 and hit / wanted > 0.85
+
+
+@pytest.mark.parametrize(("text", "details"), [
+    ("Der Antrag von Priya Raghunathan liegt bei.", ["Priya Raghunathan"]), ("“I was there,” said Quentin Abernathy-Voss.", ["Quentin Abernathy-Voss"]),
+    ("Ask Deshawn Whitfield of 1600 Elm Street.", ["Deshawn Whitfield", "1600 Elm Street"]), ("L'ufficio è in via Toledo 55, 80134 Napoli.", ["via Toledo 55, 80134 Napoli"]), ("Rendez-vous au 7 rue Lepic, 75018 Paris.", ["7 rue Lepic, 75018 Paris"]),
+    ("Звоните: Елена Соколова, +7 (495) 123-45-67.", ["Елена Соколова", "+7 (495) 123-45-67"]), ("連絡先：田中明さん（電話03-1234-5678）まで。", ["田中明", "03-1234-5678"]),
+    ("Voici le lycée Jean Moulin et la rue Victor Hugo.", []), ("ISBN 978-2-1234-5678-9, version 2.10.3, commande 12345/67.", []), ("", []),
+])
+def test_details_of_other_texts(model, text, details):
+    assert [text[s : s + n] for _, s, n in pii.find([text], model)[0]] == details
+
+
+def test_long_texts_are_not_cut(model):
+    """A detail is found wherever it stands in a paragraph of any length."""
+    filler = "the water of the old mill runs under the bridge and is not very warm in winter "
+    mail = "paula.werner@mail.example"
+    text = filler * 900 + "write to " + mail + " today " + filler * 50
+    assert [(k, text[s : s + n]) for k, s, n in pii.find([text], model)[0]] == [("email", mail)]
 
 
 def test_details(model, spark):
-    text = "Contact : Rémi Velmares, 12 bis, rue des Tanneurs, 00125 Velbourg, tél. 04 65 71 08 26. Écrire à remi [at] mail [point] example."
+    text = "Renseignements : Paul Durand, 12 bis, rue du Moulin, 75012 Lavergne, tél. 04 65 71 08 26. Écrire à paul [at] mail [point] example."
     (found,) = pii.find([text], model)
-    assert [(k, text[s : s + n]) for k, s, n in found] == [("name", "Rémi Velmares"), ("address", "12 bis, rue des Tanneurs, 00125 Velbourg"), ("phone", "04 65 71 08 26"), ("email", "remi [at] mail [point] example")]
-    assert pii.masked(text, found) == "Contact : [NAME], [ADDRESS], tél. [PHONE]. Écrire à [EMAIL]."
+    assert [(k, text[s : s + n]) for k, s, n in found] == [("name", "Paul Durand"), ("address", "12 bis, rue du Moulin, 75012 Lavergne"), ("phone", "04 65 71 08 26"), ("email", "paul [at] mail [point] example")]
+    assert pii.masked(text, found) == "Renseignements : [NAME], [ADDRESS], tél. [PHONE]. Écrire à [EMAIL]."
     assert pii.find([None, ""], model) == [[], []]
-    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string").selectExpr("*", "'x' as kind")
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (1, text), (None, text)], "doc_id bigint, text string").selectExpr("*", "'x' as kind")
     assert pii.places(docs, field=model).count() == 4
     assert [r["text"] for r in pii.redacted(docs, field=model).orderBy("doc_id").collect()][1:] == [None, ""]
+    assert pii.places(docs.limit(0), field=model).count() == 0
 
 
 def test_viterbi_is_the_best_path(model):
