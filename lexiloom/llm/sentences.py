@@ -2,9 +2,10 @@
 
 A pushdown automaton reads the events of a text: terminators, openers and
 closers of quotations and brackets, line ends, list markers, and the spaces of
-scripts that end sentences with one. Its stack holds the open quotations
-and brackets; list items are a state beside it; a terminator only ends a unit on an empty stack.
-Abbreviations are looked up in a trie, read from the terminator backwards.
+scripts that end sentences with one. Its stack holds the open levels of lists,
+by their indent, and above them the open quotations and brackets; a terminator
+only ends a unit on an empty stack, a list item ends with its level or the next
+item. Abbreviations are looked up in a trie, read from the terminator backwards.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread
-from .mojibake import Repairer, _utf8
+from .mojibake import Repairer
 from .normalize import INVISIBLE, canonical, char_class
 
 # Abbreviations that don't end a sentence, lower case, without the last full stop.
 NEVER_LAST = {
     "fr": "mm mme mmes mlle mlles dr drs pr me st ste sts stes mgr art p pp no nos cf env av pl trim bd boul fg chap éd fig vol p.ex réf tél c.-à-d dép",
-    "en": "mr mrs ms dr prof st rev hon sgt capt lt no nos p pp art fig vol approx ca cf e.g i.e vs viz eds blvd",
+    "en": "mr mrs ms dr prof st rev hon sgt capt lt gen col maj mt ft dept gov sen no nos p pp art fig vol approx ca cf e.g i.e vs viz eds blvd",
     "de": "dr prof hr fr st nr abs art s bd kap abb b z.b u.a d.h bzw ca vgl gem lt evtl ggf inkl zzgl sog geb",
     "es": "sr sra srta sres dr dra dña ud uds pág págs núm art cap vol aprox p.ej ej pza avda av fig gral prof",
     "it": "sig sig.ra sigg dott dott.ssa dr prof avv ing pag pagg n art cap vol ca cfr es p.es ad.es p.zza v fig",
@@ -34,11 +35,13 @@ NEVER_LAST = {
     "ar": "د",
 }
 # Months after the ordinal of a day, lower case.
-MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember jahrhundert januar. leden tammikuuta"
+MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember jahrhundert januar. leden tammikuuta jan feb mär apr jun jul aug sep sept okt nov dez"
 # Legal forms of firms; a number after one goes on with the sentence.
 FIRMS = frozenset("ltd inc corp co bros s.p.a s.r.l s.a s.l plc mfg".split())
 # Abbreviations that are words too and only count before a number.
-BEFORE_NUMBERS = frozenset("no nos n art fig vol cap s".split())
+BEFORE_NUMBERS = frozenset("no nos n art fig vol cap s jan janv feb févr mar apr avr jun jul juil aug août sep sept oct okt nov dec déc dez ene abr ago dic gen mag giu lug ott set out fev mai".split())
+#: Characters a clause of Thai has at least to be a unit of its own; a shorter one goes with its neighbour.
+THAI_CLAUSE = 16
 TERMINATORS = ".!?…。．！？｡؟۔।॥‼⁉⁇⁈"
 CASELESS_ENDS = "。！？｡।॥؟۔"
 OPEN = {"«": "»", "“": "”", "„": "“”", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "〈": "〉", "{": "}"}
@@ -83,6 +86,10 @@ def _months() -> frozenset[str]:
     return frozenset(MONTHS.split())
 
 
+_WORD, _HALF, _CHUNK, _DOTTED = re.compile(r"\w+"), re.compile(r"\w\."), re.compile(r"\S+"), re.compile(r"(?:[A-Z]\.)+[A-Z]")
+_THAI_GAP = re.compile("(?<=[\u0e00-\u0e7f])[^\\S\n]+(?=[\u0e00-\u0e7fA-ZÀ-Þ])|\n")
+
+
 def _skip(text: str, i: int) -> int:
     while i < len(text) and (text[i].isspace() or text[i] in INVISIBLE):
         i += 1
@@ -91,32 +98,33 @@ def _skip(text: str, i: int) -> int:
 
 def _word_before(text: str, end: int) -> str:
     i = end
-    while i and not text[i - 1].isspace() and end - i < 40:
+    while i and not text[i - 1].isspace():
         i -= 1
     return text[i:end]
 
 
-def _abbreviated(text: str, dot: int, after: str) -> bool:
-    """Whether the full stop at `dot` belongs to an abbreviation, an initial or an ordinal."""
+def _abbreviated(text: str, dot: int, nxt: int) -> bool:
+    """Whether the full stop at `dot` belongs to an abbreviation, an initial or an ordinal; `nxt` is where the text goes on."""
     word = canonical(_word_before(text, dot))
     if not word:
         return False
     bare = re.sub(r"^.*['’«“„(\[]", "", word)
     if len(bare) == 1 and bare.isalpha() and bare.isupper():
         return True
-    if bare.lower() in FIRMS and after[:1].isdigit():
+    if bare.lower() in FIRMS and text[nxt].isdigit():
         return True
-    if len(bare) == 1 and bare.isalpha() and re.match(r"\w\.", after):
+    if len(bare) == 1 and bare.isalpha() and _HALF.match(text, nxt):
         return True  # the first half of an abbreviation of two letters
     if bare.lower() in BEFORE_NUMBERS:
-        return bool(re.match(r"[\dIVXLC]", after))
+        return text[nxt].isdigit() or text[nxt] in "IVXLC" and bare.lower() not in ("mar", "set", "mai", "out")
+    if _DOTTED.fullmatch(bare) and (m := _WORD.match(text, nxt)) and text[m.end() : m.end() + 1] == "." and _trie().ends(text, m.end()):
+        return True  # letters with full stops before another abbreviation
     if _trie().ends(word, len(word)):
         return True
     if bare.lower() in ("ex", "e", "h", "a") and re.search(r"(?:^|[\s(])\w\.\s?$", text[max(0, dot - len(bare) - 4) : dot - len(bare)]):
         return True  # the second half of an abbreviation of two letters
-    if re.fullmatch(r"\d{1,2}", bare) and after:
-        m = re.match(r"\w+", canonical(_utf8(_utf8(after, "cp1252") or after, "cp1252") or after))
-        return bool(m) and m.group().lower() in _months()
+    if re.fullmatch(r"\d{1,2}", bare) and (m := _WORD.match(canonical(_CHUNK.match(text, nxt).group()))):
+        return m.group().lower() in _months()
     return False
 
 
@@ -162,10 +170,19 @@ def _block_units(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         return
     pairs = _pairs(text, lo, hi)
     closing = set(pairs.values())
-    stack: list[int] = []  # the closers that are awaited
+    levels: list[int] = []  # the lower part of the stack: indents of the open lists; an item goes to the end of its line
+    stack: list[int] = []  # the upper part: the closers that are awaited
     marker: str | None = None
-    in_list = bool(_BULLET.match(text, start, hi))
-    item_only = in_list  # an item goes to the end of its line
+    if _BULLET.match(text, start, hi):
+        levels.append(_indent(text, start))
+
+    def item(at: int) -> None:
+        """Lists deeper than the item at `at` are over; it opens a level or goes on with its own."""
+        while levels and levels[-1] > _indent(text, at):
+            levels.pop()
+        if not levels or levels[-1] < _indent(text, at):
+            levels.append(_indent(text, at))
+
     for m in _EVENTS.finditer(text, lo, hi):
         i, ev = m.start(), m.group()
         if i < start:
@@ -184,18 +201,23 @@ def _block_units(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
                 bullet = bullet or marker is not None
             else:
                 cut = bullet or _thai(before[-1])  # a terminator has had its say already
-            if item_only and not bullet and not cut:
-                # a wrapped item goes on in lower case; anything else leaves the list
-                cut = not text[nxt].islower() and before[-1] in TERMINATORS
+            if levels and not bullet and not cut:
+                # a wrapped item goes on in lower case or indented; anything else leaves the list
+                cut = not text[nxt].islower() and before[-1] in TERMINATORS and _indent(text, nxt) <= levels[-1]
             if cut:
                 yield start, start + len(before)
                 start, stack = nxt, []
-                item_only = bullet
+                if bullet:
+                    item(nxt)
+                else:
+                    levels.clear()
             continue
         if ch.isspace():  # the space that ends a Thai sentence
-            if not stack and not item_only:
-                yield start, i
-                start = m.end()
+            if not stack and not levels and i - start >= THAI_CLAUSE:
+                gap = _THAI_GAP.search(text, m.end(), hi)
+                if (gap.start() if gap else hi) - m.end() >= THAI_CLAUSE:
+                    yield start, i
+                    start = m.end()
             continue
         if ch not in TERMINATORS:
             if i in pairs:
@@ -204,16 +226,14 @@ def _block_units(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
                 del stack[stack.index(i) :]
             continue
         end = m.end()
-        if stack and not _closes_here(text, end, hi, stack):
-            continue
-        if item_only:
+        if levels or stack and not _closes_here(text, end, hi, stack):
             continue
         quoted = False
         rest = list(stack)
         j = end
         while True:  # closing marks belong to the unit, the spaces before them too
             k = j
-            while k < hi and (text[k] in "   " or text[k] in INVISIBLE):
+            while k < hi and (text[k] in " \u00a0\u202f" or text[k] in INVISIBLE):
                 k += 1
             if k < hi and (k in closing and k in rest):
                 quoted = quoted or text[k] in QUOTE_CLOSE
@@ -230,22 +250,20 @@ def _block_units(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         if rest:
             continue
         nxt = _skip(text, j)
-        if nxt >= hi:
-            continue
-        if "\n" in text[j:nxt]:
-            if _cut_after(text, ev, i, end, j, nxt, hi, quoted):
-                yield start, j
-                start, stack = _skip_space(text, j, hi), []
-                item_only = bool(_BULLET.match(text, nxt, hi))
-            continue
-        if _cut_after(text, ev, i, end, j, nxt, hi, quoted):
+        if nxt < hi and _cut_after(text, ev, i, end, j, nxt, hi, quoted):
             yield start, j
             start, stack = _skip_space(text, j, hi), []
+            if "\n" in text[j:nxt] and _BULLET.match(text, nxt, hi):
+                item(nxt)
     tail = text[start:hi].rstrip()
     if tail:
         yield start, start + len(tail)
 
 
+def _indent(text: str, at: int) -> int:
+    return at - (text.rfind("\n", 0, at) + 1)
+
+
 def _skip_space(text: str, i: int, hi: int) -> int:
     while i < hi and text[i].isspace():
         i += 1
@@ -280,10 +298,9 @@ def _cut_after(text: str, ev: str, i: int, end: int, j: int, nxt: int, hi: int,
         return False
     if after in "—–-":
         return newline
-    if ev == "." and _abbreviated(text, i, text[nxt : nxt + 24]):
+    if ev == "." and _abbreviated(text, i, nxt):
         return False
-    low = after.islower() and not text.startswith("â€", nxt)
-    if low:
+    if after.islower():
         return False
     return not (quoted and after.isdigit())
 

@@ -85,10 +85,25 @@ def test_units(parts):
 def test_lines_and_lists():
     text = "Titre (3)\n\nAu programme :\n- un parc\n- une halle\nrénovée\n\nUne phrase coupée\npar une ligne. Une autre."
     assert split(text) == ["Titre (3)", "Au programme :", "- un parc", "- une halle\nrénovée", "Une phrase coupée\npar une ligne.", "Une autre."]
-    assert split("ชาวบ้านสำรวจ 75 ภาพแล้ว การประปาขายคลอง") == ["ชาวบ้านสำรวจ 75 ภาพแล้ว", "การประปาขายคลอง"]
+    assert split("ชาวบ้านสำรวจ 75 ภาพแล้ว การประปาขายคลองเก่า") == ["ชาวบ้านสำรวจ 75 ภาพแล้ว", "การประปาขายคลองเก่า"]
     assert split("") == [] and sentences.units(None) == [] and split(" \n ") == []
 
 
+@pytest.mark.parametrize("parts", [
+    ["He joined the U.S. Dept. of Energy.", "It paid well."], ["Jan. 5 was cold.", "So was Feb. 7 of that year."], ["Am 5. Okt. 1990 fiel Schnee.", "Er blieb."], ["Voir " + "x" * 60 + " art. 5.", "Fin."],
+])
+def test_more_abbreviations(parts):
+    assert split(" ".join(parts)) == parts
+
+
+def test_list_levels_and_thai_clauses():
+    text = "À faire :\n- le toit. Neuf\n  - tuiles\n    Deux lots. En tout\n  - bois\n- la cave\nC'est tout. Merci."
+    assert split(text) == ["À faire :", "- le toit. Neuf", "- tuiles\n    Deux lots. En tout", "- bois", "- la cave\nC'est tout. Merci."]
+    assert split("- un. Deux.\nFin de liste. Suite.") == ["- un. Deux.", "Fin de liste.", "Suite."]
+    name = "ผมชื่อ สมชาย อยู่ที่ กรุงเทพ มา 20 ปี แล้ว"
+    assert split(name) == [name]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aB1 .!?…«»“”„()\n\n-:,。」「ก​ "), max_size=60))
 def test_units_cover_everything(text):
