@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import spread
+from ..runtime import latest, spread
 
 # Letters of other scripts drawn like Latin ones.
 CYRILLIC = dict(zip("асеорхуіјѕһԁԛԝӏАВСЕНІЈКМОРЅТХУԚԜ", "aceopxyijshdqwlABCEHIJKMOPSTXYQW", strict=True))
 GREEK = dict(zip("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovABEZHIKMNOPTYX", strict=True))
+# Letters that only among Latin ones pass for one of them: Greek, Armenian, Cherokee, phonetic.
+ALIKE = dict(zip("αγικρυωӏօոսհցյԼՕՍՏᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏟᏢᏦᏚᏞᏙᏴᎥɡɑ", "ayikpuwlonuhgjLOUSDRTAJEWMHGZCPKSLVBiga", strict=True))
 # Invisible characters, hyphens and spaces drawn like the ordinary ones.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160឴឵\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 HYPHENS, SPACES = "‐‑", "\u00a0\u2007\u202f"
@@ -48,6 +50,10 @@ def script(ch: str) -> str:
         return "G" if ch.isalpha() else ""
     if 0x400 <= o < 0x530:
         return "C" if ch.isalpha() else ""
+    if 0x250 <= o < 0x2B0:
+        return "L"
+    if 0x530 <= o < 0x590 or 0x13A0 <= o < 0x1400:
+        return "A" if ch.isalpha() else ""
     return ""
 
 
@@ -71,7 +77,8 @@ def unstable() -> str:
     """The characters that may not stand in normalised text, or only depending on their neighbours."""
     seconds = set()
     odd = set(INVISIBLE + HYPHENS + SPACES + SELECTORS + "\u0e4d")
-    for o in (*range(0xA0, 0x3400), *range(0xA4D0, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x12000), *range(0x1D100, 0x1D800), *range(0x1F100, 0x1F200), *range(0x2F800, 0x2FA20)):
+    # all of Unicode but unified ideographs, syllables of Hangul and private use, none of which is ever unstable
+    for o in (*range(0xA0, 0x3400), *range(0x4DC0, 0x4E00), *range(0xA000, 0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE01F0)):
         ch = chr(o)
         d = unicodedata.decomposition(ch)
         if d and not d.startswith("<") and " " in d:
@@ -81,7 +88,7 @@ def unstable() -> str:
         elif unicodedata.combining(ch):
             seconds.add(ch)
     seconds |= {chr(o) for o in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # vowels and finals of Hangul
-    return "".join(sorted(odd | seconds | set(TO_LATIN)))
+    return "".join(sorted(odd | seconds | set(TO_LATIN) | {c for c in ALIKE if script(c) == "L"}))
 
 
 def char_class(chars: str) -> str:
@@ -104,8 +111,8 @@ def unstable_re() -> re.Pattern:
     return re.compile(f"[{char_class(unstable())}]")
 
 
-# Letters of Latin beside letters of Cyrillic or Greek, modifier letters between them or not.
-_L, _CG, _MODIFIERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ", "\u0370-\u052f\u1f00-\u1fff", "\u02b0-\u02ff"
+# Letters of Latin beside letters of Cyrillic, Greek, Armenian or Cherokee, modifier letters between them or not.
+_L, _CG, _MODIFIERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ", "\u0370-\u058f\u13a0-\u13ff\u1f00-\u1fff", "\u02b0-\u02ff"
 MIXED = f"[{_L}](?=[{_MODIFIERS}]*[{_CG}])|[{_CG}](?=[{_MODIFIERS}]*[{_L}])"
 _OTHER = re.compile(f"[{_CG}]")
 
@@ -167,6 +174,9 @@ def resolve(run: str) -> tuple[str, str]:
         return run, "one"
     bare = unicodedata.normalize("NFD", run)
     sure = {s for c in bare if (s := script(c)) and not (c in TO_LATIN or (s == "L" and c in TO_CYRILLIC))}
+    odd = [c for c in bare if script(c) not in ("L", "") and c not in TO_LATIN or c in ALIKE and script(c) == "L"]
+    if odd and len(run) > 1 and all(c in ALIKE for c in odd) and any(c < "\x80" and c not in TO_CYRILLIC and c not in TO_GREEK for c in bare) and not any(0x250 <= ord(c) < 0x2B0 and c not in ALIKE for c in bare):
+        return unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, ALIKE.get(c, c)) for c in bare)), "mixed"
     if len(kinds) > 1:
         if "C" in sure and "L" not in sure and "G" not in sure:
             return unicodedata.normalize("NFC", "".join(TO_CYRILLIC.get(c, c) if script(c) == "L" else c for c in bare)), "mixed"
@@ -197,26 +207,28 @@ def _ordinary(seg: str) -> str:
 
 @lru_cache(200_000)
 def _segment(seg: str) -> str:
-    for _ in range(4):  # a resolved letter may compose with a mark after it, and so on
-        out = unicodedata.normalize("NFC", _RUN.sub(lambda m: resolve(m.group())[0], _ordinary(seg)))
-        if out == seg:
-            break
-        seg = out
+    seen: set[str] = set()
+    while seg not in seen:  # a resolved letter may compose with a mark after it, and so on
+        seen.add(seg)
+        seg = unicodedata.normalize("NFC", _RUN.sub(lambda m: resolve(m.group())[0], _ordinary(seg)))
     return seg
 
 
 def _spans(text: str, places: re.Pattern) -> Iterator[tuple[int, int]]:
-    """The unstable segments with their boundary context: whole runs of letters, marks and joiners."""
+    """The unstable segments with their boundary context: whole runs between spaces and ideographs, which no neighbour changes."""
     end, n = 0, len(text)
+    apart = lambda c: c.isspace() or "\u3400" <= c <= "\u9fff"
     for m in places.finditer(text):
         i = m.start()
         if i < end:
             continue
         lo = i
-        while lo > end and not text[lo - 1].isspace() and i - lo < 256:
+        while lo > end and not apart(text[lo - 1]):
+            lo -= 1
+        if lo > end and not text[lo - 1].isspace():
             lo -= 1
         hi = m.end()
-        while hi < n and not text[hi].isspace() and hi - i < 256:
+        while hi < n and not apart(text[hi]):
             hi += 1
         while hi < n and unicodedata.combining(text[hi]):
             hi += 1
@@ -247,7 +259,8 @@ def look(text: str) -> str:
 def judge(word: str) -> str:
     """`plain`, `variant`, or `ask` where the script of the neighbouring words decides."""
     if not gate(word).search(word):
-        return "plain"
+        # letters of Latin all of which are drawn like Cyrillic ones
+        return "ask_latin" if (bare := word.rstrip(".")) and all(c in TO_CYRILLIC for c in bare) and resolve(bare)[1] == "ask" else "plain"
     verdict = "plain"
     shown = _strip(word)
     if shown != word or _SARA_AM.search(word) or unicodedata.normalize("NFC", word) != word or any(h in word for h in HYPHENS + SPACES):
@@ -297,7 +310,7 @@ _LATIN_ASK = "".join(sorted(TO_CYRILLIC))
 SETTLED = "!-~\u00a1-\u00ac\u00ae-\u0131\u0134-\u0148\u014a-\u0173\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff\u3001-\u3002\u300c-\u300d\u2013-\u2014\u2018-\u201e\u2026"
 
 
-def variant_words(tokens: DataFrame, doc: str = "doc_id", tok: str = "tok", sent: str = "sent", word: str = "word") -> DataFrame:
+def variant_words(tokens: DataFrame, doc: str = "doc_id", tok: str = "tok", sent: str = "sent", word: str = "word", order: str | None = None) -> DataFrame:
     """(doc, tok) of each token not in plain spelling, each key once.
 
     Words without unstable characters are passed by in the JVM. The rest is
@@ -305,17 +318,21 @@ def variant_words(tokens: DataFrame, doc: str = "doc_id", tok: str = "tok", sent
     scripts is the sentence's other vocabulary counted, one row a sentence.
     A longer Latin word among Cyrillic ones may also be a name: it is left alone
     if it occurs in Latin sentences and its Cyrillic twin in no Cyrillic one.
-    Null words, documents and positions are left out.
+    Of a position sent several times the row last by `order` counts. Null words,
+    documents and positions are left out.
     """
-    t = tokens.select(F.col(doc).alias("doc_id"), F.col(tok).alias("tok"), F.coalesce(F.col(sent), F.lit(-1)).alias("sent"), F.col(word).cast("string").alias("word"))
-    t = t.where("doc_id is not null and tok is not null and word is not null")
+    t = tokens.select(F.col(doc).alias("doc_id"), F.col(tok).alias("tok"), F.coalesce(F.col(sent), F.lit(-1)).alias("sent"), F.col(word).cast("string").alias("word"), (F.col(order) if order else F.lit(0)).alias("_at"))
+    t = t.where("doc_id is not null and tok is not null")
+    if order:
+        t = latest(t, ["doc_id", "tok"], "_at", ["doc_id", "tok", "sent", "word"])
+    t = t.where("word is not null")
     # most words consist of characters that are stable in any company: one small class settles them
     odd = F.when(F.col("word").rlike(f"^[{SETTLED}]*$"), False).otherwise(F.col("word").rlike(f"[{char_class(unstable())}]|{MIXED}"))
     latin = F.col("word").rlike(f"^[{_LATIN_ASK}]+\\.?$")
     twin = F.translate(F.rtrim(F.col("word"), F.lit(".")), _LATIN_ASK, "".join(TO_CYRILLIC[c] for c in _LATIN_ASK))
     long = F.length(twin) > 3
     doubtful = t.where(odd | latin)
-    doubtful = doubtful.select("doc_id", "tok", "sent", F.when(latin & long, twin).alias("twin"), F.when(latin, "ask_latin").otherwise(judge_udf("word")).alias("verdict")).where("verdict <> 'plain'")
+    doubtful = doubtful.select("doc_id", "tok", "sent", F.when(latin & long, twin).alias("twin"), judge_udf("word").alias("verdict")).where("verdict <> 'plain'")
     sure_latin = F.col("word").rlike("[bdfghijklmnqrstuvwzDFGIJLNQRSUVWZÀ-ÖØ-öø-ɏ]")
     sure_other = F.col("word").rlike("[бгджзийлнпфцчшщъыьэюявкмтБГДЖЗИЙЛПФЦ-Яα-μξπ-ώ]") & ~F.col("word").rlike("[A-Za-z]")
     east = F.col("word").rlike("[\u3040-ヿ㐀-鿿가-\ud7af]")
@@ -338,6 +355,30 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(look_of, pa.binary()), pa.array(raw_of, pa.binary())], names=["doc_id", "_o", "look", "raw"])
 
 
+def _looks(docs: DataFrame, doc: str, text: str, order: str) -> DataFrame:
+    """(doc_id, look, raw): digests of what each text looks like and of its code points; only they leave the scan."""
+    src = docs.select(F.col(doc).alias("doc_id"), F.col(order).alias("_o"), F.col(text).cast("string").alias("_t")).where("doc_id is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
+    d = spread(src).mapInArrow(_digests, f"doc_id {kinds['doc_id']}, _o {kinds['_o']}, look binary, raw binary")
+    return d.groupBy("doc_id").agg(F.max(F.struct("_o", "look", "raw")).alias("_r")).select("doc_id", "_r.look", "_r.raw").where("look is not null")
+
+
+def look_classes(docs: DataFrame, doc: str = "doc_id", text: str = "content", order: str = "loaded_at") -> DataFrame:
+    """(doc_id, class, spelling, spellings, links): the class of texts that look like a document's.
+
+    `class` and `spelling` are digests, `spellings` the number of spellings of
+    the class, `links` that of its documents in another spelling: all pairs
+    without their being written out. Null texts have no class; of a document
+    sent twice the last counts. Counts are summed up on the map side, so a class
+    may hold any share of the documents.
+    """
+    d = _looks(docs, doc, text, order)
+    forms = d.groupBy("look", "raw").agg(F.count("*").alias("n"))
+    whole = forms.groupBy("look").agg(F.sum("n").alias("all"), F.count("*").alias("spellings"))
+    counted = forms.join(whole, "look").select("raw", "spellings", (F.col("all") - F.col("n")).alias("links"))
+    return d.join(counted, "raw").select("doc_id", F.hex("look").alias("class"), F.hex("raw").alias("spelling"), "spellings", "links")
+
+
 def look_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "content", order: str = "loaded_at") -> DataFrame:
     """(key_a, key_b): documents that look the same but differ in code points.
 
@@ -346,10 +387,7 @@ def look_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "content", orde
     texts however many there are. Null texts look like nothing; of a document
     sent twice the last counts.
     """
-    src = docs.select(F.col(doc).alias("doc_id"), F.col(order).alias("_o"), F.col(text).cast("string").alias("_t")).where("doc_id is not null")
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    d = spread(src).mapInArrow(_digests, f"doc_id {kinds['doc_id']}, _o {kinds['_o']}, look binary, raw binary")
-    d = d.groupBy("doc_id").agg(F.max(F.struct("_o", "look", "raw")).alias("_r")).select("doc_id", "_r.look", "_r.raw").where("look is not null")
+    d = _looks(docs, doc, text, order)
     forms = d.select("look", "raw").distinct()
     several = forms.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     forms = forms.join(several, "look", "left_semi")

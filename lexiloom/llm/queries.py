@@ -10,7 +10,7 @@ from . import frequency, langid, leakage, mojibake, normalize, packing, pii, sen
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    words = normalize.variant_words(table(spark, d, "sem_tokens")).selectExpr("'word' as unit", "doc_id as key_a", "cast(tok as bigint) as key_b")
+    words = normalize.variant_words(table(spark, d, "sem_tokens"), order="loaded_at").selectExpr("'word' as unit", "doc_id as key_a", "cast(tok as bigint) as key_b")
     return words.unionByName(normalize.look_pairs(table(spark, d, "sem_documents")).select(F.lit("content").alias("unit"), "key_a", "key_b"))
 
 
@@ -19,6 +19,10 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalized(words, "word", "form").groupBy("form").agg(F.count("*").alias("spellings"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.look_classes(table(spark, d, "sem_documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     samples = mojibake.samples_of(table(spark, d, "lang_samples"))
     return sentences.sentence_units(table(spark, d, "sem_documents"), order="loaded_at", only=table(spark, d, "sem_segmentations"), samples=samples)
@@ -78,7 +82,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p4_found, p4_counts, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p1_classes, p2_found, p4_found, p4_counts, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_redacted)}
 _P4 = """
 select word, count(*) as occurrences, count(distinct doc_id) as documents,
   case when count(distinct doc_id) < 3 then 'rare'

@@ -46,6 +46,30 @@ def test_latin_letters_beside_letters_without_twin(word, form):
     assert normalize.canonical(f"так, {word}.") == f"так, {form}."
 
 
+@pytest.mark.parametrize(("word", "form"), [
+    ("ρaypal", "paypal"), ("αlpha", "alpha"), ("gօօd", "good"), ("Ꮋello", "Hello"), ("ɡood", "good"), ("ɡəʊ", "ɡəʊ"), ("α", "α"), ("αβγ", "αβγ"), ("kΩ", "kΩ"), ("MOCKBA", "MOCKBA"),
+])
+def test_letters_of_more_scripts(word, form):
+    assert normalize.canonical(word) == form
+    assert (normalize.judge(word) == "variant") == (word != form)
+
+
+def test_segments_of_any_length():
+    mark = "\u0301"
+    assert normalize.canonical("x" * 400 + "e" + mark + "y" * 400) == "x" * 400 + "é" + "y" * 400
+    assert normalize.canonical("字" * 300 + "ｶﾞ" + "字" * 300) == "字" * 300 + "ガ" + "字" * 300
+
+
+def test_last_load_and_classes(spark):
+    rows = [(1, 0, 0, "cа", 1), (1, 0, 0, "ca", 2), (1, 1, 0, "le", 1), (1, 2, 0, "dé", 1), (1, 2, 0, "de\u0301", 2), (1, 3, 0, "été", 1)]
+    t = spark.createDataFrame(rows, "doc_id bigint, tok int, sent int, word string, loaded_at int")
+    assert sorted(map(tuple, normalize.variant_words(t, order="loaded_at").collect())) == [(1, 2)]
+    docs = spark.createDataFrame([(1, 1, "un chat"), (2, 1, "un chat"), (3, 1, "un сhat"), (4, 1, "chien"), (5, 1, None), (6, 1, "un chat"), (6, 2, "chien")], "doc_id bigint, loaded_at int, content string")
+    got = {r["doc_id"]: (r["spellings"], r["links"]) for r in normalize.look_classes(docs).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 2), 4: (1, 0), 6: (1, 0)}
+    assert normalize.look_classes(docs.limit(0)).count() == 0
+
+
 def test_mixed_and_long_words_are_found(spark):
     said = ["Жители знают: Xapox", "Жители знают: нaчaлa", "Жители знают: Coop", "The bank named Coop", "Жители знают: Poco", "Il dit Poco bien", "Жители знают: Росо"]
     rows = [(i, k, 0, w) for i, x in enumerate(said) for k, w in enumerate(x.split())]
