@@ -54,14 +54,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
+    """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests, a single machine) is a local
-    folder made; it is removed when the process ends.
+    Where it names none, a folder of this machine serves only if all of Spark
+    runs in one process here (tests); on a cluster that is refused, as executors
+    couldn't read each other's files.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     d = tempfile.mkdtemp(prefix="lexiloom-")
     atexit.register(shutil.rmtree, d, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", "file://" + d)
