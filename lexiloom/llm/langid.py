@@ -20,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..runtime import spread
 from .mojibake import Repairer
 from .normalize import canonical
 from .sentences import TERMINATORS, restored_units
 
-#: Longest context in bytes, bits a change of language costs, sample rows used at most.
-ORDER, SWITCH_BITS, SAMPLE_ROWS = 4, 50.0, 5_000
+#: Longest context in bytes, bits a change of language costs, sample rows a language used at most.
+ORDER, SWITCH_BITS, SAMPLE_ROWS = 4, 50.0, 400
 #: Bits a change of language costs beside a heading, length up to which a line is one.
 HEADING_BITS, HEADING_CHARS = 20.0, 100
 #: Times a word occurs in the samples of a language to be common there, bits it speaks against a language whose samples lack it.
@@ -146,8 +147,9 @@ def trees_of(samples: tuple[tuple[str, str], ...]) -> Trees:
 
 
 def samples_of(df: DataFrame, lang: str = "lang", text: str = "text", limit: int = SAMPLE_ROWS) -> tuple[tuple[str, str], ...]:
-    """At most `limit` labelled sample texts: the training data, in a fixed order."""
-    rows = df.select(F.col(lang).alias("c"), F.col(text).alias("t")).where("c is not null and t is not null").orderBy("c", "t").limit(limit).collect()
+    """At most `limit` labelled sample texts of each language, chosen by their hash: the training data, in a fixed order."""
+    by = W.Window.partitionBy("c").orderBy(F.xxhash64("t"), "t")
+    rows = df.select(F.col(lang).alias("c"), F.col(text).alias("t")).where("c is not null and t is not null").withColumn("r", F.row_number().over(by)).where(F.col("r") <= limit).orderBy("c", "t").collect()
     return tuple((r["c"], r["t"]) for r in rows)
 
 

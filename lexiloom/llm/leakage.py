@@ -4,31 +4,39 @@ The test items make a BM25 inverted index; every window of every document is a
 query against it. Scores are scaled by the least score that a window with the
 required run of an item's words can have, so that 1 is an exact threshold: no
 run scores below it. Block-max WAND finds all items at or above the threshold;
-what it finds is verified word by word.
+what it finds is verified word by word, in the question and in the answer.
+
+A large item table is indexed part by part on the executors; the parts lie in
+the shared folder, and the documents are read once, a stretch of them being
+held against one part after the other.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import shared_dir, spread
 
 #: Words a passage shares with an item, at least, in the item's order.
 RUN = 12
 K1, B = 1.2, 0.75
-#: Items of one index and of one block of its lists. More items are searched index by index.
-ITEMS, BLOCK = 20_000, 16
-#: Words looked at together.
-CHUNK = 200_000
+#: Items and characters of one part of the index, items of one block of its lists.
+ITEMS, ITEM_CHARS, BLOCK = 20_000, 20_000_000, 16
+#: Characters of documents held against the parts of the index at once.
+TOGETHER = 16_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -44,6 +52,7 @@ class Index:
         self.run = run
         texts = [(i, words(t)) for i, t in items]
         self.items = [(i, w) for i, w in texts if len(w) >= run]
+        self.asked = [len(words(t[: t.rfind("?") + 1] if "?" in t else t)) or len(words(t)) for (_, t), (_, w) in zip(items, texts, strict=True) if len(w) >= run]
         n = len(self.items)
         df = Counter(t for _, w in self.items for t in set(w))
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
@@ -121,54 +130,115 @@ class Index:
         return out
 
 
+    def overlap(self, ws: list[str], k: int) -> tuple[int, int, float, float | None]:
+        """(words of the longest common run, words of the item in runs, shares of its question and its answer in them)."""
+        w = self.items[k][1]
+        asked = self.asked[k]
+        held = {tuple(ws[p : p + self.run]) for p in range(len(ws) - self.run + 1)}
+        inside = np.zeros(len(w), bool)
+        longest = at = 0
+        for p in range(len(w) - self.run + 1):
+            if tuple(w[p : p + self.run]) in held:
+                inside[p : p + self.run] = True
+                at += 1
+                longest = max(longest, at + self.run - 1)
+            else:
+                at = 0
+        return longest, int(inside.sum()), float(inside[:asked].mean()), float(inside[asked:].mean()) if asked < len(w) else None
+
+
 @lru_cache(4)
 def index_of(items: tuple[tuple[int, str], ...], run: int) -> Index:
     return Index(items, run)
 
 
-def _matcher(items: tuple[tuple[int, str], ...], run: int):
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Documents of several batches together, up to a number of characters."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        ids.append(b.column(0))
+        texts += b.column(1).to_pylist()
+        size += b.column(1).nbytes
+        if size >= TOGETHER:
+            yield pa.concat_arrays(ids), texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), texts
+
+
+def _matcher(parts: Callable[[], Iterator[Index]]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of(items, run)
-        for b in batches:
-            docs, hits = [], []
-            for row, text in enumerate(b.column(1).to_pylist()):
-                if not text:
-                    continue
-                ws = words(text)
+        for ids, texts in _stretches(batches):
+            said = [words(t) if t else [] for t in texts]
+            for index in parts():
+                rows, hits, more = [], [], []
                 get = index.terms.get
-                ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
-                for k in index.search(ws, ids):
-                    docs.append(row)
-                    hits.append(index.items[k][0])
-            if docs:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs)), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
+                for row, ws in enumerate(said):
+                    if len(ws) < index.run:
+                        continue
+                    for k in index.search(ws, np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))):
+                        rows.append(row)
+                        hits.append(index.items[k][0])
+                        more.append(index.overlap(ws, k))
+                if rows:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*more, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(hits, pa.int64()), *cols], names=["doc_id", "item_id", *_SHARES])
 
     return go
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", run: int = RUN) -> DataFrame:
-    """(doc_id, item_id): documents that hold `run` consecutive words of an item in its order.
+_SHARES = ("longest", "covered", "question", "answer")
+
+
+def _indexed(run: int):
+    def build(key: tuple, t: pa.Table) -> pa.Table:
+        items = tuple(sorted(zip(t["i"].to_pylist(), t["t"].to_pylist(), strict=True)))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(Index(items, run))], pa.binary())})
+
+    return build
+
+
+def _stored(uri: str) -> Callable[[], Iterator[Index]]:
+    """The parts of an index in the shared folder, one after the other."""
+
+    def parts() -> Iterator[Index]:
+        fs, path = pa_fs.FileSystem.from_uri(uri)
+        for f in sorted(fs.get_file_info(pa_fs.FileSelector(path)), key=lambda x: x.path):
+            if f.path.endswith(".parquet"):
+                for group in pq.ParquetFile(fs.open_input_file(f.path)).iter_batches(batch_size=1):
+                    for x in group.column("index"):
+                        yield pickle.loads(x.as_py())
+
+    return parts
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", run: int = RUN, part_items: int = ITEMS) -> DataFrame:
+    """(doc_id, item_id, longest, covered, question, answer): documents that hold `run` consecutive words of an item in its order.
 
-    Words are the longest runs of letters and digits, compared without case.
-    Items shorter than that and null or empty texts match nothing; repeated rows
-    and equal items count once per id. Every document is read whole, in place:
-    nothing is shuffled but the few hits. The index holds a bounded number of
-    items and travels with the tasks; a larger item table is searched in blocks.
+    `longest` is the longest common run in words, `covered` how many of the
+    item's words lie in common runs, `question` and `answer` the shares of its
+    words up to its last question mark and after it that do; `answer` is null
+    where nothing follows. Words are the longest runs of letters and digits,
+    compared without case. Items shorter than that and null or empty texts match
+    nothing; repeated rows and equal items count once per id, of several texts
+    under one id the best covered. Every document is read whole and once, in
+    place: nothing is shuffled but the few hits. An item table within the bounds
+    of one part travels with the tasks; a larger one is indexed in parts on the
+    executors and read from the shared folder.
     """
-    rows = items.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t")
+    rows = items.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    parts = max(-(-n // part_items), -(-chars // ITEM_CHARS), 1)
+    if parts == 1:
+        held = tuple(sorted((r["i"], r["t"]) for r in rows.collect()))  # at most part_items rows of ITEM_CHARS characters
+        search = _matcher(lambda: iter((index_of(held, run),)))
+    else:
+        uri = f"{shared_dir(docs.sparkSession)}/leakage-{uuid.uuid4().hex}"
+        keyed = rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(int(parts))).cast("int"))
+        keyed.groupBy("part").applyInArrow(_indexed(run), "part int, index binary").write.parquet(uri)
+        search = _matcher(_stored(uri))
     kind = docs.select(doc).schema[0].dataType.simpleString()
     texts = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("_t")).where("doc_id is not null and _t is not null")
-    texts, schema = spread(texts), f"doc_id {kind}, item_id bigint"
-    out, block = None, []
-
-    def one(part: list) -> DataFrame:
-        return texts.mapInArrow(_matcher(tuple(part), run), schema)
-
-    for r in rows.toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == ITEMS:
-            out = one(block) if out is None else out.unionByName(one(block))
-            block = []
-    if block or out is None:
-        out = one(block) if out is None else out.unionByName(one(block))
-    return out.distinct()
+    found = spread(texts).mapInArrow(search, f"doc_id {kind}, item_id bigint, longest int, covered int, question double, answer double")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "longest", "question", "answer")).alias("_r"))
+    return best.select("doc_id", "item_id", *[f"_r.{c}" for c in _SHARES])

@@ -70,10 +70,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
-def p9_found(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).withColumns({c: F.round(c, 6) for c in ("question", "answer")})
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.places(table(spark, d, "documents"))
 
@@ -82,7 +90,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p1_classes, p2_found, p4_found, p4_counts, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p1_classes, p2_found, p4_found, p4_counts, p5_found, p5_segments, p7_found, p7_restored, p8_containers, p9_found, p9_overlap, p10_found, p10_redacted)}
 _P4 = """
 select word, count(*) as occurrences, count(distinct doc_id) as documents,
   case when count(distinct doc_id) < 3 then 'rare'

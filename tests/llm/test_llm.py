@@ -338,13 +338,22 @@ def test_wand_finds_every_run(rnd):
 
 def test_leaks(spark, data):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
-    got = {tuple(r) for r in leakage.leaks(docs, items).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()}
+    assert got == {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items, part_items=50).collect()}  # indexed in parts
     want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()], 12)
     assert got == want
     s = spark.createDataFrame([(1, None), (2, ""), (3, "one two")], "doc_id bigint, text string")
     assert leakage.leaks(s, items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_overlap_of_question_and_answer(spark):
+    w = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(w[:20]) + "? " + " ".join(w[20:])), (2, " ".join(w[:15]))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so " + " ".join(w[:30]) + " end"), (2, " ".join(w[18:33])), (3, " ".join(w[:11])), (1, "so " + " ".join(w[:30]) + " end")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["longest"], r["covered"], r["question"], r["answer"]) for r in leakage.leaks(docs, items).collect()}
+    assert got == {(1, 1): (30, 30, 1.0, 0.5), (1, 2): (15, 15, 1.0, None), (2, 1): (15, 15, 0.1, 0.65)}
+
+
 # --- 10: personal details ---
 
 
