@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +28,20 @@ def majority(found: DataFrame) -> DataFrame:
     return best.select("doc_id", "key", "n", "_b.value")
 
 
-def _places(tokens: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
-    """Greedy leftmost-longest places of a document's own forms, which have the given numbers of words."""
-    w = Window.partitionBy("doc_id", "sent").orderBy("pos")
-    t = tokens.select("doc_id", "sent", "pos", *[F.lead("word", i).over(w).alias(f"_w{i}") if i else F.col("word").alias("_w0") for i in range(max(lengths, default=1))])
-    out = None
-    for n in lengths:
-        whole = F.lit(True)
-        for i in range(n):
-            whole = whole & F.col(f"_w{i}").isNotNull()
-        g = t.where(whole).select("doc_id", "sent", "pos", F.lit(n).alias("n"), F.concat_ws(SEP, *[f"_w{i}" for i in range(n)]).alias("key"))
-        out = g if out is None else out.unionByName(g)
-    if out is None:
-        out = t.select("doc_id", "sent", "pos", F.lit(1).alias("n"), F.col("_w0").alias("key")).where("false")
-    hits = out.join(known, ["doc_id", "n", "key"]).groupBy("doc_id", "sent", "pos").agg(F.max(F.struct("n", "value")).alias("_b"))
+def _places(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """Greedy leftmost-longest places of a document's own forms.
+
+    A form's first word finds its possible places; only there are its other
+    words looked for, so the plan is the same however long forms are.
+    """
+    parts = F.split("key", SEP)
+    forms_ = known.select("doc_id", "n", "value", "key", parts.alias("_ks"), F.element_at(parts, 1).alias("word"))
+    t = tokens.select("doc_id", "sent", "pos", "word").where("word is not null")
+    starts = t.join(forms_, ["doc_id", "word"]).select("doc_id", "sent", F.col("pos").alias("_p"), "n", "value", "key", "_ks")
+    more = starts.where("n > 1").select("doc_id", "sent", "_p", "n", "value", "key", F.posexplode(F.expr("slice(_ks, 2, n - 1)")).alias("_i", "word"))
+    there = more.withColumn("pos", F.col("_p") + 1 + F.col("_i")).join(t, ["doc_id", "sent", "pos", "word"])
+    whole = there.groupBy("doc_id", "sent", "_p", "n", "value", "key").agg(F.count("*").alias("_c")).where("_c = n - 1").drop("_c", "key")
+    hits = starts.where("n = 1").select("doc_id", "sent", "_p", "n", "value").unionByName(whole).groupBy("doc_id", "sent", F.col("_p").alias("pos")).agg(F.max(F.struct("n", "value")).alias("_b"))
     per = hits.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "_b.n", "_b.value"))).alias("c"))
     chosen = F.expr("aggregate(c, cast(array() as array<struct<lb:int,ub:int,value:string>>), (a, x) -> case when x.pos >= coalesce(try_element_at(a, -1).ub, 0) then a || array(struct(x.pos as lb, x.pos + x.n as ub, x.value as value)) else a end)")
     return per.select("doc_id", "sent", F.explode(chosen).alias("m")).select("doc_id", "sent", "m.*")
@@ -53,8 +55,7 @@ def spread(tokens: DataFrame, col: str, out: str, overriding: bool = True) -> Da
     """
     gold = decode_chunks(tokens, col)
     known = majority(forms(tokens, gold))
-    lengths = sorted(r["n"] for r in gold.select((F.col("ub") - F.col("lb")).cast("int").alias("n")).distinct().collect())
-    found = _places(tokens, known, lengths)
+    found = _places(tokens, known)
     g = gold.select(F.col("doc_id").alias("_d"), F.col("sent").alias("_s"), F.col("lb").alias("glb"), F.col("ub").alias("gub"))
     same = (F.col("doc_id") == F.col("_d")) & (F.col("sent") == F.col("_s"))
     if overriding:
@@ -66,44 +67,65 @@ def spread(tokens: DataFrame, col: str, out: str, overriding: bool = True) -> Da
     return encode_chunks(tokens, gold.unionByName(fresh), out)
 
 
-def common_subsequence(a: str, b: str) -> str:
-    """A longest common subsequence of two strings."""
-    best = [[""] * (len(b) + 1) for _ in range(2)]
-    for i, x in enumerate(a, 1):
-        cur, old = best[i % 2], best[1 - i % 2]
-        cur[0] = ""
-        for j, y in enumerate(b, 1):
-            cur[j] = old[j - 1] + x if x == y else max(old[j], cur[j - 1], key=len)
-    return best[len(a) % 2][-1]
+#: Words a long form may have: so many for each letter of the short one, and so many more.
+PER_LETTER, MORE = 2, 3
+
+
+def _long_forms(words: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(place of an upper-case word, begin and end of the run of words on its left whose initials spell it)."""
+    initials = [w[0].upper() if w and w[0].isalpha() else "" for w in words]
+    for i, w in enumerate(words):
+        if not (len(w) > 1 and w.isupper() and w.isalpha()):
+            continue
+        # the initials to the left are matched from the last letter on; the run ends where the first one is
+        k = len(w) - 1
+        for lb in range(i - 1, max(-1, i - 1 - PER_LETTER * len(w) - MORE), -1):
+            if initials[lb] == w[k]:
+                k -= 1
+                if k < 0:
+                    yield i, lb, i
+                    break
 
 
 def abbreviations(tokens: DataFrame) -> DataFrame:
     """(doc_id, sent, pos, short, lb, ub): upper-case tokens with the words on their left whose initials spell them.
 
-    The long form is the shortest run of words to the left, in the sentence,
-    whose initials have the short form as common subsequence. One sentence is
-    gathered at a time; sentences without an upper-case token aren't at all.
+    The long form is the shortest run of words up to the token, in the sentence,
+    in which words stand in order that begin with its letters, of no more words
+    than `PER_LETTER` and `MORE` allow: farther words are no expansion. Sentences without
+    an upper-case token aren't gathered; the others are, many in a batch.
     """
-    short = F.col("word").rlike(r"^\p{Lu}{2,8}$")
+    short = F.col("word").rlike(r"^\p{Lu}{2,}$")
     has = tokens.where(short).select("doc_id", "sent").distinct()
-    some = tokens.join(has, ["doc_id", "sent"], "left_semi").select("doc_id", "sent", "pos", "word")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        words = pdf["word"].fillna("").tolist()
-        out = []
-        for i, w in enumerate(words):
-            if not (2 <= len(w) <= 8 and w.isupper() and w.isalpha()):
-                continue
-            for lb in range(i - len(w), max(-1, i - 2 * len(w) - 3), -1):
-                if lb < 0:
-                    break
-                initials = "".join(x[0].upper() for x in words[lb:i] if x and x[0].isalpha())
-                if words[lb][:1].upper() == w[0] and common_subsequence(initials, w) == w:
-                    out.append((int(pdf["pos"].iloc[i]), w, int(pdf["pos"].iloc[lb]), int(pdf["pos"].iloc[i - 1]) + 1))
-                    break
-        first = pdf.iloc[0]
-        return pd.DataFrame([(first["doc_id"], first["sent"], *r) for r in out], columns=["doc_id", "sent", "pos", "short", "lb", "ub"])
+    some = tokens.join(has, ["doc_id", "sent"], "left_semi").groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word", F.lit("")).alias("word")))).alias("t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for d, sent, t in zip(pdf["doc_id"], pdf["sent"], pdf["t"], strict=True):
+                for i, lb, ub in _long_forms([x["word"] for x in t]):
+                    out.append((d, sent, t[i]["pos"], t[i]["word"], t[lb]["pos"], t[ub - 1]["pos"] + 1))
+            yield pd.DataFrame(out, columns=["doc_id", "sent", "pos", "short", "lb", "ub"])
 
     kind = {f.name: f.dataType.simpleString() for f in tokens.schema}
-    return some.groupBy("doc_id", "sent").applyInPandas(run, f"doc_id {kind['doc_id']}, sent {kind['sent']}, pos int, short string, lb int, ub int")
+    return some.mapInPandas(run, f"doc_id {kind['doc_id']}, sent {kind['sent']}, pos int, short string, lb int, ub int")
+
+
+def spread_along(tokens: DataFrame, found: DataFrame, col: str, out: str) -> DataFrame:
+    """`tokens` with labels carried between abbreviations and their long forms.
+
+    Where a long form of `found` carries one label, all places of its short form
+    in the document get it; where a short form does, the long form gets it. A
+    token that has a label keeps it.
+    """
+    gold = decode_chunks(tokens, col)
+    longs = found.join(gold.select("doc_id", "sent", "lb", "ub", "value"), ["doc_id", "sent", "lb", "ub"])
+    by_short = longs.groupBy("doc_id", "short").agg(F.min("value").alias("value"))
+    places = tokens.where("word is not null").select("doc_id", "sent", "pos", F.col("word").alias("short"))
+    a = places.join(by_short, ["doc_id", "short"]).select("doc_id", "sent", F.col("pos").alias("lb"), (F.col("pos") + 1).alias("ub"), "value")
+    shorts = gold.where("ub = lb + 1").select("doc_id", "sent", F.col("lb").alias("pos"), "value")
+    b = found.join(shorts, ["doc_id", "sent", "pos"]).select("doc_id", "sent", "lb", "ub", "value")
+    fresh = a.unionByName(b).groupBy("doc_id", "sent", "lb", "ub").agg(F.min("value").alias("value"))
+    g = gold.select(F.col("doc_id").alias("_d"), F.col("sent").alias("_s"), F.col("lb").alias("glb"), F.col("ub").alias("gub"))
+    fresh = fresh.join(g, (F.col("doc_id") == F.col("_d")) & (F.col("sent") == F.col("_s")) & (F.col("glb") < F.col("ub")) & (F.col("lb") < F.col("gub")), "left_anti")
+    return encode_chunks(tokens, gold.unionByName(fresh), out)

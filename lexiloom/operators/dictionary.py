@@ -80,6 +80,10 @@ def candidates(tokens: DataFrame, lexicon: DataFrame, word: str = "word", nocase
     most = max(lengths, default=1)
     t = t.select("doc_id", "sent", "pos", "last", *[(F.lead("_w", i).over(w) if i else F.col("_w")).alias(f"_w{i}") for i in range(most)])
 
+    # only where an entry begins are longer runs of words put together
+    first = lexicon.select(F.element_at(F.split("key", SEP), 1).alias("_first")).distinct()
+    t = t.join(first, t["_w0"] == first["_first"], "left_semi")
+
     def gram(n: int) -> Column:
         parts = [F.col(f"_w{i}") for i in range(n)]
         whole = parts[0].isNotNull()

@@ -28,10 +28,21 @@ def paired(gold: list[dict], guess: list[dict]) -> list[tuple]:
 
     Three passes in the order (lb, -ub, value), each one to one: same place and
     another type; same type and one common end; another type and one common end.
-    What is left is silence or noise; tags that only overlap are both.
+    What is left is silence or noise; tags that only overlap are both. Guesses
+    are looked up by their ends, so a document's time goes with its tags.
     """
     order = lambda d: sorted(d, key=lambda t: (t["lb"], -t["ub"], t["value"]))
     left, right, out = order(gold), order(guess), []
+    at_lb: dict[int, list[int]] = {}
+    at_ub: dict[int, list[int]] = {}
+    for k, b in enumerate(right):
+        at_lb.setdefault(b["lb"], []).append(k)
+        at_ub.setdefault(b["ub"], []).append(k)
+    free = [True] * len(right)
+
+    def first(a, ok) -> int | None:
+        near = (next((k for k in at.get(a[end], ()) if free[k] and ok(a, right[k])), None) for at, end in ((at_lb, "lb"), (at_ub, "ub")))
+        return min((k for k in near if k is not None), default=None)
 
     def one_end(a, b):
         return (a["lb"] == b["lb"]) != (a["ub"] == b["ub"])
@@ -43,13 +54,14 @@ def paired(gold: list[dict], guess: list[dict]) -> list[tuple]:
     ):
         rest = []
         for a in left:
-            hit = next((k for k, b in enumerate(right) if ok(a, b)), None)
+            hit = first(a, ok)
             if hit is None:
                 rest.append(a)
             else:
-                out.append((kind, a, right.pop(hit)))
+                free[hit] = False
+                out.append((kind, a, right[hit]))
         left = rest
-    return out + [("silence", a, None) for a in left] + [("noise", None, b) for b in right]
+    return out + [("silence", a, None) for a in left] + [("noise", None, b) for k, b in enumerate(right) if free[k]]
 
 
 def pairs(gold: DataFrame, guess: DataFrame) -> DataFrame:

@@ -305,7 +305,17 @@ def dict_multiword(spark, d):
     return dictionary.multiword(tokens(spark, d), _pairs_lexicon(spark, d), "value", "-x", last_exception=False, lengths=[1, 2, 3]).select("doc_id", "tok", "value")
 
 
-@query()
+_SENTS = "sw as (select doc_id, sent, list(coalesce(word, chr(2)) order by pos) as ws from t group by all)"
+_LAST = f"""{_SENTS}, ls as (select doc_id, sent, max(pos) as last from t group by all), lexa as (select key, n, min(value) as mapped, string_split(key, chr(1)) as ks from f group by key, n),
+lc as (select t.doc_id, t.sent, t.pos, max(b.n) as n from t join lexa b on t.word = b.ks[1] join sw on sw.doc_id = t.doc_id and sw.sent = t.sent where list_slice(ws, t.pos + 1, t.pos + b.n) = ks group by all),
+ln as (select *, row_number() over (partition by doc_id, sent order by pos) as i from lc join ls using (doc_id, sent)),
+lm as (select doc_id, sent, i, pos as lb, pos + n as ub, true as taken, pos + n as open from ln where i = 1 union all
+  select c.doc_id, c.sent, c.i, c.pos, c.pos + c.n, c.pos >= m.open or c.pos = c.last, case when c.pos >= m.open then c.pos + c.n else m.open end from lm m join ln c on c.doc_id = m.doc_id and c.sent = m.sent and c.i = m.i + 1)"""
+
+
+@query(f"""with recursive {T}, {_ISLANDS}, {_FORMS}, {_LAST}
+select t.doc_id, t.tok, case when min(t.pos - m.lb) is null then 'O' when min(t.pos - m.lb) = 0 then 'B-x' else 'I-x' end as value
+from t left join (select * from lm where taken) m on m.doc_id = t.doc_id and m.sent = t.sent and t.pos >= m.lb and t.pos < m.ub group by t.doc_id, t.tok""")
 def dict_multiword_last(spark, d):
     """With all entries, however long and of whatever kind."""
     return dictionary.multiword(tokens(spark, d), _pairs_lexicon(spark, d, "true"), "value", "-x").select("doc_id", "tok", "value")
@@ -318,10 +328,19 @@ def dict_directory(spark, d):
     return dictionary.directory(tokens(spark, d), dictionary.keyed(lexicon(spark, d), nocase=True))
 
 
-@query()
+@query(f"""with recursive {T}, {_ISLANDS}, sw as (select doc_id, sent, list(coalesce(lower(word), chr(2)) order by pos) as ws from t group by all), ls as (select doc_id, sent, max(pos) as last from t group by all),
+lx as (select regexp_split_to_array(trim(lower(entry)), '\\s+') as ks, first(mapped order by coalesce(priority, 2147483647), dict, mapped nulls first) as v from sem_lexicon where entry is not null and trim(entry) <> '' group by 1),
+lc as (select t.doc_id, t.sent, t.pos, max(len(ks)) as n, arg_max(coalesce(v, chr(2)), len(ks)) as v from t join lx b on lower(t.word) = b.ks[1] join sw on sw.doc_id = t.doc_id and sw.sent = t.sent where list_slice(ws, t.pos + 1, t.pos + len(ks)) = ks group by all),
+ln as (select *, row_number() over (partition by doc_id, sent order by pos) as i from lc join ls using (doc_id, sent)),
+lm as (select doc_id, sent, i, pos as lb, pos + n as ub, v, true as taken, pos + n as open from ln where i = 1 union all
+  select c.doc_id, c.sent, c.i, c.pos, c.pos + c.n, c.v, c.pos >= m.open or c.pos = c.last, case when c.pos >= m.open then c.pos + c.n else m.open end from lm m join ln c on c.doc_id = m.doc_id and c.sent = m.sent and c.i = m.i + 1),
+fo as (select doc_id, sent, lb, ub, nullif(v, chr(2)) as value from lm where taken),
+ke as (select * from fo where not exists (select 1 from chunks g where g.doc_id = fo.doc_id and g.sent = fo.sent and (g.lb = fo.lb and g.ub >= fo.ub or g.ub = fo.ub and g.lb <= fo.lb))),
+st as (select * from chunks g where not exists (select 1 from ke where ke.doc_id = g.doc_id and ke.sent = g.sent and ke.lb <= g.lb and g.ub <= ke.ub))
+select doc_id, sent, cast(lb as integer) as lb, cast(ub as integer) as ub, value from st union all select doc_id, sent, cast(lb as integer), cast(ub as integer), value from ke""")
 def lexicon_annotate(spark, d):
     t = tokens(spark, d)
-    lex = dictionary.keyed(lexicon(spark, d), nocase=True).groupBy("key", "n").agg(F.min_by("mapped", F.struct(F.coalesce("priority", F.lit(2**31 - 1)), F.col("dict"))).alias("mapped"))
+    lex = dictionary.keyed(lexicon(spark, d), nocase=True).groupBy("key", "n").agg(F.min(F.struct(F.coalesce("priority", F.lit(2**31 - 1)), "dict", "mapped")).alias("_m")).select("key", "n", "_m.mapped")
     found = dictionary.longest_matches(t, lex, nocase=True, value="mapped")
     return dictionary.merge_with_gold(found, spans.decode_chunks(t, "ner"))
 
@@ -329,7 +348,9 @@ def lexicon_annotate(spark, d):
 # --- rules ---
 
 
-@query()
+@query(f"""with {T}, r as (select *, coalesce(regexp_matches(word, '^[A-Z]'), false) as cap, coalesce(regexp_matches(word, '^[A-Z]') or word = 'de', false) as member from t),
+i as (select *, sum(cast(not member as int)) over w as g from r {W}), b as (select *, min(case when cap and member then pos end) over (partition by doc_id, sent, g) as start from i)
+select doc_id, tok, case when not member or start is null or pos < start then 'O' when pos = start then 'B-caps' else 'I-caps' end as value from b""")
 def rule_match(spark, d):
     """A capitalised word, then any number of capitalised words or 'de'."""
     c = F.col("word")
@@ -542,12 +563,27 @@ def label_consistency(spark, d):
     return consistency.majority(consistency.forms(t, spans.decode_chunks(t, "ner")))
 
 
-@query()
+_PLACED = f"""{_SENTS}, bw as (select doc_id, n, value, string_split(key, chr(1)) as ks from best),
+pc as (select t.doc_id, t.sent, t.pos, max(b.n) as n, arg_max(b.value, b.n) as value from t join bw b on b.doc_id = t.doc_id and t.word = b.ks[1] join sw on sw.doc_id = t.doc_id and sw.sent = t.sent where list_slice(ws, t.pos + 1, t.pos + b.n) = ks group by all),
+pn as (select *, row_number() over (partition by doc_id, sent order by pos) as i from pc),
+pm as (select doc_id, sent, i, pos as lb, pos + n as ub, value, true as taken, pos + n as open from pn where i = 1 union all
+  select c.doc_id, c.sent, c.i, c.pos, c.pos + c.n, c.value, c.pos >= m.open, case when c.pos >= m.open then c.pos + c.n else m.open end from pm m join pn c on c.doc_id = m.doc_id and c.sent = m.sent and c.i = m.i + 1),
+found as (select doc_id, sent, lb, ub, value from pm where taken)"""
+_SPREAD = """select t.doc_id, t.tok, case when al.lb is null then 'O' when al.lb = t.pos then 'B-' || al.value else 'I-' || al.value end as value from t left join al on al.doc_id = t.doc_id and al.sent = t.sent and t.pos >= al.lb and t.pos < al.ub
+qualify row_number() over (partition by t.doc_id, t.tok order by t.pos - al.lb, al.value) = 1"""
+
+
+@query(f"""with recursive {T}, {_ISLANDS}, {_FORMS}, {_MAJ}, {_PLACED},
+fr as (select * from found f where not exists (select 1 from chunks c where c.doc_id = f.doc_id and c.sent = f.sent and c.lb = f.lb and c.ub = f.ub)),
+kept as (select * from chunks c where not exists (select 1 from fr f where c.doc_id = f.doc_id and c.sent = f.sent and f.lb <= c.lb and c.ub <= f.ub)),
+al as (select * from kept union all select * from fr) {_SPREAD}""")
 def consistency_overriding(spark, d):
     return consistency.spread(tokens(spark, d), "ner", "value").select("doc_id", "tok", "value")
 
 
-@query()
+@query(f"""with recursive {T}, {_ISLANDS}, {_FORMS}, {_MAJ}, {_PLACED},
+fr as (select * from found f where not exists (select 1 from chunks c where c.doc_id = f.doc_id and c.sent = f.sent and c.lb < f.ub and f.lb < c.ub)),
+al as (select * from chunks union all select * from fr) {_SPREAD}""")
 def consistency_filling(spark, d):
     return consistency.spread(tokens(spark, d), "ner", "value", overriding=False).select("doc_id", "tok", "value")
 
@@ -557,6 +593,12 @@ def abbreviations(spark, d):
     return consistency.abbreviations(tokens(spark, d))
 
 
+@query()
+def abbreviations_spread(spark, d):
+    t = tokens(spark, d)
+    return consistency.spread_along(t, consistency.abbreviations(t), "ner", "value").select("doc_id", "tok", "value")
+
+
 # --- evaluation: the NER layers of the tag table against the column of the token table ---
 
 
@@ -577,23 +619,52 @@ def evaluate_exact(spark, d):
     return evaluate.exact(*_gold_guess(spark, d))[0].select("doc_id", "lb", "ub", "value")
 
 
-@query()
+def _pass(k: int, g: str, s: str, same: str) -> str:
+    """One pass over what is left: each reference tag in order takes the first free guess."""
+    return f"""c{k} as (select g.doc_id, g.i, list(s.i order by s.i) as c, row_number() over (partition by g.doc_id order by g.i) as k from {g} g join {s} s on g.doc_id = s.doc_id and g.value {same} s.value and (g.lb = s.lb) <> (g.ub = s.ub) group by g.doc_id, g.i),
+r{k} as (select doc_id, k, i, c[1] as pick, [c[1]] as used from c{k} where k = 1 union all
+  select doc_id, k, i, pick, case when pick is null then used else list_append(used, pick) end from (select c.doc_id, c.k, c.i, r.used, list_filter(c.c, lambda x: not list_contains(r.used, x))[1] as pick from r{k} r join c{k} c on c.doc_id = r.doc_id and c.k = r.k + 1)),
+p{k} as (select doc_id, i as gi, pick as si from r{k} where pick is not null)"""
+
+
+def _pairing(gold: str = "g1", guess: str = "s1") -> str:
+    rest = lambda x, side, done: f"(select * from {x} anti join (" + " union all ".join(f"select doc_id, {side} as i from {p}" for p in done) + ") using (doc_id, i))"
+    order = "row_number() over (partition by doc_id order by lb, ub desc, value, n) as i"
+    return f"""gl as (select *, {order} from {gold} anti join {guess} using (doc_id, lb, ub, value, n)), sl as (select *, {order} from {guess} anti join {gold} using (doc_id, lb, ub, value, n)),
+gn as (select *, row_number() over (partition by doc_id, lb, ub order by i) as m from gl), sn as (select *, row_number() over (partition by doc_id, lb, ub order by i) as m from sl),
+pt as (select g.doc_id, g.i as gi, s.i as si from gn g join sn s using (doc_id, lb, ub, m)),
+{_pass(2, rest("gl", "gi", ["pt"]), rest("sl", "si", ["pt"]), "=")},
+{_pass(3, rest("gl", "gi", ["pt", "p2"]), rest("sl", "si", ["pt", "p2"]), "<>")},
+hit as (select *, 'type' as kind from pt union all select *, 'boundary' from p2 union all select *, 'type+boundary' from p3),
+pr as (select doc_id, 'correct' as kind, lb as gold_lb, ub as gold_ub, value as gold_value, lb as guess_lb, ub as guess_ub, value as guess_value from {gold} join {guess} using (doc_id, lb, ub, value, n) union all
+  select h.doc_id, kind, g.lb, g.ub, g.value, s.lb, s.ub, s.value from hit h join gl g on g.doc_id = h.doc_id and g.i = h.gi join sl s on s.doc_id = h.doc_id and s.i = h.si union all
+  select doc_id, 'silence', lb, ub, value, null, null, null from {rest("gl", "gi", ["hit"])} union all select doc_id, 'noise', null, null, null, lb, ub, value from {rest("sl", "si", ["hit"])})"""
+
+
+_PAIRED = f"with recursive {T}, {_ISLANDS}, {A}, {_GG}, {_pairing()}"
+_COUNTED = f"""{_PAIRED}, en as (select kind, unnest(list_distinct([x for x in [gold_value, guess_value, 'global'] if x is not null])) as entity from pr), ct as (select entity, kind, count(*) as n from en group by all)"""
+_METRIC = f"""{_COUNTED}, sm as (select entity, sum(case kind when 'correct' then n else 0 end) as c, sum(case when kind in ('type', 'boundary', 'type+boundary') then n else 0 end) as s, sum(case kind when 'noise' then n else 0 end) as o, sum(case kind when 'silence' then n else 0 end) as u from ct group by entity),
+mt as (select entity, coalesce(c / nullif(c + s + o, 0), 0) as precision, coalesce(c / nullif(c + s + u, 0), 0) as recall, coalesce(u / nullif(c + s + u, 0), 0) as under, coalesce(o / nullif(c + s + o, 0), 0) as over, coalesce(s / nullif(c + s, 0), 0) as substitution from sm),
+mf as (select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f from mt)"""
+
+
+@query(f"{_PAIRED} select doc_id, kind, cast(gold_lb as integer) as gold_lb, cast(gold_ub as integer) as gold_ub, gold_value, cast(guess_lb as integer) as guess_lb, cast(guess_ub as integer) as guess_ub, guess_value from pr")
 def evaluate_pairs(spark, d):
     return evaluate.pairs(*_gold_guess(spark, d))
 
 
-@query()
+@query(f"{_COUNTED} select entity, kind, n from ct")
 def evaluate_counts(spark, d):
     return evaluate.counts(evaluate.pairs(*_gold_guess(spark, d)))
 
 
-@query()
+@query(f"{_METRIC} select entity, round(precision, 6) as precision, round(recall, 6) as recall, round(f, 6) as f, round(under, 6) as under, round(over, 6) as over, round(substitution, 6) as substitution from mf")
 def evaluate_metrics(spark, d):
     m = evaluate.metrics(evaluate.counts(evaluate.pairs(*_gold_guess(spark, d))))
     return m.select("entity", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f", "under", "over", "substitution")])
 
 
-@query()
+@query(f"{_METRIC} select round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(f), 6) as f from mf where entity <> 'global'")
 def evaluate_macro(spark, d):
     m = evaluate.macro(evaluate.metrics(evaluate.counts(evaluate.pairs(*_gold_guess(spark, d)))))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
@@ -626,9 +697,9 @@ def search_pattern(spark, d):
     return search.pattern_hits(documents(spark, d), "[0-9]+").groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-@query(f"with {T} select distinct word, case when len(list_distinct(regexp_extract_all(word, '[^a-zA-Z0-9_]+'))) = 1 then regexp_extract(word, '[^a-zA-Z0-9_]+', 0) end as sep from t where regexp_matches(word, '^[ -~]+$')")
+@query(f"with {T} select distinct word, case when len(list_distinct(regexp_extract_all(word, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200C}}\\x{{200D}}]+'))) = 1 then regexp_extract(word, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200C}}\\x{{200D}}]+', 0) end as sep from t where word is not null")
 def word_separator(spark, d):
-    return tokens(spark, d).where(F.col("word").rlike("^[ -~]+$")).select("word").distinct().select("word", search.separator(F.col("word")).alias("sep"))
+    return tokens(spark, d).where("word is not null").select("word").distinct().select("word", search.separator(F.col("word")).alias("sep"))
 
 
 @query("select source, publisher from sem_sources where coalesce(contains(source, 'forum') or contains('forum', source), false)")
@@ -636,9 +707,9 @@ def suggestions(spark, d):
     return table(spark, d, "sem_sources").where(search.suggests(F.col("source"), F.lit("forum"))).select("source", "publisher")
 
 
-@query(f"with {T} select distinct word, cast(case when contains(word, 'e') then length(word) - instr(reverse(word), 'e') else -1 end as integer) as at from t where word is not null and regexp_matches(word, '^[ -~]*$')")
+@query(f"with {T} select distinct word, cast(case when contains(word, 'e') then length(word) - length(list_reduce(list_prepend('', string_split(word, 'e')[2:]), lambda a, b: b)) - 1 else -1 end as integer) as at from t where word is not null")
 def last_index(spark, d):
-    return tokens(spark, d).where("word is not null").where(F.col("word").rlike("^[ -~]*$")).select("word").distinct().select("word", search.last_index(F.col("word"), F.lit("e")).cast("int").alias("at"))
+    return tokens(spark, d).where("word is not null").select("word").distinct().select("word", search.last_index(F.col("word"), F.lit("e")).cast("int").alias("at"))
 
 
 @query()
