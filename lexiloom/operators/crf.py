@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,6 +98,76 @@ def emissions(obs: DataFrame, weights: DataFrame) -> DataFrame:
     return o.join(u, "obs").groupBy("doc_id", "sent", "pos", "y").agg(F.sum("w").alias("score"))
 
 
+def transitions(obs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(doc_id, sent, pos, y_prev, y, score): summed bigram weights of a token's observations; a token without any known one has no rows."""
+    o = obs.select("doc_id", "sent", "pos", F.explode("obs").alias("obs"))
+    b = weights.where("kind = 'b'").select("obs", "y_prev", "y", "w")
+    return o.join(b, "obs").groupBy("doc_id", "sent", "pos", "y_prev", "y").agg(F.sum("w").alias("score"))
+
+
+def label_scored(obs: DataFrame, weights: DataFrame, tags: list[str], out: str = "y") -> DataFrame:
+    """(doc_id, sent, pos, y, score): the best path of each sentence, scored by joins with the weight table.
+
+    The table may have any size: no worker holds it. Emission and transition
+    scores come sentence by sentence to the decoder, which runs over all
+    sentences of an Arrow batch at once. Ties go to the earlier tag of the list,
+    weights of tags not in it count for nothing, transitions count from a
+    sentence's second token on, and unknown observations weigh nothing.
+    """
+    k = len(tags)
+    known = obs.sparkSession.createDataFrame(list(enumerate(tags)), "_i int, y string")
+    e = emissions(obs, weights).join(known, "y").select("doc_id", "sent", "pos", F.col("_i").alias("c"), "score")
+    m = transitions(obs, weights).join(known, "y").withColumnRenamed("_i", "_j").join(known.withColumnRenamed("y", "y_prev"), "y_prev").select("doc_id", "sent", "pos", (F.lit(k) + F.col("_i") * k + F.col("_j")).alias("c"), "score")
+    scores = e.unionByName(m).groupBy("doc_id", "sent", "pos").agg(F.collect_list(F.struct("c", "score")).alias("cells"))
+    every = obs.select("doc_id", "sent", "pos").join(scores, ["doc_id", "sent", "pos"], "left")
+    s = every.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "cells"))).alias("t"))
+    kinds = {f.name: f.dataType.simpleString() for f in obs.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = b.column(2)
+            lens = np.diff(t.offsets.to_numpy())
+            toks = t.flatten()
+            cells = toks.field(1)
+            n = len(toks)
+            table = np.zeros((n, k + k * k))
+            held = pc.fill_null(pc.list_value_length(cells), 0).to_numpy()
+            flat = cells.flatten()
+            np.add.at(table, (np.repeat(np.arange(n), held), flat.field(0).to_numpy()), flat.field(1).to_numpy())
+            path, best = decode(table[:, :k], table[:, k:].reshape(n, k, k), lens)
+            of = pa.array(np.repeat(np.arange(len(lens)), lens))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), toks.field(0), pa.array(tags).take(pa.array(path)), pa.array(np.repeat(best, lens))], names=["doc_id", "sent", "pos", out, "score"])
+
+    return s.mapInArrow(run, f"doc_id {kinds['doc_id']}, sent {kinds['sent']}, pos {kinds['pos']}, {out} string, score double")
+
+
+def decode(emit: np.ndarray, move: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tag number of each token, score of each sentence): best paths of sentences that follow each other; the longest are decoded first, side by side."""
+    starts = np.cumsum(lens) - lens
+    order = np.argsort(-lens, kind="stable")
+    top = int(lens.max()) if len(lens) else 0
+    path, best = np.zeros(len(emit), np.int64), np.zeros(len(lens))
+    back = np.zeros(emit.shape, np.int64)
+    score = emit[starts[order]].copy() if top else emit[:0]
+    for t in range(1, top):
+        live = order[: int(np.searchsorted(-lens[order], -t, "left"))]
+        at = starts[live] + t
+        cand = score[: len(live), :, None] + move[at]
+        back[at] = cand.argmax(axis=1)
+        score[: len(live)] = cand.max(axis=1) + emit[at]
+    last = score.argmax(axis=1) if top else np.zeros(0, np.int64)
+    best[order] = score.max(axis=1) if top else 0
+    tag = np.zeros(len(lens), np.int64)
+    tag[order] = last
+    for t in range(top - 1, -1, -1):
+        live = np.flatnonzero(lens > t)
+        at = starts[live] + t
+        path[at] = tag[live]
+        if t:
+            tag[live] = back[at, tag[live]]
+    return path, best
+
+
 def best_alone(obs: DataFrame, weights: DataFrame, tags: list[str]) -> DataFrame:
     """(doc_id, sent, pos, y) of a model without bigrams: the highest score, ties to the earlier tag of the list; unknown tokens score 0 everywhere."""
     e = emissions(obs, weights)
@@ -221,55 +293,84 @@ def label(obs: DataFrame, model: Model, out: str = "y") -> DataFrame:
     return s.mapInPandas(run, f"doc_id {kinds['doc_id']}, sent {kinds['sent']}, pos {kinds['pos']}, {out} string, score double")
 
 
-def _correct(model: Model, at: dict[str, int], bigram: str):
-    """One shard's pass over its sentences: weights corrected wherever the best path is wrong."""
+def write_model(model: Model) -> str:
+    """The text form of a model, as `read_model` takes it: weights other than 0 in hexadecimal, cells in the order of the observations."""
+    entry = lambda t: f"{len(t)}:{t},"
+    names = sorted({*model.unigram, *model.bigram})
+    k = len(model.tags)
+    lines, total = [], 0
+    for o in names:
+        for w, size, on in ((model.unigram.get(o), k, o[:1] in "u*"), (model.bigram.get(o), k * k, o[:1] in "b*")):
+            if on:
+                lines += [f"{total + i}={float(x).hex()}" for i, x in enumerate(w.ravel()) if x] if w is not None else []
+                total += size
+    head = [f"#mdl#2#{len(lines)}", f"#rdr#{len(model.templates)}/0/0", *map(entry, model.templates), f"#qrk#{k}", *map(entry, model.tags), f"#qrk#{len(names)}", *map(entry, names)]
+    return "\n".join([*head, *lines, ""])
+
+
+def _gradient(model: Model, at: dict[str, int], bigram: str):
+    """Of each batch of sentences the gradient of the log-likelihood, by forward-backward; what it adds up to is summed by the caller."""
     tags, k = model.tags, len(model.tags)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        uni = {o: w.copy() for o, w in model.unigram.items()}
-        bi = {o: w.copy() for o, w in model.bigram.items()}
-        bi.setdefault(bigram, np.zeros((k, k)))
-        local = Model(tags, model.templates, uni, bi)
-        for toks in pdf.sort_values(["doc_id", "sent"])["t"]:
-            rows = [[*x["obs"], bigram] for x in toks]
-            y = [at.get(x["g"], 0) for x in toks]
-            z, _ = local.viterbi(rows)
-            for i, (o, a, b) in enumerate(zip(rows, y, z, strict=True)):
-                if a != b:
-                    for f in o[:-1]:
-                        w = uni.setdefault(f, np.zeros(k))
-                        w[a] += 1
-                        w[b] -= 1
-                if i and (y[i - 1], a) != (z[i - 1], b):
-                    bi[bigram][y[i - 1], a] += 1
-                    bi[bigram][z[i - 1], b] -= 1
-        out = [("u", o, None, tags[j], w[j]) for o, w in uni.items() for j in np.flatnonzero(w)]
-        out += [("b", o, tags[i], tags[j], w[i, j]) for o, w in bi.items() for i, j in zip(*np.nonzero(w), strict=True)]
-        return pd.DataFrame(out, columns=["kind", "obs", "y_prev", "y", "w"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            uni: dict[str, np.ndarray] = {}
+            pairs, loss, n = np.zeros((k, k)), 0.0, 0
+            em = np.exp(model.bigram.get(bigram, pairs))
+            for toks in pdf["t"]:
+                obs = [list(x["obs"]) for x in toks]
+                y = np.array([at.get(x["g"], 0) for x in toks])
+                emit = np.array([sum((model.unigram[o] for o in row if o in model.unigram), np.zeros(k)) for row in obs])
+                top = emit.max(axis=1, keepdims=True)
+                ee = np.exp(emit - top)
+                alpha, beta, scale = np.zeros_like(ee), np.ones_like(ee), np.zeros(len(ee))
+                for t in range(len(ee)):
+                    v = (alpha[t - 1] @ em if t else 1.0) * ee[t]
+                    scale[t] = v.sum()
+                    alpha[t] = v / scale[t]
+                for t in range(len(ee) - 2, -1, -1):
+                    v = ee[t + 1] * beta[t + 1] / scale[t + 1]
+                    pairs -= em * np.outer(alpha[t], v)
+                    beta[t] = em @ v
+                np.add.at(pairs, (y[:-1], y[1:]), 1)
+                diff = np.eye(k)[y] - alpha * beta
+                loss -= np.log(scale).sum() + top.sum() - emit[np.arange(len(y)), y].sum() - np.log(em[y[:-1], y[1:]]).sum()
+                n += len(y)
+                for row, g in zip(obs, diff, strict=True):
+                    for o in row:
+                        have = uni.get(o)
+                        uni[o] = g.copy() if have is None else have + g
+            out = [("u", o, None, tags[j], float(g[j])) for o, g in uni.items() for j in range(k)]
+            out += [("b", bigram, tags[i], tags[j], float(pairs[i, j])) for i in range(k) for j in range(k)]
+            yield pd.DataFrame(out, columns=["kind", "obs", "y_prev", "y", "w"])
 
     return run
 
 
-def train(obs: DataFrame, gold: str, tags: list[str], templates: list[str], rounds: int = 3, bigram: str = "b", shards: int = 8) -> DataFrame:
-    """The weight table of an averaged structured perceptron trained by iterative parameter mixing.
+def train(obs: DataFrame, gold: str, tags: list[str], templates: list[str], rounds: int = 3, bigram: str = "b", rate: float = 0.5, penalty: float = 0.01) -> DataFrame:
+    """The weight table of a linear-chain conditional random field, fitted to the gold column of `obs` by likelihood.
 
-    Each round, every shard of sentences corrects the mixed weights on its own;
-    the shards' weights are averaged by a group-by. `obs` has the gold column.
+    Each round the gradient is summed over all sentences where they lie, batch by
+    batch, and added up by a group-by; weights move by steps scaled to the
+    gradients so far (AdaGrad), so that rare observations learn too. Unknown gold
+    labels count as the first tag. Every worker holds the weights, at most
+    `WEIGHTS` of them; rarer observations than fit must be left out beforehand.
     """
     spark = obs.sparkSession
-    s = obs.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "obs", F.col(gold).alias("g")))).alias("t"))
-    s = s.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "sent"), F.lit(shards)).cast("int")).persist()
+    s = obs.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "obs", F.col(gold).alias("g")))).alias("t")).select("t").persist()
     schema = "kind string, obs string, y_prev string, y string, w double"
-    weights = spark.createDataFrame([], schema)
+    state = spark.createDataFrame([], schema + ", acc double")
     at = {t: i for i, t in enumerate(tags)}
+    key = ["kind", "obs", "y_prev", "y"]
     for _ in range(rounds):
-        model = model_of(weights, tags, templates)
-
-        parts = s.groupBy("_shard").applyInPandas(_correct(model, at, bigram), schema)
-        mixed = parts.groupBy("kind", "obs", "y_prev", "y").agg((F.sum("w") / shards).alias("w")).where("w <> 0")
-        rows = mixed.limit(WEIGHTS + 1).collect()
+        model = model_of(state, tags, templates)
+        g = s.mapInPandas(_gradient(model, at, bigram), schema).groupBy(*key).agg(F.sum("w").alias("g"))
+        same = [g[c].eqNullSafe(state[c]) for c in key]
+        both = g.join(state, same[0] & same[1] & same[2] & same[3], "left").select(*[g[c] for c in key], "g", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("acc", F.lit(1e-3)).alias("acc"))
+        both = both.withColumn("g", F.col("g") - F.lit(penalty) * F.col("w")).withColumn("acc", F.col("acc") + F.col("g") * F.col("g"))
+        rows = both.select(*key, (F.col("w") + F.lit(rate) * F.col("g") / F.sqrt("acc")).alias("w"), "acc").limit(WEIGHTS + 1).collect()
         if len(rows) > WEIGHTS:
             raise ValueError(f"more than {WEIGHTS} weights don't fit a worker")
-        weights = spark.createDataFrame(rows, schema)
+        state = spark.createDataFrame(rows, schema + ", acc double")
     s.unpersist()
-    return weights
+    return state.select(*key, "w")

@@ -361,6 +361,7 @@ def rule_match(spark, d):
 # --- models ---
 
 _TPL = ["u:word=%x[0,8]", "u:prev=%x[-1,8]", "u:shape=%t[0,8,\"^[A-Z]\"]"]
+_TPL_B = [*_TPL, "b:%t[0,8,\"^[a-z]\"]"]
 
 
 def _obs(spark, d):
@@ -400,15 +401,48 @@ def crf_argmax(spark, d):
     return crf.best_alone(_obs(spark, d), _weights(spark, d), ["B-NP", "I-NP", "O"])
 
 
-@query()
+def _paired_obs(spark, d):
+    return crf.observations(tokens(spark, d), _TPL_B, TOKENS)
+
+
+def _paired_weights(spark, d):
+    """The weights by counts, and for pairs of labels the like."""
+    t = tokens(spark, d)
+    y = t.select("doc_id", "sent", "pos", F.coalesce("chunk", F.lit("O")).alias("y"), F.coalesce(X.shifted(F.coalesce("chunk", F.lit("O")), -1, _w()), F.lit("-")).alias("y_prev"))
+    o = _paired_obs(spark, d).select("doc_id", "sent", "pos", F.element_at("obs", -1).alias("obs")).join(y, ["doc_id", "sent", "pos"]).where("y_prev <> '-'")
+    b = o.groupBy("obs", "y_prev", "y").agg(F.count("*").alias("c")).select(F.lit("b").alias("kind"), "obs", "y_prev", "y", (F.pmod(F.col("c") * 5, F.lit(29)) / 4.0).alias("w"))
+    return _weights(spark, d).unionByName(b)
+
+
+_BOBS = f"""bo as (select doc_id, sent, pos, 'b:' || case when coalesce(regexp_matches(word, '^[a-z]'), false) then 'true' else 'false' end as obs, coalesce(chunk, 'O') as y, lag(coalesce(chunk, 'O')) over w as y_prev from t {W}),
+bw as (select obs, y_prev, y, cast((count(*) * 5) % 29 as double) / 4 as w from bo where y_prev is not null group by all)"""
+
+
+@query(f"with {T}, {_BOBS} select doc_id, sent, pos, bw.y_prev, bw.y, bw.w as score from bo join bw using (obs)")
+def crf_transitions(spark, d):
+    return crf.transitions(_paired_obs(spark, d), _paired_weights(spark, d))
+
+
+_MOVE = ", ".join(f"sum(case when y_prev = '{a}' and y = '{b}' then w else 0 end) as m{i}{j}" for i, a in enumerate(("B-NP", "I-NP", "O")) for j, b in enumerate(("B-NP", "I-NP", "O")))
+_STEP = ", ".join(f"greatest(s0 + m0{j}, s1 + m1{j}, s2 + m2{j}) + e{j}" for j in range(3))
+_TRACE = ", ".join(f"case when s0 + m0{j} >= s1 + m1{j} and s0 + m0{j} >= s2 + m2{j} then list_append(p0, {j}) when s1 + m1{j} >= s2 + m2{j} then list_append(p1, {j}) else list_append(p2, {j}) end" for j in range(3))
+
+
+@query(f"""with recursive {T}, {_OBS}, {_WTS}, {_BOBS}, mv as (select obs, {_MOVE} from bw group by obs),
+em as (select doc_id, sent, pos, sum(case y when 'B-NP' then w else 0 end) as e0, sum(case y when 'I-NP' then w else 0 end) as e1, sum(case y when 'O' then w else 0 end) as e2 from e join wt using (obs) group by all),
+tk as (select *, row_number() over (partition by doc_id, sent order by pos) as k from (select * from bo join mv using (obs)) b join em using (doc_id, sent, pos)),
+v as (select doc_id, sent, k, e0 as s0, e1 as s1, e2 as s2, [0] as p0, [1] as p1, [2] as p2 from tk where k = 1 union all select tk.doc_id, tk.sent, tk.k, {_STEP}, {_TRACE} from v join tk on tk.doc_id = v.doc_id and tk.sent = v.sent and tk.k = v.k + 1),
+en as (select doc_id, sent, greatest(s0, s1, s2) as score, case when s0 >= s1 and s0 >= s2 then p0 when s1 >= s2 then p1 else p2 end as path from v qualify row_number() over (partition by doc_id, sent order by k desc) = 1)
+select tk.doc_id, tk.sent, tk.pos, ['B-NP', 'I-NP', 'O'][path[k] + 1] as y, score from tk join en using (doc_id, sent)""")
 def crf_viterbi(spark, d):
-    model = crf.model_of(_weights(spark, d), ["B-NP", "I-NP", "O"], _TPL)
-    return crf.label(_obs(spark, d), model)
+    return crf.label_scored(_paired_obs(spark, d), _paired_weights(spark, d), ["B-NP", "I-NP", "O"])
 
 
-@query(f"with {T}, {_OBS}, {_WTS} select 'u' as kind, obs, y, w from wt where w <> 0")
+@query(f"with {T}, {_OBS}, {_WTS}, {_BOBS} select 'u' as kind, obs, null as y_prev, y, w from wt where w <> 0 union all select 'b', obs, y_prev, y, w from bw where w <> 0")
 def crf_dump(spark, d):
-    return crf.dump(crf.model_of(_weights(spark, d), ["B-NP", "I-NP", "O"], _TPL), spark).select("kind", "obs", "y", "w")
+    """Written as text and read again."""
+    model = crf.read_model(crf.write_model(crf.model_of(_paired_weights(spark, d), ["B-NP", "I-NP", "O"], _TPL_B)))
+    return crf.dump(model, spark)
 
 
 @query()

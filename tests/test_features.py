@@ -132,6 +132,28 @@ def test_model(spark, sentence):
     assert back.viterbi([["u:f=OIES"], ["u:f=Lundi"], ["u:f=?"]])[0] == [1, 0, 0]
 
 
+def test_text_form_and_scores_by_joins(spark, sentence):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    obs = crf.observations(sentence, ["u:f=%x[0,0]", 'b:%t[0,0,"^\\u"]'], ["word"])
+    m = crf.Model(("P", "Q", "R"), ("u:f=%x[0,0]",), {f"u:f={w}": rng.integers(-4, 5, 3) / 2 for w in WORDS[:5]}, {f"b:{b}": rng.integers(-4, 5, (3, 3)) / 2 for b in ("true", "false")})
+    back = crf.read_model(crf.write_model(m))
+    assert back.tags == m.tags and all((back.unigram[o] == w).all() for o, w in m.unigram.items()) and all((back.bigram[o] == w).all() for o, w in m.bigram.items())
+    by_model = [(r["y"], r["score"]) for r in crf.label(obs, m).orderBy("pos").collect()]
+    assert [(r["y"], r["score"]) for r in crf.label_scored(obs, crf.dump(m, spark), list(m.tags)).orderBy("pos").collect()] == by_model
+
+
+def test_training_fits_and_generalises(spark, data):
+    t = spark.read.parquet(f"{data}/sem_tokens.parquet").where("chunk is not null").dropDuplicates(["doc_id", "tok"])
+    tpl = ["u:w=%x[0,0]", "u:p=%x[-1,0]", "u:t=%x[0,1]", "u:n=%x[1,1]"]
+    o = crf.observations(t, tpl, ["word", "pos_tag"]).join(t.select("doc_id", "sent", "pos", F.col("chunk").alias("g")), ["doc_id", "sent", "pos"])
+    held = F.pmod(F.xxhash64("doc_id", "sent"), F.lit(5)) == 0
+    w = crf.train(o.where(~held), "g", ["O", "B-NP", "I-NP"], tpl, rounds=4)
+    y = crf.label_scored(o.where(held), w, ["O", "B-NP", "I-NP"]).join(o.select("doc_id", "sent", "pos", "g"), ["doc_id", "sent", "pos"])
+    assert y.agg(F.avg((F.col("y") == F.col("g")).cast("int"))).first()[0] > 0.85
+
+
 def test_moves_outweigh_words():
     import numpy as np
 
