@@ -72,18 +72,19 @@ PER_LETTER, MORE = 2, 3
 
 
 def _long_forms(words: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(place of an upper-case word, begin and end of the run of words on its left whose initials spell it)."""
+    """(place of an upper-case word, begin and end of the run of words on its left, from its first to its last letter)."""
     initials = [w[0].upper() if w and w[0].isalpha() else "" for w in words]
     for i, w in enumerate(words):
         if not (len(w) > 1 and w.isupper() and w.isalpha()):
             continue
         # the initials to the left are matched from the last letter on; the run ends where the first one is
-        k = len(w) - 1
+        k, ub = len(w) - 1, i
         for lb in range(i - 1, max(-1, i - 1 - PER_LETTER * len(w) - MORE), -1):
             if initials[lb] == w[k]:
+                ub = lb + 1 if k == len(w) - 1 else ub
                 k -= 1
                 if k < 0:
-                    yield i, lb, i
+                    yield i, lb, ub
                     break
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import compile_xml
 from ..operators import spans
 from ..plans.pipeline import Corpus, Pipeline, layer_tags
-from ..runtime import shared_dir, table
+from ..runtime import latest, shared_dir, table
 from ..sources import readers, sinks
 from ..streaming import stream
 from .ops import D, T, A, W, _ISLANDS, annotations, documents, tokens
@@ -37,7 +37,7 @@ def read_distinct_names(spark, d):
     return readers.distinct_by_name(documents(spark, d), "name", ["loaded_at", "doc_id"]).select("doc_id", "name")
 
 
-_LINES = """l as (select line_id, file as doc_id, line_no, raw from conll_lines where not starts_with(raw, '#')),
+_LINES = """o as (select * from conll_lines qualify row_number() over (partition by file, line_no order by received_at desc nulls last, line_id desc, raw desc nulls last) = 1), l as (select line_id, file as doc_id, line_no, raw from o where not starts_with(raw, '#')),
 s as (select *, sum(cast(trim(raw) = '' as int)) over (partition by doc_id order by line_no, line_id) as g from l),
 c as (select doc_id, line_no, line_id, g, string_split(raw, chr(9)) as f from s where trim(raw) <> ''),
 p as (select *, cast(dense_rank() over (partition by doc_id order by g) - 1 as integer) as sent, f[3] as word, f[6] as ner, length(coalesce(f[3], '')) as n from c)"""
@@ -46,7 +46,8 @@ p as (select *, cast(dense_rank() over (partition by doc_id order by g) - 1 as i
 @query(f"""with {_LINES} select doc_id, sent, cast(row_number() over (partition by doc_id, sent order by line_no, line_id) - 1 as integer) as pos, cast(row_number() over (partition by doc_id order by line_no, line_id) - 1 as integer) as tok,
 cast(sum(n + 1) over (partition by doc_id order by line_no, line_id) - n - 1 as integer) as lb, cast(sum(n + 1) over (partition by doc_id order by line_no, line_id) - 1 as integer) as ub, word, ner from p""")
 def read_conll(spark, d):
-    lines = table(spark, d, "conll_lines").where("not startswith(raw, '#')").select(F.col("file").alias("doc_id"), F.struct("line_no", "line_id").alias("line_no"), "raw")
+    last = latest(table(spark, d, "conll_lines"), ["file", "line_no"], "received_at", ["file", "line_no", "line_id", "raw"])
+    lines = last.where("not startswith(raw, '#')").select(F.col("file").alias("doc_id"), F.struct("line_no", "line_id").alias("line_no"), "raw")
     return readers.conll_tokens(lines, ["f1", "f2", "word", "f4", "f5", "ner"], "word").drop("f1", "f2", "f4", "f5")
 
 
@@ -102,20 +103,40 @@ for _fmt in sinks.EXPORTERS:
 
 
 def _back(fmt: str, reader):
+    """All tags of all layers, and the spans of tokens, as a reader gives them back from an exported document."""
+
     def f(spark: SparkSession, d: str):
         docs = sinks.export(_bundle(spark, d), fmt).select(F.col("doc_id").cast("string").alias("name"), "payload")
-        got = readers.tag_rows(reader(docs))
-        return got.where("lower(layer) = 'ner'").groupBy("value").agg(F.count("*").alias("tags"), F.sum("lb").alias("places"), F.sum("ub").alias("ends"))
+        layered = reader(docs)
+        tags = readers.tag_rows(layered).select("name", F.lower("layer").alias("layer"), "value", "lb", "ub")
+        spans_ = readers.span_rows(layered).where("layer = 'tokens'").select(F.lit(None).cast("string").alias("value"), "name", "layer", "lb", "ub")
+        names = layered.select("name", F.length("content").alias("ub"))
+        whole = names.select("name", F.lit("content").alias("layer"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("lb"), "ub")
+        return tags.unionByName(spans_).unionByName(whole).withColumns({c: F.col(c).cast("bigint") for c in ("lb", "ub")})
 
     f.__name__ = f"read_{fmt}"
     return f
 
 
-_BACK = f"""with {T}, {D}, {_ISLANDS}, k as (select c.value, b.lb, e.ub from chunks c join t b on b.doc_id = c.doc_id and b.sent = c.sent and b.pos = c.lb join t e on e.doc_id = c.doc_id and e.sent = c.sent and e.pos + 1 = c.ub where c.doc_id in (select doc_id from d))
-select value, count(*) as tags, cast(sum(lb) as bigint) as places, cast(sum(ub) as bigint) as ends from k group by value"""
+def _char(select_from: str) -> str:
+    return f"select cast(x.doc_id as varchar) as name, b.lb, e.ub, x.value, x.layer from ({select_from}) x join t b on b.doc_id = x.doc_id and b.sent = x.sent and b.pos = x.lb join t e on e.doc_id = x.doc_id and e.sent = x.sent and e.pos + 1 = x.ub where x.doc_id in (select doc_id from d)"
+
+
+_CHUNKED = _ISLANDS.replace("ner", "chunk").replace("chunks as", "h5 as").replace("k3", "h3").replace("k2", "h2").replace("k as (", "h1 as (").replace("from k ", "from h1 ").replace("\nc as (", "\nh4 as (").replace("from c where", "from h4 where")
+_POSES = f"""z1 as (select *, case when pos_tag is null then null else cast(not starts_with(pos_tag, '_') as int) end as fresh from t where pos_tag is not null), z2 as (select *, sum(fresh) over w as g from z1 {W}),
+z3 as (select doc_id, sent, min(pos) as lb, max(pos) + 1 as ub, arg_max(ltrim(pos_tag, '_'), pos) as value from z2 group by doc_id, sent, g)"""
+_ALL = f"""with {T}, {D}, {_ISLANDS}, {_CHUNKED}, {_POSES}, y as ({_char("select doc_id, sent, lb, ub, value, 'ner' as layer from chunks union all select doc_id, sent, lb, ub, value, 'chunk' from h5 union all select doc_id, sent, lb, ub, value, 'pos' from z3")}),
+hold as (select doc_id, content from d where doc_id in (select doc_id from t))"""
+_TOKENS = "select cast(t.doc_id as varchar) as name, 'tokens' as layer, null as value, cast(lb as bigint) as lb, cast(ub as bigint) as ub from t where doc_id in (select doc_id from d)"
+_WHOLE = "select cast(hold.doc_id as varchar), 'content', null, 0, cast(coalesce(length(content), 0) as bigint) from hold"
 for _fmt, _reader in (("json", readers.json_documents), ("xml", readers.xml_documents), ("gate", readers.gate_documents)):
     QUERIES[f"read_{_fmt}"] = _back(_fmt, _reader)
-    ORACLE[f"read_{_fmt}"] = _BACK.replace("k as (select c.value", "k9 as (select c.value").replace("from k group by value", "from k9 group by value")
+    _own = "select name, layer, value, cast(lb as bigint) as lb, cast(ub as bigint) as ub from y" + (" where layer = 'ner'" if _fmt == "gate" else "")
+    _sql = f"{_ALL} {_own}" + ("" if _fmt == "gate" else f" union all {_TOKENS}") + f" union all {_WHOLE}"
+    if _fmt != "gate":  # these formats hold the document's own name
+        for _x in ("x.", "t.", "hold."):
+            _sql = _sql.replace(f"cast({_x}doc_id as varchar)", f"(select coalesce(d.name, cast(d.doc_id as varchar)) from d where d.doc_id = {_x}doc_id)")
+    ORACLE[f"read_{_fmt}"] = _sql
 
 
 @query("select distinct tag from sem_tag_map where tag is not null and tag <> ''")
@@ -158,19 +179,34 @@ def pipeline_run(spark, d):
     return p(Corpus(documents(spark, d).where("content is not null").select("doc_id", "name", "content")))
 
 
-@query(f"with {D}, {A} select doc_id, name from (select *, row_number() over (partition by name order by doc_id) as r from d) where r = 1 and doc_id in (select doc_id from a)")
+@query(f"with {D}, {A} select doc_id, name from (select *, row_number() over (partition by name order by coalesce(length(content), 0) < 1000, doc_id) as r from d) where r = 1 and doc_id in (select doc_id from a)")
 def corpora_combined(spark, d):
-    docs = documents(spark, d).select("doc_id", "name")
-    return sinks.combined(docs, with_tags=annotations(spark, d))
+    """Two corpora, the longer documents first; of a name both have, the first corpus' document."""
+    docs = documents(spark, d).select("doc_id", "name", (F.coalesce(F.length("content"), F.lit(0)) >= 1000).alias("long"))
+    return sinks.combined(docs.where("long").drop("long"), docs.where("not long").drop("long"), with_tags=annotations(spark, d))
 
 
-@query("select source, count(*) as documents, cast(sum(length(content)) as bigint) as characters from sem_documents group by source")
+@query(f"with {D} select source, count(*) as documents, cast(sum(length(content)) as bigint) as characters from d group by source")
 def stream_counts(spark, d):
-    """Documents and characters per source, read as a stream of files through micro-batches."""
+    """Documents and characters per source, read as a stream of files through micro-batches; of a document sent twice the last counts."""
     import uuid
 
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     src = stream.documents(spark, f"{d}/sem_documents.parquet*", table(spark, d, "sem_documents").schema)
-    q = stream.run(src, lambda df: df.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("content")).alias("characters")), f"{out}/rows", f"{out}/state")
+    last = F.max(F.struct("loaded_at", "source", F.length("content").alias("n"))).alias("r")
+    q = stream.run(src, lambda df: df.groupBy("doc_id").agg(last), f"{out}/rows", f"{out}/state")
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").groupBy("source").agg(F.sum("documents").alias("documents"), F.sum("characters").alias("characters"))
+    once = spark.read.parquet(f"{out}/rows").groupBy("doc_id").agg(F.max("r").alias("r"))
+    return once.groupBy("r.source").agg(F.count("*").alias("documents"), F.sum("r.n").alias("characters"))
+
+
+@query("select source, cast(date_trunc('day', loaded_at) as timestamp) as day, count(*) as documents, cast(sum(length(content)) as bigint) as characters from sem_documents where loaded_at is not null group by all")
+def stream_windows(spark, d):
+    """Rows and characters per source and day of loading, by a windowed aggregation with a watermark over the stream; windows are written once they are closed."""
+    import uuid
+
+    out = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    src = stream.documents(spark, f"{d}/sem_documents.parquet*", table(spark, d, "sem_documents").schema)
+    stream.aggregated(stream.counts(src.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))), f"{out}/rows", f"{out}/state").awaitTermination()
+    last = spark.read.parquet(f"{out}/rows").groupBy("source", "window").agg(F.max(F.struct("epoch", "documents", "characters")).alias("r"))
+    return last.select("source", F.col("window.start").cast("timestamp_ntz").alias("day"), "r.documents", "r.characters")

@@ -199,12 +199,18 @@ def gate_documents(df: DataFrame) -> DataFrame:
 def parse_json(name: str, text: str) -> list[dict]:
     import json
 
-    from ..operators.nested import documents_of, extents_of, layers_of
+    from ..operators.nested import READERS, Automaton, documents_of, layers_of
+
+    root = json.loads(text)
+    a = Automaton(root)
+
+    def rows(items: list) -> list[tuple]:
+        return [row for i, x in enumerate(items) if (kind := a.of(x)) in READERS for row in READERS[kind](i, x, a)]
 
     out = []
-    for doc in documents_of(json.loads(text)):
-        segs = [{"name": n, "reference": r or None, "spans": [{"s": s, "l": k} for x in items for s, k in extents_of(x)]} for n, r, items, _ in layers_of(doc.get("segmentations"))]
-        anns = [{"name": n, "reference": r or None, "tags": [{"v": x.get("v"), "s": s, "l": k} for x in items for s, k in extents_of(x)]} for n, r, items, _ in layers_of(doc.get("annotations"))]
+    for doc in documents_of(root, a):
+        segs = [{"name": n, "reference": r or None, "spans": [{"s": s, "l": k} for _, _, _, s, k in rows(items)]} for n, r, items, _ in layers_of(doc.get("segmentations"), a)]
+        anns = [{"name": n, "reference": r or None, "tags": [{"v": v, "s": s, "l": k} for _, _, v, s, k in rows(items)]} for n, r, items, _ in layers_of(doc.get("annotations"), a)]
         meta = doc.get("metadatas") or doc.get("metadata") or {}
         out.append({"name": doc.get("name") or name, "content": doc.get("content"), "metadata": {k: v for k, v in meta.items() if isinstance(v, str)}, "segmentations": segs, "annotations": anns})
     return out

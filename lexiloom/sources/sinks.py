@@ -7,6 +7,7 @@ from exactly that. Formats are functions of such a row, looked up by name.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from html import escape
 from xml.sax.saxutils import escape as xesc
@@ -54,7 +55,8 @@ def _layer(row, name: str) -> list:
     return [t for t in row["tags"] if t["layer"] == name]
 
 
-def as_json(row) -> str:
+def _layers(row) -> tuple[dict, dict]:
+    """The segmentations and annotations of a bundled document."""
     sents: dict[int, list[int]] = {}
     pars: dict[int, list[int]] = {}
     for t in row["tokens"]:
@@ -68,20 +70,25 @@ def as_json(row) -> str:
     anns: dict = {}
     for t in row["tags"]:
         anns.setdefault(t["layer"], {"annotations": []})["annotations"].append({"v": t["value"], "s": t["lb"], "l": t["ub"] - t["lb"]})
+    return segs, anns
+
+
+def as_json(row) -> str:
+    segs, anns = _layers(row)
     return json.dumps({"name": row["name"], "content": row["content"], "metadatas": {}, "segmentations": segs, "annotations": anns}, ensure_ascii=False)
 
 
 def as_xml(row) -> str:
-    data = json.loads(as_json(row))
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', f"<document name={quoteattr(data['name'])}>", "  <metadata />", f"  <content>{xesc(data['content'])}</content>", "  <segmentations>"]
-    for name, seg in data["segmentations"].items():
+    segs, anns = _layers(row)
+    out = ['<?xml version="1.0" encoding="UTF-8"?>', f"<document name={quoteattr(row['name'])}>", "  <metadata />", f"  <content>{xesc(row['content'])}</content>", "  <segmentations>"]
+    for name, seg in segs.items():
         ref = f" reference={quoteattr(seg['reference'])}" if seg.get("reference") else ""
         out.append(f"    <segmentation name={quoteattr(name)}{ref}>")
         sp = [f'<s s="{x["s"]}" l="{x["l"]}" />' for x in seg["spans"]]
         out += ["      " + "".join(sp[i : i + 5]) for i in range(0, len(sp), 5)]
         out.append("    </segmentation>")
     out += ["  </segmentations>", "  <annotations>"]
-    for name, ann in data["annotations"].items():
+    for name, ann in anns.items():
         out.append(f"    <annotation name={quoteattr(name)}>")
         out += [f'      <tag v={quoteattr(x["v"])} s="{x["s"]}" l="{x["l"]}" />' for x in ann["annotations"]]
         out.append("    </annotation>")
@@ -97,15 +104,39 @@ def as_gate(row) -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<GateDocument version="3"><TextWithNodes>{body}</TextWithNodes><AnnotationSet Name="NER">{anns}</AnnotationSet></GateDocument>'
 
 
-def _spans_in(text: str, tags: list, lo: int, hi: int, enc) -> str:
-    """Text with a span around each tag; tags that begin inside the one before are left out."""
-    out, at = [], lo
-    for t in tags:
-        if t["lb"] < at or t["ub"] > hi:
-            continue
-        out += [enc(text[at : t["lb"]]), f'<span id="{escape(t["value"])}" title="{escape(t["value"])}">', enc(text[t["lb"] : t["ub"]]), "</span>"]
-        at = t["ub"]
-    return "".join([*out, enc(text[at:hi])])
+def _marked(text: str, tags: list, lo: int, hi: int, enc: Callable[[str], str], begin: Callable[[dict], str], end: Callable[[dict], str]) -> str:
+    """Text with marks around all tags that touch lo:hi.
+
+    Tags within tags are nested, longer ones outside. Where tags cross, the one
+    that goes on is closed with the other and opened again after it, so that
+    every tag covers its whole text and the marks stay well formed.
+    """
+    inside = sorted((t for t in tags if t["lb"] < hi and t["ub"] > lo and t["lb"] < t["ub"]), key=lambda t: (t["lb"], -t["ub"], t["value"]))
+    starts: dict[int, list[dict]] = {}
+    for t in inside:
+        starts.setdefault(max(t["lb"], lo), []).append(t)
+    places = sorted({*starts, *(min(t["ub"], hi) for t in inside), hi})
+    out, at, stack = [], lo, []
+    for p in places:
+        out.append(enc(text[at:p]))
+        at = p
+        done = [t for t in stack if min(t["ub"], hi) == p]
+        again = []
+        while done and any(t in stack for t in done):
+            t = stack.pop()
+            out.append(end(t))
+            if min(t["ub"], hi) > p:
+                again.append(t)
+            else:
+                done.remove(t)
+        for t in [*reversed(again), *starts.get(p, ())]:
+            out.append(begin(t))
+            stack.append(t)
+    return "".join(out)
+
+
+def _spans_in(text: str, tags: list, lo: int, hi: int, enc: Callable[[str], str]) -> str:
+    return _marked(text, tags, lo, hi, enc, lambda t: f'<span id="{escape(t["value"])}" title="{escape(t["value"])}">', lambda t: "</span>")
 
 
 def as_html(row) -> str:
@@ -158,67 +189,64 @@ def _tei(body: str, back: str = "") -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>{body}</body>{back}</text></TEI>'
 
 
-def _anchored(row, tags: list, element: str) -> tuple[str, list[tuple[str, str, str]]]:
-    """Paragraphs with numbered anchors at both ends of each tag, and the tags' (value, from, to)."""
+def _anchored(row, tags: list) -> tuple[str, list[tuple[str, str]]]:
+    """Paragraphs with anchors at both ends of each tag, numbered by value, and the tags' (value, name)."""
     count: dict[str, int] = {}
-    spots, spans = [], []
+    spots, names = [], []
     for t in tags:
         n = count[t["value"]] = count.get(t["value"], 0) + 1
-        a, b = f"u-{t['value']}-{n}-start", f"u-{t['value']}-{n}-end"
-        spots += [(t["lb"], 1, -t["ub"], a), (t["ub"], 0, -t["lb"], b)]
-        spans.append((t["value"], a, b))
+        name = f"u-{t['value']}-{n}"
+        spots += [(t["lb"], 1, -t["ub"], name, "Start"), (t["ub"], 0, -t["lb"], name, "End")]
+        names.append((t["value"], name))
     spots.sort()
     out = []
     for lo, hi in _paragraphs(row):
         at, piece = lo, []
-        for p, _, _, i in spots:
-            if lo <= p <= hi and not (p == hi and i.endswith("start")):
-                piece += [xesc(row["content"][at:p]), f"<{element} xml:id={quoteattr(i)} />"]
+        for p, _, _, name, side in spots:
+            if lo <= p <= hi and not (p == hi and side == "Start") and not (p == lo and side == "End"):
+                piece += [xesc(row["content"][at:p]), f'<anchor xml:id={quoteattr(f"{name}-{side.lower()}")} type="AnalecDelimiter" subtype="Unit{side}" />']
                 at = p
         out.append(f"<p>{''.join(piece)}{xesc(row['content'][at:hi])}</p>")
-    return "".join(out), spans
+    return "".join(out), names
 
 
-def _grouped(spans: list[tuple[str, str, str]], extra: str = "") -> str:
+def _units(names: list[tuple[str, str]], features: list[dict[str, str]]) -> str:
+    """The group of spans of each value, and the features of every span."""
     groups: dict[str, list[str]] = {}
-    for v, a, b in spans:
-        groups.setdefault(v, []).append(f'<span from="#{escape(a)}" to="#{escape(b)}" ana="#fs-{escape(a)}" />')
-    return f"<back>{''.join(f'<spanGrp type={quoteattr(v)}>' + ''.join(x) + '</spanGrp>' for v, x in sorted(groups.items()))}{extra}</back>"
+    for v, n in names:
+        groups.setdefault(v, []).append(f'<span xml:id={quoteattr(n)} from={quoteattr(f"#{n}-start")} to={quoteattr(f"#{n}-end")} ana={quoteattr(f"#{n}-fs")} />')
+    spans = "".join(f'<spanGrp type="AnalecUnit" n={quoteattr(v)}>' + "".join(x) + "</spanGrp>" for v, x in sorted(groups.items()))
+    sets = "".join(f'<fs xml:id={quoteattr(f"{n}-fs")}>' + "".join(f"<f name={quoteattr(k)}><string>{xesc(x)}</string></f>" for k, x in f.items()) + "</fs>" for (_, n), f in zip(names, features, strict=True))
+    return f'<back>{spans}<fvLib n="AnalecElementProperties">{sets}</fvLib></back>'
 
 
 def as_tei_analec(row) -> str:
-    body, spans = _anchored(row, _layer(row, "ner"), "anchor")
-    feats = "".join(f'<fs xml:id="fs-{escape(a)}"><f name="type"><string>{xesc(v)}</string></f></fs>' for v, a, _ in spans)
-    return _tei(body, _grouped(spans, f"<fvLib n=\"AnalecElementProperties\">{feats}</fvLib>"))
+    body, names = _anchored(row, _layer(row, "ner"))
+    return _tei(body, _units(names, [{"type": v} for v, _ in names]))
 
 
-# Categories of noun phrases by the part of speech they begin with.
-NP_KINDS = {"PRON": "PRO", "CLIT": "PRO", "NOUN.prop": "NOM_PROPRE", "DET": "GN"}
+# Categories of noun phrases by the part of speech they begin with; any other is GN.
+NP_KINDS = {"CL": "PR_CL", "CLO": "PR_CL_O", "CLR": "PR_CL_R", "CLS": "PR_CL_S", "PRO": "PR_PRO", "PROREL": "PR_REL", "PROWH": "PR_WH", "P+PRO": "PR_PP"}
 
 
 def as_tei_np(row) -> str:
-    """Noun phrases as mentions; their category by the first part of speech in them, else GN."""
-    pos = {t["tlb"]: t["value"] for t in _layer(row, "pos")}
-    nps = [t for t in _layer(row, "chunk") if t["value"] == "NP"]
-    body, spans = _anchored(row, [{**t, "value": "MENTION"} for t in nps], "anchor")
-    feats = "".join(f'<fs xml:id="fs-{escape(a)}"><f name="CATEGORIE"><string>{NP_KINDS.get(pos.get(t["tlb"], ""), "GN")}</string></f></fs>' for (_, a, _), t in zip(spans, nps, strict=True))
-    return _tei(body, _grouped(spans, f"<fvLib n=\"AnalecElementProperties\">{feats}</fvLib>"))
+    """Noun phrases as mentions; their category by the first part of speech in them."""
+    pos, nps = _layer(row, "pos"), [t for t in _layer(row, "chunk") if t["value"] == "NP"]
+    starts = sorted((t["lb"], t["ub"], t["value"]) for t in pos)
+    kinds = []
+    for t in nps:
+        k = bisect_left(starts, (t["lb"],))
+        first = starts[k][2] if k < len(starts) and starts[k][1] <= t["ub"] else ""
+        kinds.append(NP_KINDS.get(first, "GN"))
+    body, names = _anchored(row, [{**t, "value": "MENTION"} for t in nps])
+    return _tei(body, _units(names, [{"REF": "", "CODE_SEM": k, "CATEGORIE": k} for k in kinds]))
 
 
 def as_tei_reden(row) -> str:
     """Named entities as elements named after their type."""
+    name = lambda t: "".join(c if c.isalnum() else "_" for c in t["value"]) or "name"
     ner = _layer(row, "ner")
-    out = []
-    for lo, hi in _paragraphs(row):
-        at, piece = lo, []
-        for t in ner:
-            if t["lb"] < at or t["ub"] > hi:
-                continue
-            tag = "".join(c if c.isalnum() else "_" for c in t["value"]) or "name"
-            piece += [xesc(row["content"][at : t["lb"]]), f"<{tag}>", xesc(row["content"][t["lb"] : t["ub"]]), f"</{tag}>"]
-            at = t["ub"]
-        out.append(f"<p>{''.join(piece)}{xesc(row['content'][at:hi])}</p>")
-    return _tei("".join(out))
+    return _tei("".join(f"<p>{_marked(row['content'], ner, lo, hi, xesc, lambda t: f'<{name(t)}>', lambda t: f'</{name(t)}>')}</p>" for lo, hi in _paragraphs(row)))
 
 
 #: Exporters of bundled rows by name; add to it to extend.
@@ -245,6 +273,12 @@ def export(bundled: DataFrame, fmt: str) -> DataFrame:
     return bundled.mapInPandas(run, f"doc_id {kind}, name string, payload string")
 
 
+def corpus_page(exported: DataFrame, extension: str = "html") -> DataFrame:
+    """(payload): one page with a link to each exported document, in the order of their names; lines are joined where the page is written."""
+    line = F.concat(F.lit('<li><a href="'), F.col("doc_id").cast("string"), F.lit(f'.{extension}">'), F.replace(F.replace(F.col("name"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</a></li>"))
+    return exported.orderBy("name", "doc_id").select(line.alias("payload"))
+
+
 def write(exported: DataFrame, path: str) -> None:
     """Payloads as a text table, a row a document, written by the tasks that made them."""
     exported.write.mode("overwrite").json(path)

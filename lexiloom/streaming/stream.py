@@ -35,3 +35,12 @@ def run(docs: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str,
         transform(df).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def aggregated(table: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """An aggregation of a stream: each micro-batch writes the rows that changed with its number; the last number of a key is its state."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return table.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -203,3 +203,41 @@ def test_master(spark, tmp_path):
     c = p(Corpus(spark.createDataFrame([(1, "n", "Il vit. L'eau")], "doc_id bigint, name string, content string")))
     assert [r["low"] for r in c.tokens.orderBy("tok").collect()] == ["il", "vit", ".", "l'", "eau"]
     assert c.visible == ("word", "low")
+
+
+def test_marks_nest_and_cross():
+    text = "abcdefgh"
+    tag = lambda a, b, v: {"lb": a, "ub": b, "value": v}
+    mark = lambda tags, lo=0, hi=8: sinks._marked(text, tags, lo, hi, str.upper, lambda t: f"<{t['value']}>", lambda t: f"</{t['value']}>")
+    assert mark([tag(0, 6, "x"), tag(1, 3, "y"), tag(3, 4, "z")]) == "<x>A<y>BC</y><z>D</z>EF</x>GH"
+    assert mark([tag(0, 4, "x"), tag(2, 6, "y")]) == "<x>AB<y>CD</y></x><y>EF</y>GH"
+    assert mark([tag(1, 3, "x"), tag(1, 3, "y")]) == "A<x><y>BC</y></x>DEFGH"
+    assert mark([tag(0, 8, "x")], 2, 5) == "<x>CDE</x>" and mark([]) == "ABCDEFGH" and mark([tag(2, 2, "x")]) == "ABCDEFGH"
+
+
+def test_noun_phrases_as_mentions():
+    import xml.etree.ElementTree as ET
+
+    words, pos = ["Il", "voit", "son", "vieux", "chat"], ["CLS", "V", "DET", "A", "N"]
+    at, toks, tags = 0, [], []
+    for k, (w, p) in enumerate(zip(words, pos, strict=True)):
+        toks.append({"tok": k, "par": 0, "sent": 0, "pos": k, "lb": at, "ub": at + len(w), "word": w})
+        tags.append({"layer": "pos", "value": p, "lb": at, "ub": at + len(w), "tlb": k, "tub": k + 1})
+        at += len(w) + 1
+    np = lambda a, b: {"layer": "chunk", "value": "NP", "lb": toks[a]["lb"], "ub": toks[b - 1]["ub"], "tlb": a, "tub": b}
+    root = ET.fromstring(sinks.as_tei_np({"name": "n", "content": " ".join(words), "tokens": toks, "tags": [*tags, np(0, 1), np(2, 5)]}).encode())
+    q = "{http://www.tei-c.org/ns/1.0}"
+    assert "".join(root.find(f".//{q}body").itertext()) == " ".join(words)
+    assert [a.get("subtype") for a in root.iter(f"{q}anchor")] == ["UnitStart", "UnitEnd"] * 2
+    assert [f.findtext(f"{q}string") for f in root.iter(f"{q}f") if f.get("name") == "CATEGORIE"] == ["PR_CL_S", "GN"]
+    assert [x.get("from") for x in root.iter(f"{q}span")] == ["#u-MENTION-1-start", "#u-MENTION-2-start"]
+
+
+def test_abbreviations_carry_labels(spark):
+    words = "la Société Nouvelle Velmar ( SNV ) ferme puis SNV rouvre OK".split()
+    rows = [(1, 0, i, w, {1: "B-Firm", 2: "I-Firm", 3: "I-Firm"}.get(i, "O")) for i, w in enumerate(words)]
+    t = spark.createDataFrame(rows, "doc_id bigint, sent int, pos int, word string, ner string")
+    found = consistency.abbreviations(t)
+    assert {(r["pos"], r["short"], r["lb"], r["ub"]) for r in found.collect()} == {(5, "SNV", 1, 4), (9, "SNV", 1, 4)}
+    got = [r["x"] for r in consistency.spread_along(t, found, "ner", "x").orderBy("pos").collect()]
+    assert got[5] == "B-Firm" and got[9] == "B-Firm" and got[1:4] == ["B-Firm", "I-Firm", "I-Firm"] and got[11] == "O"
