@@ -58,9 +58,10 @@ class Compiler:
         if e.tag not in self.tags:
             raise ValueError(f"no such feature: {e.tag}")
         got = self.tags[e.tag](e)
-        if got.column is not None and "entry" in e.attrib or "shift" in e.attrib or "x" in e.attrib:
-            got = self._moved(e, got)
-        return got
+        shifted = "shift" in e.attrib or "x" in e.attrib
+        if got.column is None and shifted:
+            raise ValueError(f"{e.tag} {e.get('action', '')}: labels of whole sentences can't be shifted")
+        return self._moved(e, got) if got.column is not None and (shifted or "entry" in e.attrib) else got
 
     def _moved(self, e: ET.Element, c: Compiled) -> Compiled:
         """The feature of another column, or of the token some places on."""
@@ -71,7 +72,7 @@ class Compiler:
         def column(_: Column) -> Column:
             return inner(X.shifted(F.col(name), shift, X.sentence_window()) if shift else F.col(name))
 
-        return Compiled(c.kind, column, c.apply, name, c.helpers) if inner else c
+        return Compiled(c.kind, column, c.apply, name, c.helpers)
 
     def of(self, c: Compiled) -> Column:
         return c.column(F.col(c.entry if c.entry in self.entries else self.default))

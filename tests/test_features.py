@@ -197,7 +197,19 @@ def test_enrichment(sentence):
     assert "small" not in compile_xml.visible(got, e).columns
 
 
-@pytest.mark.parametrize("bad", ['<nope name="x"/>', '<nullary name="x" action="bos"/><nullary name="x" action="eos"/>', '<boolean name="x" action="AND"><nullary action="bos"/><nullary action="eos"/></boolean>', '<nullary name="x" action="lower" entry="gone"/>'])
+@pytest.mark.parametrize("action", ["map", "token"])
+def test_small_and_large_dictionaries_agree(spark, action):
+    """Short lists are literals in the plan, long ones tables; nulls and repeated keys come out alike."""
+    df = spark.createDataFrame([(0, 0, i, i, w) for i, w in enumerate(["un", "OIES", None, "k7", ""])], "doc_id int, sent int, pos int, tok int, word string")
+    entries = "un\tone\nOIES\tgeese\nun\tagain\nk7\n" if action == "map" else "un\nOIES\nun\nk7\n"
+    got = []
+    for more in ("", "\n".join(f"x{i}" for i in range(300))):
+        e = compile_xml.read_enrichment(XML.format(f'<dictionary name="d" action="{action}" default="-">{entries}{more}</dictionary>'))
+        got.append(column(compile_xml.enrich(df, e), "d"))
+    assert got[0] == got[1] == (["again", "geese", "-", "", "-"] if action == "map" else [1, 1, 0, 1, 0])
+
+
+@pytest.mark.parametrize("bad", ['<dictionary name="x" action="multiword" shift="1">a b</dictionary>','<nope name="x"/>', '<nullary name="x" action="bos"/><nullary name="x" action="eos"/>', '<boolean name="x" action="AND"><nullary action="bos"/><nullary action="eos"/></boolean>', '<nullary name="x" action="lower" entry="gone"/>'])
 def test_enrichment_errors(sentence, bad):
     with pytest.raises(ValueError):
         compile_xml.enrich(sentence, XML.format(bad))
