@@ -704,7 +704,14 @@ def evaluate_macro(spark, d):
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
-@query()
+_NTH = "row_number() over (partition by doc_id, lb, ub, value) as n"
+_AT = "join t b on b.doc_id = x.doc_id and b.tok = x.lb join t e on e.doc_id = x.doc_id and e.tok + 1 = x.ub"
+
+
+@query(f"""with recursive {T}, {D}, {_ISLANDS}, {A}, {_GG}, gc as (select *, {_NTH} from (select x.doc_id, b.lb, e.ub, x.value from gold x {_AT})), sc as (select *, {_NTH} from (select x.doc_id, b.lb, e.ub, x.value from guess x {_AT})), {_pairing("gc", "sc")},
+w as (select pr.*, content, least(gold_lb, guess_lb) as a, greatest(gold_ub, guess_ub) as z from pr join d using (doc_id) where kind <> 'correct' and content is not null)
+select doc_id, kind, replace(substring(content, greatest(a - 30, 0) + 1, a - greatest(a - 30, 0)), chr(10), ' ') || case kind when 'silence' then '{{' || gold_value || ': ' || substring(content, a + 1, z - a) || '}}' when 'noise' then '[' || guess_value || ': ' || substring(content, a + 1, z - a) || ']'
+else '{{' || gold_value || '|' || guess_value || ': ' || substring(content, a + 1, z - a) || '}}' end || replace(substring(content, z + 1, 30), chr(10), ' ') as shown from w""")
 def evaluate_diff(spark, d):
     t, (gold, guess) = tokens(spark, d), _gold_guess(spark, d)
     chars = [spans.to_characters(x, t).select("doc_id", F.col("clb").alias("lb"), F.col("cub").alias("ub"), "value") for x in (gold, guess)]
