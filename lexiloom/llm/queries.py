@@ -97,7 +97,11 @@ select word, count(*) as occurrences, count(distinct doc_id) as documents,
        when count(distinct doc_id) * 5 > (select count(distinct doc_id) from sem_tokens) then 'common' else '' end as mark
 from (select distinct doc_id, tok, word from sem_tokens) where word is not null group by word"""
 
+_WS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_RUNS = "select distinct {0}, array_to_string(ws[i:i + 11], ' ') as run from (select {0}, ws, unnest(range(1, len(ws) - 10)) as i from (select {0}, " + _WS.replace("{", "{{").replace("}", "}}") + " as ws from {1} where text is not null) where len(ws) >= 12)"
+
 ORACLE: dict[str, str] = {
+    "p9_found": f"select distinct doc_id, item_id from ({_RUNS.format('doc_id', 'documents')}) join ({_RUNS.format('item_id', 'eval_items')}) using (run)",
     "p4_counts": _P4,
     "p4_found": f"select word, mark from ({_P4}) where mark <> ''",
 }
