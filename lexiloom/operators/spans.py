@@ -33,6 +33,40 @@ def decode_chunks(tokens: DataFrame, col: str) -> DataFrame:
     return g.where("_first = 'b'").select("doc_id", "sent", "lb", "ub", "value")
 
 
+def tags_at_ends(tokens: DataFrame, layers: dict[str, tuple[str, str]]) -> DataFrame:
+    """`tokens` with a column for each layer: at the last token of a tag, the tag (value, lb, ub, tlb, tub); elsewhere null.
+
+    `layers`: by name the token column and its kind, `chunk` as for
+    `decode_chunks` or `pos` as for `decode_pos`; places are in characters and in
+    document tokens. All layers share one window over (document, sentence): each
+    token knows the beginning of the tag it is in, so nothing is joined.
+    """
+    w = Window.partitionBy("doc_id", "sent").orderBy("pos")
+    over = "over (partition by doc_id, sent order by pos)"
+    first, second, third = {}, {}, {}
+    for name, (col, kind) in layers.items():
+        if kind == "chunk":
+            flag = F.coalesce(F.substring(F.col(col), 1, 1), F.lit("O"))
+            shaped = F.coalesce(F.col(col).rlike("^[BIULSE]-"), F.lit(False))
+            inside = shaped & flag.isin("I", "L", "E")
+            shut = F.coalesce(F.lag((shaped & flag.isin("U", "S", "L", "E")) | ~shaped).over(w), F.lit(True))
+            first[f"_{name}_new"] = ~inside | shut
+            first[f"_{name}_in"] = F.lit(True)
+            begins, value = shaped & flag.isin("B", "U", "S"), F.expr(f"substring({col}, 3)")
+        else:
+            there = F.col(col).isNotNull()
+            first[f"_{name}_new"] = F.when(there, ~F.coalesce(F.col(col).startswith("_"), F.lit(False)) | (F.count(col).over(w) == 1))
+            first[f"_{name}_in"] = there
+            begins, value = F.lit(True), F.regexp_replace(col, "^_", "")
+        second[f"_{name}_at"] = F.last(F.when(F.col(f"_{name}_new"), F.struct(begins.alias("tag"), value.alias("value"), "lb", "pos", "tok")), True).over(w)
+        # the next token that counts begins another tag, or there is none
+        second[f"_{name}_end"] = F.coalesce(F.expr(f"lead(_{name}_new) ignore nulls {over}"), F.lit(True)) & F.col(f"_{name}_in")
+        at = F.col(f"_{name}_at")
+        last = at["value"] if kind == "chunk" else value
+        third[name] = F.when(F.col(f"_{name}_end") & at["tag"], F.struct(last.alias("value"), at["lb"].alias("lb"), "ub", at["tok"].alias("tlb"), (at["tok"] + F.col("pos") - at["pos"] + 1).alias("tub")))
+    return tokens.withColumns(first).withColumns(second).withColumns(third).drop(*first, *second)
+
+
 def encode_chunks(tokens: DataFrame, tags: DataFrame, out: str) -> DataFrame:
     """`tokens` with a BIO column of tags (doc_id, sent, lb, ub, value) that don't overlap."""
     cells = tags.select("doc_id", "sent", "value", F.posexplode(F.expr("sequence(lb, ub - 1)")).alias("_i", "pos"))

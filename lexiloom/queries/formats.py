@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import compile_xml
 from ..operators import spans
-from ..plans.pipeline import Corpus, Pipeline, layer_tags
+from ..plans.pipeline import Corpus, Pipeline
 from ..runtime import latest, shared_dir, table
 from ..sources import readers, sinks
 from ..streaming import stream
-from .ops import D, T, A, W, _ISLANDS, annotations, documents, tokens
+from .ops import D, T, A, W, _ISLANDS, annotations, documents, tokens, tokens_by_document
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -83,11 +83,8 @@ def export_conll(spark, d):
 
 
 def _bundle(spark, d):
-    t = tokens(spark, d)
-    layers = [layer_tags(t, spans.decode_chunks(t, c), k) for c, k in (("ner", "ner"), ("chunk", "chunk"))] + [layer_tags(t, spans.decode_pos(t, "pos_tag"), "pos")]
-    tags = layers[0].unionByName(layers[1]).unionByName(layers[2])
-    docs = documents(spark, d).join(t.select("doc_id").distinct(), "doc_id", "left_semi")
-    return sinks.bundle(docs, t, tags)
+    layers = {"ner": ("ner", "chunk"), "chunk": ("chunk", "chunk"), "pos": ("pos_tag", "pos")}
+    return sinks.bundle_layers(documents(spark, d), tokens_by_document(spark, d), layers, "inner")
 
 
 def _export(fmt: str):
@@ -108,11 +105,7 @@ def _back(fmt: str, reader):
     def f(spark: SparkSession, d: str):
         docs = sinks.export(_bundle(spark, d), fmt).select(F.col("doc_id").cast("string").alias("name"), "payload")
         layered = reader(docs)
-        tags = readers.tag_rows(layered).select("name", F.lower("layer").alias("layer"), "value", "lb", "ub")
-        spans_ = readers.span_rows(layered).where("layer = 'tokens'").select(F.lit(None).cast("string").alias("value"), "name", "layer", "lb", "ub")
-        names = layered.select("name", F.length("content").alias("ub"))
-        whole = names.select("name", F.lit("content").alias("layer"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("lb"), "ub")
-        return tags.unionByName(spans_).unionByName(whole).withColumns({c: F.col(c).cast("bigint") for c in ("lb", "ub")})
+        return readers.layer_rows(layered).withColumns({c: F.col(c).cast("bigint") for c in ("lb", "ub")})
 
     f.__name__ = f"read_{fmt}"
     return f

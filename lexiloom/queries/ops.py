@@ -34,6 +34,11 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "sem_tokens"), ["doc_id", "tok"], "loaded_at", TOKENS)
 
 
+def tokens_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """`tokens` moved once, by document: windows over sentences and whatever is gathered by document stay where they are."""
+    return latest(table(spark, d, "sem_tokens").repartition("doc_id"), ["doc_id", "tok"], "loaded_at", TOKENS)
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "sem_documents"), ["doc_id"], "loaded_at", ["doc_id", "name", "source", "content", "lang", "mime", "loaded_at"])
 

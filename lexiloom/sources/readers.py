@@ -140,6 +140,9 @@ def tagset(lines: DataFrame, col: str = "value") -> DataFrame:
 
 # --- documents with layers: one schema for XML, GATE and JSON ---
 
+#: Characters of files whose parsed rows a worker holds before it sends them on.
+HELD = 1_000_000
+
 LAYERED = "name string, content string, metadata map<string,string>, segmentations array<struct<name:string,reference:string,spans:array<struct<s:int,l:int>>>>, annotations array<struct<name:string,reference:string,tags:array<struct<v:string,s:int,l:int>>>>"
 _SPAN = pa.list_(pa.struct([("s", pa.int32()), ("l", pa.int32())]))
 _TAG = pa.list_(pa.struct([("v", pa.string()), ("s", pa.int32()), ("l", pa.int32())]))
@@ -153,7 +156,14 @@ _ARROW = pa.schema([
 def _parsed(df: DataFrame, parse) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if p for r in parse(n, p)]
+            rows, held = [], 0
+            for n, p in zip(b.column(0), b.column(1), strict=True):
+                if text := p.as_py():
+                    rows += parse(n.as_py(), text)
+                    held += len(text)
+                if held > HELD:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
@@ -233,6 +243,16 @@ def tag_rows(layered: DataFrame) -> DataFrame:
     return s.select("name", "layer", "reference", "idx", F.col("x.v").alias("value"), F.col("x.s").alias("lb"), (F.col("x.s") + F.col("x.l")).alias("ub"))
 
 
+def layer_rows(layered: DataFrame) -> DataFrame:
+    """(name, layer, value, lb, ub): the annotations, the spans of tokens and, as layer `content`, the whole text of layered documents, each read once."""
+    tags = F.flatten(F.transform("annotations", lambda g: F.transform(g["tags"], lambda x: F.struct(F.lower(g["name"]).alias("layer"), x["v"].alias("value"), x["s"].alias("lb"), (x["s"] + x["l"]).alias("ub")))))
+    of = lambda layer, value, lb, ub: F.struct(F.lit(layer).alias("layer"), value.cast("string").alias("value"), lb.alias("lb"), ub.alias("ub"))
+    toks = F.flatten(F.transform(F.filter("segmentations", lambda g: g["name"] == "tokens"), lambda g: F.transform(g["spans"], lambda x: of("tokens", F.lit(None), x["s"], x["s"] + x["l"]))))
+    whole = F.array(of("content", F.lit(None), F.lit(0), F.length("content")))
+    some = lambda c: F.coalesce(c, F.expr("cast(array() as array<struct<layer:string,value:string,lb:int,ub:int>>)"))
+    return layered.select("name", F.explode(F.concat(some(tags), some(toks), whole)).alias("r")).select("name", "r.*")
+
+
 # --- markup and archives ---
 
 

@@ -13,11 +13,16 @@ from html import escape
 from xml.sax.saxutils import escape as xesc
 from xml.sax.saxutils import quoteattr
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import spans
+
+#: Characters of payloads that a worker holds before it sends them on.
+HELD = 4_000_000
+
 
 def bundle(docs: DataFrame, tokens: DataFrame, tags: DataFrame) -> DataFrame:
     """(doc_id, name, content, tokens, tags).
@@ -34,6 +39,24 @@ def bundle(docs: DataFrame, tokens: DataFrame, tags: DataFrame) -> DataFrame:
     return b.withColumn("tokens", F.coalesce("tokens", F.expr(empty))).withColumn("tags", F.coalesce("tags", F.expr(none)))
 
 
+def bundle_layers(docs: DataFrame, tokens: DataFrame, layers: dict[str, tuple[str, str]], how: str = "left") -> DataFrame:
+    """`bundle` of the tags that columns of `tokens` hold, as `spans.tags_at_ends` reads them.
+
+    Tokens and tags of all layers are gathered together, in one pass over the
+    tokens; with `how` inner, documents without tokens fall out.
+    """
+    token = F.struct("tok", "par", "sent", "pos", "lb", "ub", F.coalesce("word", F.lit("")).alias("word"))
+    i = lambda c: c.cast("int")
+    mark = lambda k: F.when(F.col(f"_{k}").isNotNull(), F.struct(i(F.col(f"_{k}.lb")).alias("lb"), i(-F.col(f"_{k}.ub")).alias("nub"), F.coalesce(f"_{k}.value", F.lit("")).alias("value"), F.lit(k).alias("layer"), *[i(F.col(f"_{k}.{c}")).alias(c) for c in ("ub", "tlb", "tub")]))
+    t = spans.tags_at_ends(tokens, {f"_{k}": x for k, x in layers.items()})
+    none = "cast(array() as array<struct<lb:int,nub:int,value:string,layer:string,ub:int,tlb:int,tub:int>>)"
+    g = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(token)).alias("tokens"), *[F.collect_list(mark(k)).alias(f"_{k}") for k in layers])
+    g = g.select("doc_id", "tokens", F.array_sort(F.concat(*[F.col(f"_{k}") for k in layers]) if layers else F.expr(none)).alias("tags"))
+    b = docs.select("doc_id", F.coalesce("name", F.col("doc_id").cast("string")).alias("name"), F.coalesce("content", F.lit("")).alias("content")).join(g, "doc_id", how)
+    empty = "cast(array() as array<struct<tok:int,par:int,sent:int,pos:int,lb:int,ub:int,word:string>>)"
+    return b.withColumn("tokens", F.coalesce("tokens", F.expr(empty))).withColumn("tags", F.coalesce("tags", F.expr(none)))
+
+
 def brat(tags: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, payload): one T line a tag in the order (lb, -ub, value); natively."""
     w = Window.partitionBy("doc_id").orderBy("lb", F.desc("ub"), "value")
@@ -120,6 +143,8 @@ def _marked(text: str, tags: list, lo: int, hi: int, enc: Callable[[str], str],
     for p in places:
         out.append(enc(text[at:p]))
         at = p
+        while stack and min(stack[-1]["ub"], hi) == p:
+            out.append(end(stack.pop()))
         done = [t for t in stack if min(t["ub"], hi) == p]
         again = []
         while done and any(t in stack for t in done):
@@ -136,7 +161,8 @@ def _marked(text: str, tags: list, lo: int, hi: int, enc: Callable[[str], str],
 
 
 def _spans_in(text: str, tags: list, lo: int, hi: int, enc: Callable[[str], str]) -> str:
-    return _marked(text, tags, lo, hi, enc, lambda t: f'<span id="{escape(t["value"])}" title="{escape(t["value"])}">', lambda t: "</span>")
+    begin = {v: f'<span id="{escape(v)}" title="{escape(v)}">' for v in {t["value"] for t in tags}}
+    return _marked(text, tags, lo, hi, enc, lambda t: begin[t["value"]], lambda t: "</span>")
 
 
 def as_html(row) -> str:
@@ -159,7 +185,7 @@ def as_text(row) -> str:
     starts = {t["tlb"]: t for t in _layer(row, "chunk") or _layer(row, "ner")}
     ends = {t["tub"] for t in starts.values()}
     lines: dict[int, list[str]] = {}
-    skip = -1
+    skip, toks = -1, [x["tok"] for x in row["tokens"]]
     for t in row["tokens"]:
         line = lines.setdefault(t["sent"], [])
         k = t["tok"]
@@ -169,7 +195,7 @@ def as_text(row) -> str:
             p = pos.get(k)
             if p:
                 skip = p["tub"] - 1
-                line.append("_".join(x["word"] for x in row["tokens"] if p["tlb"] <= x["tok"] < p["tub"]) + "/" + p["value"])
+                line.append("_".join(x["word"] for x in row["tokens"][bisect_left(toks, p["tlb"]) : bisect_left(toks, p["tub"])]) + "/" + p["value"])
             else:
                 line.append(t["word"])
         if k + 1 in ends:
@@ -262,15 +288,37 @@ def get_exporter(name: str) -> Callable:
 
 
 def export(bundled: DataFrame, fmt: str) -> DataFrame:
-    """(doc_id, name, payload) of every document in a format; all documents, in Arrow batches."""
+    """(doc_id, name, payload) of every document in a format; a worker holds the rows of one document and few payloads at a time."""
     render = get_exporter(fmt)
     kind = bundled.schema["doc_id"].dataType.simpleString()
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "name": pdf["name"], "payload": [render({"name": n, "content": c, "tokens": list(t), "tags": list(a)}) for n, c, t, a in zip(pdf["name"], pdf["content"], pdf["tokens"], pdf["tags"], strict=True)]})
-
-    return bundled.mapInPandas(run, f"doc_id {kind}, name string, payload string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, tokens, tags = (b.column(c) for c in ("name", "tokens", "tags"))
+            at, payloads, held = 0, [], 0
+            for i in range(b.num_rows):
+                payloads.append(render(_Document({"name": names[i].as_py(), "content": b.column("content")[i].as_py()}, tokens=tokens[i].values, tags=tags[i].values)))
+                held += len(payloads[-1])
+                if held > HELD or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, i + 1 - at), names.slice(at, i + 1 - at), pa.array(payloads, pa.string())], names=["doc_id", "name", "payload"])
+                    at, payloads, held = i + 1, [], 0
+
+    return bundled.select("doc_id", "name", "content", "tokens", "tags").mapInArrow(run, f"doc_id {kind}, name string, payload string")
+
+
+class _Document(dict):
+    """A bundled row; lists of structs become dicts, a field at a time, once a format asks for them."""
+
+    def __init__(self, fields: dict, **lists: pa.StructArray):
+        super().__init__(fields)
+        self.lists = lists
+
+    def __missing__(self, key: str) -> list[dict]:
+        items = self.lists[key]
+        keys = [f.name for f in items.type]
+        cells = [c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist() for c in items.flatten()]
+        self[key] = [dict(zip(keys, r)) for r in zip(*cells)]  # noqa: B905
+        return self[key]
 
 
 def corpus_page(exported: DataFrame, extension: str = "html") -> DataFrame:
