@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,29 +67,34 @@ def paired(gold: list[dict], guess: list[dict]) -> list[tuple]:
 def pairs(gold: DataFrame, guess: DataFrame) -> DataFrame:
     """(doc_id, kind, gold_lb, gold_ub, gold_value, guess_lb, guess_ub, guess_value).
 
-    Equal tags are paired by a join; only what differs goes to the sequential
+    Both sides are counted together by place and value, so that all tags move once,
+    by document. Equal tags are pairs; only what differs goes to the sequential
     passes, a document's leftovers at a time. Null values compare as ''.
     """
-    cols = ["doc_id", "lb", "ub", "value"]
-    gold, guess = (d.select("doc_id", F.col("lb").cast("int").alias("lb"), F.col("ub").cast("int").alias("ub"), F.coalesce("value", F.lit("")).alias("value")) for d in (gold, guess))
-    hit, g, s = exact(gold, guess)
+    cols = [F.col("lb").cast("int").alias("lb"), F.col("ub").cast("int").alias("ub"), F.coalesce("value", F.lit("")).alias("value")]
+    every = gold.select("doc_id", *cols, F.lit(1).alias("g"), F.lit(0).alias("s")).unionByName(guess.select("doc_id", *cols, F.lit(0).alias("g"), F.lit(1).alias("s")))
+    n = every.repartition("doc_id").groupBy("doc_id", "lb", "ub", "value").agg(F.sum("g").alias("g"), F.sum("s").alias("s"))
+    docs = n.groupBy("doc_id").agg(F.collect_list(F.struct("lb", "ub", "value", "g", "s")).alias("tags"))
     kind = gold.schema["doc_id"].dataType.simpleString()
-    tag = F.collect_list(F.struct("lb", "ub", "value"))
-    both = g.groupBy("doc_id").agg(tag.alias("g")).join(s.groupBy("doc_id").agg(tag.alias("s")), "doc_id", "full_outer")
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for d, a, b in zip(pdf["doc_id"], pdf["g"], pdf["s"], strict=True):
-                for k, x, y in paired([] if a is None else list(a), [] if b is None else list(b)):
-                    rows.append((d, k, *((x["lb"], x["ub"], x["value"]) if x else (None,) * 3), *((y["lb"], y["ub"], y["value"]) if y else (None,) * 3)))
-            out = pd.DataFrame(rows, columns=["doc_id", "kind", "gold_lb", "gold_ub", "gold_value", "guess_lb", "guess_ub", "guess_value"])
-            yield out.astype({c: "Int32" for c in ("gold_lb", "gold_ub", "guess_lb", "guess_ub")})
-
-    schema = f"doc_id {kind}, kind string, gold_lb int, gold_ub int, gold_value string, guess_lb int, guess_ub int, guess_value string"
-    rest = both.mapInPandas(run, schema)
-    ok = hit.select("doc_id", F.lit("correct").alias("kind"), *[F.col(c).alias(f"{p}_{c}") for p in ("gold", "guess") for c in ("lb", "ub", "value")])
-    return ok.unionByName(rest)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "kind", "gold_lb", "gold_ub", "gold_value", "guess_lb", "guess_ub", "guess_value"]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        for b in it:
+            of, rows = [], []
+            for i in range(b.num_rows):
+                left, right, begun = [], [], len(rows)
+                for t in b.column(1)[i].as_py():
+                    both, place = min(t["g"], t["s"]), (t["lb"], t["ub"], t["value"])
+                    rows += [("correct", *place, *place)] * both
+                    left += [t] * (t["g"] - both)
+                    right += [t] * (t["s"] - both)
+                for k, x, y in paired(left, right):
+                    rows.append((k, *((x["lb"], x["ub"], x["value"]) if x else (None,) * 3), *((y["lb"], y["ub"], y["value"]) if y else (None,) * 3)))
+                of += [i] * (len(rows) - begun)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int32())), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)]], names=names)
+
+    return docs.mapInArrow(run, f"doc_id {kind}, kind string, gold_lb int, gold_ub int, gold_value string, guess_lb int, guess_ub int, guess_value string")
 
 
 def counts(paired_: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ layer counts in.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,6 +114,31 @@ def to_characters(tags: DataFrame, tokens: DataFrame) -> DataFrame:
     return tags.join(a, ["doc_id", "lb"]).join(b, ["doc_id", "ub"]).select(*tags.columns, "clb", "cub")
 
 
+def characters_by_document(tags: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(doc_id, lb, ub, value): `to_characters` of document-token tags (doc_id, lb, ub, value), a document at a time.
+
+    Tags and tokens meet by document, so tokens that lie by document don't move.
+    """
+    t = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok", "lb", "ub"))).alias("t"))
+    g = tags.groupBy("doc_id").agg(F.collect_list(F.struct("lb", "ub", "value")).alias("g"))
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, rows = [], []
+            for i in range(b.num_rows):
+                toks, begun = b.column("t")[i].values, len(rows)
+                tok, lb, ub = (c.to_pylist() for c in toks.flatten())
+                first, last = dict(zip(tok, lb, strict=True)), dict(zip(tok, ub, strict=True))
+                rows += [(first[x["lb"]], last[x["ub"] - 1], x["value"]) for x in b.column("g")[i].as_py() if x["lb"] in first and x["ub"] is not None and x["ub"] - 1 in last]
+                of += [i] * (len(rows) - begun)
+            cells = zip(*rows, strict=True) if rows else [[]] * 3
+            kind = b.column("t").type.value_type
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of, pa.int32())), *[pa.array(c, x) for c, x in zip(cells, (kind.field("lb").type, kind.field("ub").type, pa.string()), strict=True)]], names=["doc_id", "lb", "ub", "value"])
+
+    return g.join(t, "doc_id").mapInArrow(run, f"doc_id {kinds['doc_id']}, lb {kinds['lb']}, ub {kinds['ub']}, value string")
+
+
 def to_tokens(tags: DataFrame, tokens: DataFrame) -> DataFrame:
     """Character tags (doc_id, lb, ub, value) as (doc_id, sent, lb, ub, value) in sentence positions.
 

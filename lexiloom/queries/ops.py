@@ -641,11 +641,14 @@ def abbreviations_spread(spark, d):
 # --- evaluation: the NER layers of the tag table against the column of the token table ---
 
 
+def _gold(toks: DataFrame, lb: str = "tlb", ub: str = "tub") -> DataFrame:
+    t = spans.tags_at_ends(toks, {"g": ("ner", "chunk")}).where("g is not null")
+    return t.select("doc_id", F.col(f"g.{lb}").alias("lb"), F.col(f"g.{ub}").alias("ub"), "g.value")
+
+
 def _gold_guess(spark, d):
-    t = tokens(spark, d)
-    gold = spans.decode_chunks(t, "ner").join(t.select("doc_id", "sent", "pos", "tok"), ["doc_id", "sent"]).where("pos = lb").select("doc_id", F.col("tok").alias("lb"), (F.col("tok") + F.col("ub") - F.col("lb")).alias("ub"), "value")
-    guess = annotations(spark, d).where("reference = 'tokens' and value is not null").select("doc_id", "lb", "ub", spans.level("value", 0).alias("value")).join(t.select("doc_id").distinct(), "doc_id", "left_semi")
-    return gold, guess
+    guess = annotations(spark, d).where("reference = 'tokens' and value is not null").select("doc_id", "lb", "ub", spans.level("value", 0).alias("value"))
+    return _gold(tokens_by_document(spark, d)), guess.join(table(spark, d, "sem_tokens").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 _GG = f"""gold as (select c.doc_id, t.tok as lb, t.tok + c.ub - c.lb as ub, c.value from chunks c join t on t.doc_id = c.doc_id and t.sent = c.sent and t.pos = c.lb),
@@ -718,9 +721,9 @@ w as (select pr.*, content, least(gold_lb, guess_lb) as a, greatest(gold_ub, gue
 select doc_id, kind, replace(substring(content, greatest(a - 30, 0) + 1, a - greatest(a - 30, 0)), chr(10), ' ') || case kind when 'silence' then '{{' || gold_value || ': ' || substring(content, a + 1, z - a) || '}}' when 'noise' then '[' || guess_value || ': ' || substring(content, a + 1, z - a) || ']'
 else '{{' || gold_value || '|' || guess_value || ': ' || substring(content, a + 1, z - a) || '}}' end || replace(substring(content, z + 1, 30), chr(10), ' ') as shown from w""")
 def evaluate_diff(spark, d):
-    t, (gold, guess) = tokens(spark, d), _gold_guess(spark, d)
-    chars = [spans.to_characters(x, t).select("doc_id", F.col("clb").alias("lb"), F.col("cub").alias("ub"), "value") for x in (gold, guess)]
-    return evaluate.differences(evaluate.pairs(*chars), documents(spark, d).where("content is not null"))
+    t = tokens_by_document(spark, d).where("doc_id is not null")  # as the join with tags asks; so both readers of the tokens share one exchange
+    guess = spans.characters_by_document(_gold_guess(spark, d)[1], t)
+    return evaluate.differences(evaluate.pairs(_gold(t, "lb", "ub"), guess), documents(spark, d).where("content is not null"))
 
 
 # --- search ---

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from lexiloom.operators import spans
+from lexiloom.operators import evaluate, spans
 
 EXCHANGES = {
     "export_html": 2,
+    "evaluate_diff": 8,
 }
 
 
@@ -28,3 +29,19 @@ def test_tags_at_ends_are_those_of_the_decoders(spark):
     for name, want in (("x", spans.decode_chunks(t, "c")), ("y", spans.decode_pos(t, "p"))):
         got = sorted(tuple(r) for r in both.where(f"{name} is not null").select(f"{name}.value", f"{name}.tlb", f"{name}.tub", f"{name}.lb", f"{name}.ub").collect())
         assert got == sorted((r["value"], 8 * r["sent"] + r["lb"], 8 * r["sent"] + r["ub"], 10 * (8 * r["sent"] + r["lb"]), 10 * (8 * r["sent"] + r["ub"] - 1) + 9) for r in want.collect())
+
+
+def test_equal_tags_are_counted_and_pairs_follow(spark):
+    gold = spark.createDataFrame([(1, 0, 2, "a")] * 3 + [(1, 4, 6, None), (2, 0, 1, "b")], "doc_id int, lb int, ub int, value string")
+    guess = spark.createDataFrame([(1, 0, 2, "a")] * 2 + [(1, 0, 2, "b"), (1, 4, 6, ""), (3, 0, 1, "b")], "doc_id int, lb int, ub int, value string")
+    p = evaluate.pairs(gold, guess)
+    got = sorted((r["doc_id"], r["kind"], r["gold_value"], r["guess_value"]) for r in p.collect())
+    assert got == [(1, "correct", "", ""), (1, "correct", "a", "a"), (1, "correct", "a", "a"), (1, "type", "a", "b"), (2, "silence", "b", None), (3, "noise", None, "b")]
+    assert exchanges(p) == 1
+
+
+def test_characters_by_document_are_those_of_the_joins(spark):
+    t = spark.createDataFrame([(d, i, 5 * i, 5 * i + 4) for d in (1, 2) for i in (0, 1, 2, 4)], "doc_id int, tok int, lb int, ub int")
+    tags = spark.createDataFrame([(1, 0, 2, "a"), (1, 0, 2, "a"), (1, 3, 5, "b"), (1, 2, 4, "b"), (2, 4, 5, "c"), (3, 0, 1, "d"), (2, 1, 9, "e")], "doc_id int, lb int, ub int, value string")
+    want = spans.to_characters(tags, t).select("doc_id", "clb", "cub", "value").collect()
+    assert sorted(map(tuple, spans.characters_by_document(tags, t).collect())) == sorted(map(tuple, want))
