@@ -12,13 +12,13 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..runtime import spread
 from .normalize import canonical
@@ -32,8 +32,6 @@ TYPOGRAPHIC = "«»“”„‘’…–—•"
 GAIN, STEP = 3.0, 0.5
 #: What a byte sequence read again promises.
 READ_AGAIN = 10.0
-#: Labelled sample rows a language the plausibility is learnt from, at most.
-SAMPLE_ROWS = 400
 
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _OPENING, _CLOSING = "«“„\"‹「『", "»”“\"›」』"
@@ -94,20 +92,32 @@ _MONEY, _MARKS = "£¥€¢", "²³¹º°ª™®"
 _OPERATORS = "±×÷≤≥≈≠√∞∑∏∫·→←↑↓†‡µ"
 
 
+@dataclass(frozen=True)
+class Contexts:
+    """All characters beyond ASCII of clean samples, each between its two neighbours; what is learnt from the samples."""
+
+    all: tuple[str, ...]
+
+    def __bool__(self) -> bool:
+        return bool(self.all)
+
+
+def contexts(texts: Iterable[str]) -> set[str]:
+    """The characters beyond ASCII of texts, in lower case and between their neighbours."""
+    out: set[str] = set()
+    for t in texts:
+        t = f" {unicodedata.normalize('NFC', t).lower()} "
+        out.update(t[m.start() - 1 : m.start() + 2] for m in _HIGH.finditer(t))
+    return out
+
+
 class Plausibility:
     """Cost of the characters of a text beyond ASCII: by the contexts clean samples show them in, else by what their kind may stand beside."""
 
-    def __init__(self, samples: list[str]):
-        self.uni: set[str] = set(TYPOGRAPHIC)
-        self.bi: set[str] = set()
-        self.tri: set[str] = set()
-        for t in samples:
-            t = f" {unicodedata.normalize('NFC', t).lower()} "
-            for m in _HIGH.finditer(t):
-                i = m.start()
-                self.uni.add(t[i])
-                self.bi.update((t[i - 1 : i + 1], t[i : i + 2]))
-                self.tri.add(t[i - 1 : i + 2])
+    def __init__(self, samples: list[str] | Contexts):
+        self.tri: set[str] = set(samples.all) if isinstance(samples, Contexts) else contexts(samples)
+        self.uni: set[str] = {*TYPOGRAPHIC, *(c[1] for c in self.tri)}
+        self.bi: set[str] = {x for c in self.tri for x in (c[:2], c[1:])}
         self.seen: dict[tuple[str, str, str], float] = {}
 
     def char(self, p: str, c: str, n: str) -> float:
@@ -448,12 +458,12 @@ def _pieces(text: str) -> Iterator[tuple[int, int]]:
 
 
 @lru_cache(8)
-def model_of(samples: tuple[str, ...]) -> Plausibility:
-    return Plausibility(list(samples))
+def model_of(samples: tuple[str, ...] | Contexts) -> Plausibility:
+    return Plausibility(samples)
 
 
 class Repairer:
-    def __init__(self, samples: tuple[str, ...]):
+    def __init__(self, samples: tuple[str, ...] | Contexts):
         self.model = model_of(samples)
         self.memo: dict[str, tuple[str, float]] = {}
 
@@ -547,14 +557,17 @@ class Repairer:
         return "".join(out), [*at, base]
 
 
-def samples_of(df: DataFrame, text: str = "text", lang: str = "lang", limit: int = SAMPLE_ROWS) -> tuple[str, ...]:
-    """At most `limit` clean sample texts of each language, chosen by their hash, in a fixed order; the bound of what is collected."""
-    by = W.Window.partitionBy("c").orderBy(F.xxhash64("t"), "t")
-    rows = df.select(F.col(lang).alias("c"), F.col(text).alias("t")).where("t is not null").withColumn("r", F.row_number().over(by)).where(F.col("r") <= limit).orderBy("t").collect()
-    return tuple(r["t"] for r in rows)
+def samples_of(df: DataFrame, text: str = "text") -> Contexts:
+    """What all clean sample texts show: read where they are, only contexts of three characters are shuffled and collected, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(contexts(filter(None, b.column(0).to_pylist()))), pa.string())], names=["c"])
+
+    return Contexts(tuple(sorted(r["c"] for r in df.select(F.col(text).cast("string")).mapInArrow(run, "c string").distinct().collect())))
 
 
-def restored(docs: DataFrame, samples: tuple[str, ...], doc: str = "doc_id", text: str = "content", order: str | None = None) -> DataFrame:
+def restored(docs: DataFrame, samples: tuple[str, ...] | Contexts, doc: str = "doc_id", text: str = "content", order: str | None = None) -> DataFrame:
     """(doc_id, garbled, restored) of every document.
 
     `restored` is the text as far as it can be had back, null where nothing was

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread
-from .mojibake import Repairer
+from .mojibake import Contexts, Repairer
 from .normalize import INVISIBLE, canonical, char_class
 
 # Abbreviations that don't end a sentence, lower case, without the last full stop.
@@ -337,7 +337,7 @@ def restored_units(text: str | None, repair: Repairer) -> list[tuple[int, int, s
     return fitted
 
 
-def _run(samples: tuple[str, ...]):
+def _run(samples: tuple[str, ...] | Contexts):
     pair = pa.list_(pa.struct([("s", pa.int32()), ("l", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +352,7 @@ def _run(samples: tuple[str, ...]):
     return run
 
 
-def sentence_units(docs: DataFrame, doc: str = "doc_id", text: str = "content", order: str | None = None, only: DataFrame | None = None, samples: tuple[str, ...] = ()) -> DataFrame:
+def sentence_units(docs: DataFrame, doc: str = "doc_id", text: str = "content", order: str | None = None, only: DataFrame | None = None, samples: tuple[str, ...] | Contexts = ()) -> DataFrame:
     """(doc_id, s, l) of every sentence unit of each document.
 
     With clean sample texts, units of garbled texts are found in their restored form.
