@@ -13,7 +13,7 @@ def test_contexts_are_those_of_all_sentences(spark):
     assert (a.uni, a.bi, a.tri) == (b.uni, b.bi, b.tri)
 
 
-@pytest.mark.parametrize("name", ["p7_found"])
+@pytest.mark.parametrize("name", ["p2_found", "p7_found"])
 def test_queries_learn_from_all_sentences(spark, data, monkeypatch, name):
     seen, real = [], mojibake.samples_of
     monkeypatch.setattr(mojibake, "samples_of", lambda df, **k: seen.append((df.count(), k)) or real(df, **k))
