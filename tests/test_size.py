@@ -7,6 +7,7 @@ from lexiloom.operators import evaluate, spans
 
 EXCHANGES = {
     "export_html": 2,
+    "export_json": 2,
     "evaluate_diff": 8,
     "evaluate_macro": 7,
 }
