@@ -7,6 +7,7 @@ from lexiloom.operators import evaluate, spans
 
 EXCHANGES = {
     "export_html": 2,
+    "read_gate": 2,
     "export_tei_reden": 2,
     "export_gate": 2,
     "read_xml": 2,
