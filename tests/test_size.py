@@ -7,6 +7,7 @@ from lexiloom.operators import evaluate, spans
 
 EXCHANGES = {
     "export_html": 2,
+    "read_json": 2,
     "evaluate_metrics": 6,
     "export_tei_analec": 2,
     "export_xml": 2,
