@@ -11,7 +11,7 @@ from ..plans.pipeline import Corpus, Pipeline
 from ..runtime import latest, shared_dir, table
 from ..sources import readers, sinks
 from ..streaming import stream
-from .ops import D, T, A, W, _ISLANDS, annotations, documents, tokens, tokens_by_document
+from .ops import D, T, A, W, _ISLANDS, annotations, documents, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -82,14 +82,17 @@ def export_conll(spark, d):
     return sinks.conll(tokens(spark, d), ["word", "pos_tag", "chunk", "ner"])
 
 
-def _bundle(spark, d):
-    layers = {"ner": ("ner", "chunk"), "chunk": ("chunk", "chunk"), "pos": ("pos_tag", "pos")}
-    return sinks.bundle_layers(documents(spark, d), tokens_by_document(spark, d), layers, "inner")
+_LAYERS = {"ner": ("ner", "chunk"), "chunk": ("chunk", "chunk"), "pos": ("pos_tag", "pos")}
+
+
+def _exported(spark: SparkSession, d: str, fmt: str):
+    rows = sinks.loaded(table(spark, d, "sem_documents"), table(spark, d, "sem_tokens"), _LAYERS, "loaded_at")
+    return sinks.export_loaded(rows, _LAYERS, fmt, "loaded_at", "inner")
 
 
 def _export(fmt: str):
     def f(spark: SparkSession, d: str):
-        return sinks.export(_bundle(spark, d), fmt)
+        return _exported(spark, d, fmt)
 
     f.__name__ = f"export_{fmt}"
     return f
@@ -103,7 +106,7 @@ def _back(fmt: str, reader):
     """All tags of all layers, and the spans of tokens, as a reader gives them back from an exported document."""
 
     def f(spark: SparkSession, d: str):
-        docs = sinks.export(_bundle(spark, d), fmt).select(F.col("doc_id").cast("string").alias("name"), "payload")
+        docs = _exported(spark, d, fmt).select(F.col("doc_id").cast("string").alias("name"), "payload")
         layered = reader(docs)
         return readers.layer_rows(layered).withColumns({c: F.col(c).cast("bigint") for c in ("lb", "ub")})
 

@@ -214,13 +214,19 @@ def parse_json(name: str, text: str) -> list[dict]:
     root = json.loads(text)
     a = Automaton(root)
 
-    def rows(items: list) -> list[tuple]:
-        return [row for i, x in enumerate(items) if (kind := a.of(x)) in READERS for row in READERS[kind](i, x, a)]
+    def rows(items: list) -> list[dict]:
+        kinds = [a.of(x) for x in items]
+        if kinds and kinds.count(kinds[0]) == len(kinds):  # what is written as it is read
+            if kinds[0] == "extent_object":
+                return items
+            if kinds[0] == "tag" and all(type(x["v"]) is str for x in items):
+                return items
+        return [{"v": v, "s": s, "l": k} for i, (x, kind) in enumerate(zip(items, kinds, strict=True)) if kind in READERS for _, _, v, s, k in READERS[kind](i, x, a)]
 
     out = []
     for doc in documents_of(root, a):
-        segs = [{"name": n, "reference": r or None, "spans": [{"s": s, "l": k} for _, _, _, s, k in rows(items)]} for n, r, items, _ in layers_of(doc.get("segmentations"), a)]
-        anns = [{"name": n, "reference": r or None, "tags": [{"v": v, "s": s, "l": k} for _, _, v, s, k in rows(items)]} for n, r, items, _ in layers_of(doc.get("annotations"), a)]
+        segs = [{"name": n, "reference": r or None, "spans": rows(items)} for n, r, items, _ in layers_of(doc.get("segmentations"), a)]
+        anns = [{"name": n, "reference": r or None, "tags": rows(items)} for n, r, items, _ in layers_of(doc.get("annotations"), a)]
         meta = doc.get("metadatas") or doc.get("metadata") or {}
         out.append({"name": doc.get("name") or name, "content": doc.get("content"), "metadata": {k: v for k, v in meta.items() if isinstance(v, str)}, "segmentations": segs, "annotations": anns})
     return out

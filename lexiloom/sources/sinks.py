@@ -7,19 +7,20 @@ from exactly that. Formats are functions of such a row, looked up by name.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from html import escape
 from xml.sax.saxutils import escape as xesc
 from xml.sax.saxutils import quoteattr
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import spans
-
 #: Characters of payloads that a worker holds before it sends them on.
 HELD = 4_000_000
 
@@ -39,22 +40,176 @@ def bundle(docs: DataFrame, tokens: DataFrame, tags: DataFrame) -> DataFrame:
     return b.withColumn("tokens", F.coalesce("tokens", F.expr(empty))).withColumn("tags", F.coalesce("tags", F.expr(none)))
 
 
-def bundle_layers(docs: DataFrame, tokens: DataFrame, layers: dict[str, tuple[str, str]], how: str = "left") -> DataFrame:
-    """`bundle` of the tags that columns of `tokens` hold, as `spans.tags_at_ends` reads them.
+def _adjacent(cols: list[pa.Array]) -> np.ndarray:
+    """Where a row's values differ from those of the row before; nulls are one value."""
+    n = len(cols[0])
+    out = np.zeros(n, bool)
+    out[:1] = True
+    for c in cols:
+        x, y = c.slice(1), c.slice(0, n - 1)
+        out[1:] |= pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False) | (x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False))
+    return out
+
+
+def _number(c: pa.Array) -> np.ndarray:
+    """Integers to sort by, nulls first."""
+    return pc.fill_null(c.cast(pa.int64()), -(2**63)).to_numpy(zero_copy_only=False)
+
+
+def _rank(c: pa.Array) -> np.ndarray:
+    """Strings as numbers to sort by."""
+    d = c.dictionary_encode()
+    words = d.dictionary.to_pylist()
+    rank = np.zeros(len(words), np.int64)
+    rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    return rank[d.indices.to_numpy(zero_copy_only=False)]
+
+
+def _last_loaded(rows: pa.RecordBatch, new: np.ndarray, cols: list[str]) -> np.ndarray:
+    """Of rows with equal keys, which begin at `new`, the place of the greatest one by `cols` as in `runtime.latest`."""
+    starts = np.flatnonzero(new)
+    out, ends = starts.copy(), np.r_[starts[1:], len(new)]
+    several = np.flatnonzero(ends - starts > 1)
+    if len(several):
+        at = np.concatenate([np.arange(starts[i], ends[i]) for i in several])
+        cells = zip(*(rows[c].take(pa.array(at)).to_pylist() for c in cols), strict=True)
+        keys = dict(zip(at.tolist(), (tuple((x is not None, x) if x is not None else (False,) for x in r) for r in cells), strict=True))
+        for i in several:
+            out[i] = max(range(starts[i], ends[i]), key=keys.__getitem__)
+    return out
+
+
+_CHUNK = re.compile("[BIULSE]-")
+
+
+def _tags(t: dict[str, pa.Array], fresh: np.ndarray, col: str, kind: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(first tokens, last tokens, values) of a column's tags, over tokens in the order of their sentences, which begin at `fresh`; as `spans.tags_at_ends`."""
+    d = t[col].dictionary_encode()
+    words = d.dictionary.to_pylist()
+    codes = pc.fill_null(d.indices, len(words)).to_numpy(zero_copy_only=False)
+    of = lambda f: np.array([*map(f, words), False], bool)
+    if kind == "chunk":
+        here = np.arange(len(codes))
+        inside = of(lambda w: bool(_CHUNK.match(w)) and w[0] in "ILE")[codes]
+        shut = np.r_[True, of(lambda w: not _CHUNK.match(w) or w[0] in "USLE")[codes][:-1] | (codes[:-1] == len(words))] | fresh
+        new, begins = ~inside | shut, of(lambda w: bool(_CHUNK.match(w)) and w[0] in "BUS")[codes]
+        named = [w[2:] for w in words]
+    else:
+        here = np.flatnonzero(codes < len(words))
+        codes = codes[here]
+        sent = np.cumsum(fresh)[here]
+        fresh = np.r_[True, sent[1:] != sent[:-1]][: len(here)]
+        new, begins = ~of(lambda w: w.startswith("_"))[codes] | fresh, np.ones(len(codes), bool)
+        named = [w.removeprefix("_") for w in words]
+    at = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    ends = np.flatnonzero(np.r_[new[1:] | fresh[1:], True][: len(new)] & begins[at])
+    value = at[ends] if kind == "chunk" else ends
+    return here[at[ends]], here[ends], [named[i] for i in codes[value].tolist()]
+
+
+def _bundled(rows: pa.RecordBatch, layers: dict[str, tuple[str, str]], order: str, how: str) -> Iterator[_Document]:
+    """The documents of rows that hold each one's tokens and document rows together; names, texts, tokens and tags as in `bundle`."""
+    doc = rows["doc_id"]
+    group = np.cumsum(_adjacent([doc])) - 1
+    is_doc = rows["doc"].is_valid().to_numpy(zero_copy_only=False)
+    places, n = np.flatnonzero(is_doc), int(group[-1]) + 1
+    held = pa.record_batch([rows[order].take(pa.array(places)), *(c.take(pa.array(places)) for c in rows["doc"].flatten())], names=[order, *(f.name for f in rows["doc"].type)])
+    of = group[places]
+    chosen = _last_loaded(held, np.r_[True, of[1:] != of[:-1]][: len(of)], held.schema.names)
+    named = dict(zip(of[chosen].tolist(), chosen.tolist(), strict=True))
+
+    toks = np.flatnonzero(~is_doc)
+    toks = toks[np.lexsort((_number(rows["tok"])[toks], group[toks]))]
+    t = rows.take(pa.array(toks))
+    rest = [c for c in rows.schema.names if c not in ("doc_id", "doc", "tok", order)]
+    kept = _last_loaded(t, _adjacent([pa.array(group[toks]), t["tok"]]), [order, *rest]) if len(toks) else toks
+    t, g = t.take(pa.array(kept)), group[toks[kept]]
+    first = np.searchsorted(g, np.arange(n + 1))
+    tokens = {c: t[c] for c in ("tok", "par", "sent", "pos", "lb", "ub")} | {"word": pc.fill_null(t["word"], "")}
+
+    w = np.lexsort((_number(t["pos"]), _number(t["sent"]), g))
+    s = {c: t[c].take(pa.array(w)) for c in t.schema.names if c not in ("doc_id", "doc")}
+    g = g[w]
+    fresh = _adjacent([pa.array(g), s["sent"]]) if len(g) else np.zeros(0, bool)
+    found = {k: _tags(s, fresh, *x) for k, x in layers.items()} if len(g) else {}
+    at, end = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found.values())]) for i in (0, 1))
+    a, e, i32 = pa.array(at), pa.array(end), pa.int32()
+    tags = {
+        "lb": s["lb"].take(a).cast(i32), "value": pa.array([v for x in found.values() for v in x[2]], pa.string()),
+        "layer": pa.array(np.repeat(np.array(list(found), object), [len(x[0]) for x in found.values()]), pa.string()), "ub": s["ub"].take(e).cast(i32), "tlb": s["tok"].take(a).cast(i32),
+        "tub": pc.add(pc.subtract(pc.add(s["tok"].take(a), s["pos"].take(e)), s["pos"].take(a)), pa.scalar(1, i32)).cast(i32),
+    }
+    tags["nub"] = pc.negate(tags["ub"])
+    o = np.lexsort((_number(tags["tub"]), _number(tags["tlb"]), _number(tags["ub"]), _rank(tags["layer"]), _rank(tags["value"]), _number(tags["nub"]), _number(tags["lb"]), g[at]))
+    tags = {k: c.take(pa.array(o)) for k, c in tags.items()}
+    tagged = np.searchsorted(g[at][o], np.arange(n + 1))
+
+    tokens, tags = _lists(tokens), _lists(tags)
+    names, texts = held["name"], held["content"]
+    ids = doc.take(pa.array(np.flatnonzero(np.r_[True, group[1:] != group[:-1]])))
+    for k, i in named.items():
+        if how == "inner" and first[k] == first[k + 1]:
+            continue
+        name = names[i].as_py()
+        fields = {"doc_id": ids[k], "name": str(ids[k].as_py()) if name is None else name, "content": texts[i].as_py() or ""}
+        yield _Document(fields, tokens=(tokens, first[k], first[k + 1]), tags=(tags, tagged[k], tagged[k + 1]))
+
+
+def _together(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of whole runs of rows of one key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cut = int(np.flatnonzero(_adjacent([b.column(key)]))[-1])
+        if held and not cut and not held[-1].column(key)[-1].equals(b.column(key)[0]):
+            yield pa.concat_batches(held)
+            held = []
+        if cut:
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def loaded(docs: DataFrame, tokens: DataFrame, layers: dict[str, tuple[str, str]], order: str) -> DataFrame:
+    """Document and token rows as they were loaded, in one table whose rows of one document lie together.
+
+    `docs`: doc_id, name, source, content and `order`; `tokens`: doc_id, source,
+    par, sent, pos, tok, lb, ub, word, the columns of the layers and `order`.
+    All move once, and nothing but their document is sorted by. Of equal `order`
+    the greatest row counts, by the columns as named here, labels as in `tokens`.
+    """
+    cols = ["source", "par", "sent", "pos", "tok", "lb", "ub", "word", *[c for c in tokens.columns if c in {x for x, _ in layers.values()}]]
+    d = docs.select("doc_id", order, F.struct("name", "source", "content").alias("doc"))
+    rows = d.unionByName(tokens.select("doc_id", order, *cols), allowMissingColumns=True)
+    return rows.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id")
+
 
-    Tokens and tags of all layers are gathered together, in one pass over the
-    tokens; with `how` inner, documents without tokens fall out.
+def export_loaded(rows: DataFrame, layers: dict[str, tuple[str, str]], fmt: str, order: str, how: str = "left") -> DataFrame:
+    """`export` of `loaded` rows: of a row sent again the last one counts, as in `runtime.latest`, tags are those of `spans.tags_at_ends`.
+
+    With `how` inner, documents without tokens fall out.
     """
-    token = F.struct("tok", "par", "sent", "pos", "lb", "ub", F.coalesce("word", F.lit("")).alias("word"))
-    i = lambda c: c.cast("int")
-    mark = lambda k: F.when(F.col(f"_{k}").isNotNull(), F.struct(i(F.col(f"_{k}.lb")).alias("lb"), i(-F.col(f"_{k}.ub")).alias("nub"), F.coalesce(f"_{k}.value", F.lit("")).alias("value"), F.lit(k).alias("layer"), *[i(F.col(f"_{k}.{c}")).alias(c) for c in ("ub", "tlb", "tub")]))
-    t = spans.tags_at_ends(tokens, {f"_{k}": x for k, x in layers.items()})
-    none = "cast(array() as array<struct<lb:int,nub:int,value:string,layer:string,ub:int,tlb:int,tub:int>>)"
-    g = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(token)).alias("tokens"), *[F.collect_list(mark(k)).alias(f"_{k}") for k in layers])
-    g = g.select("doc_id", "tokens", F.array_sort(F.concat(*[F.col(f"_{k}") for k in layers]) if layers else F.expr(none)).alias("tags"))
-    b = docs.select("doc_id", F.coalesce("name", F.col("doc_id").cast("string")).alias("name"), F.coalesce("content", F.lit("")).alias("content")).join(g, "doc_id", how)
-    empty = "cast(array() as array<struct<tok:int,par:int,sent:int,pos:int,lb:int,ub:int,word:string>>)"
-    return b.withColumn("tokens", F.coalesce("tokens", F.expr(empty))).withColumn("tags", F.coalesce("tags", F.expr(none)))
+    render = get_exporter(fmt)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _together(batches, "doc_id"):
+            ids, names, payloads, held = [], [], [], 0
+            for x in _bundled(t, layers, order, how):
+                ids.append(x["doc_id"].as_py())
+                names.append(x["name"])
+                payloads.append(render(x))
+                held += len(payloads[-1])
+                if held > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, t.schema.field("doc_id").type), pa.array(names, pa.string()), pa.array(payloads, pa.string())], names=["doc_id", "name", "payload"])
+                    ids, names, payloads, held = [], [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, t.schema.field("doc_id").type), pa.array(names, pa.string()), pa.array(payloads, pa.string())], names=["doc_id", "name", "payload"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, name string, payload string")
 
 
 def brat(tags: DataFrame, docs: DataFrame) -> DataFrame:
@@ -78,42 +233,64 @@ def _layer(row, name: str) -> list:
     return [t for t in row["tags"] if t["layer"] == name]
 
 
-def _layers(row) -> tuple[dict, dict]:
-    """The segmentations and annotations of a bundled document."""
+def _columns(row, key: str, *names: str) -> list[list]:
+    """Fields of a row's tokens or tags, each as a list."""
+    if isinstance(row, _Document) and key not in row:
+        return [row.column(key, n) for n in names]
+    return [[t[n] for t in row[key]] for n in names]
+
+
+def _segmentations(row) -> dict[str, tuple[str, list[tuple[int, int]]]]:
+    """(what its places count, (place, length) of all spans) of a bundled document's segmentations."""
+    lb, ub, tok, sent, par = _columns(row, "tokens", "lb", "ub", "tok", "sent", "par")
     sents: dict[int, list[int]] = {}
     pars: dict[int, list[int]] = {}
-    for t in row["tokens"]:
-        sents.setdefault(t["sent"], []).append(t["tok"])
-        pars.setdefault(t["par"], []).append(t["sent"])
-    segs = {
-        "tokens": {"spans": [{"s": t["lb"], "l": t["ub"] - t["lb"]} for t in row["tokens"]]},
-        "sentences": {"reference": "tokens", "spans": [{"s": x[0], "l": len(x)} for _, x in sorted(sents.items())]},
-        "paragraphs": {"reference": "sentences", "spans": [{"s": x[0], "l": x[-1] - x[0] + 1} for _, x in sorted(pars.items())]},
+    for k, s, p in zip(tok, sent, par, strict=True):
+        if s in sents:
+            sents[s][1] += 1
+        else:
+            sents[s] = [k, 1]
+        if p in pars:
+            pars[p][1] = s
+        else:
+            pars[p] = [s, s]
+    return {
+        "tokens": ("", [(x, y - x) for x, y in zip(lb, ub, strict=True)]),
+        "sentences": ("tokens", [tuple(x) for _, x in sorted(sents.items())]),
+        "paragraphs": ("sentences", [(x, y - x + 1) for _, (x, y) in sorted(pars.items())]),
     }
-    anns: dict = {}
-    for t in row["tags"]:
-        anns.setdefault(t["layer"], {"annotations": []})["annotations"].append({"v": t["value"], "s": t["lb"], "l": t["ub"] - t["lb"]})
-    return segs, anns
+
+
+def _annotations(row, entry: Callable[[str], str]) -> dict[str, list[str]]:
+    """The tags of each layer as they are written: `entry` of a value, with place and length put in."""
+    out: dict[str, list[str]] = {}
+    forms: dict[str, str] = {}
+    for k, v, lb, ub in zip(*_columns(row, "tags", "layer", "value", "lb", "ub"), strict=True):
+        if v not in forms:
+            forms[v] = entry(v)
+        out.setdefault(k, []).append(forms[v] % (lb, ub - lb))
+    return out
 
 
 def as_json(row) -> str:
-    segs, anns = _layers(row)
-    return json.dumps({"name": row["name"], "content": row["content"], "metadatas": {}, "segmentations": segs, "annotations": anns}, ensure_ascii=False)
+    text = lambda x: json.dumps(x, ensure_ascii=False)
+    segs = (f'{text(n)}: {{{f'"reference": {text(r)}, ' if r else ''}"spans": [{', '.join(['{"s": %d, "l": %d}' % x for x in spans])}]}}' for n, (r, spans) in _segmentations(row).items())
+    anns = (f'{text(n)}: {{"annotations": [{', '.join(x)}]}}' for n, x in _annotations(row, lambda v: f'{{"v": {text(v).replace('%', '%%')}, "s": %d, "l": %d}}').items())
+    return f'{{"name": {text(row["name"])}, "content": {text(row["content"])}, "metadatas": {{}}, "segmentations": {{{", ".join(segs)}}}, "annotations": {{{", ".join(anns)}}}}}'
 
 
 def as_xml(row) -> str:
-    segs, anns = _layers(row)
     out = ['<?xml version="1.0" encoding="UTF-8"?>', f"<document name={quoteattr(row['name'])}>", "  <metadata />", f"  <content>{xesc(row['content'])}</content>", "  <segmentations>"]
-    for name, seg in segs.items():
-        ref = f" reference={quoteattr(seg['reference'])}" if seg.get("reference") else ""
+    for name, (reference, spans) in _segmentations(row).items():
+        ref = f" reference={quoteattr(reference)}" if reference else ""
         out.append(f"    <segmentation name={quoteattr(name)}{ref}>")
-        sp = [f'<s s="{x["s"]}" l="{x["l"]}" />' for x in seg["spans"]]
+        sp = ['<s s="%d" l="%d" />' % x for x in spans]
         out += ["      " + "".join(sp[i : i + 5]) for i in range(0, len(sp), 5)]
         out.append("    </segmentation>")
     out += ["  </segmentations>", "  <annotations>"]
-    for name, ann in anns.items():
+    for name, tags in _annotations(row, lambda v: f'      <tag v={quoteattr(v).replace("%", "%%")} s="%d" l="%d" />').items():
         out.append(f"    <annotation name={quoteattr(name)}>")
-        out += [f'      <tag v={quoteattr(x["v"])} s="{x["s"]}" l="{x["l"]}" />' for x in ann["annotations"]]
+        out += tags
         out.append("    </annotation>")
     return "\n".join([*out, "  </annotations>", "</document>"])
 
@@ -297,7 +474,8 @@ def export(bundled: DataFrame, fmt: str) -> DataFrame:
             names, tokens, tags = (b.column(c) for c in ("name", "tokens", "tags"))
             at, payloads, held = 0, [], 0
             for i in range(b.num_rows):
-                payloads.append(render(_Document({"name": names[i].as_py(), "content": b.column("content")[i].as_py()}, tokens=tokens[i].values, tags=tags[i].values)))
+                lists = {k: (_lists(dict(zip((f.name for f in x.type), x.flatten(), strict=True))), 0, len(x)) for k, x in (("tokens", tokens[i].values), ("tags", tags[i].values))}
+                payloads.append(render(_Document({"name": names[i].as_py(), "content": b.column("content")[i].as_py()}, **lists)))
                 held += len(payloads[-1])
                 if held > HELD or i + 1 == b.num_rows:
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, i + 1 - at), names.slice(at, i + 1 - at), pa.array(payloads, pa.string())], names=["doc_id", "name", "payload"])
@@ -307,20 +485,27 @@ def export(bundled: DataFrame, fmt: str) -> DataFrame:
 
 
 class _Document(dict):
-    """A bundled row; lists of structs become dicts, a field at a time, once a format asks for them."""
+    """A bundled row; lists of structs, given as columns and the rows that are the document's, become dicts once a format asks for them."""
 
-    def __init__(self, fields: dict, **lists: pa.StructArray):
+    def __init__(self, fields: dict, **lists: tuple[dict[str, list], int, int]):
         super().__init__(fields)
         self.lists = lists
 
+    def column(self, key: str, name: str) -> list:
+        items, lo, hi = self.lists[key]
+        return items[name][lo:hi]
+
     def __missing__(self, key: str) -> list[dict]:
-        items = self.lists[key]
-        keys = [f.name for f in items.type]
-        cells = [c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist() for c in items.flatten()]
-        self[key] = [dict(zip(keys, r)) for r in zip(*cells)]  # noqa: B905
+        names = list(self.lists[key][0])
+        self[key] = [dict(zip(names, r)) for r in zip(*(self.column(key, n) for n in names))]  # noqa: B905
         return self[key]
 
 
+def _lists(columns: dict[str, pa.Array]) -> dict[str, list]:
+    plain = lambda c: c.to_pylist() if c.null_count and not pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False).tolist()
+    return {k: plain(c) for k, c in columns.items()}
+
+
 def corpus_page(exported: DataFrame, extension: str = "html") -> DataFrame:
     """(payload): one page with a link to each exported document, in the order of their names; lines are joined where the page is written."""
     line = F.concat(F.lit('<li><a href="'), F.col("doc_id").cast("string"), F.lit(f'.{extension}">'), F.replace(F.replace(F.col("name"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</a></li>"))

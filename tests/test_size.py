@@ -1,9 +1,14 @@
 """Plans that stay small: how often the tables are moved, and how much a worker holds."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexiloom.operators import evaluate, spans
+from lexiloom.runtime import latest
+from lexiloom.sources import sinks
 
 EXCHANGES = {
     "export_html": 2,
@@ -57,3 +62,42 @@ def test_characters_by_document_are_those_of_the_joins(spark):
     tags = spark.createDataFrame([(1, 0, 2, "a"), (1, 0, 2, "a"), (1, 3, 5, "b"), (1, 2, 4, "b"), (2, 4, 5, "c"), (3, 0, 1, "d"), (2, 1, 9, "e")], "doc_id int, lb int, ub int, value string")
     want = spans.to_characters(tags, t).select("doc_id", "clb", "cub", "value").collect()
     assert sorted(map(tuple, spans.characters_by_document(tags, t).collect())) == sorted(map(tuple, want))
+
+
+LOADED = [n for n in EXCHANGES if n.startswith(("export_", "read_"))]
+
+
+@pytest.mark.parametrize("name", LOADED)
+def test_loaded_rows_move_once_and_nothing_is_gathered_in_the_plan(spark, data, name):
+    df = entry.queries()[name](spark, data)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(df) == 1 and not any(x in plan for x in ("Window", "Aggregate", "collect_list"))
+
+
+def test_loaded_rows_are_bundled_like_the_last_rows(spark):
+    rng = random.Random(7)
+    any_of = lambda *x: rng.choice(x)
+    toks = [(d, any_of("a", None, "b"), 0, k // 4, k % 4, k, 5 * k, 5 * k + 4, any_of("é", "x", None), any_of("N", "_N", "V", None), any_of("B-NP", "I-NP", "O", None, "S-X"), any_of("B-é", "L-é", "O", "U-p", "B", ""), any_of(1, 2, None)) for d in (1, 2, 3, 5) for k in range(rng.choice((1, 9, 30))) for _ in range(any_of(1, 1, 3))]
+    toks += [(None, *toks[0][1:]), (9, *toks[0][1:])]
+    docs = [(d, any_of("n", None), any_of("s", None), any_of("text", None, "other") and "t" * 200 + str(k), any_of(1, 2, None)) for d in (None, 1, 2, 3, 4, 5) for k in range(3)]
+    t = spark.createDataFrame(toks, "doc_id bigint, source string, par int, sent int, pos int, tok int, lb int, ub int, word string, pos_tag string, chunk string, ner string, loaded_at int")
+    d = spark.createDataFrame(docs, "doc_id bigint, name string, source string, content string, loaded_at int")
+    layers = {"ner": ("ner", "chunk"), "chunk": ("chunk", "chunk"), "pos": ("pos_tag", "pos")}
+    last = latest(t, ["doc_id", "tok"], "loaded_at", [c for c in t.columns if c != "loaded_at"])
+    at = spans.tags_at_ends(last, {f"_{k}": x for k, x in layers.items()})
+    tags = None
+    for k in layers:
+        x = at.where(f"_{k} is not null").select("doc_id", F.lit(k).alias("layer"), f"_{k}.*")
+        tags = x if tags is None else tags.unionByName(x)
+    bundled = sinks.bundle(latest(d, ["doc_id"], "loaded_at", ["doc_id", "name", "source", "content"]), last, tags).persist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for fmt in ("json", "text"):
+            want = {tuple(r) for r in sinks.export(bundled, fmt).where("doc_id is not null").collect()}
+            got = sinks.export_loaded(sinks.loaded(d, t, layers, "loaded_at"), layers, fmt, "loaded_at").collect()
+            assert len(got) == 5 and {tuple(r) for r in got} == want, fmt
+            inner = sinks.export_loaded(sinks.loaded(d, t, layers, "loaded_at"), layers, fmt, "loaded_at", "inner").collect()
+            assert {tuple(r) for r in inner} == {r for r in want if r[0] != 4}, fmt
+    finally:
+        bundled.unpersist()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
