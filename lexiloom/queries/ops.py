@@ -452,8 +452,8 @@ def crf_dump(spark, d):
 
 @query()
 def crf_train(spark, d):
-    t = tokens(spark, d).where("chunk is not null")
-    o = crf.observations(t, _TPL, TOKENS).join(t.select("doc_id", "sent", "pos", F.col("chunk").alias("g")), ["doc_id", "sent", "pos"])
+    t = tokens_by_document(spark, d).where("chunk is not null")
+    o = crf.observations(t, _TPL, TOKENS, g=F.col("chunk")).where("doc_id is not null and sent is not null and pos is not null")
     return crf.train(o, "g", ["B-NP", "I-NP", "O"], _TPL, rounds=2)
 
 

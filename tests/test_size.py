@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexiloom.operators import evaluate, spans
+from lexiloom.operators import crf, evaluate, spans
 from lexiloom.runtime import latest
 from lexiloom.sources import sinks
 
@@ -101,3 +101,19 @@ def test_loaded_rows_are_bundled_like_the_last_rows(spark):
     finally:
         bundled.unpersist()
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_weights_never_come_to_the_driver(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    rows = [(1, s, p, [f"u:{s * p}", "u:all"], "A" if (s + p) % 3 else "B") for s in range(4) for p in range(3)]
+    o = spark.createDataFrame(rows, "doc_id int, sent int, pos int, obs array<string>, g string")
+    with monkeypatch.context() as m:
+        m.setattr(type(o), "collect", refused)
+        m.setattr(type(o), "toPandas", refused)
+        m.setattr(crf, "WEIGHTS", 3)
+        w = crf.train(o, "g", ["A", "B"], [], rounds=3)
+    got = {(r["kind"], r["obs"], r["y_prev"], r["y"]): r["w"] for r in w.collect()}
+    assert len(got) == 2 * 7 + 4 and got["u", "u:all", None, "A"] > 0 > got["u", "u:all", None, "B"]
+    assert got["u", "u:all", None, "A"] == pytest.approx(-got["u", "u:all", None, "B"])
