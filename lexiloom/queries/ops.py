@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import features as X
 from ..operators import consistency, crf, dictionary, evaluate, rules, search, segment, spans
@@ -440,7 +441,22 @@ v as (select doc_id, sent, k, e0 as s0, e1 as s1, e2 as s2, [0] as p0, [1] as p1
 en as (select doc_id, sent, greatest(s0, s1, s2) as score, case when s0 >= s1 and s0 >= s2 then p0 when s1 >= s2 then p1 else p2 end as path from v qualify row_number() over (partition by doc_id, sent order by k desc) = 1)
 select tk.doc_id, tk.sent, tk.pos, ['B-NP', 'I-NP', 'O'][path[k] + 1] as y, score from tk join en using (doc_id, sent)""")
 def crf_viterbi(spark, d):
-    return crf.label_scored(_paired_obs(spark, d), _paired_weights(spark, d), ["B-NP", "I-NP", "O"])
+    t = tokens_by_document(spark, d)
+    o = crf.observations(t, _TPL_B, TOKENS).where("doc_id is not null and sent is not null and pos is not null")
+    return crf.label_stored(o, _weights_by_document(t), ["B-NP", "I-NP", "O"])
+
+
+def _weights_by_document(t: DataFrame) -> DataFrame:
+    """`_paired_weights` of tokens that lie by document, which don't move for it: the labels at a place come from a window."""
+    y = F.coalesce("chunk", F.lit("O"))
+    o = crf.observations(t, _TPL_B, TOKENS, y=y, y_prev=X.shifted(y, -1, _w()))
+    # not as a filter, which would be pushed below the exchange, so that this and `b` couldn't share it
+    keyed = F.col("doc_id").isNotNull() & F.col("sent").isNotNull() & F.col("pos").isNotNull()
+    u = o.select(F.slice("obs", 1, len(_TPL)).alias("obs"), F.when(keyed, F.collect_list("y").over(Window.partitionBy("doc_id", "sent", "pos"))).alias("ys"))
+    u = u.select(F.explode("obs").alias("obs"), "ys").select("obs", F.explode("ys").alias("y")).groupBy("obs", "y").agg(F.count("*").alias("c"))
+    b = o.where("y_prev is not null").groupBy(F.element_at("obs", -1).alias("obs"), "y_prev", "y").agg(F.count("*").alias("c"))
+    u = u.select(F.lit("u").alias("kind"), "obs", F.lit(None).cast("string").alias("y_prev"), "y", (F.pmod(F.col("c") * 7, F.lit(31)) / 4.0).alias("w"))
+    return u.unionByName(b.select(F.lit("b").alias("kind"), "obs", "y_prev", "y", (F.pmod(F.col("c") * 5, F.lit(29)) / 4.0).alias("w")))
 
 
 @query(f"with {T}, {_OBS}, {_WTS}, {_BOBS} select 'u' as kind, obs, null as y_prev, y, w from wt where w <> 0 union all select 'b', obs, y_prev, y, w from bw where w <> 0")

@@ -117,3 +117,17 @@ def test_weights_never_come_to_the_driver(spark, monkeypatch):
     got = {(r["kind"], r["obs"], r["y_prev"], r["y"]): r["w"] for r in w.collect()}
     assert len(got) == 2 * 7 + 4 and got["u", "u:all", None, "A"] > 0 > got["u", "u:all", None, "B"]
     assert got["u", "u:all", None, "A"] == pytest.approx(-got["u", "u:all", None, "B"])
+
+
+def test_labels_by_stored_weights_are_those_of_the_joins(spark):
+    rows = [(1, s, p, [f"u:{s * p % 4}", "u:all", f"b:{p % 2}"]) for s in range(5) for p in range(s + 1)]
+    o = spark.createDataFrame(rows, "doc_id int, sent int, pos int, obs array<string>")
+    w = [("u", f"u:{i}", None, y, float((3 * i + len(y) * 5) % 7) / 4) for i in (0, 1, 3) for y in ("A", "BB", "other")] + [("b", "b:1", x, y, float(len(x + y) % 3) / 2) for x in ("A", "BB", "other") for y in ("A", "BB")]
+    w = spark.createDataFrame(w, "kind string, obs string, y_prev string, y string, w double")
+    got = crf.label_stored(o, w, ["A", "BB"])
+    assert exchanges(got) == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, crf.label_scored(o, w, ["A", "BB"]).collect()))
+
+
+def test_viterbi_moves_tokens_once_a_pass(spark, data):
+    assert exchanges(entry.queries()["crf_viterbi"](spark, data)) == 1
