@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import compile_xml
 from ..operators import consistency, crf, dictionary, segment, spans
 from ..sources import sinks
+from . import by_document
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,10 @@ def truth(text: str | bool | None) -> bool:
     raise ValueError(f"neither true nor false: {text!r}")
 
 
+#: Rules of sentences by tokeniser; `default` for any other.
+VARIANTS = {"fr": "fr", "fr_bounds": "fr", "en": "en"}
+
+
 @module("segmentation")
 def segmentation(c: Corpus, tokeniser: str = "default", html: str | bool = False, **_) -> Corpus:
     """Tokens with sentences and paragraphs; a corpus that has tokens keeps them.
@@ -68,7 +73,7 @@ def segmentation(c: Corpus, tokeniser: str = "default", html: str | bool = False
     docs = c.documents
     if truth(html):
         docs = docs.drop("content").join(segment.blank_markup(docs, html="content"), "doc_id")
-    variant = {"fr": "fr", "fr_bounds": "fr", "en": "en"}.get(tokeniser, "default")
+    variant = VARIANTS.get(tokeniser, "default")
     t = segment.sentence_ids(segment.tokenise(docs, tokeniser, gaps=True), variant).drop("gap_newlines").where("sent is not null")
     first = t.groupBy("doc_id", "sent").agg(F.min("lb").alias("lb"), F.max("ub").alias("ub"), F.min("tok").alias("_f"))
     par = segment.paragraph_ids(first, docs).select("doc_id", "sent", "par", "_f")
@@ -107,10 +112,14 @@ def annotate(c: Corpus, annotator: str = "lexicon", **options) -> Corpus:
     return get_module({"lexicon": "lexicon", "wapiti": "label"}.get(annotator, annotator))(c, **options)
 
 
+def _entries(lexicon: DataFrame) -> DataFrame:
+    """(key, n, mapped): the value of each entry in the dictionary that goes first."""
+    return dictionary.keyed(lexicon).groupBy("key", "n").agg(F.min_by("mapped", F.struct(F.coalesce("priority", F.lit(2**31 - 1)), F.col("dict"))).alias("mapped"))
+
+
 @module("lexicon")
 def lexicon(c: Corpus, lexicon: DataFrame | None = None, field: str = "ner", token: str = "word", **_) -> Corpus:
-    lex = dictionary.keyed(lexicon).groupBy("key", "n").agg(F.min_by("mapped", F.struct(F.coalesce("priority", F.lit(2**31 - 1)), F.col("dict"))).alias("mapped"))
-    found = dictionary.longest_matches(c.tokens, lex, token, value="mapped")
+    found = dictionary.longest_matches(c.tokens, _entries(lexicon), token, value="mapped")
     if field in c.tokens.columns:
         found = dictionary.merge_with_gold(found, spans.decode_chunks(c.tokens, field))
     t = spans.encode_chunks(c.tokens.drop(field), found, field)
@@ -149,6 +158,39 @@ def layer_tags(tokens: DataFrame, tags: DataFrame, layer: str) -> DataFrame:
     return j.select("doc_id", F.lit(layer).alias("layer"), "value", F.col("clb").cast("int").alias("lb"), F.col("cub").cast("int").alias("ub"), F.col("tlb").cast("int").alias("tlb"), F.col("tub").cast("int").alias("tub"))
 
 
+def _in_one_pass(c: Corpus, steps: list[tuple[Module, dict]]) -> DataFrame | None:
+    """The export of a chain that looks at one document at a time, without tables of tokens between its modules; None if the chain is another.
+
+    Such a chain segments documents, labels tokens by lexica that `by_document.ENTRIES`
+    allows and by consistency in fields of its own, and exports. As a plan of joins
+    it would hold every module as often as later ones look at the tokens.
+    """
+    steps = [(get_module({"wapiti": "label"}.get(a := o.get("annotator", "lexicon"), a)), {k: v for k, v in o.items() if k != "annotator"}) if f is annotate else (f, o) for f, o in steps]
+    if c.tokens is not None or len(steps) < 2 or steps[0][0] is not segmentation or steps[-1][0] is not export:
+        return None
+    (_, first), *middle, (_, last) = steps
+    own, todo = {"doc_id", "par", "sent", "pos", "tok", "lb", "ub", "word"}, []
+    fields: set[str] = set()
+    for f, o in middle:
+        name = o.get("field", "ner")
+        if f is lexicon and isinstance(o.get("lexicon"), DataFrame) and o.get("token", "word") == "word" and name not in own | fields:
+            rows = _entries(o["lexicon"]).select("key", "n", F.col("mapped").cast("string")).limit(by_document.ENTRIES + 1).collect()
+            if len(rows) > by_document.ENTRIES:
+                return None
+            todo.append(by_document.lexicon(by_document.indexed([tuple(r) for r in rows]), name))
+            fields.add(name)
+        elif f is label_consistency and name in fields:
+            todo.append(by_document.label_consistency(name, o.get("label_consistency", "overriding") != "non-overriding"))
+        else:
+            return None
+    layers = {"ner": last.get("ner", "ner"), "chunk": last.get("chunking", ""), "pos": last.get("pos", "")}
+    layers = {k: v for k, v in layers.items() if v in own | fields}
+    if "pos" in layers or not fields.issuperset(layers.values()):
+        return None
+    tokeniser = first.get("tokeniser", "default")
+    return by_document.exported(c.documents, tokeniser, VARIANTS.get(tokeniser, "default"), truth(first.get("html", False)), todo, layers, last.get("format", "json"))
+
+
 @dataclass
 class Pipeline:
     """Steps (module name, options, mode); a step runs if its mode is `all` or the pipeline's."""
@@ -169,9 +211,11 @@ class Pipeline:
         return iter(self.steps)
 
     def __call__(self, c: Corpus):
-        for name, options, mode in self.steps:
-            if mode == "all" or self.mode in ("all", mode):
-                c = get_module(name)(c, **options)
+        steps = [(get_module(name), options) for name, options, mode in self.steps if mode == "all" or self.mode in ("all", mode)]
+        if (whole := _in_one_pass(c, steps)) is not None:
+            return whole
+        for f, options in steps:
+            c = f(c, **options)
         return c
 
 

@@ -11,7 +11,7 @@ from ..plans.pipeline import Corpus, Pipeline
 from ..runtime import latest, shared_dir, table
 from ..sources import readers, sinks
 from ..streaming import stream
-from .ops import D, T, A, W, _ISLANDS, annotations, documents, tokens
+from .ops import D, T, A, W, _ISLANDS, annotations, documents, documents_spread, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -172,7 +172,7 @@ def pipeline_run(spark, d):
     """Segmentation, lexicon and consistency, then text export."""
     lex = table(spark, d, "sem_lexicon").where("mapped is not null")
     p = Pipeline().append("segmentation", tokeniser="fr").append("lexicon", lexicon=lex, field="ner").append("label_consistency", field="ner").append("export", format="text")
-    return p(Corpus(documents(spark, d).where("content is not null").select("doc_id", "name", "content")))
+    return p(Corpus(documents_spread(spark, d).where("content is not null").select("doc_id", "name", "content")))
 
 
 @query(f"with {D}, {A} select doc_id, name from (select *, row_number() over (partition by name order by coalesce(length(content), 0) < 1000, doc_id) as r from d) where r = 1 and doc_id in (select doc_id from a)")

@@ -25,6 +25,7 @@ def query(sql: str | None = None):
 
 
 TOKENS = ["doc_id", "source", "par", "sent", "pos", "tok", "lb", "ub", "word", "pos_tag", "chunk", "ner"]
+DOCUMENTS = ["doc_id", "name", "source", "content", "lang", "mime", "loaded_at"]
 T = "t as (select doc_id, source, par, sent, pos, tok, lb, ub, word, pos_tag, chunk, ner from sem_tokens group by all)"
 D = "d as (select doc_id, name, source, content, lang, mime, max(loaded_at) as loaded_at from sem_documents group by all)"
 W = "window w as (partition by doc_id, sent order by pos)"
@@ -41,7 +42,13 @@ def tokens_by_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "sem_documents"), ["doc_id"], "loaded_at", ["doc_id", "name", "source", "content", "lang", "mime", "loaded_at"])
+    return latest(table(spark, d, "sem_documents"), ["doc_id"], "loaded_at", DOCUMENTS)
+
+
+def documents_spread(spark: SparkSession, d: str) -> DataFrame:
+    """`documents` moved once, over enough partitions to keep every core busy with costly work on each text."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return latest(table(spark, d, "sem_documents").repartition(n, "doc_id"), ["doc_id"], "loaded_at", DOCUMENTS)
 
 
 def _features(spark: SparkSession, d: str, **cols) -> DataFrame:

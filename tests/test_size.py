@@ -1,12 +1,15 @@
 """Plans that stay small: how often the tables are moved, and how much a worker holds."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexiloom.operators import crf, evaluate, spans
+from lexiloom.plans import by_document
+from lexiloom.plans.pipeline import Corpus, Pipeline, get_module
 from lexiloom.runtime import latest
 from lexiloom.sources import sinks
 
@@ -131,3 +134,39 @@ def test_labels_by_stored_weights_are_those_of_the_joins(spark):
 
 def test_viterbi_moves_tokens_once_a_pass(spark, data):
     assert exchanges(entry.queries()["crf_viterbi"](spark, data)) == 1
+
+
+def test_pipeline_moves_documents_once_and_no_tokens(spark, data):
+    df = entry.queries()["pipeline_run"](spark, data)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(df) == 1 and plan.count("MapInArrow") <= 2 and not any(x in plan for x in ("Join", "Window", "Generate"))
+
+
+LEXICON = [("a", 2, "Jean Dupont", "P"), ("a", 1, "Dupont", ""), ("b", None, "Jean  Dupont", "Q"), ("b", 1, "Paris", "L"), ("c", 1, "Paris", "M"), ("c", 3, "la Seine", "W"), ("c", 3, "Seine", "R"), ("a", 1, " ", "X"), (None, 1, None, "X"), ("d", 1, "à Paris sur", "S"), ("d", 1, "?", None), ("e", 1, "b\x01c", "Z"), ("e", 1, "rue de la", "V")]
+TEXTS = [
+    "Jean Dupont vit à Paris sur la Seine. Dupont et Jean Dupont ? Oui !\n\nParis\n\n\nla Seine la « Seine. Ah » (Paris. Non ) Dupont.. La rue de la Seine… Jean\u2028Dupont",
+    "", None, " \n ", "Paris", "?!? ...x . . Dupont . ) . Paris", "b\x01c b\x01c Seine b c. Jean\n\n.\n\nDupont.\n\nParis", "<p>Jean Dupont</p><p>Paris &nbsp;Seine</p> Paris", "www.a.fr/Paris. Dupont's l’eau, -t-il vit-il 3km e.g. M. Dupont",
+]
+
+
+@pytest.mark.parametrize(("fmt", "how", "first"), [("text", "overriding", {"tokeniser": "fr"}), ("json", "non-overriding", {"tokeniser": "en"}), ("json", "overriding", {"html": "yes"}), ("xml", "overriding", {"tokeniser": "fr_bounds"})])
+def test_one_pass_gives_what_the_modules_give(spark, monkeypatch, fmt, how, first):
+    rng = random.Random(3)
+    words = "Jean Dupont Paris la Seine à sur rue de . . ? … « » ( ) \n \n\n b\x01c b x".split(" ")
+    texts = TEXTS + [rng.choice(("", " ")).join(x + rng.choice(("", " ")) for x in rng.choices(words, k=60)) for _ in range(30)]
+    docs = spark.createDataFrame([(i if i else None, None if i % 3 else f"n{i}", t) for i, t in enumerate(texts)], "doc_id bigint, name string, content string")
+    lex = spark.createDataFrame(LEXICON, "dict string, priority int, entry string, mapped string")
+    steps = [("segmentation", first), ("lexicon", {"lexicon": lex, "field": "ner"}), ("label_consistency", {"field": "ner", "label_consistency": how})]
+    c, p = Corpus(docs), Pipeline()
+    for name, options in steps:
+        p.append(name, **options)
+        c = get_module(name)(c, **options)
+        c = replace(c, tokens=spark.createDataFrame(c.tokens.collect(), c.tokens.schema).coalesce(1))  # else the plan grows with every module
+    want = {tuple(r) for r in get_module("export")(c, format=fmt, chunking="ner").collect()}
+    p.append("export", format=fmt, chunking="ner")
+    df = p(Corpus(docs))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(texts) and set(got) == want
+    monkeypatch.setattr(by_document, "ENTRIES", 3)
+    assert "Join" in Pipeline().append(*steps[0][:1], **first).append("lexicon", lexicon=lex).append("export", format=fmt)(Corpus(docs))._jdf.queryExecution().executedPlan().toString()
